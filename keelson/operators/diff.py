@@ -199,22 +199,21 @@ def number_findings(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def policy_finding(host: str, config_path: str, row: DataFrame, stored_hash: str) -> DataFrame:
-    """Finding for a changed policy: ``row`` is the snapshot row of the configuration file with
-    its current hash as checksum."""
+def policy_finding(config_rows: DataFrame, stored_hash: str) -> DataFrame:
+    """Findings for a changed policy: ``config_rows`` are the snapshot rows of the configuration
+    file per host with its current hash as checksum. Of the old file only the hash is known."""
     payload = F.struct(*SNAPSHOT_PAYLOAD)
     only_hash = F.struct(
         *[
-            (F.lit(stored_hash) if f.name == "checksum" else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in row.select(payload.alias("r")).schema["r"].dataType.fields
+            (F.lit(stored_hash) if name == "checksum" else F.lit(None))
+            .cast(config_rows.schema[name].dataType)
+            .alias(name)
+            for name in SNAPSHOT_PAYLOAD
         ]
     )
     return as_findings(
-        row.select(
-            F.lit(host).alias("host"),
-            F.lit(config_path).alias("path"),
+        config_rows.select(
+            *IDENTITY,
             F.lit(None).cast("string").alias("previous_path"),
             F.lit("modified").alias("kind"),
             F.array(F.lit("policy")).alias("reasons"),
