@@ -1,8 +1,8 @@
 """Every registered query with its SQL oracle."""
 
-from keelson.catalog import integrity
+from keelson.catalog import integrity, logs, review
 
 QUERIES, ORACLES = {}, {}
-for _module in (integrity,):
+for _module in (integrity, logs, review):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)

@@ -20,48 +20,63 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def fixed_point(value, decimals: int) -> Column:
-    """``value`` (a double >= 0) with that many decimals, half to even on the exact binary value.
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _rounded(value: Column, scale: Column) -> Column:
+    """``value * scale`` as a whole number, half to even on the exact binary value.
 
     Java's formatter rounds the shortest decimal text of a double, which differs on values such
     as 1.015. The double is cut into two parts whose products with a small integer are exact, so
     the sign of the remainder against one half is exact too.
     """
-    value = _col(value).cast("double")
-    scale = 10**decimals
-    floor = F.floor(value * F.lit(float(scale)))
     upper = value * F.lit(513.0)
     head = upper - (upper - value)
-    tail = value - head
-    twice = F.lit(2.0 * scale)
-    rest = (head * twice - (floor.cast("double") * 2 + 1)) + tail * twice
-    digits = floor + F.when(
-        (rest > 0) | ((rest == 0) & (floor % 2 == 1)), F.lit(1)
-    ).otherwise(F.lit(0)).cast("long")
-    if decimals == 0:
-        return digits.cast("string")
-    whole = F.floor(digits / F.lit(scale)).cast("string")
-    return F.concat(whole, F.lit("."), F.lpad((digits % scale).cast("string"), decimals, "0"))
+    twice = scale * F.lit(2.0)
+    return _let(
+        F.floor(value * scale),
+        lambda floor: _let(
+            (head * twice - (floor.cast("double") * 2 + 1)) + (value - head) * twice,
+            lambda rest: floor
+            + F.when((rest > 0) | ((rest == 0) & (floor % 2 == 1)), 1).otherwise(0),
+        ),
+    )
 
 
 def scaled(value, units: list[str]) -> Column:
     """Base-1000 text: no decimals in the first unit, then 2 below 10, 1 below 100, else 0."""
-    value = F.greatest(_col(value).cast("double"), F.lit(0.0))
-    steps = [value]
-    for _ in units[1:]:
-        steps.append(steps[-1] / F.lit(1000.0))
-    text = None
-    for i in range(len(units) - 1, 0, -1):
-        step = steps[i]
-        here = F.concat(
-            F.when(step < 10, fixed_point(step, 2))
-            .when(step < 100, fixed_point(step, 1))
-            .otherwise(fixed_point(step, 0)),
-            F.lit(units[i]),
+    step = F.greatest(_col(value).cast("double"), F.lit(0.0))
+    chosen = None
+    for i, unit in enumerate(units):
+        here = F.struct(step.alias("value"), F.lit(unit).alias("unit"), F.lit(i).alias("place"))
+        if i == len(units) - 1:
+            chosen = here if chosen is None else chosen.otherwise(here)
+        else:
+            chosen = (F if chosen is None else chosen).when(step < 1000, here)
+        step = step / F.lit(1000.0)
+
+    def text(s):
+        decimals = (
+            F.when((s["place"] == 0) | (s["value"] >= 100), 0)
+            .when(s["value"] < 10, 2)
+            .otherwise(1)
         )
-        text = here if text is None else F.when(steps[i] < 1000, here).otherwise(text)
-    first = F.concat(fixed_point(value, 0), F.lit(units[0]))
-    return F.when(value < 1000, first).otherwise(text)
+        scale = F.when(decimals == 2, 100.0).when(decimals == 1, 10.0).otherwise(1.0)
+        return _let(
+            F.struct(_rounded(s["value"], scale).alias("n"), decimals.alias("d")),
+            lambda r: F.concat(
+                F.when(r["d"] == 0, r["n"].cast("string"))
+                .when(r["d"] == 1, F.concat(F.floor(r["n"] / 10).cast("string"), F.lit("."),
+                                            (r["n"] % 10).cast("string")))
+                .otherwise(F.concat(F.floor(r["n"] / 100).cast("string"), F.lit("."),
+                                    F.lpad((r["n"] % 100).cast("string"), 2, "0"))),
+                s["unit"],
+            ),
+        )
+
+    return _let(chosen, text)
 
 
 def format_count(value) -> Column:
