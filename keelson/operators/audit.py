@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions.digests import _col, text_digest
@@ -25,6 +25,7 @@ CAUSES = [
 ]
 
 BLOCK_LINES = 65_536
+LINE_BATCH = pa.schema([("log_id", pa.string()), ("seq", pa.int64()), ("line", pa.string())])
 
 
 def json_text(line, key: str) -> Column:
@@ -130,13 +131,13 @@ def _quoted(text: str) -> str:
     return f'"{text.translate(_ESCAPES)}"'
 
 
-def _seal(event, previous: str) -> tuple[str, str]:
+def _seal(event: dict, previous: str) -> tuple[str, str]:
     """The line of one event behind ``previous``, and its hash."""
     body = (
-        f'{{"timestamp_unix_ms":{event.timestamp_unix_ms},"action":{_quoted(event.action)},'
-        f'"pid":{event.pid},"previous_hash":{_quoted(previous)}'
+        f'{{"timestamp_unix_ms":{event["timestamp_unix_ms"]},"action":{_quoted(event["action"])},'
+        f'"pid":{event["pid"]},"previous_hash":{_quoted(previous)}'
     )
-    for field in event.fields if event.fields is not None else ():
+    for field in event["fields"] or ():
         body += f",{_quoted(field['key'])}:{_quoted(field['value'])}"
     digest = hashlib.sha256(f"{body}}}".encode()).hexdigest()
     return f'{body}{HASH_FIELD}{digest}"}}', digest
@@ -156,20 +157,20 @@ def chain_audit(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
             heads.select("log_id", F.col("last_hash").alias("head")), "log_id", "left"
         ).withColumn("head", F.coalesce("head", F.lit(GENESIS)))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, previous = None, None
         for batch in batches:
-            lines = []
-            for event in batch.itertuples(index=False):
-                if event.log_id != log:
-                    log, previous = event.log_id, event.head
+            rows = []
+            for event in batch.to_pylist():
+                if event["log_id"] != log:
+                    log, previous = event["log_id"], event["head"]
                 line, previous = _seal(event, previous)
-                lines.append(line)
-            yield pd.DataFrame({"log_id": batch["log_id"], "seq": batch["seq"], "line": lines})
+                rows.append({"log_id": log, "seq": event["seq"], "line": line})
+            yield pa.RecordBatch.from_pylist(rows, LINE_BATCH)
 
     ordered = (
         linked.select("log_id", "seq", "timestamp_unix_ms", "action", "pid", "fields", "head")
         .repartition("log_id")
         .sortWithinPartitions("log_id", "seq")
     )
-    return ordered.mapInPandas(write, AUDIT_LINES)
+    return ordered.mapInArrow(write, AUDIT_LINES)

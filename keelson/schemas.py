@@ -55,7 +55,7 @@ FINDINGS = _table(
     ("previous_path", _S, True),
     ("size", _L, False),
     ("modified_ns", _L, False),
-    ("reasons", T.ArrayType(_S, False), False),
+    ("reasons", T.ArrayType(_S), False),
     ("before", EVIDENCE, True),
     ("after", EVIDENCE, True),
     ("state", _S, False),
@@ -67,7 +67,7 @@ REVIEW_ACTIONS = _table(
     ("action_id", _L, False),
     ("kind", _S, False),
     ("target", _S, True),
-    ("affected", T.ArrayType(_L, False), True),
+    ("affected", T.ArrayType(_L), True),
     ("undone", _B, False),
     ("applied", _B, False),
 )

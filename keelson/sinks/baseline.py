@@ -165,3 +165,19 @@ def strict_drift(drift: DataFrame) -> DataFrame:
             F.col("status")
         ),
     )
+
+
+def write_bucketed(snapshot: DataFrame, table: str, buckets: int) -> None:
+    """Store a snapshot as a table bucketed by (host, path).
+
+    A comparison with it (``distinct=True``) then shuffles the current side only.
+    """
+    (
+        one_per_path(snapshot)
+        .select(*[F.col(f.name).cast(f.dataType) for f in FILE_SNAPSHOT.fields])
+        .repartition(buckets, "host", "path")
+        .write.bucketBy(buckets, "host", "path")
+        .sortBy("host", "path")
+        .mode("overwrite")
+        .saveAsTable(table)
+    )

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keelson.config import Policy
@@ -64,27 +64,26 @@ def _entry(path: str, parent: str) -> dict | None:
     }
 
 
-COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
+def _arrow(ddl: str) -> pa.Schema:
+    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    return pa.schema([(name, types[kind]) for name, kind in map(str.split, ddl.split(", "))])
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=COLUMNS)
-    numbers = ["size", "mode", "uid", "gid", "mtime_ns", "ctime_ns", "dev", "inode", "nlink"]
-    return frame.astype({n: "Int64" for n in numbers})
+def _batch(rows: list[dict], ddl: str = ENTRY) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, _arrow(ddl))
 
 
-def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The scan paths themselves; a missing one counts as a failure."""
     for batch in batches:
-        yield _frame(
-            [_entry(p, "") or {"path": p, "parent": "", "failed": True} for p in batch["path"]]
-        )
+        paths = batch.column("path").to_pylist()
+        yield _batch([_entry(p, "") or {"path": p, "parent": "", "failed": True} for p in paths])
 
 
-def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each directory, in frames of bounded size."""
+def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of each directory, in batches of bounded size."""
     for batch in batches:
-        for folder in batch["path"]:
+        for folder in batch.column("path").to_pylist():
             rows = []
             try:
                 with os.scandir(folder) as entries:
@@ -93,33 +92,37 @@ def _children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if row is not None:
                             rows.append(row)
                         if len(rows) >= 10_000:
-                            yield _frame(rows)
+                            yield _batch(rows)
                             rows = []
             except FileNotFoundError:
                 pass
             except OSError:
                 rows.append({"path": folder, "parent": folder, "failed": True})
-            yield _frame(rows)
+            yield _batch(rows)
 
 
 def _hasher(limit: int):
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path in batch["path"]:
-                try:
-                    rows.append((path, _file_digest(path, limit), *_identity(path)))
-                except OSError:
-                    rows.append((path, None, None, None, None, None))
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in HASHED.split(", ")])
-            yield frame.astype({c: "Int64" for c in frame.columns[2:]})
+            yield _batch([_hashed(p, limit) for p in batch.column("path").to_pylist()], HASHED)
 
     return digest
 
 
-def _identity(path: str):
+def _hashed(path: str, limit: int) -> dict:
+    """Digest and identity after reading; only the path when it cannot be read."""
+    try:
+        return {"path": path, "checksum": _file_digest(path, limit), **_identity(path)}
+    except OSError:
+        return {"path": path}
+
+
+def _identity(path: str) -> dict:
     info = os.lstat(path)
-    return info.st_dev, info.st_ino, info.st_size, info.st_mtime_ns
+    return {
+        "after_dev": info.st_dev, "after_inode": info.st_ino, "after_size": info.st_size,
+        "after_mtime_ns": info.st_mtime_ns,
+    }
 
 
 def _file_digest(path: str, limit: int) -> str:
@@ -148,14 +151,14 @@ def list_tree(spark: SparkSession, policy: Policy, mounts=()) -> DataFrame:
     if mounts:
         hidden = hidden | F.col("path").isin(list(mounts))
     roots = spark.createDataFrame([(p,) for p in policy.scan_paths], "path string")
-    level = materialise(roots.mapInPandas(_roots, ENTRY).filter(~hidden))
+    level = materialise(roots.mapInArrow(_roots, ENTRY).filter(~hidden))
     levels = []
     while True:
         levels.append(level)
         folders = level.filter(~F.col("failed") & (F.col("kind") == "directory") & ~excluded)
         if folders.isEmpty():
             break
-        found = folders.select("path").repartition(width, "path").mapInPandas(_children, ENTRY)
+        found = folders.select("path").repartition(width, "path").mapInArrow(_children, ENTRY)
         level = materialise(found.filter(~hidden))
     return reduce(DataFrame.unionByName, levels)
 
@@ -174,7 +177,7 @@ def read_tree(
     width = max(8, spark.sparkContext.defaultParallelism * 8)
     to_hash = readable.filter((F.col("kind") == "file") & ~bare)
     hashed = materialise(
-        to_hash.select("path").distinct().repartition(width, "path").mapInPandas(
+        to_hash.select("path").distinct().repartition(width, "path").mapInArrow(
             _hasher(policy.scan_byte_limit), HASHED
         )
     )
