@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keelson.config import LogAudit, LogRule, LogSource, Policy, Selector
 from keelson.functions.digests import text_digest
 from keelson.operators.audit import chain_audit
+from keelson.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -311,7 +312,7 @@ audit_lines AS (
 
 def tampered_lines(spark, sf_dir) -> DataFrame:
     """Of three logs one is intact, one has edited lines and one has lost lines."""
-    lines = chain_audit(audit_events(spark, sf_dir))
+    lines = materialise(chain_audit(audit_events(spark, sf_dir)))
     log = F.col("log_id").cast("long") % 3
     return lines.filter(~((log == 1) & (F.col("seq") % 97 == 13))).withColumn(
         "line",
@@ -342,11 +343,11 @@ SAMPLES_SQL = """
 # --- review -------------------------------------------------------------------------------
 
 def review_findings(spark, sf_dir) -> DataFrame:
-    """Findings with ids per host; the host is the session."""
+    """Findings with ids per host, stored as a review session is; the host is the session."""
     from keelson.operators.diff import integrity_diff, number_findings
 
     found = number_findings(integrity_diff(baseline(spark, sf_dir), current(spark, sf_dir)))
-    return found.withColumn("session_id", F.col("host"))
+    return materialise(found.withColumn("session_id", F.col("host")))
 
 
 def review_actions(findings: DataFrame) -> DataFrame:

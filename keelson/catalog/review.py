@@ -14,6 +14,7 @@ from keelson.operators import audit as A, diff as D, health as H, review as V
 from keelson.operators.alerts import capped_details, scan_alerts
 from keelson.operators.fingerprint import fingerprint, verify_baseline
 from keelson.operators.rates import scan_rate
+from keelson.plans.integrity import integrity_scan
 from keelson.sinks.baseline import checkpoint, config_drift, next_generation
 from keelson.sources.mounts import parse_mountinfo
 from keelson.sources.registry import registry_rows
@@ -180,6 +181,19 @@ def fingerprint_ctes(name, rows):
   sha256(string_agg(digest, ',' ORDER BY part)) AS content_hash FROM {name}_2)"""
 
 
+def host_marks(name, rows):
+    """The same per host."""
+    return f"""{name}_rows AS (
+  SELECT host, {ROW_DIGEST} AS digest, count(*) AS n FROM {rows} GROUP BY ALL),
+{name}_1 AS (SELECT host, substr(digest, 1, 5) AS bucket, sum(n) AS n,
+  sha256(string_agg(digest || ':' || n, ',' ORDER BY digest || ':' || n)) AS digest
+  FROM {name}_rows GROUP BY ALL),
+{name}_2 AS (SELECT host, substr(bucket, 1, 2) AS part, sum(n) AS n,
+  sha256(string_agg(digest, ',' ORDER BY bucket)) AS digest FROM {name}_1 GROUP BY ALL),
+{name} AS (SELECT host, sum(n)::BIGINT AS records,
+  sha256(string_agg(digest, ',' ORDER BY part)) AS content_hash FROM {name}_2 GROUP BY host)"""
+
+
 @query("baseline_fingerprint", I.diff_ctes() + ", " + fingerprint_ctes("mark", "baseline")
        + " SELECT records, content_hash FROM mark")
 def baseline_fingerprint(spark, sf_dir):
@@ -189,8 +203,9 @@ def baseline_fingerprint(spark, sf_dir):
 CREATED = 1_700_000_000_000
 
 
-def manifest_of(snapshot, generation):
-    return fingerprint(snapshot).select(
+def manifest_of(snapshot, generation, by=()):
+    return fingerprint(snapshot, by).select(
+        *by,
         F.lit(generation).cast("long").alias("generation"), "records",
         F.lit(0).cast("long").alias("scan_byte_limit"),
         (F.lit(CREATED) + F.col("records")).alias("created_unix_ms"),
@@ -198,18 +213,20 @@ def manifest_of(snapshot, generation):
     )
 
 
-@query("baseline_verify", I.diff_ctes() + ", " + fingerprint_ctes("mark", "baseline") + ", "
-       + fingerprint_ctes("other", "current_rows") + """
-SELECT 1 AS generation, '' AS mismatches
-UNION ALL SELECT 2, CASE WHEN m.records <> o.records THEN 'record_count, ' ELSE '' END
+@query("baseline_verify", I.diff_ctes() + ", " + host_marks("mark", "baseline") + ", "
+       + host_marks("other", "current_rows") + """
+SELECT host, 1 AS generation, '' AS mismatches FROM mark
+UNION ALL SELECT host, 2, CASE WHEN m.records <> o.records THEN 'record_count, ' ELSE '' END
   || 'scan_byte_limit, config_hash' || CASE WHEN m.content_hash <> o.content_hash
-     THEN ', content_hash' ELSE '' END FROM mark m, other o""")
+     THEN ', content_hash' ELSE '' END FROM mark m JOIN other o USING (host)""")
 def baseline_verify(spark, sf_dir):
     old, new = I.baseline(spark, sf_dir), I.current(spark, sf_dir)
-    good = verify_baseline(old, manifest_of(old, 1), 0)
-    bad = verify_baseline(new, manifest_of(old, 2), 4096, "0" * 64)
+    good = verify_baseline(old, manifest_of(old, 1, ["host"]), scan_byte_limit=0)
+    bad = verify_baseline(
+        new, manifest_of(old, 2, ["host"]), scan_byte_limit=4096, config_hash="0" * 64
+    )
     return good.unionByName(bad).select(
-        "generation", F.array_join("mismatches", ", ").alias("mismatches")
+        "host", "generation", F.array_join("mismatches", ", ").alias("mismatches")
     )
 
 
@@ -658,12 +675,10 @@ SELECT host, false AS success, 'a@example.com' AS sender, 'b@example.com' AS rec
           || chr(10) ELSE '' END AS body, NULL AS error
 FROM totals JOIN stats USING (host) JOIN lists USING (host)""")
 def scan_alert_rows(spark, sf_dir):
-    old, new = I.baseline(spark, sf_dir), I.current(spark, sf_dir)
-    found = D.integrity_diff(old, new)
-    summary = D.scan_stats(new).join(D.integrity_summary(found), "host")
-    details = capped_details(found.select("host", "path", F.col("path").alias("message")), 3)
+    scan = integrity_scan(I.baseline(spark, sf_dir), I.current(spark, sf_dir))
+    messages = scan.findings.select("host", "path", F.col("path").alias("message"))
     policy = AlertPolicy(True, False, "a@example.com", "b@example.com")
-    return scan_alerts(summary, details, policy)
+    return scan_alerts(scan.summary, capped_details(messages, 3), policy)
 
 
 QUERIES, ORACLES = query.queries, query.oracles

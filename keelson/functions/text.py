@@ -11,6 +11,7 @@ from keelson.functions.digests import _col
 # Card digits, ignored separators and the replacement of a masked run.
 CARD_RUN = r"(?U)(\d{16}\d*)"
 CARD_SEPARATORS = ".- "
+CARD_CANDIDATE = r"(?U)\d(?:[.\- ]*\d){15}"
 CARD_MASK = "XXXX XXXX XXXX XXXX"
 
 # ASCII classes that may appear inside brackets.
@@ -117,9 +118,12 @@ def is_card_number(digits) -> Column:
 
 
 def has_card_number(line) -> Column:
-    """Some maximal digit run of the line without separators is a card number."""
+    """Some maximal digit run of the line without separators is a card number.
+
+    Few lines hold 16 digits in a row at all, so that is asked first, on the line as it is.
+    """
     runs = F.regexp_extract_all(compact_digits(line), F.lit(CARD_RUN), F.lit(1))
-    return F.exists(runs, is_card_number)
+    return _col(line).rlike(CARD_CANDIDATE) & F.exists(runs, is_card_number)
 
 
 def mask_cards(line) -> Column:

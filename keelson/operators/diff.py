@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.config import Policy
 from keelson.functions.labels import evidence
 from keelson.functions.paths import component_order
-from keelson.operators.ranking import HOT_ROWS, rank_in_groups
+from keelson.operators.ranking import HOT_ROWS, hot_groups, rank_by_parts, rank_in_groups
 from keelson.operators.scope import in_scope, is_metadata_only
 from keelson.schemas import SNAPSHOT_PAYLOAD
 from keelson.session import is_small, materialise
@@ -105,13 +105,16 @@ def snapshot_changes(
     )
 
 
-def pair_moves(changes: DataFrame, hot_rows: int = HOT_ROWS, stored: bool = False) -> DataFrame:
+def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Turn added and deleted rows of equal content into moves.
 
     Rows of one host with equal (checksum, size, kind) pair in path order, the k-th deleted with
     the k-th added; the rest stay as they are, and so do rows without a checksum. Ranks instead
     of a self-join keep the plan linear: each pair is one group of at most two rows, and a row
-    that cannot move is a group of its own.
+    that cannot move is a group of its own. One shuffle by content serves ranks and pairs.
+
+    With ``stored`` the changes are a table; contents that occur often, such as empty files, are
+    then looked for and ranked in parts.
     """
     row = F.coalesce("after", "before")
     candidate = F.col("kind").isin("added", "deleted") & row["checksum"].isNotNull()
@@ -124,10 +127,19 @@ def pair_moves(changes: DataFrame, hot_rows: int = HOT_ROWS, stored: bool = Fals
         F.when(candidate, F.lit("")).otherwise(F.col("path")).alias("_alone"),
         component_order("path").alias("_order"),
     )
-    ranked = rank_in_groups(
-        keyed, [*content, "kind"], "_order", "_rank", hot_rows, stored=stored
-    )
     deleted = F.col("kind") == "deleted"
+    sides = [*content, "kind"]
+    hot = hot_groups(keyed.filter(candidate), sides, hot_rows) if stored else None
+    if hot is None:
+        so_far = Window.partitionBy(*content).orderBy("_order").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        rank = F.when(deleted, F.count_if(deleted).over(so_far)).otherwise(
+            F.count_if(~deleted).over(so_far)
+        )
+        ranked = keyed.withColumn("_rank", rank)
+    else:
+        ranked = rank_by_parts(keyed, sides, "_order", "_rank", hot)
     pairs = ranked.groupBy(*content, "_rank").agg(
         F.max(F.when(~deleted, F.col("path"))).alias("_new"),
         F.max(F.when(deleted, F.col("path"))).alias("_old"),
@@ -184,7 +196,7 @@ def integrity_diff(
     large = not is_small(baseline, current)
     if large:
         changes = materialise(changes)
-    return as_findings(pair_moves(changes, hot_rows, stored=large))
+    return as_findings(pair_moves(changes, large, hot_rows))
 
 
 def number_findings(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -21,62 +21,67 @@ def row_digest() -> Column:
     return text_digest(F.concat_ws("\u001f", *fields))
 
 
-def fingerprint(snapshot: DataFrame) -> DataFrame:
-    """One row (records, content_hash).
+def fingerprint(snapshot: DataFrame, by=()) -> DataFrame:
+    """Rows (by, records, content_hash), one in all without ``by``.
 
     A tree of digests: equal rows are counted first, so that repeats cannot fill a bucket; the
     distinct digests spread evenly over buckets by their own prefix.
     """
-    rows = snapshot.groupBy(row_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    by = list(by)
+    rows = snapshot.groupBy(*by, row_digest().alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     item = F.concat("digest", F.lit(":"), F.col("n").cast("string"))
     first = (
-        rows.select(F.substring("digest", 1, LEVELS[0]).alias("bucket"), item.alias("item"), "n")
-        .groupBy("bucket")
+        rows.select(
+            *by, F.substring("digest", 1, LEVELS[0]).alias("bucket"), item.alias("item"), "n"
+        )
+        .groupBy(*by, "bucket")
         .agg(
             text_digest(F.array_join(F.array_sort(F.collect_list("item")), ",")).alias("digest"),
             F.sum("n").alias("n"),
         )
     )
+    parts = F.array_sort(F.collect_list(F.struct("bucket", "digest")))
     second = (
-        first.groupBy(F.substring("bucket", 1, LEVELS[1]).alias("bucket"))
-        .agg(
-            F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("parts"),
-            F.sum("n").alias("n"),
+        first.groupBy(*by, F.substring("bucket", 1, LEVELS[1]).alias("part"))
+        .agg(parts.alias("parts"), F.sum("n").alias("n"))
+        .select(
+            *by, "n", F.col("part").alias("bucket"),
+            text_digest(F.array_join(F.col("parts.digest"), ",")).alias("digest"),
         )
-        .select("bucket", "n", text_digest(F.array_join(F.col("parts.digest"), ",")).alias(
-            "digest"))
     )
-    return second.agg(
+    return second.groupBy(*by).agg(
         F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("records"),
-        F.array_sort(F.collect_list(F.struct("bucket", "digest"))).alias("parts"),
-    ).select("records", text_digest(F.array_join(F.col("parts.digest"), ",")).alias(
-        "content_hash"))
+        text_digest(F.array_join(parts["digest"], ",")).alias("content_hash"),
+    )
 
 
 def verify_baseline(
     snapshot: DataFrame,
     manifest: DataFrame,
+    by=("host",),
     scan_byte_limit: int | None = None,
     config_hash: str | None = None,
 ) -> DataFrame:
-    """One row per manifest row with ``mismatches``: the names of what does not agree.
+    """Manifest rows with ``mismatches``: the names of what does not agree with the records.
 
-    ``snapshot`` holds the rows of the one generation that ``manifest`` describes.
+    ``by`` are the columns, present on both sides, that tell whose records a manifest describes.
     """
-    found = fingerprint(snapshot).select(
-        F.col("records").alias("_records"), F.col("content_hash").alias("_content")
+    by = list(by)
+    found = fingerprint(snapshot, by).select(
+        *by, F.col("records").alias("_records"), F.col("content_hash").alias("_content")
     )
-    tests = [("record_count", F.col("records") != F.col("_records"))]
+    records = F.coalesce("_records", F.lit(0))
+    content = F.coalesce("_content", text_digest(F.lit("")))
+    tests = [("record_count", F.col("records") != records)]
     if scan_byte_limit is not None:
         tests.append(("scan_byte_limit", F.col("scan_byte_limit") != F.lit(scan_byte_limit)))
     if config_hash is not None:
         tests.append(("config_hash", ~F.col("config_hash").eqNullSafe(F.lit(config_hash))))
-    tests.append(("content_hash", F.col("content_hash") != F.col("_content")))
-    # Both sides are a single row.
-    keyed = manifest.withColumn("_one", F.lit(1))
-    joined = keyed.join(F.broadcast(found.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    tests.append(("content_hash", F.col("content_hash") != content))
     mismatches = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests]))
-    return joined.select(*manifest.columns, mismatches.alias("mismatches"))
+    return manifest.join(found, by, "left").select(
+        *manifest.columns, mismatches.alias("mismatches")
+    )
 
 
 def generation_guard(manifest: DataFrame, minimum: int) -> DataFrame:

@@ -37,17 +37,20 @@ def trust_issues(
     from the snapshot is not an issue; a missing target is, unless ``must_exist`` is off.
     """
     wanted = targets.select("host", "path").distinct()
-    present = wanted.join(snapshot.select("host", "path"), ["host", "path"], "left_semi")
-    checked = wanted if must_exist else present
-    files = snapshot.join(wanted, ["host", "path"], "left_semi").select(
-        "host", F.col("path").alias("target"), "path",
-        F.explode(_issues("file", privileged)).alias("issue"),
+    known = snapshot.select("host", "path", _issues("file", privileged).alias("_own"))
+    looked = wanted.join(known, ["host", "path"], "left")
+    if must_exist:
+        own = F.coalesce("_own", F.array(F.lit("not found")))
+    else:
+        looked, own = looked.filter(F.col("_own").isNotNull()), F.col("_own")
+    files = looked.select(
+        "host", F.col("path").alias("target"), "path", F.explode(own).alias("issue")
     )
     bad_parents = snapshot.select(
         "host", "path", F.explode(_issues("directory", privileged)).alias("issue")
     )
     # Each directory is expanded once, however many targets it holds.
-    placed = checked.withColumn("_dir", parent("path"))
+    placed = (wanted if must_exist else looked).withColumn("_dir", parent("path"))
     chains = (
         placed.select("host", "_dir")
         .distinct()
@@ -62,13 +65,7 @@ def trust_issues(
         .select("host", "target", F.explode("_found").alias("_f"))
         .select("host", "target", "_f.path", "_f.issue")
     )
-    found = files.unionByName(parents)
-    if must_exist:
-        missing = wanted.join(present, ["host", "path"], "left_anti").select(
-            "host", F.col("path").alias("target"), "path", F.lit("not found").alias("issue")
-        )
-        found = found.unionByName(missing)
-    return found
+    return files.unionByName(parents)
 
 
 def _paths(column) -> Column:

@@ -12,22 +12,13 @@ SPLITS = 128  # parts a hot group is cut into
 OVERSAMPLE = 16  # sampled points per part
 
 
-def rank_in_groups(
-    df: DataFrame, keys, order, out="rank", hot_rows=HOT_ROWS, stored=False
-) -> DataFrame:
-    """``row_number`` of each row within ``keys`` by the string column ``order``.
+def hot_groups(df: DataFrame, keys, hot_rows=HOT_ROWS) -> DataFrame | None:
+    """The groups with more than ``hot_rows`` rows, at most MAX_HOT of them, or None.
 
-    Small inputs and groups use a window. Hot groups are cut into ranges of ``order`` first: a
-    fixed number of sampled points per group gives the cut points, each part is numbered on its
-    own, and the rows of the earlier parts are added. Points are chosen by hash, so a repeated
-    task sees the same cuts. ``order`` should be unique in a group and the keys not null.
-    ``stored`` says that ``df`` is a cheap read of a table already.
+    ``df`` should be a cheap read, such as a stored table. Groups beyond the limit hold less than
+    1/MAX_HOT of the rows each.
     """
     keys = list(keys)
-    if is_small(df):
-        return _windowed(df, keys, order, out)
-    if not stored:
-        df = materialise(df)
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -35,7 +26,23 @@ def rank_in_groups(
         .orderBy(F.col("_rows").desc(), *keys)
         .limit(MAX_HOT)
     )
-    if hot.isEmpty():
+    return None if hot.isEmpty() else hot
+
+
+def rank_in_groups(df: DataFrame, keys, order, out="rank", hot_rows=HOT_ROWS) -> DataFrame:
+    """``row_number`` of each row within ``keys`` by the string column ``order``.
+
+    Small inputs and groups use a window. Hot groups are cut into ranges of ``order`` first: a
+    fixed number of sampled points per group gives the cut points, each part is numbered on its
+    own, and the rows of the earlier parts are added. Points are chosen by hash, so a repeated
+    task sees the same cuts. ``order`` should be unique in a group and the keys not null.
+    """
+    keys = list(keys)
+    if is_small(df):
+        return _windowed(df, keys, order, out)
+    df = materialise(df)
+    hot = hot_groups(df, keys, hot_rows)
+    if hot is None:
         return _windowed(df, keys, order, out)
     return rank_by_parts(df, keys, order, out, hot)
 
@@ -45,8 +52,11 @@ def _windowed(df, keys, order, out):
 
 
 def rank_by_parts(df, keys, order, out, hot) -> DataFrame:
-    """``hot`` holds at most MAX_HOT key rows, so the cut points are at most
-    MAX_HOT * SPLITS values and the broadcasts below are bounded."""
+    """Ranks where the groups in ``hot`` are cut into parts.
+
+    ``hot`` holds at most MAX_HOT key rows, so the cut points are at most
+    MAX_HOT * SPLITS values and the broadcasts below are bounded.
+    """
     slots = SPLITS * OVERSAMPLE
     points = (
         df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")

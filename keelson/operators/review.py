@@ -35,23 +35,29 @@ def directory_impact(findings: DataFrame, by=("host",)) -> DataFrame:
     """For each directory above some finding: the unreviewed findings at or under it.
 
     Findings are counted per parent first; only distinct directories are expanded into their
-    ancestors. A finding that is itself such a directory counts for it too.
+    ancestors. A finding that is itself such a directory counts for it too, and a path that is
+    above nothing is no directory.
     """
     by = list(by)
     open_ = (F.col("state") == "unreviewed").cast("long")
-    per_parent = (
-        findings.groupBy(*by, parent("path").alias("_dir"))
-        .agg(F.sum(open_).alias("n"))
-        .filter(F.col("_dir").isNotNull() & (F.col("_dir") != "/"))
+    places = F.array(
+        F.struct(parent("path").alias("directory"), F.lit(True).alias("under")),
+        F.struct(F.col("path").alias("directory"), F.lit(False).alias("under")),
     )
-    under = (
-        per_parent.select(*by, "n", F.explode(ancestors("_dir")).alias("directory"))
-        .groupBy(*by, "directory")
+    per_place = (
+        findings.select(*by, open_.alias("n"), F.explode(places).alias("_p"))
+        .select(*by, "n", "_p.*")
+        .filter(F.col("directory").isNotNull() & (F.col("directory") != "/"))
+        .groupBy(*by, "directory", "under")
         .agg(F.sum("n").alias("n"))
     )
-    at = findings.groupBy(*by, F.col("path").alias("directory")).agg(F.sum(open_).alias("here"))
-    return under.join(at, [*by, "directory"], "left").select(
-        *by, "directory", (F.col("n") + F.coalesce("here", F.lit(0))).alias("affects")
+    reached = F.when(F.col("under"), ancestors("directory")).otherwise(F.array("directory"))
+    return (
+        per_place.select(*by, "under", "n", F.explode(reached).alias("directory"))
+        .groupBy(*by, "directory")
+        .agg(F.sum("n").alias("affects"), F.max("under").alias("_above"))
+        .filter("_above")
+        .drop("_above")
     )
 
 
@@ -211,18 +217,16 @@ def exclusion_list(actions: DataFrame, by=("session_id",)) -> DataFrame:
 def plan_apply(findings: DataFrame, exclusions: DataFrame | None = None, by=("host",)) -> DataFrame:
     """Sizes of what applying a review would change."""
     by = list(by)
-    paths = approval_paths(findings, by).groupBy(*by).agg(
-        F.count_if(F.col("change") == "add").alias("approved_add"),
-        F.count_if(F.col("change") == "remove").alias("approved_remove"),
-    )
-    policy = findings.groupBy(*by).agg(
-        F.max(
-            (F.col("action") == "approve")
-            & (F.col("state") == "approved")
-            & F.array_contains("reasons", "policy")
-        ).alias("config_hash_updated")
+    approved = (F.col("action") == "approve") & (F.col("state") == "approved")
+    policy = F.array_contains("reasons", "policy")
+    content = approved & ~policy
+    planned = findings.groupBy(*by).agg(
+        F.count_distinct(F.when(content, F.col("path"))).alias("approved_add"),
+        F.count_distinct(F.when(content, F.coalesce("previous_path", "path"))).alias(
+            "approved_remove"
+        ),
+        F.max(approved & policy).alias("config_hash_updated"),
     )
-    planned = policy.join(paths, by, "left").na.fill(0, ["approved_add", "approved_remove"])
     planned = planned.withColumn(
         "approvals",
         F.greatest("approved_add", "approved_remove")

@@ -93,7 +93,7 @@ def rule_hits(rule: LogRule, line="line") -> list[Column]:
     hits, ended = [], F.lit(False)
     for selector in rule.selectors:
         test = selector_test(selector, line)
-        hits.append(test & ~ended)
+        hits.append(~ended & test if hits else test)
         if not selector.proceed:
             ended = ended | test
     return hits
@@ -110,12 +110,12 @@ def clean_line(rule: LogRule, trimmed: Column) -> Column:
 def match_events(lines: DataFrame, source: LogSource, rules: list[LogRule]) -> DataFrame:
     """One row per (line, rule, selector) that matched, in columns of ``lines`` plus the match.
 
-    A narrow transformation: lines without a match leave at the filter, before any text is
-    cleaned, and the reset marker's own lines are never evaluated.
+    A narrow transformation. Each test is a column, evaluated once per line; a filter on them
+    would be pushed below and run them twice, so lines without a match leave in the explode.
+    Only matching lines are cleaned, and the reset marker's own lines are never evaluated.
     """
     if source.reset:
         lines = lines.filter(~F.col("line").contains(source.reset))
-    # The tests are columns of their own so that each runs once per line.
     names, tests, plan = [], [], []
     for rule_idx, rule in enumerate(rules):
         for selector_idx, (selector, hit) in enumerate(zip(rule.selectors, rule_hits(rule))):
@@ -125,8 +125,10 @@ def match_events(lines: DataFrame, source: LogSource, rules: list[LogRule]) -> D
             plan.append((name, rule_idx, rule, selector_idx, selector))
     if not plan:
         raise ConfigError(f"log source {source.name} has no selectors")
-    tested = lines.select("*", *tests).filter(_any(F.col(n) for n in names))
-    trimmed = tested.withColumn("_trimmed", trim_prefix("line", source.trim_prefix))
+    tested = lines.select("*", *tests)
+    trimmed = tested.withColumn(
+        "_trimmed", F.when(_any(F.col(n) for n in names), trim_prefix("line", source.trim_prefix))
+    )
     events = [
         F.when(
             F.col(name),

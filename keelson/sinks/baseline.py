@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from keelson.functions.formats import utc_text
 from keelson.operators.diff import one_per_path
@@ -16,6 +16,9 @@ from keelson.sources.logs import path_exists
 CHECKPOINT_FORMAT = "keelson-baseline-checkpoint-v1"
 
 
+GENERATIONS = T.StructType([*FILE_SNAPSHOT.fields, T.StructField("generation", T.LongType())])
+
+
 def _records(path, generation):
     return f"{path}/records/generation={generation}"
 
@@ -109,8 +112,10 @@ def read_baseline(
         raise FileNotFoundError(f"there is no generation {generation} in {path}")
     records = spark.read.schema(FILE_SNAPSHOT).parquet(_records(path, row["generation"]))
     if verify:
-        one = spark.createDataFrame([row], BASELINE_MANIFEST)
-        wrong = verify_baseline(records, one).first()["mismatches"]
+        at = F.col("generation") == row["generation"]
+        stored = spark.read.schema(GENERATIONS).parquet(f"{path}/records").filter(at)
+        one = read_manifests(spark, path).filter(at)
+        wrong = verify_baseline(stored, one, ["generation"]).first()["mismatches"]
         if wrong:
             raise ValueError(f"baseline {path} does not match its manifest: {', '.join(wrong)}")
     return records

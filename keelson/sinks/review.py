@@ -83,17 +83,18 @@ def export_review(spark: SparkSession, path: str, session_id: str, target: str)
 
 def findings_tsv(findings: DataFrame) -> DataFrame:
     """Lines ``KIND<TAB>PATH`` of modified, added and deleted paths; a move is both of the last."""
-    label = _lookup("kind", TSV_LABELS)
-    plain = findings.filter(F.col("kind") != "moved").select(label.alias("label"), "path")
-    halves = F.array(
-        F.struct(F.lit(TSV_LABELS["added"]).alias("label"), F.col("path").alias("path")),
-        F.struct(F.lit(TSV_LABELS["deleted"]).alias("label"),
-                 F.col("previous_path").alias("path")),
+
+    def line(label, path):
+        return F.concat_ws("\t", label, path)
+
+    moved = F.array(
+        line(F.lit(TSV_LABELS["added"]), "path"),
+        line(F.lit(TSV_LABELS["deleted"]), "previous_path"),
     )
-    moved = findings.filter(F.col("kind") == "moved").select(F.explode(halves).alias("_h")).select(
-        "_h.*"
+    plain = F.array(line(_lookup("kind", TSV_LABELS), "path"))
+    return findings.select(
+        F.explode(F.when(F.col("kind") == "moved", moved).otherwise(plain)).alias("value")
     )
-    return plain.unionByName(moved).select(F.concat_ws("\t", "label", "path").alias("value"))
 
 
 def write_findings_tsv(findings: DataFrame, path: str) -> None:

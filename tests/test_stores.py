@@ -53,8 +53,8 @@ def test_tampered_records_are_noticed(spark, tmp_path):
         f"{path}/records/generation=1")
     with pytest.raises(ValueError, match="content_hash"):
         B.read_baseline(spark, path, verify=True)
-    rows = P.verify_baseline(
-        snapshot(spark, file_row("/a")), B.read_manifests(spark, path), 9, "dd").first()
+    one = snapshot(spark, file_row("/a")).withColumn("generation", F.lit(1).cast("long"))
+    rows = P.verify_baseline(one, B.read_manifests(spark, path), ["generation"], 9, "dd").first()
     assert rows.mismatches == ["record_count", "scan_byte_limit", "config_hash", "content_hash"]
 
 
@@ -69,6 +69,12 @@ def test_fingerprint_ignores_order_and_counts_repeats(spark):
     assert mark().records == 0
 
 
+def test_empty_baseline_agrees_with_its_manifest(spark, tmp_path):
+    path = str(tmp_path / "base")
+    B.write_baseline(snapshot(spark), path)
+    assert B.read_baseline(spark, path, verify=True).isEmpty()
+
+
 def test_lookup_reads_few_row_groups(spark, tmp_path):
     path = str(tmp_path / "base")
     B.write_baseline(snapshot(spark, *[file_row(f"/{i:05d}") for i in range(500)]), path)
