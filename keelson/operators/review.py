@@ -160,15 +160,24 @@ def replay_actions(findings: DataFrame, actions: DataFrame) -> DataFrame:
         .groupBy("session_id", "finding_id")
         .agg(F.max_by("kind", "action_id").alias("_mark"))
     )
-    # A session remembers UNDO_LIMIT actions, so its list of targets is short.
     targets = (
         live.filter((F.col("kind") == "exclude") & (F.col("target") != ""))
-        .groupBy("session_id")
-        .agg(F.collect_set("target").alias("_targets"))
+        .select("session_id", F.coalesce(F.nullif(F.rtrim("target", F.lit("/")), F.lit("")),
+                                         F.lit("/")).alias("_target"))
+        .distinct()
     )
-    covered = F.coalesce(
-        F.exists("_targets", lambda t: path_under(F.col("path"), t)), F.lit(False)
+    # Whether a folder lies under a target is settled once per folder.
+    placed = findings.withColumn("_dir", parent("path"))
+    folders = (
+        placed.select("session_id", "_dir")
+        .distinct()
+        .withColumn("_target", F.explode(ancestors("_dir", include_root=True)))
+        .join(targets, ["session_id", "_target"], "left_semi")
+        .select("session_id", "_dir", F.lit(True).alias("_under"))
+        .distinct()
     )
+    itself = targets.select("session_id", F.col("_target").alias("path"), F.lit(True).alias("_at"))
+    covered = F.coalesce("_under", "_at", F.lit(False))
     hit = covered & (F.col("state") == "unreviewed") & F.col("_mark").isNull()
     state = (
         F.when(F.col("_mark") == "approve", "approved")
@@ -182,10 +191,11 @@ def replay_actions(findings: DataFrame, actions: DataFrame) -> DataFrame:
         .otherwise(F.col("action"))
     )
     return (
-        findings.join(marks, ["session_id", "finding_id"], "left")
-        .join(targets, "session_id", "left")
+        placed.join(marks, ["session_id", "finding_id"], "left")
+        .join(folders, ["session_id", "_dir"], "left")
+        .join(itself, ["session_id", "path"], "left")
         .withColumns({"state": state, "action": action})
-        .drop("_mark", "_targets")
+        .select(*findings.columns)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from keelson.config import Policy
 from keelson.functions.digests import _col
-from keelson.functions.paths import ancestors, parent, path_under, under_any
+from keelson.functions.paths import MANY_ROOTS, ancestors, parent, path_under, under_any
 
 
 def is_excluded(path, policy: Policy) -> Column:
@@ -51,35 +51,40 @@ def with_fs_type(df: DataFrame, mounts: DataFrame, path="path") -> DataFrame:
     return joined.withColumn("fs_type", F.try_element_at(over, F.lit(1))["fs_type"]).drop("_mounts")
 
 
+def nearest_root(path, roots) -> Column:
+    """The most specific root over a path, null if there is none."""
+    path = _col(path)
+    stems = sorted({r.rstrip("/") or "/" for r in roots}, key=len, reverse=True)
+    if len(stems) > MANY_ROOTS:
+        over = F.filter(ancestors(path, include_root=True), lambda a: a.isin(stems))
+        return F.try_element_at(over, F.lit(1))
+    none = F.lit(None).cast("string")
+    return F.coalesce(none, *[F.when(path_under(path, stem), F.lit(stem)) for stem in stems])
+
+
 def monitored(df: DataFrame, policy: Policy, mounts: DataFrame | None = None) -> DataFrame:
     """Rows that a walk from the scan paths would reach.
 
     A row is dropped when it is excluded, or when an excluded filesystem is mounted on it or on
     a directory between its scan path and it. The directory of a metadata rule is kept although
     excluded, provided that the walk passes through its parent or starts at it.
+
+    Scan paths and mountpoints over a row are all prefixes of its path. A walk from some scan
+    path arrives exactly if the longest scan path is longer than the longest such mountpoint.
     """
     path = F.col("path")
-    blocked = lambda root: F.lit(False)
+    root = nearest_root(path, policy.scan_paths)
+    arrives = root.isNotNull()
     if mounts is not None and policy.excluded_filesystems:
         skipped = mounts.filter(F.col("fs_type").isin(list(policy.excluded_filesystems)))
         df = df.join(mounts_per_host(skipped), "host", "left")
-
-        def blocked(root):
-            hit = F.exists(
-                "_mounts",
-                lambda m: path_under(m["mountpoint"], root) & path_under(path, m["mountpoint"]),
-            )
-            return F.coalesce(hit, F.lit(False))
-
+        over = F.filter("_mounts", lambda m: path_under(path, m["mountpoint"]))
+        mounted = F.try_element_at(over, F.lit(1))["mountpoint"]
+        arrives = arrives & (mounted.isNull() | (F.length(root) > F.length(mounted)))
     excluded = is_excluded(path, policy)
-    special = is_metadata_directory(path, policy)
     passed = ~F.coalesce(is_excluded(parent(path), policy), F.lit(False))
-    reached = F.lit(False)
-    for root in policy.scan_paths:
-        from_here = path_under(path, root) & ~blocked(root)
-        entered = passed | (path == (root.rstrip("/") or "/"))
-        reached = reached | (from_here & (~excluded | (special & entered)))
-    return df.filter(reached).drop("_mounts")
+    kept = is_metadata_directory(path, policy) & (passed | (path == root))
+    return df.filter(arrives & (~excluded | kept)).drop("_mounts")
 
 
 def excluded_by_filesystem(df: DataFrame, policy: Policy, mounts: DataFrame) -> DataFrame:
@@ -123,9 +128,11 @@ def coverage_gaps(paths: DataFrame, policy: Policy) -> DataFrame:
 def risky_mounts(mounts: DataFrame, policy: Policy, costly) -> DataFrame:
     """Mounts of costly filesystem types that a scan would enter."""
     point = F.col("mountpoint")
-    reachable = under_any(point, policy.scan_paths)
+    above_roots = {"/"}
     for root in policy.scan_paths:
-        reachable = reachable | path_under(F.lit(root), point)
+        parts = root.rstrip("/").split("/")
+        above_roots.update("/".join(parts[: i + 1]) for i in range(1, len(parts)))
+    reachable = under_any(point, policy.scan_paths) | point.isin(sorted(above_roots))
     return mounts.filter(
         reachable
         & F.col("fs_type").isin(list(costly))
