@@ -59,11 +59,14 @@ def baseline(spark, sf_dir) -> DataFrame:
 
 
 def current(spark, sf_dir) -> DataFrame:
+    return current_of(table(spark, sf_dir, "documents"))
+
+
+def current_of(documents: DataFrame) -> DataFrame:
     doc, folder, mtime, mode = _parts()
-    docs = table(spark, sf_dir, "documents").filter(doc % 10 != 7)
     edited = doc % 10 == 5
     return _snapshot(
-        docs,
+        documents.filter(doc % 10 != 7),
         F.when(edited, F.concat("text", F.lit("!"))).otherwise(F.col("text")),
         _path(F.when(doc % 10 == 3, F.lit("moved")).otherwise(folder)),
         mtime + F.when(edited, 1).otherwise(0),
@@ -217,7 +220,10 @@ LINES_SQL = """
 
 def event_lines(spark, sf_dir) -> DataFrame:
     """One log per user; a line's number is its place in the common event order."""
-    events = table(spark, sf_dir, "events")
+    return lines_of_events(table(spark, sf_dir, "events"))
+
+
+def lines_of_events(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").cast("string").alias("source"),
         F.lit("events").alias("file"),

@@ -13,19 +13,27 @@ from keelson.schemas import SNAPSHOT_PAYLOAD
 from keelson.session import is_small, materialise
 
 IDENTITY = ["host", "path"]
+# Sorts compare their first column by value and the rest row by row. Hosts repeat and paths share
+# long beginnings, so a hash goes first; the columns behind it keep the match exact.
+HASHED = ["_hash", *IDENTITY]
 NO_REASONS = "array<string>"
 
 
 def one_per_path(snapshot: DataFrame) -> DataFrame:
     """One row per (host, path); the greatest payload wins, so repeats are deterministic."""
-    payload = [c for c in snapshot.columns if c not in IDENTITY]
+    payload = [c for c in snapshot.columns if c not in HASHED]
     return (
-        snapshot.groupBy(*IDENTITY)
+        _hashed(snapshot)
+        .groupBy(*HASHED)
         .agg(F.max(F.struct(*payload)).alias("_row"))
         .select(*IDENTITY, "_row.*")
     )
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("_hash", F.xxhash64(*IDENTITY))
+
+
 def latest_snapshot(history: DataFrame, at="scan_ts") -> DataFrame:
     """The last seen row per (host, path) of a history of snapshots."""
     payload = [c for c in history.columns if c not in (*IDENTITY, at)]
@@ -66,11 +74,13 @@ def modification_reasons(before: Column, after: Column, metadata_only: Column) -
 
 
 def _side(snapshot, name, scope=None, distinct=False):
+    """Columns (hash, host, path) and the rest of the row as a struct."""
     if scope is not None:
         snapshot = snapshot.filter(in_scope("path", scope))
-    if not distinct:
-        snapshot = one_per_path(snapshot)
-    return snapshot.select(*IDENTITY, F.struct(*SNAPSHOT_PAYLOAD).alias(name))
+    payload = F.struct(*SNAPSHOT_PAYLOAD)
+    if distinct:
+        return _hashed(snapshot).select(*HASHED, payload.alias(name))
+    return _hashed(snapshot).groupBy(*HASHED).agg(F.max(payload).alias(name))
 
 
 def snapshot_changes(
@@ -79,14 +89,19 @@ def snapshot_changes(
     policy: Policy = Policy(),
     scope: str | None = None,
     distinct: bool = False,
+    colocated: bool = False,
 ) -> DataFrame:
     """Rows that were modified, added or deleted: host, path, kind, reasons, before, after.
 
     One full outer join on (host, path); paths are unique per side, so no join key is hot.
     ``distinct=True`` says that both sides already hold one row per path, as stored baselines do.
+    ``colocated=True`` joins on (host, path) alone, which spares a side bucketed by them its
+    shuffle.
     """
     left = _side(baseline, "before", scope, distinct)
     right = _side(current, "after", scope, distinct)
+    if colocated:
+        left, right = left.drop("_hash"), right.drop("_hash")
     reasons = F.when(
         F.col("before").isNotNull() & F.col("after").isNotNull(),
         modification_reasons(F.col("before"), F.col("after"), is_metadata_only("path", policy)),
@@ -97,7 +112,7 @@ def snapshot_changes(
         .when(F.size("reasons") > 0, "modified")
     )
     return (
-        left.join(right, IDENTITY, "full_outer")
+        left.join(right, IDENTITY if colocated else HASHED, "full_outer")
         .withColumn("reasons", reasons)
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
@@ -116,17 +131,18 @@ def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int = HOT_ROW
     With ``stored`` the changes are a table; contents that occur often, such as empty files, are
     then looked for and ranked in parts.
     """
-    row = F.coalesce("after", "before")
-    candidate = F.col("kind").isin("added", "deleted") & row["checksum"].isNotNull()
-    content = ["host", "_checksum", "_size", "_type", "_alone"]
+    checksum = F.coalesce("after.checksum", "before.checksum")
+    candidate = F.col("kind").isin("added", "deleted") & checksum.isNotNull()
+    parts = ["host", "_checksum", "_size", "_type", "_alone"]
+    content = ["_hash", *parts]
     keyed = changes.select(
         "*",
-        F.when(candidate, row["checksum"]).otherwise("").alias("_checksum"),
-        F.when(candidate, row["size"]).otherwise(-1).alias("_size"),
-        F.when(candidate, row["kind"]).otherwise("").alias("_type"),
+        F.when(candidate, checksum).otherwise("").alias("_checksum"),
+        F.when(candidate, F.coalesce("after.size", "before.size")).otherwise(-1).alias("_size"),
+        F.when(candidate, F.coalesce("after.kind", "before.kind")).otherwise("").alias("_type"),
         F.when(candidate, F.lit("")).otherwise(F.col("path")).alias("_alone"),
         component_order("path").alias("_order"),
-    )
+    ).withColumn("_hash", F.xxhash64(*parts))
     deleted = F.col("kind") == "deleted"
     sides = [*content, "kind"]
     hot = hot_groups(keyed.filter(candidate), sides, hot_rows) if stored else None
@@ -186,13 +202,14 @@ def integrity_diff(
     scope: str | None = None,
     distinct: bool = False,
     hot_rows: int = HOT_ROWS,
+    colocated: bool = False,
 ) -> DataFrame:
     """Findings between two snapshots.
 
     Changes are few beside the rows compared, but several steps read them: on large inputs they
     are written once, so that the comparison itself runs once.
     """
-    changes = snapshot_changes(baseline, current, policy, scope, distinct)
+    changes = snapshot_changes(baseline, current, policy, scope, distinct, colocated)
     large = not is_small(baseline, current)
     if large:
         changes = materialise(changes)
@@ -258,8 +275,8 @@ def inspect_paths(
 ) -> DataFrame:
     """Stored and present state of the listed (host, path) rows, with verdict and reasons."""
     wanted = paths.select(*IDENTITY).distinct()
-    stored = _side(baseline.join(wanted, IDENTITY, "left_semi"), "before")
-    present = _side(current.join(wanted, IDENTITY, "left_semi"), "after")
+    stored = _side(baseline.join(wanted, IDENTITY, "left_semi"), "before").drop("_hash")
+    present = _side(current.join(wanted, IDENTITY, "left_semi"), "after").drop("_hash")
     only_policy = is_metadata_only("path", policy)
     reasons = F.when(
         F.col("before").isNotNull() & F.col("after").isNotNull(),

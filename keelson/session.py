@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # Below this estimated input size one task can hold any group of the input.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",

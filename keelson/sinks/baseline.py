@@ -175,7 +175,7 @@ def strict_drift(drift: DataFrame) -> DataFrame:
 def write_bucketed(snapshot: DataFrame, table: str, buckets: int) -> None:
     """Store a snapshot as a table bucketed by (host, path).
 
-    A comparison with it (``distinct=True``) then shuffles the current side only.
+    A comparison with it (``distinct=True, colocated=True``) then shuffles the current side only.
     """
     (
         one_per_path(snapshot)

@@ -191,7 +191,7 @@ def test_bucketed_store_needs_no_shuffle_of_the_baseline(spark):
     try:
         from keelson.operators.diff import snapshot_changes
 
-        changes = snapshot_changes(stored, rows, distinct=True)
+        changes = snapshot_changes(stored, rows, distinct=True, colocated=True)
         assert changes.isEmpty()
         plan = changes._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
