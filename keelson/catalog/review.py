@@ -588,7 +588,8 @@ SELECT o_orderkey AS id, strftime(o_orderdate + to_seconds(o_orderkey), '%Y-%m-%
        || ' UTC' AS text FROM orders""")
 def utc_texts(spark, sf_dir):
     orders = I.table(spark, sf_dir, "orders")
-    at = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")
+    since = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', o_orderdate)")
+    at = since + F.col("o_orderkey")
     return orders.select(F.col("o_orderkey").alias("id"), N.utc_text(at * 1000).alias("text"))
 
 
