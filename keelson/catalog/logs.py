@@ -216,7 +216,8 @@ def log_summary_reset(spark, sf_dir):
 SELECT source, file, max(line_no) AS last_reset FROM lines
 WHERE contains(line, 'SIGNUP') GROUP BY source, file""")
 def log_last_resets(spark, sf_dir):
-    return R.last_resets(I.event_lines(spark, sf_dir), "SIGNUP")
+    totals = R.log_totals(I.event_lines(spark, sf_dir), "SIGNUP")
+    return totals.filter("last_reset IS NOT NULL").select("source", "file", "last_reset")
 
 
 GROUP_REPORT = RESET_GROUPS + r""",

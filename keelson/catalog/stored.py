@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 
@@ -12,10 +13,13 @@ from keelson.catalog.register import Register
 from keelson.config import LogAudit, LogSource
 from keelson.functions import digests as G, labels as L, paths as P
 from keelson.operators import diff as D, health as H, review as V
+from keelson.operators.audit import chain_audit, verify_audit
 from keelson.operators.fingerprint import generation_guard
 from keelson.operators.rules import selector_test
 from keelson.session import work_dir
 from keelson.sinks import baseline as B, review as W
+from keelson.sources.logs import read_journal, read_log
+from keelson.sources.snapshots import read_audit
 from keelson.streaming.logs import RunningReport, live_events
 from keelson.streaming.snapshots import LiveDiff
 
@@ -139,6 +143,67 @@ def live_diff(spark, sf_dir):
     )
 
 
+@query("log_files", """
+SELECT user_id::VARCHAR AS source, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_no,
+       '[' || event_id || '] ' || upper(event_type) || ' user=' || user_id || ' ' || props AS line
+FROM events""")
+def log_files(spark, sf_dir):
+    """Every log is written as a text file in its order and read back with line numbers."""
+    path = fresh(spark, "logs")
+    lines = I.event_lines(spark, sf_dir)
+    ordered = lines.repartition("source").sortWithinPartitions("source", "line_no")
+    ordered.select("source", F.col("line").alias("value")).write.partitionBy("source").text(path)
+    return read_log(spark, path, "files").select(
+        F.regexp_extract("file", "/source=([0-9]+)/", 1).alias("source"), "line_no", "line"
+    )
+
+
+@query("journal_lines", """
+SELECT 'host' || user_id % 4 AS file, row_number() OVER (PARTITION BY user_id % 4
+         ORDER BY event_id) AS line_no, event_type || ' ' || event_id AS line
+FROM events WHERE event_type <> 'view' AND event_id >= 100""")
+def journal_lines(spark, sf_dir):
+    path = fresh(spark, "journal")
+    event = F.col("event_id")
+    start = 1_700_000_000_000_000  # 2023-11-14 22:13:20 UTC
+    rows = I.table(spark, sf_dir, "events").select(
+        F.concat("event_type", F.lit(" "), event.cast("string")).alias("MESSAGE"),
+        F.when(F.col("event_type") == "view", "viewer").otherwise("shop").alias("_SYSTEMD_UNIT"),
+        F.concat(F.lit("host"), (F.col("user_id") % 4).cast("string")).alias("_HOSTNAME"),
+        (F.lit(start) + event * 1_000_000).cast("string").alias("__REALTIME_TIMESTAMP"),
+    )
+    rows.write.json(path)
+    return read_journal(spark, path, "j", unit="shop", since="2023-11-14 22:15:00").select(
+        "file", "line_no", "line"
+    )
+
+
+@query("audit_files", """
+SELECT user_id::VARCHAR AS log_id, count(*) AS events, NULL AS bad_line, NULL AS cause
+FROM events GROUP BY user_id""")
+def audit_files(spark, sf_dir):
+    path = fresh(spark, "audit")
+    chained = chain_audit(I.audit_events(spark, sf_dir))
+    ordered = chained.repartition("log_id").sortWithinPartitions("log_id", "seq")
+    ordered.select("log_id", F.col("line").alias("value")).write.partitionBy("log_id").text(path)
+    lines = read_audit(spark, path).withColumn(
+        "log_id", F.regexp_extract("log_id", "/log_id=([0-9]+)/", 1)
+    )
+    return verify_audit(lines).select("log_id", "events", "bad_line", "cause")
+
+
+@query("policy_findings", DIFF + """
+SELECT host, path, 'modified' AS kind, 'policy' AS reasons, sha256('old policy') AS before_checksum,
+       checksum AS after_checksum, size FROM current_rows""")
+def policy_findings(spark, sf_dir):
+    found = D.policy_finding(I.current(spark, sf_dir), hashlib.sha256(b"old policy").hexdigest())
+    return found.select(
+        "host", "path", "kind", F.array_join("reasons", ", ").alias("reasons"),
+        F.col("before.checksum").alias("before_checksum"),
+        F.col("after.checksum").alias("after_checksum"), "size",
+    )
+
+
 # --- small functions over whole tables ----------------------------------------------------
 
 
@@ -203,8 +268,6 @@ def digest_codec(spark, sf_dir):
 SELECT c_custkey AS id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ok' ELSE 'mismatch' END AS status
 FROM customer""")
 def config_pin(spark, sf_dir):
-    import hashlib
-
     pinned = hashlib.sha256(b"BUILDING").hexdigest()
     rows = I.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), G.text_digest("c_mktsegment").alias("config_hash")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keelson.config import Policy
 from keelson.functions.labels import evidence
 from keelson.functions.paths import component_order
-from keelson.operators.ranking import HOT_ROWS, hot_groups, rank_by_parts, rank_in_groups
+from keelson.operators.ranking import hot_groups, rank_by_parts, rank_in_groups
 from keelson.operators.scope import in_scope, is_metadata_only
 from keelson.schemas import SNAPSHOT_PAYLOAD
 from keelson.session import is_small, materialise
@@ -120,7 +120,7 @@ def snapshot_changes(
     )
 
 
-def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int | None = None) -> DataFrame:
     """Turn added and deleted rows of equal content into moves.
 
     Rows of one host with equal (checksum, size, kind) pair in path order, the k-th deleted with
@@ -201,7 +201,7 @@ def integrity_diff(
     policy: Policy = Policy(),
     scope: str | None = None,
     distinct: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     colocated: bool = False,
 ) -> DataFrame:
     """Findings between two snapshots.
@@ -216,7 +216,7 @@ def integrity_diff(
     return as_findings(pair_moves(changes, large, hot_rows))
 
 
-def number_findings(findings: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_findings(findings: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Give the findings of each host the ids 1..n in path order."""
     ordered = findings.withColumn(
         "_order", F.concat_ws("\u0001", component_order("path"), "kind")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from keelson.config import LogRule, LogSource
+from keelson.config import LogSource
 from keelson.functions.text import first_match
-from keelson.operators.rules import match_counts
 
 # The wording of the two reports.
 NO_FAILURES = "No failures for {description}"
@@ -36,17 +35,22 @@ def _text(template: str, **columns) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def last_resets(lines: DataFrame, marker: str) -> DataFrame:
-    """Per log, the line number of the last line holding the marker; logs without it are absent."""
-    return (
-        lines.filter(F.col("line").contains(marker))
-        .groupBy(*LOG)
-        .agg(F.max("line_no").alias("last_reset"))
+def log_totals(lines: DataFrame, marker: str | None = None, by=("source",)) -> DataFrame:
+    """Per log, its number of lines and of the last line holding the reset marker, if any.
+
+    Without a marker only the columns naming the log are read.
+    """
+    reset = F.lit(None).cast("long")
+    if marker:
+        reset = F.max(F.when(F.col("line").contains(marker), F.col("line_no")))
+    return lines.groupBy(*dict.fromkeys([*LOG, *by])).agg(
+        F.count(F.lit(1)).alias("line_count"), reset.alias("last_reset")
     )
 
 
-def apply_reset(events: DataFrame, resets: DataFrame) -> DataFrame:
-    """Events after the last reset of their log."""
+def apply_reset(events: DataFrame, totals: DataFrame) -> DataFrame:
+    """Events after the last reset of their log; ``totals`` come from ``log_totals``."""
+    resets = totals.filter(F.col("last_reset").isNotNull()).select(*LOG, "last_reset")
     return (
         events.join(resets, LOG, "left")
         .filter(F.col("last_reset").isNull() | (F.col("line_no") > F.col("last_reset")))
@@ -126,27 +130,14 @@ def top_events(events: DataFrame, top: int, by=("source",)) -> DataFrame:
     )
 
 
-def log_summary(
-    lines: DataFrame,
-    source: LogSource,
-    rules: list[LogRule],
-    by=("source",),
-    events: DataFrame | None = None,
-) -> DataFrame:
+def log_summary(totals: DataFrame, events: DataFrame, by=("source",)) -> DataFrame:
     """Lines, matches and whether a reset occurred, per source.
 
-    Without a reset one aggregation over the lines answers all. A reset sets the matches back
-    to zero but not the lines; ``events`` are then the events after it.
+    A reset sets the matches back to zero but not the lines: ``events`` are those after it.
     """
-    if not source.reset:
-        return match_counts(lines, rules).groupBy(*by).agg(
-            F.count(F.lit(1)).alias("line_count"),
-            F.sum("matches").alias("match_count"),
-            F.lit(False).alias("reset_occurred"),
-        )
-    counted = lines.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.max(F.col("line").contains(source.reset)).alias("reset_occurred"),
+    counted = totals.groupBy(*by).agg(
+        F.sum("line_count").alias("line_count"),
+        F.max(F.col("last_reset").isNotNull()).alias("reset_occurred"),
     )
     matched = events.groupBy(*by).agg(F.count(F.lit(1)).alias("match_count"))
     return counted.join(matched, list(by), "left").select(

@@ -12,8 +12,8 @@ SPLITS = 128  # parts a hot group is cut into
 OVERSAMPLE = 16  # sampled points per part
 
 
-def hot_groups(df: DataFrame, keys, hot_rows=HOT_ROWS) -> DataFrame | None:
-    """The groups with more than ``hot_rows`` rows, at most MAX_HOT of them, or None.
+def hot_groups(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame | None:
+    """The groups with more than ``hot_rows`` (HOT_ROWS) rows, at most MAX_HOT of them, or None.
 
     ``df`` should be a cheap read, such as a stored table. Groups beyond the limit hold less than
     1/MAX_HOT of the rows each.
@@ -22,14 +22,14 @@ def hot_groups(df: DataFrame, keys, hot_rows=HOT_ROWS) -> DataFrame | None:
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
+        .filter(F.col("_rows") > (hot_rows or HOT_ROWS))
         .orderBy(F.col("_rows").desc(), *keys)
         .limit(MAX_HOT)
     )
     return None if hot.isEmpty() else hot
 
 
-def rank_in_groups(df: DataFrame, keys, order, out="rank", hot_rows=HOT_ROWS) -> DataFrame:
+def rank_in_groups(df: DataFrame, keys, order, out="rank", hot_rows=None) -> DataFrame:
     """``row_number`` of each row within ``keys`` by the string column ``order``.
 
     Small inputs and groups use a window. Hot groups are cut into ranges of ``order`` first: a

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from keelson.functions.formats import format_byte_rate, format_file_rate
 
 WINDOW_MS = 5_000  # fixed value: span of the recent rate
-BUCKET_MS = 3_600_000
+BUCKET_MS = 60_000
 
 
 def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -15,8 +15,8 @@ def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
 
     That is the last sample at or before t - window, else the first of the run. Totals never
     fall, so the greatest (ts, files, bytes) of a range is its last sample. A run is cut into
-    hours: a sample looks into its own hour and the last seconds before it; further back only
-    the last sample per hour matters, so a long run is no single task.
+    minutes: a sample looks into its own minute and the last seconds before it; further back
+    only the last sample per minute matters, so a long run is no single task.
     """
     sample = F.struct("ts_ms", "files", "bytes")
     bucket = F.floor(F.col("ts_ms") / BUCKET_MS)
@@ -24,7 +24,7 @@ def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     next_start = (F.col("_bucket") + 1) * BUCKET_MS
     late = F.col("ts_ms") >= next_start - window_ms
 
-    hours = placed.groupBy("run_id", "_bucket").agg(
+    minutes = placed.groupBy("run_id", "_bucket").agg(
         F.min(sample).alias("_first"),
         F.max(sample).alias("_last"),
         F.max(F.when(~late, sample)).alias("_last_early"),
@@ -34,7 +34,7 @@ def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
         F.lag("_bucket").over(run) == F.col("_bucket") - 1,
         F.coalesce(F.lag("_last_early").over(run), F.lag("_last", 2).over(run)),
     ).otherwise(F.lag("_last").over(run))
-    context = hours.select(
+    context = minutes.select(
         "run_id", "_bucket", before.alias("_before"),
         F.first("_first").over(run).alias("_start"),
     )

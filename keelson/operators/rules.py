@@ -148,10 +148,3 @@ def match_events(lines: DataFrame, source: LogSource, rules: list[LogRule]) -> D
     return trimmed.select(
         *kept, F.explode(F.array_compact(F.array(*events))).alias("_event")
     ).select(*kept, "_event.*")
-
-
-def match_counts(lines: DataFrame, rules: list[LogRule]) -> DataFrame:
-    """``lines`` with the number of events each line gives, without building the events."""
-    hits = [h for rule in rules for h in rule_hits(rule)]
-    total = reduce(lambda a, b: a + b, [F.coalesce(h, F.lit(False)).cast("long") for h in hits])
-    return lines.withColumn("matches", total)

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Below this estimated input size one task can hold any group of the input.
 SMALL_INPUT_BYTES = 512 * 1024 * 1024
 
+PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS = 200_000
+
 CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -20,12 +23,24 @@ CONF = {
 }
 
 
-def build_session(app="keelson", master=None, shuffle_partitions=None, **conf) -> SparkSession:
+def build_session(
+    app="keelson", master=None, shuffle_partitions=None, data_bytes=None, **conf
+) -> SparkSession:
+    """A session with adaptive execution.
+
+    ``data_bytes``, the size of the largest table, sets how many shuffle partitions a stage
+    starts with: PARTITION_BYTES each, which adaptive execution joins where a stage has less.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if data_bytes:
+        initial = min(max(200, data_bytes // PARTITION_BYTES), MAX_PARTITIONS)
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial)
+        )
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from keelson.operators.ranking import rank_in_groups
 from keelson.schemas import JOURNAL
 from keelson.session import estimated_bytes
 
@@ -38,13 +39,27 @@ def number_lines(raw: DataFrame, blocks_hint: int | None = None) -> DataFrame:
     )
     if blocks_hint is not None and blocks_hint <= BROADCAST_BLOCKS:
         starts = F.broadcast(starts)
-    return raw.join(starts, ["file", "block_start"]).withColumn(
-        "line_no", (F.col("row_id") - F.col("_first_id") + F.col("_before") + 1).cast("long")
+    number = F.col("row_id") - F.col("_first_id") + F.col("_before") + 1
+    lost = F.raise_error(F.lit("the file splits changed between two passes")).cast("long")
+    return raw.join(starts, ["file", "block_start"], "left").withColumn(
+        "line_no", F.coalesce(number.cast("long"), lost)
     ).drop("_first_id", "_before", "row_id", "block_start")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """Keep file splits the same while executors come and go.
+
+    Spark derives the split size of moderate inputs from the cores it has at that moment. Line
+    numbers read the files in two passes, which must see the same blocks.
+    """
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        cores = spark.sparkContext.defaultParallelism
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+
+
 def read_log(spark: SparkSession, path, source: str) -> DataFrame:
     """Lines of text files: split at ``\\n``, one trailing ``\\r`` dropped, numbered from 1."""
+    pin_splits(spark)
     text = spark.read.option("lineSep", "\n").text(path)
     raw = text.select(
         F.lit(source).alias("source"),
@@ -64,8 +79,7 @@ def read_journal(
 ) -> DataFrame:
     """Messages of an exported journal (JSON lines), numbered by time within each host.
 
-    ``since`` is a UTC time text. Numbering goes through whole seconds: counts per second are
-    summed up, and only the messages of one second are ordered together.
+    ``since`` is a UTC time text.
     """
     rows = spark.read.schema(JOURNAL).json(path).filter(F.col("MESSAGE").isNotNull())
     at = F.col("__REALTIME_TIMESTAMP").cast("long")
@@ -75,27 +89,15 @@ def read_journal(
         rows = rows.filter(F.col("CONTAINER_NAME") == container)
     if since is not None:
         rows = rows.filter(at >= F.unix_micros(F.to_timestamp(F.lit(since + "Z"))))
+    order = F.concat_ws(
+        "\u0000", F.lpad(F.coalesce(at, F.lit(0)).cast("string"), 20, "0"), "__CURSOR", "MESSAGE"
+    )
     timed = rows.select(
         F.lit(source).alias("source"),
         F.coalesce("_HOSTNAME", F.lit("journal")).alias("file"),
-        F.floor(at / 1_000_000).alias("_second"),
-        at.alias("_at"),
-        F.coalesce("__CURSOR", F.lit("")).alias("_cursor"),
         F.col("MESSAGE").alias("line"),
+        order.alias("_order"),
     )
-    before = Window.partitionBy("file").orderBy("_second").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    starts = (
-        timed.groupBy("file", "_second")
-        .agg(F.count(F.lit(1)).alias("_lines"))
-        .select("file", "_second",
-                F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_before"))
-    )
-    within = Window.partitionBy("file", "_second").orderBy("_at", "_cursor", "line")
-    return (
-        timed.withColumn("_local", F.row_number().over(within))
-        .join(starts, ["file", "_second"])
-        .select("source", "file",
-                (F.col("_before") + F.col("_local")).cast("long").alias("line_no"), "line")
+    return rank_in_groups(timed, ["file"], "_order", "line_no").select(
+        "source", "file", F.col("line_no").cast("long").alias("line_no"), "line"
     )

@@ -74,7 +74,7 @@ class RunningReport:
             ),
         )
         if source.reset:
-            events = R.apply_reset(events, R.last_resets(lines, source.reset))
+            events = R.apply_reset(events, R.log_totals(lines, source.reset))
         groups = R.group_events(events, pattern, LOG)
         before = self._version(batch_id - 1)
         if batch_id > 0 and path_exists(spark, f"{before}/totals"):

@@ -122,6 +122,12 @@ def test_reset_without_matches_behind_it(spark):
     assert (row.report, row.match_count) == ("No problems found", 0)
 
 
+def test_stored_events_give_the_same_results(spark, large):
+    test_trimmed_before_grouping_and_reset(spark)
+    test_errors_and_masked_cards(spark)
+    test_reset_without_matches_behind_it(spark)
+
+
 def test_grouping_of_the_first_rule_that_has_one(spark):
     rule = LogRule("frequency", (Selector("contains", "Java line", (".java",), risk="low"),),
                    group_by=r"\(.*?\.java\:.*?\)")
@@ -265,6 +271,13 @@ def test_journal(spark, tmp_path):
     assert lines(since="2023-11-14 22:13:22") == [(1, "b"), (2, "c"), (3, "d")]
 
 
+def test_journal_of_a_large_host(spark, tmp_path, large, monkeypatch):
+    from keelson.operators import ranking
+
+    monkeypatch.setattr(ranking, "HOT_ROWS", 3)
+    test_journal(spark, tmp_path)
+
+
 def test_matching_does_not_shuffle(spark):
     source = LogSource("app", ("errors", "creditcard"), "table")
     events = match_events(log(spark, "x"), source, [ERRORS, CARDS])
