@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions.digests import _col, text_digest
 from keelson.schemas import AUDIT_LINES
 
+# Executors need not have this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The hash before the first event, and the layout of the closing hash field.
 GENESIS = "0" * 64
 HASH_FIELD = ',"hash":"'
@@ -168,9 +173,15 @@ def chain_audit(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
                 rows.append({"log_id": log, "seq": event["seq"], "line": line})
             yield pa.RecordBatch.from_pylist(rows, LINE_BATCH)
 
+    conf = events.sparkSession.conf
+    width = conf.get(
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+        conf.get("spark.sql.shuffle.partitions"),
+    )
+    # A fixed number of tasks: their work is Python's, not the few bytes they read.
     ordered = (
         linked.select("log_id", "seq", "timestamp_unix_ms", "action", "pid", "fields", "head")
-        .repartition("log_id")
+        .repartition(int(width), "log_id")
         .sortWithinPartitions("log_id", "seq")
     )
     return ordered.mapInArrow(write, AUDIT_LINES)

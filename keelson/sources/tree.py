@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 import stat
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from keelson.config import Policy
@@ -19,6 +21,9 @@ from keelson.operators.scope import is_excluded, is_metadata_directory, is_metad
 from keelson.schemas import FILE_SNAPSHOT
 from keelson.session import materialise
 
+# Executors need not have this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK = 1 << 20
 
 ENTRY = (

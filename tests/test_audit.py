@@ -108,6 +108,25 @@ def test_unescaping(spark):
     ]
 
 
+def test_task_functions_need_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from keelson.sources import tree
+
+    event = {"timestamp_unix_ms": 1, "action": "a", "pid": 2, "fields": None}
+    shipped = cloudpickle.dumps((A._seal, tree._children, tree._roots, tree._hasher(3)))
+    code = (
+        "import pickle, sys; seal, *rest = pickle.load(sys.stdin.buffer);"
+        f"print(seal({event!r}, 'x')[1]); assert 'keelson' not in sys.modules"
+    )
+    done = subprocess.run([sys.executable, "-c", code], input=shipped, cwd=tmp_path,
+                          capture_output=True, check=True)
+    assert done.stdout.decode().strip() == A._seal(event, "x")[1]
+
+
 def test_blocks_of_one_log_are_verified_by_many_tasks(spark):
     lines = spark.createDataFrame([], AUDIT_LINES)
     plan = A.verify_lines(lines)._jdf.queryExecution().executedPlan().toString()
