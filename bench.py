@@ -9,15 +9,15 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
 from keelson.catalog import QUERIES
 from keelson.operators.diff import integrity_diff
 from keelson.schemas import FILE_SNAPSHOT
-from keelson.session import build_session, materialise
+from keelson.session import build_session, materialise, work_dir
 from keelson.sinks.baseline import write_baseline
 
 HEADLINE = [
@@ -99,7 +99,7 @@ def main():
         timings[name] = round(time.perf_counter() - started, 3)
         print(f"{name}: {timings[name]}", file=sys.stderr)
     started = time.perf_counter()
-    write_baseline(base, os.path.join(tempfile.mkdtemp(prefix="keelson-bench-"), "baseline"))
+    write_baseline(base, os.path.join(work_dir(spark), f"baseline-{uuid.uuid4().hex}"))
     timings[f"write_baseline_{rows}"] = round(time.perf_counter() - started, 3)
 
     compared = timings[f"compare_identical_{rows}"]

@@ -32,17 +32,21 @@ POSIX_CLASSES = {
     "xdigit": "0-9A-Fa-f",
 }
 
-# Constructs that linear-time dialects do not have, or that Java reads differently.
-_REJECTED = [
+# Constructs that linear-time dialects do not have, or that Java reads differently. The first
+# list is looked for outside of escapes and brackets, the second one everywhere.
+_REJECTED_SYNTAX = [
     (r"\(\?<?[=!]", "look-around"),
-    (r"\(\?>", "atomic groups"),
-    (r"\\[1-9]|\\k<", "back-references"),
+    (r"\(\?>", "an atomic group"),
+    (r"[*+?}]\+", "a possessive quantifier"),
+]
+_REJECTED_ANYWHERE = [
+    (r"\\[1-9]|\\k<", "a back-reference"),
     (r"\\[<>ZGhHRXKQE]|\\b\{", "this escape"),
-    (r"[*+?}]\+", "possessive quantifiers"),
     (r"\(\?[a-zA-Z]*[uUR][a-zA-Z]*(?:-[a-zA-Z]*)?[:)]|\(\?[a-zA-Z]*-[a-zA-Z]*[uUR]",
-     "the flags u, U and R"),
-    (r"\[:\^", "negated POSIX classes"),
+     "one of the flags u, U and R"),
+    (r"\[:\^", "a negated POSIX class"),
 ]
+_BRACKETS = r"\[\^?\]?(?:\[:\w+:\]|[^\]])*\]"
 
 
 class PatternError(ValueError):
@@ -52,10 +56,12 @@ class PatternError(ValueError):
 def java_pattern(pattern: str) -> str:
     """Translate a rule pattern (Unicode classes, ``\\n`` as only line end) to Java's dialect."""
     bare = re.sub(r"\\\\", "  ", pattern)
-    for shape, name in _REJECTED:
-        if re.search(shape, bare):
-            raise PatternError(f"{name} cannot be used in a pattern: {pattern}")
-    out = re.sub(r"\(\?P?<[A-Za-z_][\w.\[\]]*>", "(", pattern)
+    syntax = re.sub(_BRACKETS, "C", re.sub(r"\\.", "E", bare))
+    for text, rejected in ((syntax, _REJECTED_SYNTAX), (bare, _REJECTED_ANYWHERE)):
+        for shape, name in rejected:
+            if re.search(shape, text):
+                raise PatternError(f"{name} cannot be used in a pattern: {pattern}")
+    out = re.sub(r"(?<!\\)\(\?P?<[A-Za-z_][\w.\[\]]*>", "(", pattern)
     out = re.sub(r"\[:(\w+):\]", lambda m: _posix(m.group(1), pattern), out)
     out = "(?Ud)" + out
     _compile(out, pattern)

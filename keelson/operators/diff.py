@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.config import Policy
@@ -44,8 +46,8 @@ def latest_snapshot(history: DataFrame, at="scan_ts") -> DataFrame:
     )
 
 
-def modification_reasons(before: Column, after: Column, metadata_only: Column) -> Column:
-    """Names of what differs between two snapshot structs, in reporting order.
+def _differences(before: Column, after: Column, metadata_only: Column) -> list[tuple[str, Column]]:
+    """What can differ between two snapshot structs, with its test, in reporting order.
 
     Size and times say nothing about directories; the optional fields count only where both
     sides recorded them; content is not compared where the policy says metadata only.
@@ -58,7 +60,7 @@ def modification_reasons(before: Column, after: Column, metadata_only: Column) -
         return F.coalesce(before[field] != after[field], F.lit(False))
 
     not_directories = ~((before["kind"] == "directory") & (after["kind"] == "directory"))
-    tests = [
+    return [
         ("checksum", ~metadata_only & differs("checksum")),
         ("kind", differs("kind")),
         ("size", not_directories & differs("size")),
@@ -70,6 +72,11 @@ def modification_reasons(before: Column, after: Column, metadata_only: Column) -
         ("metadata_change_time", not_directories & both_differ("ctime_ns")),
         ("security_metadata", both_differ("security_hash")),
     ]
+
+
+def modification_reasons(before: Column, after: Column, metadata_only: Column) -> Column:
+    """Names of what differs between two snapshot structs, in reporting order."""
+    tests = _differences(before, after, metadata_only)
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))
 
 
@@ -102,21 +109,23 @@ def snapshot_changes(
     right = _side(current, "after", scope, distinct)
     if colocated:
         left, right = left.drop("_hash"), right.drop("_hash")
-    reasons = F.when(
-        F.col("before").isNotNull() & F.col("after").isNotNull(),
-        modification_reasons(F.col("before"), F.col("after"), is_metadata_only("path", policy)),
-    ).otherwise(F.array().cast(NO_REASONS))
+    sides = (F.col("before"), F.col("after"), is_metadata_only("path", policy))
+    # Most rows are equal: plain tests decide that inside generated code, and reasons are put
+    # together for the rest only.
+    differs = reduce(lambda x, y: x | y, [test for _, test in _differences(*sides)])
     kind = (
         F.when(F.col("before").isNull(), "added")
         .when(F.col("after").isNull(), "deleted")
-        .when(F.size("reasons") > 0, "modified")
+        .when(differs, "modified")
+    )
+    reasons = F.when(F.col("kind") == "modified", modification_reasons(*sides)).otherwise(
+        F.array().cast(NO_REASONS)
     )
     return (
         left.join(right, IDENTITY if colocated else HASHED, "full_outer")
-        .withColumn("reasons", reasons)
         .withColumn("kind", kind)
         .filter(F.col("kind").isNotNull())
-        .select(*IDENTITY, "kind", "reasons", "before", "after")
+        .select(*IDENTITY, "kind", reasons.alias("reasons"), "before", "after")
     )
 
 

@@ -210,6 +210,8 @@ def test_pattern_dialect(spark):
     assert found("[[:alpha:]]+", "ab") and not found("[[:alpha:]]", "é")
     assert found(r"(?i)ÉA", "éa")
     assert found("a.b", "a\rb")
+    assert found(r"^[*+]+$", "*+") and found(r"a\++", "a++") and found(r"f\(?=", "f=")
+    assert found("[^[:space:]]x", "yx") and not found("[^[:space:]]x", " x")
 
 
 def test_registered_selector(spark):
