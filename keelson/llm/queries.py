@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, quality_rules, sharding
+from keelson.llm import decontaminate, packing, quality_rules, sharding
 from keelson.llm.common import table
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
 
 SHARD_BYTES = 1 << 20
+VOCABULARY = "word_bpe_49k.json"
 
 
 @register(
@@ -160,3 +162,11 @@ def op4_decontaminate(spark, sf_dir):
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@register("op2_packing")
+def op2_packing(spark, sf_dir):
+    """The pieces of all documents with their place in sequences of at most 4096 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    packed = packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
+    return packed.drop("ids")
