@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, packing, quality_rules, sharding
+from keelson.llm import decontaminate, packing, pii, quality_rules, sharding
 from keelson.llm.common import table
 
 register = Register()
@@ -170,3 +170,16 @@ def op2_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path(VOCABULARY), with_ids=False)
     return packed.drop("ids")
+
+
+@register("op9_pii")
+def op9_pii(spark, sf_dir):
+    """Personal data in every document: the patterns' counts and all spans."""
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
+        pii.listed("spans").alias("spans"),
+    )
