@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, packing, pii, quality_rules, sharding
-from keelson.llm.common import table
+from keelson.llm import decontaminate, langid, packing, pii, quality_model, quality_rules, sharding
+from keelson.llm.common import fold, table
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -183,3 +183,19 @@ def op9_pii(spark, sf_dir):
         "doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
         pii.listed("spans").alias("spans"),
     )
+
+
+@register("op7_quality_model")
+def op7_quality_model(spark, sf_dir):
+    """A quality score for every document, learned from labels outside the held-out fold."""
+    labels = quality_model.learnable(table(spark, sf_dir, "labels"))
+    rated = quality_model.rate(table(spark, sf_dir, "documents"), labels)
+    return rated.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@register("op8_langid")
+def op8_langid(spark, sf_dir):
+    """The language of every document, learned from documents outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learnable(docs))
+    return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
