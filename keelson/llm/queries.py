@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, langid, packing, pii, quality_model, quality_rules, sharding
+from keelson.llm import decontaminate, langid, masked_lm, packing, pii, quality_model, quality_rules, sharding
 from keelson.llm.common import fold, table
 
 register = Register()
@@ -199,3 +199,9 @@ def op8_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.learnable(docs))
     return found.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_masked_lm")
+def op10_masked_lm(spark, sf_dir):
+    """The masked pseudo-likelihood of every document."""
+    return masked_lm.score(table(spark, sf_dir, "documents"))
