@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, langid, masked_lm, packing, pii, quality_model, quality_rules, sharding
+from keelson.llm import decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, sharding
 from keelson.llm.common import fold, table
 
 register = Register()
@@ -205,3 +205,9 @@ def op8_langid(spark, sf_dir):
 def op10_masked_lm(spark, sf_dir):
     """The masked pseudo-likelihood of every document."""
     return masked_lm.score(table(spark, sf_dir, "documents"))
+
+
+@register("op3_near_dedup")
+def op3_near_dedup(spark, sf_dir):
+    """The near-duplicate class of every document, named by its least doc_id."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
