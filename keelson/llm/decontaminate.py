@@ -315,3 +315,22 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated ids; rows without an id go by their own text."""
+    columns = docs.columns
+    dirty = materialise(judged(find_passages(docs, benchmark, window)).filter("contaminated").select("doc_id").distinct())
+    ids = dirty.filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "_dirty")
+    kept = docs.join(ids, F.col("doc_id") == F.col("_dirty"), "left_anti")
+    if dirty.filter("doc_id IS NULL").isEmpty():
+        return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return kept.filter("doc_id IS NOT NULL").union(_nameless(docs.filter("doc_id IS NULL"), benchmark, window))
+
+
+def _nameless(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """Rows without an id, judged under the hash of their text."""
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = find_passages(hashed.select(F.col("_hash").alias("doc_id"), "text"), benchmark, window)
+    dirty = judged(found).filter("contaminated").select(F.col("doc_id").alias("_hash")).distinct()
+    return hashed.join(dirty, "_hash", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
