@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, sharding
+from keelson.llm import decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
 from keelson.llm.common import fold, table
 
 register = Register()
@@ -211,3 +211,14 @@ def op10_masked_lm(spark, sf_dir):
 def op3_near_dedup(spark, sf_dir):
     """The near-duplicate class of every document, named by its least doc_id."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+@register("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    """What is left of every document without the 100-byte strings that occurred before."""
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
