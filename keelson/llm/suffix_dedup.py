@@ -320,11 +320,16 @@ class Suffixes:
                 low[at] = np.where(less, middle + 1, low[at])
                 high[at] = np.where(less, high[at], middle)
             to = np.where(left, place, place - np.minimum(width, n - pair)) + (low - start)
+            if not (np.bincount(to, minlength=n) == 1).all():  # colliding hashes contradict each other
+                return self.plain_order()
             out = np.empty(n, np.int64)
             out[to] = rows
             rows, width = out, width * 2
         return rows
 
+    def plain_order(self) -> np.ndarray:
+        return np.lexsort(self.cells.T[::-1])
+
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """(place of each row in order, common extension of each place with the one before)."""
         rows = self.order()
@@ -336,7 +341,7 @@ class Suffixes:
         ahead = np.arange(len(a))
         at = np.minimum(true, a.shape[1] - 1)
         if (true != reach[1:]).any() or (a[ahead, at] > b[ahead, at]).any():  # a collision of hashes
-            rows = np.lexsort(self.cells.T[::-1])
+            rows = self.plain_order()
             differ = self.cells[rows[1:]] != self.cells[rows[:-1]]
             reach[1:] = np.where(differ.any(1), differ.argmax(1), self.lengths[rows[1:]])
         place = np.empty(len(rows), np.int64)
