@@ -6,7 +6,21 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from keelson.session import materialise  # noqa: F401
+from keelson import session
+
+#: Shuffle files of a step go when its table is written, not when the driver's memory is collected.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back; its shuffle files are removed."""
+    conf = df.sparkSession.conf
+    before = conf.get(_TIDY, "false")
+    conf.set(_TIDY, "true")
+    try:
+        return session.materialise(df)
+    finally:
+        conf.set(_TIDY, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -222,7 +222,7 @@ def contexts(docs: DataFrame, flagged: DataFrame, length: int) -> DataFrame:
     def combined(rows):
         """The first of equal contexts in this task stays; the others repeat it."""
         rows.sort(key=lambda r: (r[1], r[3], r[2]))
-        seen, out = {}, []
+        seen, out, known = {}, [], {}
         for r in rows:
             key = (r[0], r[4], r[6])
             first = seen.setdefault(key, r)
@@ -230,7 +230,9 @@ def contexts(docs: DataFrame, flagged: DataFrame, length: int) -> DataFrame:
                 if first is r or first[2] != r[2]:
                     out.append(r)
             else:
-                out.append((None, *r[1:6], None))
+                known.setdefault((r[1], r[2]), []).append((r[3], r[3] + r[5]))
+        for (doc, th), runs in known.items():  # runs of windows that all repeat
+            out += [(None, doc, th, a, 0, b - a, None) for a, b in _merged(runs)]
         columns = zip(*out) if out else [[]] * len(_CONTEXT)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_CONTEXT)
 
