@@ -35,6 +35,7 @@ PIECE = (
     "block bigint, place bigint, ids binary"
 )
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_ENDS = b".,;:!?*&%$#"
 _MARKS = (b"\xcc", b"\xcd")  # lead bytes of marks that could join with an ASCII letter
 
 
@@ -50,6 +51,17 @@ class Encoder:
     def _learn(self, chunks: list[bytes]) -> None:
         if len(self.known) > KNOWN:
             self.known.clear()
+        known, bare = self.known, {}
+        for c in chunks:
+            # A word and the marks after it are apart for the vocabulary: each is looked up alone.
+            word = c.rstrip(_ENDS)
+            bare[c] = (word, c[len(word) :]) if word != c and word[-1:].isalnum() and b"<|" not in c else (c,)
+        self._encode(list({x for parts in bare.values() for x in parts if x not in known}))
+        for c, parts in bare.items():
+            if len(parts) > 1:
+                known[c] = known[parts[0]] + known[parts[1]]
+
+    def _encode(self, chunks: list[bytes]) -> None:
         encoded = self.tokenizer.encode_batch_fast(
             [c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False
         )

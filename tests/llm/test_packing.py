@@ -34,7 +34,7 @@ def test_each_id_lies_in_one_piece_and_sequences_are_gapless(spark):
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
         assert r.length == len(r.ids) // 4 and zlib.crc32(r.ids) == r.ids_crc32
-    for doc, text, _ in rows[:9]:
+    for doc, text, _ in rows[:9]:  # 9 is there twice
         pieces = sorted(by[doc], key=lambda r: r.start)
         assert list(np.frombuffer(b"".join(bytes(r.ids) for r in pieces), "<u4")) == whole(text)
         assert {r.doc_tokens for r in pieces} == {len(whole(text))}
