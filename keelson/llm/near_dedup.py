@@ -10,9 +10,9 @@ the similarity allows cannot count, the longest common order of the rest does. T
 aligned k-mers over all k-mers of both, at least LEAST.
 
 No bucket is expanded into pairs. The first round pairs each member with one leader of its bucket;
-later rounds deal every bucket anew into parts of about PART members and pair those that are not yet
-in one class, until a round adds no link. Buckets of up to PART are thus compared whole, larger ones
-again and again. Classes are connected components, by labels that are lowered and short-cut.
+later rounds deal buckets anew into parts of about PART members and pair those that are not yet in
+one class, until a round adds no link. Buckets of up to PART are thus compared whole at once, larger
+ones again and again; each pair of texts at LEAST meets in many of the TABLES buckets. Classes are connected components, by labels that are lowered and short-cut.
 
 Words: A-Z lower-cased runs of digits, letters and non-ASCII characters; a text of fewer than five is
 one k-mer. A text without words, empty or null, is a class of its own. A class is named by its least
@@ -35,7 +35,7 @@ SHINGLE = 5
 LEAST = 0.8
 TABLES = 24
 KEEP = 3
-PART = 8
+PART = 4
 MOST_CELLS = 1 << 21  # of the table of hashes of one text; longer texts go in column blocks
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -173,17 +173,18 @@ def _close(a, b, least):
     return F.least(a, b) >= F.lit(least) * F.greatest(a, b)
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select("a", "a_th", "b", "b_th").distinct()
+_PAIR = ("a", "a_th", "a_label", "b", "b_th", "b_label")
+
+
+def _pairs(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(*[c.alias(n) for c, n in zip(columns, _PAIR)]).distinct()
 
 
 def star_pairs(shared: DataFrame, least: float) -> DataFrame:
     """Each member with the leader of its bucket."""
-    lead = F.col("leader")
-    rows = shared.filter((lead["node"] != F.col("node")) & _close(F.col("n"), lead["n"], least))
-    return _pairs(
-        rows.select(lead["node"].alias("a"), lead["th"].alias("a_th"), F.col("node").alias("b"), F.col("th").alias("b_th"))
-    )
+    lead, node = F.col("leader"), F.col("node")
+    rows = shared.filter((lead["node"] != node) & _close(F.col("n"), lead["n"], least))
+    return _pairs(rows, lead["node"], lead["th"], lead["node"], node, F.col("th"), node)
 
 
 def part_pairs(shared: DataFrame, labels: DataFrame, turn: int, least: float) -> DataFrame:
@@ -200,13 +201,11 @@ def part_pairs(shared: DataFrame, labels: DataFrame, turn: int, least: float) ->
         .select("x", F.explode(F.expr("slice(ms, i + 2, size(ms))")).alias("y"))
         .filter((F.col("x.label") != F.col("y.label")) & _close(F.col("x.n"), F.col("y.n"), least))
     )
-    return _pairs(
-        rows.select(F.col("x.node").alias("a"), F.col("x.th").alias("a_th"), F.col("y.node").alias("b"), F.col("y.th").alias("b_th"))
-    )
+    return _pairs(rows, *[F.col(f"{m}.{c}") for m in "xy" for c in ("node", "th", "label")])
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs whose texts align."""
+    """(a, b): labels of the pairs whose texts align."""
 
     def run(batches):
         for batch in batches:
@@ -222,7 +221,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
         F.col("node").alias(side), F.col("th").alias(f"{side}_th"), F.col("numbers").alias(f"{side}_numbers")
     )
     both = pairs.join(of("b"), ["b", "b_th"]).join(of("a"), ["a", "a_th"])
-    return both.select("a", "b", "a_numbers", "b_numbers").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a_label", "b_label", "a_numbers", "b_numbers").mapInArrow(run, "a bigint, b bigint")
 
 
 def stored_tokens(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -260,6 +259,13 @@ def lowered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         )
 
 
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after joining the classes that ``links`` connect."""
+    met = materialise(links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+    moved = lowered(links, met).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return materialise(labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id and class_id of every row."""
     rows = materialise(sketched(docs))
@@ -271,18 +277,14 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     shared = buckets(nodes)
     own = materialise(shared.select("node").distinct())
     tokens = stored_tokens(docs, shared)
-    pairs = materialise(star_pairs(shared, least))
-    links = materialise(verified(pairs, tokens, least))
-    tried, turn = pairs, 0
-    labels = lowered(links, own)
-    while True:
+    labels = own.select("node", F.col("node").alias("label"))
+    links = materialise(verified(star_pairs(shared, least), tokens, least))
+    turn, rows_left = 0, shared
+    while turn == 0 or not links.isEmpty():
+        labels = relabelled(labels, links)
         turn += 1
-        pairs = materialise(part_pairs(shared, labels, turn, least).join(tried, ["a", "a_th", "b", "b_th"], "left_anti"))
-        more = materialise(verified(pairs, tokens, least))
-        if more.isEmpty():
-            break
-        links, tried = links.union(more), tried.union(pairs)
-        labels = lowered(links, own)
+        links = materialise(verified(part_pairs(rows_left, labels, turn, least), tokens, least))
+        rows_left = shared.filter(F.col("size") > PART)  # the others have been compared whole
     named = nodes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = named.select("digest", F.coalesce("label", "node").alias("class_id"))
     # Rows of one id with different texts join their classes, as their id is one document.
