@@ -56,24 +56,21 @@ tested("log_creditcard", I.CARDS.selectors[0], CARD_TEST)
 
 
 @query("log_sanitise", LINES + f"""
-SELECT source, file, line_no, {MASKED.format('line')} AS line FROM lines
-WHERE regexp_matches(line, '[0-9]{{12,}}')""")
+SELECT source, file, line_no, {MASKED.format('line')} AS line FROM lines""")
 def log_sanitise(spark, sf_dir):
-    lines = I.log_lines(spark, sf_dir).filter(F.col("line").rlike("[0-9]{12,}"))
+    lines = I.log_lines(spark, sf_dir)
     return lines.withColumn("line", X.mask_cards("line"))
 
 
 @query("card_numbers", LINES + f"""
 SELECT source, file, line_no, d AS digits, {LUHN_SQL.format('d')} AS valid
 FROM (SELECT source, file, line_no,
-             unnest(regexp_extract_all(translate(line, '.- ', ''), '[0-9]{{16,}}')) AS d FROM lines)
-WHERE len(d) = 16""")
+             unnest(regexp_extract_all(translate(line, '.- ', ''), '[0-9]{{16,}}')) AS d FROM lines)""")
 def card_numbers(spark, sf_dir):
     runs = F.regexp_extract_all(X.compact_digits("line"), F.lit(X.CARD_RUN), F.lit(1))
     return (
         I.log_lines(spark, sf_dir)
         .select("source", "file", "line_no", F.explode(runs).alias("digits"))
-        .filter(F.length("digits") == 16)
         .withColumn("valid", X.is_card_number("digits"))
     )
 
@@ -307,15 +304,18 @@ def log_summary(spark, sf_dir):
 counts AS (SELECT source, count(*) AS n FROM events GROUP BY source),
 totals AS (SELECT source, count(*) AS line_count FROM lines GROUP BY source)
 SELECT source, n IS NULL AS success, 'scanner@example.com' AS sender, 'ops@example.com' AS recipient,
+       regexp_extract(body, '^[^' || chr(10) || ']*' || chr(10) || chr(10) || '[^' || chr(10) || ']*') AS head,
        CASE WHEN n IS NULL THEN 'Log scan succeeded: ' || source
             ELSE 'ALERT: Log scan detected problems: ' || source END AS subject
-FROM totals LEFT JOIN counts USING (source)""")
+FROM (SELECT *, 'The log scan ''' || source || ''' checked ' || line_count || ' log lines and matched '
+             || coalesce(n, 0) || ' problems.' || chr(10) || chr(10) || 'Source: documents' || chr(10) AS body
+      FROM totals LEFT JOIN counts USING (source))""")
 def alerts(spark, sf_dir):
     scan = scan_lines(I.log_lines(spark, sf_dir), I.AUDIT, I.AUDIT.source("plain"))
     policy = AlertPolicy(True, True, "scanner@example.com", "ops@example.com")
-    return log_alerts(scan.report, policy).select(
-        "source", "success", "sender", "recipient", "subject"
-    )
+    found = log_alerts(scan.report, policy, labels={"plain": "documents"})
+    head = F.regexp_extract("body", "^[^\n]*\n\n[^\n]*", 0).alias("head")
+    return found.select("source", "success", "sender", "recipient", "subject", head)
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -135,6 +135,16 @@ class LogSource:
     group_by: str | None = None
     report_to: str | None = None
 
+    def label(self, override: str | None = None) -> str:
+        """What is read, as reports show it: a path, or the journal command with its filters."""
+        if override is not None:
+            return override
+        if self.kind != "journal":
+            return self.path or ""
+        given = (("-u", self.unit), ("--since", self.since), ("CONTAINER_NAME=", self.container))
+        args = " ".join(f"{k}{'' if k.endswith('=') else ' '}{v}" for k, v in given if v is not None)
+        return f"journalctl {args}"
+
     def __post_init__(self):
         if self.kind not in ("file", "journal", "table"):
             raise ConfigError(f"invalid log source type {self.kind}")

@@ -90,15 +90,23 @@ def scan_alerts(
     return _routed(joined, "host", success, _recipient(success, policy), subject, body, policy)
 
 
-def log_alerts(reports: DataFrame, policy: AlertPolicy, report_to: str | None = None) -> DataFrame:
-    """Alerts of log scans: rows (source, line_count, match_count, report)."""
+def log_alerts(
+    reports: DataFrame, policy: AlertPolicy, report_to: str | None = None, labels: dict | None = None
+) -> DataFrame:
+    """Alerts of log scans: rows (source, line_count, match_count, report).
+
+    ``labels`` tells what each source reads (``LogSource.label``); others show their name.
+    """
+    label = F.col("source")
+    for name, text in (labels or {}).items():
+        label = F.when(F.col("source") == name, text).otherwise(label)
     success = F.col("match_count") == 0
     recipient = F.coalesce(_blank_as_null(report_to or ""), _recipient(success, policy))
     subject = F.concat(F.when(success, LOG_OK).otherwise(LOG_ALERT), F.col("source"))
     body = F.concat(
         F.lit("The log scan '"), F.col("source"), F.lit("' checked "),
         F.col("line_count").cast("string"), F.lit(" log lines and matched "),
-        F.col("match_count").cast("string"), F.lit(" problems.\n\nSource: "), F.col("source"),
+        F.col("match_count").cast("string"), F.lit(" problems.\n\nSource: "), label,
         F.lit("\n"),
         F.when(success, F.lit("\nNo problems found.\n")).otherwise(
             F.concat(F.lit("\n"), F.col("report"))

@@ -12,7 +12,7 @@ from keelson.functions.paths import component_order
 from keelson.operators.ranking import hot_groups, rank_by_parts, rank_in_groups
 from keelson.operators.scope import in_scope, is_metadata_only
 from keelson.schemas import SNAPSHOT_PAYLOAD
-from keelson.session import is_small, materialise
+from keelson.session import materialise
 
 IDENTITY = ["host", "path"]
 # Sorts compare their first column by value and the rest row by row. Hosts repeat and paths share
@@ -215,14 +215,11 @@ def integrity_diff(
 ) -> DataFrame:
     """Findings between two snapshots.
 
-    Changes are few beside the rows compared, but several steps read them: on large inputs they
-    are written once, so that the comparison itself runs once.
+    Changes are few beside the rows compared, but several steps read them: they are written
+    once, at every size, so that the comparison itself runs once.
     """
-    changes = snapshot_changes(baseline, current, policy, scope, distinct, colocated)
-    large = not is_small(baseline, current)
-    if large:
-        changes = materialise(changes)
-    return as_findings(pair_moves(changes, large, hot_rows))
+    changes = materialise(snapshot_changes(baseline, current, policy, scope, distinct, colocated))
+    return as_findings(pair_moves(changes, True, hot_rows))
 
 
 def number_findings(findings: DataFrame, hot_rows: int | None = None) -> DataFrame:

@@ -4,27 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keelson.session import is_small, materialise
+from keelson.session import materialise
 
 HOT_ROWS = 1_000_000  # a window task may hold this many rows of one group
-MAX_HOT = 512  # groups beyond these are smaller than 1/512 of the rows
 SPLITS = 128  # parts a hot group is cut into
 OVERSAMPLE = 16  # sampled points per part
 
 
 def hot_groups(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame | None:
-    """The groups with more than ``hot_rows`` (HOT_ROWS) rows, at most MAX_HOT of them, or None.
+    """The groups with more than ``hot_rows`` (HOT_ROWS) rows, or None.
 
-    ``df`` should be a cheap read, such as a stored table. Groups beyond the limit hold less than
-    1/MAX_HOT of the rows each.
+    ``df`` should be a cheap read, such as a stored table.
     """
     keys = list(keys)
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .filter(F.col("_rows") > (hot_rows or HOT_ROWS))
-        .orderBy(F.col("_rows").desc(), *keys)
-        .limit(MAX_HOT)
     )
     return None if hot.isEmpty() else hot
 
@@ -32,14 +28,12 @@ def hot_groups(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame |
 def rank_in_groups(df: DataFrame, keys, order, out="rank", hot_rows=None) -> DataFrame:
     """``row_number`` of each row within ``keys`` by the string column ``order``.
 
-    Small inputs and groups use a window. Hot groups are cut into ranges of ``order`` first: a
+    Rows are stored once and groups counted; a group uses a window. Hot groups are cut into ranges of ``order`` first: a
     fixed number of sampled points per group gives the cut points, each part is numbered on its
     own, and the rows of the earlier parts are added. Points are chosen by hash, so a repeated
     task sees the same cuts. ``order`` should be unique in a group and the keys not null.
     """
     keys = list(keys)
-    if is_small(df):
-        return _windowed(df, keys, order, out)
     df = materialise(df)
     hot = hot_groups(df, keys, hot_rows)
     if hot is None:
@@ -54,12 +48,12 @@ def _windowed(df, keys, order, out):
 def rank_by_parts(df, keys, order, out, hot) -> DataFrame:
     """Ranks where the groups in ``hot`` are cut into parts.
 
-    ``hot`` holds at most MAX_HOT key rows, so the cut points are at most
-    MAX_HOT * SPLITS values and the broadcasts below are bounded.
+    ``hot`` holds one row per HOT_ROWS rows at most and each has SPLITS cut points; Spark
+    broadcasts these tables only while their measured size allows, else it splits hot joins.
     """
     slots = SPLITS * OVERSAMPLE
     points = (
-        df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
+        df.join(hot.select(*keys), keys, "left_semi")
         .groupBy(*keys, F.pmod(F.xxhash64(order), F.lit(slots)).alias("_slot"))
         .agg(F.min_by(order, F.xxhash64(order, F.lit(1))).alias("_point"))
     )
@@ -73,7 +67,7 @@ def rank_by_parts(df, keys, order, out, hot) -> DataFrame:
             ),
         )
     )
-    parted = df.join(F.broadcast(cuts), keys, "left").withColumn(
+    parted = df.join(cuts, keys, "left").withColumn(
         "_part",
         F.when(
             F.col("_cuts").isNotNull(),
@@ -92,7 +86,7 @@ def rank_by_parts(df, keys, order, out, hot) -> DataFrame:
     local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
     return (
         parted.withColumn("_local", local)
-        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .join(offsets, [*keys, "_part"], "left")
         .withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
         .drop("_local", "_before", "_part")
     )

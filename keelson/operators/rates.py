@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from keelson.functions.formats import format_byte_rate, format_file_rate
 
 WINDOW_MS = 5_000  # fixed value: span of the recent rate
-BUCKET_MS = 60_000
+BUCKET_MS = 60_000  # at least; a bucket is never shorter than the window
 
 
 def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -19,9 +19,10 @@ def scan_rate(samples: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     only the last sample per minute matters, so a long run is no single task.
     """
     sample = F.struct("ts_ms", "files", "bytes")
-    bucket = F.floor(F.col("ts_ms") / BUCKET_MS)
+    width = max(BUCKET_MS, window_ms)
+    bucket = F.floor(F.col("ts_ms") / width)
     placed = samples.select("run_id", "ts_ms", "files", "bytes", bucket.alias("_bucket"))
-    next_start = (F.col("_bucket") + 1) * BUCKET_MS
+    next_start = (F.col("_bucket") + 1) * width
     late = F.col("ts_ms") >= next_start - window_ms
 
     minutes = placed.groupBy("run_id", "_bucket").agg(

@@ -71,20 +71,39 @@ def monitored(df: DataFrame, policy: Policy, mounts: DataFrame | None = None) ->
 
     Scan paths and mountpoints over a row are all prefixes of its path. A walk from some scan
     path arrives exactly if the longest scan path is longer than the longest such mountpoint.
+    Scan paths that themselves lie on an excluded filesystem start no walk on that host.
     """
     path = F.col("path")
     root = nearest_root(path, policy.scan_paths)
     arrives = root.isNotNull()
     if mounts is not None and policy.excluded_filesystems:
-        skipped = mounts.filter(F.col("fs_type").isin(list(policy.excluded_filesystems)))
-        df = df.join(mounts_per_host(skipped), "host", "left")
-        over = F.filter("_mounts", lambda m: path_under(path, m["mountpoint"]))
+        df = df.join(_walks_per_host(mounts, policy), "host", "left")
+        over = F.filter("_skipped", lambda m: path_under(path, m["mountpoint"]))
         mounted = F.try_element_at(over, F.lit(1))["mountpoint"]
-        arrives = arrives & (mounted.isNull() | (F.length(root) > F.length(mounted)))
+        own = F.try_element_at(F.filter("_roots", lambda r: path_under(path, r)), F.lit(1))
+        root = F.when(F.col("_roots").isNull(), root).otherwise(own)
+        arrives = root.isNotNull() & (mounted.isNull() | (F.length(root) > F.length(mounted)))
     excluded = is_excluded(path, policy)
     passed = ~F.coalesce(is_excluded(parent(path), policy), F.lit(False))
     kept = is_metadata_directory(path, policy) & (passed | (path == root))
-    return df.filter(arrives & (~excluded | kept)).drop("_mounts")
+    return df.filter(arrives & (~excluded | F.coalesce(kept, F.lit(False)))).drop("_skipped", "_roots")
+
+
+def _walks_per_host(mounts: DataFrame, policy: Policy) -> DataFrame:
+    """Per host its excluded mounts and the scan paths that start a walk, the longest first."""
+    left_out = list(policy.excluded_filesystems)
+    stems = sorted({r.rstrip("/") or "/" for r in policy.scan_paths}, key=len, reverse=True)
+
+    def walked(root):
+        over = F.filter("_mounts", lambda m: path_under(root, m["mountpoint"]))
+        on = F.try_element_at(over, F.lit(1))["fs_type"]
+        return ~F.coalesce(on.isin(left_out), F.lit(False))
+
+    return mounts_per_host(mounts).select(
+        "host",
+        F.filter("_mounts", lambda m: m["fs_type"].isin(left_out)).alias("_skipped"),
+        F.filter(F.array(*map(F.lit, stems)).cast("array<string>"), walked).alias("_roots"),
+    )
 
 
 def excluded_by_filesystem(df: DataFrame, policy: Policy, mounts: DataFrame) -> DataFrame:

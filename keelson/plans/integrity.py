@@ -17,7 +17,7 @@ from keelson.operators.diff import (
     scan_stats,
 )
 from keelson.operators.scope import monitored
-from keelson.session import is_small, materialise
+from keelson.session import materialise
 
 
 @dataclass(frozen=True)
@@ -53,9 +53,7 @@ def integrity_scan(
         if strict and not drifted.isEmpty():
             raise ConfigError("the configuration changed since the baseline was made")
         findings = findings.unionByName(policy_finding(drifted, stored_config_hash))
-    if not is_small(baseline, current):
-        # Summary, details and the caller all read the findings.
-        findings = materialise(findings)
+    findings = materialise(findings)  # summary, details and the caller all read them
     stats = scan_stats(covered, failures)
     counted = integrity_summary(findings)
     numbers = ["modified", "added", "deleted", "moved", "total"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from keelson.config import LogAudit, LogSource
 from keelson.operators import logreport as R
 from keelson.operators.rules import match_events
-from keelson.session import is_small, materialise
+from keelson.session import materialise
 from keelson.sources.logs import path_exists, read_journal, read_log
 
 
@@ -28,13 +28,12 @@ class LogScan:
 def scan_lines(lines: DataFrame, audit: LogAudit, source: LogSource, by=("source",)) -> LogScan:
     """Scan lines (source, file, line_no, line) with the rules of ``source``.
 
-    Matches are few beside the lines but several results read them: of large logs they are
-    written once, so that the rules run once over the text.
+    Matches are few beside the lines but several results read them: they are written
+    once, so that the rules run once over the text.
     """
     events = match_events(lines, source, audit.rules_of(source))
     totals = R.log_totals(lines, source.reset, by)
-    if not is_small(lines):
-        events, totals = materialise(events), materialise(totals)
+    events, totals = materialise(events), materialise(totals)
     if source.reset:
         events = R.apply_reset(events, totals)
     summary = R.log_summary(totals, events, by)

@@ -1,18 +1,13 @@
-"""Session settings and the two helpers that decide by size."""
+"""Session settings, the shared work folder and stored intermediate tables."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this estimated input size one task can hold any group of the input.
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 200_000
 
 CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -37,7 +32,7 @@ def build_session(
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if data_bytes:
-        initial = min(max(200, data_bytes // PARTITION_BYTES), MAX_PARTITIONS)
+        initial = max(200, data_bytes // PARTITION_BYTES)
         builder = builder.config(
             "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial)
         )
@@ -47,18 +42,13 @@ def build_session(
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster names it."""
+    """The shared folder for intermediate tables: the checkpoint folder, else inside the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    context = spark.sparkContext
-    chosen = context.getCheckpointDir()
-    if chosen:
-        return chosen
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="keelson-"))
-    return context.getCheckpointDir()
+    return spark.sparkContext.getCheckpointDir() or os.path.join(
+        spark.conf.get("spark.sql.warehouse.dir"), "keelson-work"
+    )
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -71,17 +61,3 @@ def materialise(df: DataFrame) -> DataFrame:
     target = os.path.join(work_dir(spark), f"keelson-{uuid.uuid4().hex}")
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
-
-
-def estimated_bytes(*frames: DataFrame) -> int:
-    """Catalyst's size estimate of the leaves of ``frames`` (files or local rows read)."""
-    total = 0
-    for df in frames:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-    return total
-
-
-def is_small(*frames: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    return estimated_bytes(*frames) <= limit

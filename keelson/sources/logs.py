@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from keelson.operators.ranking import rank_in_groups
 from keelson.schemas import JOURNAL
-from keelson.session import estimated_bytes
-
-# A block entry takes about 200 bytes in a broadcast; this many stay far below its limits.
-BROADCAST_BLOCKS = 500_000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -20,12 +16,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def number_lines(raw: DataFrame, blocks_hint: int | None = None) -> DataFrame:
+def number_lines(raw: DataFrame) -> DataFrame:
     """Add ``line_no`` to rows (file, block_start, row_id, ...).
 
     ``row_id`` grows by one per line inside a block. Only counts per block are ordered, so no
-    file is ever sorted as a whole and the lines are not shuffled while the block table can be
-    broadcast.
+    file is ever sorted as a whole; the lines are not shuffled while Spark's measure of the block
+    table lets it broadcast.
     """
     blocks = raw.groupBy("file", "block_start").agg(
         F.min("row_id").alias("_first_id"), F.count(F.lit(1)).alias("_lines")
@@ -37,8 +33,6 @@ def number_lines(raw: DataFrame, blocks_hint: int | None = None) -> DataFrame:
         "file", "block_start", "_first_id",
         F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"),
     )
-    if blocks_hint is not None and blocks_hint <= BROADCAST_BLOCKS:
-        starts = F.broadcast(starts)
     number = F.col("row_id") - F.col("_first_id") + F.col("_before") + 1
     lost = F.raise_error(F.lit("the file splits changed between two passes")).cast("long")
     return raw.join(starts, ["file", "block_start"], "left").withColumn(
@@ -68,10 +62,7 @@ def read_log(spark: SparkSession, path, source: str) -> DataFrame:
         F.monotonically_increasing_id().alias("row_id"),
         F.regexp_replace("value", "\r\\z", "").alias("line"),
     )
-    files = len(text.inputFiles())
-    split = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    blocks = files + estimated_bytes(text) // split
-    return number_lines(raw, blocks).select("source", "file", "line_no", "line")
+    return number_lines(raw).select("source", "file", "line_no", "line")
 
 
 def read_journal(

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from keelson.config import Policy
 from keelson.functions.digests import security_hash
 from keelson.operators.diff import stable_rows
+from keelson.functions.paths import under_any
 from keelson.operators.scope import is_excluded, is_metadata_directory, is_metadata_only
 from keelson.schemas import FILE_SNAPSHOT
 from keelson.session import materialise
@@ -146,7 +147,8 @@ def _file_digest(path: str, limit: int) -> str:
 def list_tree(spark: SparkSession, policy: Policy, mounts=()) -> DataFrame:
     """Metadata of all entries the policy reaches, without reading content.
 
-    ``mounts`` are the mountpoints of excluded filesystems. The walk goes level by level: the
+    ``mounts`` are the mountpoints of excluded filesystems; a scan path on or below one starts no
+    walk. The walk goes level by level: the
     directories of a level are spread over all cores, so one large subtree is no single task,
     and each level is stored, so a lost executor repeats one level at most.
     """
@@ -156,7 +158,9 @@ def list_tree(spark: SparkSession, policy: Policy, mounts=()) -> DataFrame:
     if mounts:
         hidden = hidden | F.col("path").isin(list(mounts))
     roots = spark.createDataFrame([(p,) for p in policy.scan_paths], "path string")
-    level = materialise(roots.mapInArrow(_roots, ENTRY).filter(~hidden))
+    level = materialise(
+        roots.filter(~under_any("path", mounts)).mapInArrow(_roots, ENTRY).filter(~hidden)
+    )
     levels = []
     while True:
         levels.append(level)

@@ -77,7 +77,9 @@ class RunningReport:
             events = R.apply_reset(events, R.log_totals(lines, source.reset))
         groups = R.group_events(events, pattern, LOG)
         before = self._version(batch_id - 1)
-        if batch_id > 0 and path_exists(spark, f"{before}/totals"):
+        if batch_id > 0:
+            if not path_exists(spark, f"{before}/totals"):
+                raise ValueError(f"the report of the batch before is missing: {before}")
             old_totals = spark.read.schema(totals.schema).parquet(f"{before}/totals")
             old_groups = spark.read.schema(groups.schema).parquet(f"{before}/groups")
             # A reset in this batch ends what earlier batches collected for the log.

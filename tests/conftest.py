@@ -26,12 +26,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-@pytest.fixture
-def large(monkeypatch):
-    """Take the paths meant for large inputs."""
-    from keelson.operators import diff, ranking
-    from keelson.plans import integrity, logs
-
-    for module in (diff, ranking, integrity, logs):
-        monkeypatch.setattr(module, "is_small", lambda *frames, **kw: False)

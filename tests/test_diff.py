@@ -99,7 +99,7 @@ def test_moves_pair_in_path_order(spark):
     assert moves(D.integrity_diff(old, new)) == expected
 
 
-def test_moves_of_hot_contents_are_the_same(spark, large, monkeypatch):
+def test_moves_of_hot_contents_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(ranking, "SPLITS", 5)
     monkeypatch.setattr(ranking, "OVERSAMPLE", 3)
     old, new, expected = move_case(spark)
@@ -111,7 +111,7 @@ def test_rows_without_checksum_never_move(spark):
     assert kinds(D.integrity_diff(old, new)) == [("added", None, "/b"), ("deleted", None, "/a")]
 
 
-def test_rank_by_parts_equals_window(spark, large, monkeypatch):
+def test_rank_by_parts_equals_window(spark, monkeypatch):
     monkeypatch.setattr(ranking, "SPLITS", 7)
     monkeypatch.setattr(ranking, "OVERSAMPLE", 2)
     df = spark.range(5000).select(
@@ -130,7 +130,7 @@ def test_duplicate_rows_count_once(spark):
     assert D.integrity_diff(old, snapshot(spark, file_row("/a"))).count() == 0
 
 
-def test_diff_of_a_snapshot_with_itself_is_empty(spark, large):
+def test_diff_of_a_snapshot_with_itself_is_empty(spark):
     old, _, _ = move_case(spark)
     assert D.integrity_diff(old, old).isEmpty()
 

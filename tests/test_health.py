@@ -205,3 +205,28 @@ def test_config_pin(spark):
     assert {r.host: r.status for r in H.config_pin(df, "AB" * 32).collect()} == {"a": "ok", "b": "mismatch"}
     with pytest.raises(ValueError):
         H.config_pin(df, "short")
+
+
+def test_scan_paths_on_an_excluded_filesystem_start_no_walk(spark):
+    from keelson.config import Policy
+    from keelson.operators.scope import monitored
+
+    rows = [(h, p) for h in ("a", "b") for p in ("/proc/sys/x", "/proc/disk/y", "/etc/z", "/proc/1")]
+    df = spark.createDataFrame(rows, "host string, path string")
+    mounts = spark.createDataFrame(
+        [("a", "/", "ext4"), ("a", "/proc", "proc"), ("a", "/proc/disk", "ext4"), ("b", "/", "ext4")],
+        "host string, mountpoint string, fs_type string",
+    )
+    policy = Policy(scan_paths=("/etc", "/proc/sys", "/proc/disk"), excluded_filesystems=("proc",))
+    got = {(r.host, r.path) for r in monitored(df, policy, mounts).collect()}
+    assert got == {("a", "/proc/disk/y"), ("a", "/etc/z"), ("b", "/proc/sys/x"), ("b", "/proc/disk/y"), ("b", "/etc/z")}
+
+
+def test_rates_over_a_window_longer_than_a_minute(spark):
+    from keelson.operators.rates import scan_rate
+
+    times = [0, 500, 59_000, 61_000, 119_500, 120_000, 181_000, 400_000, 401_000]
+    samples = spark.createDataFrame([("r", t, t // 10, t) for t in times], "run_id string, ts_ms bigint, files bigint, bytes bigint")
+    got = {r.ts_ms: r.recent_elapsed_ms for r in scan_rate(samples, 120_000).collect()}
+    want = {t: t - max([u for u in times if u <= t - 120_000], default=times[0]) for t in times}
+    assert got == want

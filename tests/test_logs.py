@@ -122,7 +122,7 @@ def test_reset_without_matches_behind_it(spark):
     assert (row.report, row.match_count) == ("No problems found", 0)
 
 
-def test_stored_events_give_the_same_results(spark, large):
+def test_stored_events_give_the_same_results(spark):
     test_trimmed_before_grouping_and_reset(spark)
     test_errors_and_masked_cards(spark)
     test_reset_without_matches_behind_it(spark)
@@ -273,7 +273,7 @@ def test_journal(spark, tmp_path):
     assert lines(since="2023-11-14 22:13:22") == [(1, "b"), (2, "c"), (3, "d")]
 
 
-def test_journal_of_a_large_host(spark, tmp_path, large, monkeypatch):
+def test_journal_of_a_large_host(spark, tmp_path, monkeypatch):
     from keelson.operators import ranking
 
     monkeypatch.setattr(ranking, "HOT_ROWS", 3)

@@ -99,3 +99,12 @@ def test_audit_forwarding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out") + "/batch=*").count() == 2
     with pytest.raises(Exception, match="audit forwarding failed"):
         forward_audit(stream, [broken], str(tmp_path / "c2"), required=True).awaitTermination()
+
+
+def test_a_missing_earlier_state_is_an_error(spark, tmp_path):
+    report = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"))
+    part = spark.createDataFrame(lines(3, 0), LOG_LINES)
+    report.process(part, 0)
+    report.process(part, 1)
+    with pytest.raises(ValueError, match="missing"):
+        report.process(part, 3)
