@@ -308,12 +308,13 @@ SELECT source, n IS NULL AS success, 'scanner@example.com' AS sender, 'ops@examp
        CASE WHEN n IS NULL THEN 'Log scan succeeded: ' || source
             ELSE 'ALERT: Log scan detected problems: ' || source END AS subject
 FROM (SELECT *, 'The log scan ''' || source || ''' checked ' || line_count || ' log lines and matched '
-             || coalesce(n, 0) || ' problems.' || chr(10) || chr(10) || 'Source: documents' || chr(10) AS body
+             || coalesce(n, 0) || ' problems.' || chr(10) || chr(10) || 'Source: '
+             || CASE source WHEN 'src0' THEN '/logs/src0.log' ELSE source END || chr(10) AS body
       FROM totals LEFT JOIN counts USING (source))""")
 def alerts(spark, sf_dir):
     scan = scan_lines(I.log_lines(spark, sf_dir), I.AUDIT, I.AUDIT.source("plain"))
     policy = AlertPolicy(True, True, "scanner@example.com", "ops@example.com")
-    found = log_alerts(scan.report, policy, labels={"plain": "documents"})
+    found = log_alerts(scan.report, policy, labels={"src0": "/logs/src0.log"})
     head = F.regexp_extract("body", "^[^\n]*\n\n[^\n]*", 0).alias("head")
     return found.select("source", "success", "sender", "recipient", "subject", head)
 
