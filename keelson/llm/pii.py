@@ -23,7 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from keelson.llm.common import materialise, slim
 
@@ -409,7 +409,11 @@ def find(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     return scanned.mapInArrow(run, schema)
 
 
-def listed(spans) -> F.Column:
+def of_kind(spans, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def listed(spans) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","

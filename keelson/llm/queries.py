@@ -176,9 +176,7 @@ def op2_packing(spark, sf_dir):
 def op9_pii(spark, sf_dir):
     """Personal data in every document: the patterns' counts and all spans."""
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS
-    ]
+    counts = [F.size(pii.of_kind("base", k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"),
         pii.listed("spans").alias("spans"),

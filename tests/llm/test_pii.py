@@ -108,3 +108,18 @@ def test_edge_rows_and_masking(spark):
     assert texts == {None, "", "[PHONE] x", "[EMAIL], [IP]"}
     assert pii.find(docs.filter("doc_id = 9")).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_the_query_equals_plain_patterns(spark):
+    from keelson.llm.queries import op9_pii
+
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = op9_pii(spark, data).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = plain(texts[r.doc_id])
+        text = ",".join(":".join(map(str, s)) for s in spans)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in PLAIN]
+        assert {x for x in text.split(",") if x} <= set(r.spans.split(","))
