@@ -70,8 +70,11 @@ def components(texts):
     ids = sorted(texts)
     label = {i: i for i in ids}
     kms = {i: labelled(words_of(texts[i])) for i in ids}
+    sets = {i: set(k) for i, k in kms.items()}
     for a, b in itertools.combinations(ids, 2):
-        if kms[a] and kms[b] and set(kms[a]) & set(kms[b]) and plain_similarity(kms[a], kms[b]) >= N.LEAST:
+        both = len(sets[a] & sets[b])  # labelled k-mers differ, so no alignment has more
+        most = both / max(1, len(kms[a]) + len(kms[b]) - both)
+        if most >= N.LEAST and plain_similarity(kms[a], kms[b]) >= N.LEAST:
             old, new = sorted((label[a], label[b]), reverse=True)
             label = {i: new if v == old else v for i, v in label.items()}
     return label
