@@ -134,27 +134,29 @@ def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int | None =
 
     Rows of one host with equal (checksum, size, kind) pair in path order, the k-th deleted with
     the k-th added; the rest stay as they are, and so do rows without a checksum. Ranks instead
-    of a self-join keep the plan linear: each pair is one group of at most two rows, and a row
-    that cannot move is a group of its own. One shuffle by content serves ranks and pairs.
+    of a self-join keep the plan linear: each pair is one group of at most two rows.
+
+    Only host, content, path and kind of the rows that can move are shuffled by content. The pairs
+    found mark their two rows, which then meet; all other rows pass untouched.
 
     With ``stored`` the changes are a table; contents that occur often, such as empty files, are
     then looked for and ranked in parts.
     """
     checksum = F.coalesce("after.checksum", "before.checksum")
     candidate = F.col("kind").isin("added", "deleted") & checksum.isNotNull()
-    parts = ["host", "_checksum", "_size", "_type", "_alone"]
+    parts = ["host", "_checksum", "_size", "_type"]
     content = ["_hash", *parts]
-    keyed = changes.select(
-        "*",
-        F.when(candidate, checksum).otherwise("").alias("_checksum"),
-        F.when(candidate, F.coalesce("after.size", "before.size")).otherwise(-1).alias("_size"),
-        F.when(candidate, F.coalesce("after.kind", "before.kind")).otherwise("").alias("_type"),
-        F.when(candidate, F.lit("")).otherwise(F.col("path")).alias("_alone"),
+    keyed = changes.filter(candidate).select(
+        *IDENTITY,
+        "kind",
+        checksum.alias("_checksum"),
+        F.coalesce("after.size", "before.size").alias("_size"),
+        F.coalesce("after.kind", "before.kind").alias("_type"),
         component_order("path").alias("_order"),
     ).withColumn("_hash", F.xxhash64(*parts))
     deleted = F.col("kind") == "deleted"
     sides = [*content, "kind"]
-    hot = hot_groups(keyed.filter(candidate), sides, hot_rows) if stored else None
+    hot = hot_groups(keyed, sides, hot_rows) if stored else None
     if hot is None:
         so_far = Window.partitionBy(*content).orderBy("_order").rowsBetween(
             Window.unboundedPreceding, Window.currentRow
@@ -165,24 +167,45 @@ def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int | None =
         ranked = keyed.withColumn("_rank", rank)
     else:
         ranked = rank_by_parts(keyed, sides, "_order", "_rank", hot)
-    pairs = ranked.groupBy(*content, "_rank").agg(
-        F.max(F.when(~deleted, F.col("path"))).alias("_new"),
-        F.max(F.when(deleted, F.col("path"))).alias("_old"),
-        F.max("kind").alias("_kind"),
-        F.max("reasons").alias("reasons"),
-        F.max("before").alias("before"),
-        F.max("after").alias("after"),
+    pairs = (
+        ranked.groupBy(*content, "_rank")
+        .agg(
+            F.max(F.when(~deleted, F.col("path"))).alias("_new"),
+            F.max(F.when(deleted, F.col("path"))).alias("_old"),
+        )
+        .filter(F.col("_new").isNotNull() & F.col("_old").isNotNull())
+        .select("host", "_new", "_old")
     )
-    moved = F.col("_new").isNotNull() & F.col("_old").isNotNull()
-    return pairs.select(
+    ends = pairs.select(
         "host",
-        F.coalesce("_new", "_old").alias("path"),
-        F.when(moved, F.col("_old")).alias("previous_path"),
-        F.when(moved, "moved").otherwise(F.col("_kind")).alias("kind"),
-        "reasons",
-        "before",
-        "after",
+        F.explode(
+            F.array(
+                F.struct(F.col("_new").alias("path"), F.lit("added").alias("kind"), "_new"),
+                F.struct(F.col("_old").alias("path"), F.lit("deleted").alias("kind"), "_new"),
+            )
+        ).alias("_end"),
+    ).select("host", "_end.*")
+    if stored:
+        ends = materialise(ends)
+    key = [*IDENTITY, "kind"]
+    shown = ["host", "path", "previous_path", "kind", "reasons", "before", "after"]
+    moved = (
+        changes.filter(candidate)
+        .join(ends, key)
+        .groupBy("host", "_new")
+        .agg(
+            F.max(F.when(deleted, F.col("path"))).alias("previous_path"),
+            F.max("reasons").alias("reasons"),
+            F.max("before").alias("before"),
+            F.max("after").alias("after"),
+        )
+        .withColumns({"path": F.col("_new"), "kind": F.lit("moved")})
     )
+    # Rows that cannot move need no look at the pairs.
+    apart = changes.filter(~F.coalesce(candidate, F.lit(False)))
+    stay = changes.filter(candidate).join(ends, key, "left_anti")
+    alone = apart.unionByName(stay).withColumn("previous_path", F.lit(None).cast("string"))
+    return alone.select(*shown).unionByName(moved.select(*shown))
 
 
 def as_findings(changes: DataFrame) -> DataFrame:

@@ -29,45 +29,71 @@ def _issues(kind: str, privileged: bool) -> Column:
 
 
 def trust_issues(
-    snapshot: DataFrame, targets: DataFrame, privileged: bool = True, must_exist: bool = True
+    snapshot: DataFrame,
+    targets: DataFrame,
+    privileged: bool = True,
+    must_exist: bool = True,
+    kind: str = "file",
 ) -> DataFrame:
-    """Issues of target files (host, path) and of every directory above them.
+    """Issues of targets (host, path) of one ``kind`` and of every directory above them.
 
-    Only rows that have an issue take part in the join with the ancestors. A directory absent
-    from the snapshot is not an issue; a missing target is, unless ``must_exist`` is off.
+    The targets and their distinct ancestors are few: the snapshot is reduced to them first, and
+    only what is left is judged. A directory absent from the snapshot is not an issue; a missing
+    target file is, unless ``must_exist`` is off.
     """
     wanted = targets.select("host", "path").distinct()
-    known = snapshot.select("host", "path", _issues("file", privileged).alias("_own"))
+    folders = (
+        wanted.select("host", parent("path").alias("_dir"))
+        .filter(F.col("_dir").isNotNull())
+        .distinct()
+        .withColumn("path", F.explode(ancestors("_dir", include_root=True)))
+    )
+    known = snapshot.join(wanted, ["host", "path"], "left_semi").select(
+        "host", "path", _issues(kind, privileged).alias("_own")
+    )
     looked = wanted.join(known, ["host", "path"], "left")
-    if must_exist:
-        own = F.coalesce("_own", F.array(F.lit("not found")))
-    else:
-        looked, own = looked.filter(F.col("_own").isNotNull()), F.col("_own")
+    missing = F.array(F.lit("not found")) if must_exist and kind == "file" else F.lit(None)
     files = looked.select(
-        "host", F.col("path").alias("target"), "path", F.explode(own).alias("issue")
+        "host", F.col("path").alias("target"), "path",
+        F.explode(F.coalesce("_own", missing)).alias("issue"),
     )
-    bad_parents = snapshot.select(
-        "host", "path", F.explode(_issues("directory", privileged)).alias("issue")
+    placed = (wanted if must_exist else looked.filter(F.col("_own").isNotNull())).select(
+        "host", F.col("path").alias("target"), parent("path").alias("_dir")
     )
+    bad_parents = snapshot.join(
+        folders.select("host", "path").distinct(), ["host", "path"], "left_semi"
+    ).select("host", "path", F.explode(_issues("directory", privileged)).alias("issue"))
     # Each directory is expanded once, however many targets it holds.
-    placed = (wanted if must_exist else looked).withColumn("_dir", parent("path"))
     chains = (
-        placed.select("host", "_dir")
-        .distinct()
-        .select("host", "_dir", F.explode(ancestors("_dir", include_root=True)).alias("path"))
-        .join(bad_parents, ["host", "path"])
+        folders.join(bad_parents, ["host", "path"])
         .groupBy("host", "_dir")
         .agg(F.collect_list(F.struct("path", "issue")).alias("_found"))
     )
     parents = (
-        placed.withColumnRenamed("path", "target")
-        .join(chains, ["host", "_dir"])
+        placed.join(chains, ["host", "_dir"])
         .select("host", "target", F.explode("_found").alias("_f"))
         .select("host", "target", "_f.path", "_f.issue")
     )
     return files.unionByName(parents)
 
 
+def data_trust_issues(
+    snapshot: DataFrame, folders: DataFrame, privileged: bool = True
+) -> DataFrame:
+    """Issues of data directories (host, path), the files in them and the directories above.
+
+    ``target`` is the data directory. What it does not hold is not an issue.
+    """
+    wanted = folders.select("host", F.col("path").alias("target")).distinct()
+    held = (
+        snapshot.filter(F.col("kind") != "directory")
+        .withColumn("target", parent("path"))
+        .join(wanted, ["host", "target"], "left_semi")
+        .select("host", "target", "path", F.explode(_issues("file", privileged)).alias("issue"))
+    )
+    return trust_issues(snapshot, folders, privileged, kind="directory").unionByName(held)
+
+
 def _paths(column) -> Column:
     return F.coalesce(F.col(column), F.array().cast("array<string>"))
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keelson.config import Policy
-from keelson.functions.digests import _col
-from keelson.functions.paths import MANY_ROOTS, ancestors, parent, path_under, under_any
+from keelson.functions.paths import MANY_ROOTS, _col, ancestors, parent, path_under, under_any
 
 
 def is_excluded(path, policy: Policy) -> Column:
@@ -40,15 +39,52 @@ def mounts_per_host(mounts: DataFrame) -> DataFrame:
     return mounts.groupBy("host").agg(F.array_sort(F.collect_set(entry)).alias("_mounts"))
 
 
-def with_fs_type(df: DataFrame, mounts: DataFrame, path="path") -> DataFrame:
-    """Add ``fs_type`` of the most specific mountpoint over each path, null where none is known.
+def _stem(root) -> Column:
+    bare = F.rtrim(_col(root), F.lit("/"))
+    return F.when(bare == "", F.lit("/")).otherwise(bare)
+
+
+def with_mount(df: DataFrame, mounts: DataFrame, path="path") -> DataFrame:
+    """Add ``_mount``, the struct (depth, mountpoint, fs_type) of the most specific mount over each
+    path, null where none is known.
 
-    The join carries one row per host; Spark broadcasts it when its measured size allows and
-    otherwise splits hot hosts of a sort-merge join.
+    Paths are looked up by folder: each distinct folder is expanded into its ancestors once, and
+    these meet the mountpoints by equality. A path that is a mountpoint itself is looked up as such.
     """
-    joined = df.join(mounts_per_host(mounts), "host", "left")
-    over = F.filter("_mounts", lambda m: path_under(path, m["mountpoint"]))
-    return joined.withColumn("fs_type", F.try_element_at(over, F.lit(1))["fs_type"]).drop("_mounts")
+    entry = F.struct(
+        (-F.size(F.filter(F.split("mountpoint", "/"), lambda p: p != ""))).alias("depth"),
+        F.col("mountpoint"),
+        F.col("fs_type"),
+    )
+    points = mounts.groupBy("host", _stem("mountpoint").alias("_above")).agg(
+        F.min(entry).alias("_mount")
+    )
+    folders = (
+        df.select("host", parent(path).alias("_folder"))
+        .filter(F.col("_folder").isNotNull())
+        .distinct()
+        .withColumn("_above", F.explode(ancestors("_folder", include_root=True)))
+        .join(points, ["host", "_above"])
+        .groupBy("host", "_folder")
+        .agg(F.min("_mount").alias("_around"))
+    )
+    own = points.select("host", F.col("_above").alias("_at"), F.col("_mount").alias("_own"))
+    return (
+        df.withColumns({"_folder": parent(path), "_at": _col(path)})
+        .join(folders, ["host", "_folder"], "left")
+        .join(own, ["host", "_at"], "left")
+        .select(*[F.col(f"`{c}`") for c in df.columns],
+                F.coalesce("_own", "_around").alias("_mount"))
+    )
+
+
+def with_fs_type(df: DataFrame, mounts: DataFrame, path="path") -> DataFrame:
+    """Add ``fs_type`` of the most specific mountpoint over each path, null where none is known."""
+    return (
+        with_mount(df, mounts, path)
+        .withColumn("fs_type", F.col("_mount.fs_type"))
+        .drop("_mount")
+    )
 
 
 def nearest_root(path, roots) -> Column:
@@ -77,20 +113,20 @@ def monitored(df: DataFrame, policy: Policy, mounts: DataFrame | None = None) ->
     root = nearest_root(path, policy.scan_paths)
     arrives = root.isNotNull()
     if mounts is not None and policy.excluded_filesystems:
-        df = df.join(_walks_per_host(mounts, policy), "host", "left")
-        over = F.filter("_skipped", lambda m: path_under(path, m["mountpoint"]))
-        mounted = F.try_element_at(over, F.lit(1))["mountpoint"]
+        left_out = mounts.filter(F.col("fs_type").isin(list(policy.excluded_filesystems)))
+        df = with_mount(df, left_out).join(_fewer_walks(mounts, policy), "host", "left")
+        mounted = F.col("_mount.mountpoint")
         own = F.try_element_at(F.filter("_roots", lambda r: path_under(path, r)), F.lit(1))
         root = F.when(F.col("_roots").isNull(), root).otherwise(own)
         arrives = root.isNotNull() & (mounted.isNull() | (F.length(root) > F.length(mounted)))
     excluded = is_excluded(path, policy)
     passed = ~F.coalesce(is_excluded(parent(path), policy), F.lit(False))
     kept = is_metadata_directory(path, policy) & (passed | (path == root))
-    return df.filter(arrives & (~excluded | F.coalesce(kept, F.lit(False)))).drop("_skipped", "_roots")
+    return df.filter(arrives & (~excluded | F.coalesce(kept, F.lit(False)))).drop("_mount", "_roots")
 
 
-def _walks_per_host(mounts: DataFrame, policy: Policy) -> DataFrame:
-    """Per host its excluded mounts and the scan paths that start a walk, the longest first."""
+def _fewer_walks(mounts: DataFrame, policy: Policy) -> DataFrame:
+    """The scan paths that start a walk, the longest first, of each host where some do not."""
     left_out = list(policy.excluded_filesystems)
     stems = sorted({r.rstrip("/") or "/" for r in policy.scan_paths}, key=len, reverse=True)
 
@@ -99,10 +135,11 @@ def _walks_per_host(mounts: DataFrame, policy: Policy) -> DataFrame:
         on = F.try_element_at(over, F.lit(1))["fs_type"]
         return ~F.coalesce(on.isin(left_out), F.lit(False))
 
-    return mounts_per_host(mounts).select(
-        "host",
-        F.filter("_mounts", lambda m: m["fs_type"].isin(left_out)).alias("_skipped"),
-        F.filter(F.array(*map(F.lit, stems)).cast("array<string>"), walked).alias("_roots"),
+    roots = F.filter(F.array(*map(F.lit, stems)).cast("array<string>"), walked)
+    return (
+        mounts_per_host(mounts)
+        .select("host", roots.alias("_roots"))
+        .filter(F.size("_roots") < len(stems))
     )
 
 
@@ -115,24 +152,29 @@ def excluded_by_filesystem(df: DataFrame, policy: Policy, mounts: DataFrame) ->
 def under_targets(df: DataFrame, targets: DataFrame, keys=(), path="path") -> DataFrame:
     """Rows of ``df`` at or under some target (columns ``keys`` and ``target``), each once.
 
-    The prefix test becomes an equality join on the ancestors of each path. The left side is
-    reduced to distinct paths before it is exploded.
+    The prefix test becomes an equality join on ancestors, which each distinct folder is expanded
+    into once. A path that is a target itself is looked up as such.
     """
     keys = list(keys)
-    stems = targets.select(
-        *keys,
-        F.when(F.col("target") == "/", "/")
-        .otherwise(F.rtrim("target", F.lit("/")))
-        .alias("_above"),
-    ).distinct()
-    paths = df.select(*keys, path).distinct()
-    hit = (
-        paths.withColumn("_above", F.explode(ancestors(path, include_root=True)))
+    stems = targets.select(*keys, _stem("target").alias("_above")).distinct()
+    folders = (
+        df.select(*keys, parent(path).alias("_folder"))
+        .filter(F.col("_folder").isNotNull())
+        .distinct()
+        .withColumn("_above", F.explode(ancestors("_folder", include_root=True)))
         .join(stems, [*keys, "_above"], "left_semi")
-        .select(*keys, path)
+        .select(*keys, "_folder")
         .distinct()
+        .withColumn("_inside", F.lit(True))
+    )
+    own = stems.select(*keys, F.col("_above").alias("_at"), F.lit(True).alias("_named"))
+    return (
+        df.withColumns({"_folder": parent(path), "_at": _col(path)})
+        .join(folders, [*keys, "_folder"], "left")
+        .join(own, [*keys, "_at"], "left")
+        .filter(F.coalesce("_inside", "_named", F.lit(False)))
+        .select(*[F.col(f"`{c}`") for c in df.columns])
     )
-    return df.join(hit, [*keys, path], "left_semi")
 
 
 def coverage_gaps(paths: DataFrame, policy: Policy) -> DataFrame:

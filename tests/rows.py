@@ -1,4 +1,7 @@
-"""Small snapshot and log rows."""
+"""Small snapshot and log rows, and the text of a plan."""
+
+import contextlib
+import io
 
 from keelson.schemas import FILE_SNAPSHOT, LOG_LINES
 
@@ -25,3 +28,10 @@ def log(spark, *lines, source="app", file="app.log"):
     return spark.createDataFrame(
         [(source, file, i + 1, line) for i, line in enumerate(lines)], LOG_LINES
     )
+
+
+def plan(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("formatted")
+    return text.getvalue()

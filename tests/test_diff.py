@@ -8,7 +8,7 @@ from keelson.operators import diff as D, ranking
 from keelson.operators.scope import monitored
 from keelson.plans.integrity import integrity_scan
 from keelson.schemas import MOUNTS
-from rows import file_row, folder_row, snapshot
+from rows import file_row, folder_row, plan, snapshot
 
 
 def kinds(findings):
@@ -208,3 +208,21 @@ def test_metadata_rule_forms():
     assert policy.metadata_directories == ["/q", "/", "C:\\"]
     with pytest.raises(ConfigError):
         Policy(exclusions=("",))
+
+
+def test_only_keys_of_movable_rows_are_ranked(spark):
+    before = [file_row("/a/old", "m"), file_row("/a/gone", "g"), file_row("/a/x", "1"), file_row("/a/none", None)]
+    after = [file_row("/a/new", "m"), file_row("/a/come", "c"), file_row("/a/x", "2")]
+    changes = D.snapshot_changes(snapshot(spark, *before), snapshot(spark, *after))
+    paired = D.pair_moves(changes)
+    got = {(r.kind, r.previous_path, r.path, r.before is None, r.after is None) for r in paired.collect()}
+    assert got == {
+        ("moved", "/a/old", "/a/new", False, False), ("deleted", None, "/a/gone", False, True),
+        ("added", None, "/a/come", True, False), ("modified", None, "/a/x", False, False),
+        ("deleted", None, "/a/none", False, True),
+    }
+    windows = [step for step in plan(paired).split("\n\n") if ") Window" in step]
+    assert windows
+    for step in windows:
+        read = next(line for line in step.splitlines() if line.startswith("Input"))
+        assert "before#" not in read and "after#" not in read and "reasons#" not in read

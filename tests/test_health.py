@@ -8,7 +8,7 @@ from keelson.functions import digests as G, formats as N, paths as P
 from keelson.operators import alerts as L, health as H, rates as T, scope as S
 from keelson.schemas import MOUNTS, SCAN_SAMPLES
 from keelson.sources.mounts import parse_mountinfo
-from rows import file_row, folder_row, snapshot
+from rows import file_row, folder_row, plan, snapshot
 
 
 def one(spark, column, **values):
@@ -161,6 +161,56 @@ def test_trust(spark):
     assert {r.issue.split(",")[0] for r in relaxed} == {"group/world writable", "symlink", "not a file"}
 
 
+def test_trust_reads_only_targets_and_their_parents(spark):
+    tree = snapshot(spark, folder_row("/"), file_row("/etc/ok"))
+    targets = spark.createDataFrame([("h", "/etc/ok")], "host string, path string")
+    steps = plan(H.trust_issues(tree, targets)).split("\n\n")
+    judged = [s for s in steps if ") Project" in s and "not a " in s]
+    assert judged and sum("LeftSemi" in s for s in steps) >= 2
+
+
+def test_trust_of_data_directory(spark):
+    tree = snapshot(
+        spark, folder_row("/"), folder_row("/var", uid=3), folder_row("/var/db", uid=7),
+        file_row("/var/db/records", mode=0o100662), file_row("/var/db/manifest"),
+        file_row("/var/db/link", kind="symlink", mode=0o120777), file_row("/var/dbx", uid=9),
+        folder_row("/var/db/inner", uid=9), file_row("/var/db/inner/deep", uid=9),
+    )
+    folders = spark.createDataFrame([("h", "/var/db"), ("h", "/srv/none")], "host string, path string")
+    got = {(r.target, r.path, r.issue) for r in H.data_trust_issues(tree, folders).collect()}
+    assert got == {
+        ("/var/db", "/var/db", "not owned by root"), ("/var/db", "/var", "not owned by root"),
+        ("/var/db", "/var/db/records", "group/world writable, mode 662"),
+        ("/var/db", "/var/db/link", "symlink"),
+    }
+    wrong = H.data_trust_issues(tree, spark.createDataFrame([("h", "/var/dbx")], "host string, path string"))
+    assert "not a directory" in {r.issue for r in wrong.collect()}
+
+
+def test_mounts_are_looked_up_by_equality(spark):
+    mounts = spark.createDataFrame(
+        [("h", "/", "ext4"), ("h", "/a/", "xfs"), ("h", "/a/b", "proc"), ("h", "/a/b", "nfs"), ("g", "/q", "tmpfs")],
+        MOUNTS)
+    paths = ["/", "/a", "/ab", "/a/x", "/a/b", "/a/b/c/d", "/a/bc", "rel/x", "bare"]
+    df = spark.createDataFrame([("h", p) for p in paths] + [("g", "/q/r"), ("g", "/z"), ("n", "/a")], "host string, path string")
+    typed = S.with_fs_type(df, mounts)
+    got = {(r.host, r.path): r.fs_type for r in typed.collect()}
+    assert got == {
+        ("h", "/"): "ext4", ("h", "/a"): "xfs", ("h", "/ab"): "ext4", ("h", "/a/x"): "xfs", ("h", "/a/b"): "nfs",
+        ("h", "/a/b/c/d"): "nfs", ("h", "/a/bc"): "xfs", ("h", "rel/x"): None, ("h", "bare"): None,
+        ("g", "/q/r"): "tmpfs", ("g", "/z"): None, ("n", "/a"): None,
+    }
+    assert "_mounts" not in plan(typed)
+
+
+def test_targets_above_paths(spark):
+    df = spark.createDataFrame(
+        [("h", p) for p in ("/a", "/a/b", "/a/b/c", "/ab", "/x/y", "/")] + [("g", "/a/b")], "host string, path string")
+    targets = spark.createDataFrame([("h", "/a/"), ("h", "/x/y"), ("h", "/a/b"), ("g", "/")], "host string, target string")
+    got = sorted((r.host, r.path) for r in S.under_targets(df, targets, ["host"]).collect())
+    assert got == [("g", "/a/b"), ("h", "/a"), ("h", "/a/b"), ("h", "/a/b/c"), ("h", "/x/y")]
+
+
 def brute_rate(samples, window):
     out = []
     for i, (t, files) in enumerate(samples):
