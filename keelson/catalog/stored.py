@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from keelson.catalog import inputs as I, integrity, logs
+from keelson.catalog.review import APPROVALS, replayed
 from keelson.catalog.register import Register
 from keelson.config import LogAudit, LogSource
 from keelson.functions import digests as G, labels as L, paths as P
@@ -16,6 +17,7 @@ from keelson.operators import diff as D, health as H, review as V
 from keelson.operators.audit import chain_audit, verify_audit
 from keelson.operators.fingerprint import generation_guard
 from keelson.operators.rules import selector_test
+from keelson.plans.review import accept_stored, apply_stored
 from keelson.session import work_dir
 from keelson.sinks import baseline as B, review as W
 from keelson.sources.logs import read_journal, read_log
@@ -50,6 +52,30 @@ def stored_baseline(spark, sf_dir):
     )
 
 
+def generations(spark, path):
+    """Records of the newest generation with what its manifest says."""
+    row = B.newest_manifest(spark, path)
+    said = [F.lit(row[c]).alias(c) for c in ("generation", "config_hash", "scan_byte_limit")]
+    return B.read_baseline(spark, path, verify=True).select(
+        "host", "path", "checksum", "size", "mode", *said
+    )
+
+
+NEXT = ", 2 AS generation, repeat('0', 64) AS config_hash, 0 AS scan_byte_limit"
+
+
+@query("apply_stored", APPROVALS + f"""
+SELECT host, path, checksum, size, mode{NEXT} FROM baseline b WHERE NOT EXISTS (
+  SELECT 1 FROM changes c WHERE c.change = 'remove' AND c.host = b.host AND c.path = b.path)
+UNION ALL SELECT host, path, checksum, size, mode{NEXT} FROM current_rows r WHERE EXISTS (
+  SELECT 1 FROM changes c WHERE c.change = 'add' AND c.host = r.host AND c.path = r.path)""")
+def applied(spark, sf_dir):
+    path = fresh(spark, "baseline")
+    B.write_baseline(I.baseline(spark, sf_dir), path, "0" * 64)
+    apply_stored(spark, path, I.current(spark, sf_dir), replayed(spark, sf_dir), "1" * 64)
+    return generations(spark, path)
+
+
 @query("baseline_manifests", DIFF + """
 SELECT 1 AS generation, count(*) AS records, 0 AS scan_byte_limit, NULL AS config_hash FROM baseline
 UNION ALL SELECT 2, count(*), 4096, repeat('0', 64) FROM current_rows""")

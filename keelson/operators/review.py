@@ -199,13 +199,18 @@ def replay_actions(findings: DataFrame, actions: DataFrame) -> DataFrame:
     )
 
 
-def _approved(findings: DataFrame) -> DataFrame:
+def approved(findings: DataFrame) -> DataFrame:
     return findings.filter((F.col("action") == "approve") & (F.col("state") == "approved"))
 
 
 def approval_paths(findings: DataFrame, by=("host",)) -> DataFrame:
     """Distinct paths to ``remove`` from and to ``add`` to the baseline."""
-    content = _approved(findings).filter(~F.array_contains("reasons", "policy"))
+    return changed_paths(approved(findings), by)
+
+
+def changed_paths(approvals: DataFrame, by=("host",)) -> DataFrame:
+    """The same of findings known to be approved."""
+    content = approvals.filter(~F.array_contains("reasons", "policy"))
     both = F.array(
         F.struct(F.lit("add").alias("change"), F.col("path").alias("path")),
         F.struct(F.lit("remove").alias("change"), F.coalesce("previous_path", "path").alias("path")),
@@ -258,7 +263,11 @@ def check_byte_limits(stored: int, configured: int) -> None:
 
 def apply_review(baseline: DataFrame, current: DataFrame, findings: DataFrame) -> DataFrame:
     """The next baseline: approved old paths leave, approved present paths enter."""
-    changes = approval_paths(findings)
+    return apply_changes(baseline, current, approval_paths(findings))
+
+
+def apply_changes(baseline: DataFrame, current: DataFrame, changes: DataFrame) -> DataFrame:
+    """``baseline`` after the ``changes`` (host, change, path)."""
     out = changes.filter(F.col("change") == "remove").select(*IDENTITY)
     into = changes.filter(F.col("change") == "add").select(*IDENTITY)
     fresh = one_per_path(current.join(into, IDENTITY, "left_semi"))

@@ -55,6 +55,13 @@ def _current_manifest(spark, path, generation=None) -> DataFrame:
     return rows.orderBy(F.col("generation").desc()).limit(1)
 
 
+def newest_manifest(spark: SparkSession, path: str):
+    """The manifest row of the newest generation."""
+    if not path_exists(spark, f"{path}/manifest"):
+        raise FileNotFoundError(f"there is no baseline in {path}")
+    return _current_manifest(spark, path).first()
+
+
 def write_baseline(
     snapshot: DataFrame, path: str, config_hash: str | None = None, scan_byte_limit: int = 0
 ) -> int:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from keelson.config import Policy
 from keelson.operators import fingerprint as P
-from keelson.operators.diff import integrity_diff
+from keelson.operators.diff import integrity_diff, policy_finding
 from keelson.schemas import BASELINE_MANIFEST
+from keelson.plans.review import accept_stored, apply_stored
 from keelson.sinks import baseline as B, review as W
 from keelson.sources.tree import read_tree
 from rows import file_row, snapshot
@@ -37,6 +38,41 @@ def test_next_baseline_from_the_stored_one(spark, tmp_path):
     assert B.read_baseline(spark, path, verify=True).count() == 2
 
 
+def test_accept_and_apply_to_the_stored_baseline(spark, tmp_path):
+    path = str(tmp_path / "base")
+    with pytest.raises(FileNotFoundError):
+        accept_stored(spark, path, snapshot(spark), "/a")
+    B.write_baseline(snapshot(spark, file_row("/a/x"), file_row("/a/y"), file_row("/b/z")), path, "c1", 8)
+    now = snapshot(spark, file_row("/a/x", "new"), file_row("/b/z", "new"), file_row("/b/w"))
+    limit = Policy(scan_byte_limit=8)
+    with pytest.raises(ValueError, match="scan_byte_limit 8"):
+        accept_stored(spark, path, now, "/a")
+    assert accept_stored(spark, path, now, "/a", limit) == 2
+    rows = {(r.path, r.checksum) for r in B.read_baseline(spark, path, verify=True).collect()}
+    assert rows == {("/a/x", "new"), ("/b/z", "aa")}
+    assert B.newest_manifest(spark, path)["config_hash"] == "c1"
+
+    def reviewed(*paths):
+        found = integrity_diff(B.read_baseline(spark, path), now).unionByName(policy)
+        sure = F.col("path").isin(*paths)
+        return found.withColumns({
+            "state": F.when(sure, "approved").otherwise("unreviewed"),
+            "action": F.when(sure, "approve").otherwise("none")})
+
+    policy = policy_finding(snapshot(spark, file_row("/etc/policy", "c2")), "c1")
+    with pytest.raises(ValueError, match="scan_byte_limit 8"):
+        apply_stored(spark, path, now, reviewed("/b/z"), "c2")
+    assert apply_stored(spark, path, now, reviewed("/b/z"), "c2", limit) == 3
+    rows = {(r.path, r.checksum) for r in B.read_baseline(spark, path, verify=True).collect()}
+    assert rows == {("/a/x", "new"), ("/b/z", "new")}
+    assert B.newest_manifest(spark, path)["config_hash"] == "c1"
+    with pytest.raises(ValueError, match="configuration hash is not given"):
+        apply_stored(spark, path, now, reviewed("/etc/policy"), None, limit)
+    assert apply_stored(spark, path, now, reviewed("/etc/policy", "/b/w"), "c2", limit) == 4
+    last = B.newest_manifest(spark, path)
+    assert (last["config_hash"], last["scan_byte_limit"], last["records"]) == ("c2", 8, 3)
+
+
 def test_uncommitted_generation_is_invisible(spark, tmp_path):
     path = str(tmp_path / "base")
     B.write_baseline(snapshot(spark, file_row("/a")), path)
