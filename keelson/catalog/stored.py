@@ -76,6 +76,18 @@ def applied(spark, sf_dir):
     return generations(spark, path)
 
 
+@query("accept_stored", DIFF + f"""
+SELECT host, path, checksum, size, mode{NEXT} FROM baseline
+WHERE NOT starts_with(path, '/srv/src1/')
+UNION ALL SELECT host, path, checksum, size, mode{NEXT} FROM current_rows
+WHERE starts_with(path, '/srv/src1/')""")
+def accepted(spark, sf_dir):
+    path = fresh(spark, "baseline")
+    B.write_baseline(I.baseline(spark, sf_dir), path, "0" * 64)
+    accept_stored(spark, path, I.current(spark, sf_dir), "/srv/src1")
+    return generations(spark, path)
+
+
 @query("baseline_manifests", DIFF + """
 SELECT 1 AS generation, count(*) AS records, 0 AS scan_byte_limit, NULL AS config_hash FROM baseline
 UNION ALL SELECT 2, count(*), 4096, repeat('0', 64) FROM current_rows""")
