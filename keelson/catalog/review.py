@@ -317,7 +317,7 @@ def audit_fields(spark, sf_dir):
 # --- health -------------------------------------------------------------------------------
 
 
-@query("trust_issues", I.diff_ctes() + """,
+TRUST = I.diff_ctes() + """,
 tree AS (
   SELECT host, path, mode, uid, false AS folder FROM current_rows UNION ALL
   SELECT DISTINCT host, unnest(['/', '/srv', '/srv/' || string_split(path, '/')[3],
@@ -330,7 +330,22 @@ bad_tree AS (
 issues AS (
   SELECT host, path, folder, 'group/world writable, mode ' || printf('%o', mode & 511) AS issue
   FROM bad_tree WHERE mode & 18 <> 0
-  UNION ALL SELECT host, path, folder, 'not owned by root' FROM bad_tree WHERE uid <> 0),
+  UNION ALL SELECT host, path, folder, 'not owned by root' FROM bad_tree WHERE uid <> 0)"""
+
+
+def loose_tree(spark, sf_dir):
+    """The current rows and their folders, some of them with a mode that is not trusted."""
+    folder = F.col("kind") == "directory"
+    return I.with_folders(I.current(spark, sf_dir)).withColumn(
+        "mode",
+        F.when(folder & F.col("path").endswith("/en"), 16895)
+        .when(folder & (F.col("path") == "/srv/src6"), 16893)
+        .otherwise(F.col("mode"))
+        .cast("long"),
+    )
+
+
+@query("trust_issues", TRUST + """,
 wanted AS (SELECT host, path FROM baseline)
 SELECT w.host, w.path AS target, i.path, i.issue FROM wanted w JOIN issues i
   ON i.host = w.host AND NOT i.folder AND i.path = w.path
@@ -339,15 +354,19 @@ UNION ALL SELECT w.host, w.path, i.path, i.issue FROM wanted w JOIN issues i
 UNION ALL SELECT w.host, w.path, w.path, 'not found' FROM wanted w
   WHERE NOT EXISTS (SELECT 1 FROM current_rows c WHERE c.host = w.host AND c.path = w.path)""")
 def trust_issues(spark, sf_dir):
-    folder = F.col("kind") == "directory"
-    tree = I.with_folders(I.current(spark, sf_dir)).withColumn(
-        "mode",
-        F.when(folder & F.col("path").endswith("/en"), 16895)
-        .when(folder & (F.col("path") == "/srv/src6"), 16893)
-        .otherwise(F.col("mode"))
-        .cast("long"),
-    )
-    return H.trust_issues(tree, I.baseline(spark, sf_dir))
+    return H.trust_issues(loose_tree(spark, sf_dir), I.baseline(spark, sf_dir))
+
+
+@query("data_trust", TRUST + """,
+data AS (SELECT DISTINCT host, '/srv/' || string_split(path, '/')[3] || '/' || string_split(path, '/')[4] AS path
+         FROM baseline)
+SELECT d.host, d.path AS target, i.path, i.issue FROM data d JOIN issues i
+  ON i.host = d.host AND i.folder AND (i.path = d.path OR starts_with(d.path, i.path || '/'))
+UNION ALL SELECT d.host, d.path, i.path, i.issue FROM data d JOIN issues i
+  ON i.host = d.host AND NOT i.folder AND regexp_replace(i.path, '/[^/]*$', '') = d.path""")
+def data_trust(spark, sf_dir):
+    folders = I.baseline(spark, sf_dir).select("host", P.parent("path").alias("path")).distinct()
+    return H.data_trust_issues(loose_tree(spark, sf_dir), folders)
 
 
 def fleet_policies(spark, sf_dir):
