@@ -11,8 +11,12 @@ aligned k-mers over all k-mers of both, at least LEAST.
 
 No bucket is expanded into pairs. The first round pairs each member with one leader of its bucket;
 later rounds deal buckets anew into parts of about PART members and pair those that are not yet in
-one class, until a round adds no link. Buckets of up to PART are thus compared whole at once, larger
-ones again and again; each pair of texts at LEAST meets in many of the TABLES buckets. Classes are connected components, by labels that are lowered and short-cut.
+one class, until a round adds no link. Buckets of up to PART are thus compared whole at once; in
+larger ones the rounds only join what meets by chance. What is left there in different classes is
+paired exactly: two texts at LEAST must share one of the rarest k-mers of each (a prefix of their
+k-mers by rareness), early enough that the rest of both can still reach LEAST. Every pair of
+different classes that does is compared. Classes are connected components, by labels that are
+lowered and short-cut.
 
 Words: A-Z lower-cased runs of digits, letters and non-ASCII characters; a text of fewer than five is
 one k-mer. A text without words, empty or null, is a class of its own. A class is named by its least
@@ -26,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from keelson.llm.common import materialise, slim
 from keelson.llm.decontaminate import words_of
@@ -240,6 +244,60 @@ def stored_tokens(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return materialise(tokens.groupBy("node", "th").agg(F.first("numbers").alias("numbers")))
 
 
+def prefixes(tokens: DataFrame, least: float) -> DataFrame:
+    """(key, node, th, n, at): the k-mers, rarest first, one of which two texts at ``least`` must share.
+
+    ``at`` is the k-mer's place in that order. K-mers of one text only come first and pair nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys = [kmers(np.frombuffer(x.as_py(), "<u4")).view(np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(k) for k in keys], pa.int64()),
+                 pa.array(keys, pa.list_(pa.int64()))],
+                names=["node", "th", "n", "keys"],
+            )
+
+    rows = tokens.select("node", "th", "numbers").mapInArrow(run, "node bigint, th bigint, n bigint, keys array<bigint>")
+    rows = materialise(rows.select("node", "th", "n", F.explode("keys").alias("key")))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    node = Window.partitionBy("node", "th")
+    ranked = rows.join(shared, "key").withColumns(
+        {"rank": F.row_number().over(node.orderBy("texts", "key")), "common": F.count(F.lit(1)).over(node)}
+    ).withColumn("at", F.col("n") - F.col("common") + F.col("rank") - 1)
+    return ranked.filter(F.col("at") <= F.lit(1 - least) * F.col("n") + 1e-6).select("key", "node", "th", "n", "at")
+
+
+def prefix_pairs(shared: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """All pairs of different classes within ``shared`` buckets that can reach ``least``."""
+    named = shared.select("key", "node", "th").join(labels, "node")
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+    open_ = materialise(named.join(mixed, "key", "left_semi").select("node", "th", "label").distinct())
+    keyed = materialise(
+        prefixes(tokens.join(open_, ["node", "th"], "left_semi"), least).join(open_, ["node", "th"])
+    )
+    # A pair of different classes has one text outside the class that is most frequent at the key.
+    main = (
+        keyed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("key").agg(F.max(F.struct("rows", "label")).alias("m"), F.count(F.lit(1)).alias("classes"))
+        .filter("classes > 1").select("key", F.col("m.label").alias("main"))
+    )
+    keyed = materialise(keyed.join(main, "key"))
+    x, y = keyed.filter("label <> main").alias("x"), keyed.alias("y")
+    need = F.lit(least / (1 + least)) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    rows = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
+        & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+        & (F.col("x.n") - F.col("x.at") >= need) & (F.col("y.n") - F.col("y.at") >= need)
+        & _close(F.col("x.n"), F.col("y.n"), least - 1e-6),
+    )
+    low = F.col("x.node") < F.col("y.node")  # a pair met at two keys is one pair
+    pick = lambda c, first: F.when(low == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
+    return _pairs(rows, *[pick(c, F.lit(first)) for first in (True, False) for c in ("node", "th", "label")])
+
+
 def lowered(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of ``edges`` over ``nodes``."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -285,6 +343,7 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
         turn += 1
         links = materialise(verified(part_pairs(rows_left, labels, turn, least), tokens, least))
         rows_left = shared.filter(F.col("size") > PART)  # the others have been compared whole
+    labels = relabelled(labels, materialise(verified(prefix_pairs(rows_left, labels, tokens, least), tokens, least)))
     named = nodes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = named.select("digest", F.coalesce("label", "node").alias("class_id"))
     # Rows of one id with different texts join their classes, as their id is one document.

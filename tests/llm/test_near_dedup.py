@@ -123,3 +123,26 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     docs = spark.createDataFrame([*enumerate(texts), (9999, "quite another text of more than five words")], "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
     assert sum(v == 0 for v in got.values()) >= 598 and got[9999] == 9999
+
+
+def test_pairs_in_large_buckets_are_all_found(spark):
+    """One template, its texts about 0.7 alike; only the planted pairs reach 0.8."""
+    rng = np.random.default_rng(31)
+    base, texts = [f"w{x}" for x in range(300)], []
+    for i in range(360):
+        words = list(base)
+        for at in np.arange(5, 300, 60) + rng.integers(0, 50, 5):
+            words[at] = f"u{rng.integers(10**9)}"
+        texts.append(words)
+        if i % 30 == 0:
+            texts.append([*words[:-1], f"end{i}"])
+    km = [N.kmers(N.word_numbers([w.encode() for w in t])) for t in texts]
+    label = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if N.similarity(km[a], km[b]) >= N.LEAST:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if v == old else v for v in label]
+    assert len(texts) - 40 <= len(set(label)) <= len(texts) - 12
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == label
