@@ -6,11 +6,11 @@ on either side; the word itself is masked. Its probability is that of its class
 word in the class; classes are runs of CLASS numbers, frequent words first. A document's score is
 the sum of the logarithms over all its words.
 
-Training is data-parallel: the network starts from fixed random weights and has a warm-up on the
-driver over at most WARM documents, chosen by hash. In each round every task takes the network
-through its own documents by stochastic steps in numpy; the weights are then averaged by the words
-each task saw, summed in shuffled pieces of the network. A round takes every STRIDE-th word of
-all documents, from another start each; vocabulary and scores use every word.
+Training is data-parallel: the network starts from fixed random vectors and outputs that give each
+word its frequency in all documents. In each round every task takes the network through its own
+documents by stochastic steps in numpy; the weights are then averaged by the words each task saw,
+summed in shuffled pieces of the network. A round takes every STRIDE-th word of all documents, from
+another start each, so the STRIDE rounds predict every word once.
 
 Words are runs between ASCII spaces, A-Z lower-cased. Null or empty text has no words and score 0.
 Neighbours beyond a document's ends are a padding word. Repeated rows are scored each; extra columns
@@ -37,10 +37,9 @@ PAD = WORDS
 HIDDEN = 16
 SIDE = 2
 STRIDE = 8
-ROUNDS = 2
+ROUNDS = STRIDE  # together they take every word
 BATCH = 8192  # positions of a step
 RATE = 0.15
-WARM = 200
 PIECES = 64  # of the network, for averaging
 HELD = 400_000  # different words a task counts before it passes them on
 
@@ -74,10 +73,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _top(counts: DataFrame) -> DataFrame:
+    return counts.orderBy(F.col("n").desc(), "word").limit(TOP)
+
+
 def vocabulary(docs: DataFrame) -> dict[bytes, int]:
     """The TOP most frequent words, ties by their bytes, numbered from 0."""
-    top = word_counts(docs).orderBy(F.col("n").desc(), "word").limit(TOP).collect()
-    return {bytes(r.word): i for i, r in enumerate(top)}
+    return {bytes(r.word): i for i, r in enumerate(_top(word_counts(docs)).collect())}
+
+
+def rare_words(counts: DataFrame, top: DataFrame) -> DataFrame:
+    """(word, n, bucket) of the words that have no number of their own."""
+    rest = counts.join(F.broadcast(top.select("word")), "word", "left_anti")  # at most TOP
+    return rest.withColumn("bucket", F.crc32("word") % RARE)
+
+
+def frequencies(top: list, rare: DataFrame) -> np.ndarray:
+    """How often each number occurs in all documents."""
+    out = np.zeros(WORDS)
+    out[: len(top)] = [r.n for r in top]
+    for r in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[TOP + r.bucket] = r.n
+    return out
 
 
 def number(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -115,6 +132,14 @@ class Network:
         parts = np.split(self.flat, np.cumsum(sizes)[:-1])
         self.side, self.bias, self.classes, self.words = (p.reshape(s) for p, s in zip(parts, shapes))
 
+    def start(self, counts: np.ndarray) -> "Network":
+        """Outputs from the words' frequencies, whatever the neighbours."""
+        each = counts.reshape(-1, CLASS) + 0.5
+        self.classes[:, :HIDDEN] = self.words[:, :, :HIDDEN] = 0
+        self.classes[:, HIDDEN] = np.log(each.sum(1) / each.sum())
+        self.words[:, :, HIDDEN] = np.log(each / each.sum(1, keepdims=True))
+        return self
+
     def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pre-activation, state with a constant 1 last); ``near``: (neighbour, position)."""
         pre = self.bias + self.side[0][near[0]]
@@ -227,16 +252,9 @@ def _learn(net: Network, docs: list[np.ndarray], rng, turn: int, stride: int, ra
     return len(places)
 
 
-def train(tokens: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
+def train(tokens: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
     """Weights of the network, averaged over tasks after each round."""
-    few = tokens.orderBy(F.xxhash64("doc_id"), "doc_id", "ids").limit(WARM)
-    warm = [np.frombuffer(r.ids[: 1 << 13], np.uint16) for r in few.select("doc_id", F.substring("ids", 1, 1 << 13).alias("ids")).collect()]
-    net = Network()
-    rng = np.random.default_rng(17)
-    for _ in range(3):
-        if warm:
-            _learn(net, warm, rng, 0, 1, RATE)
-    weights = net.flat
+    weights = Network().start(counts).flat
     for turn in range(rounds):
         weights = _round(tokens, weights, turn, stride, RATE / (1 + turn))
     return weights
@@ -295,8 +313,11 @@ def score_all(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
     """doc_id, n_words, log_p (summed) and mean_log_p of every row."""
-    tokens = numbered(docs, vocabulary(docs))
-    sent = docs.sparkSession.sparkContext.broadcast(train(tokens, rounds, stride))
+    counts = materialise(word_counts(docs))
+    top = _top(counts).collect()
+    tokens = numbered(docs, {bytes(r.word): i for i, r in enumerate(top)})
+    started = frequencies(top, rare_words(counts, _top(counts)))
+    sent = docs.sparkSession.sparkContext.broadcast(train(tokens, started, rounds, stride))
 
     def run(batches):
         net = Network(sent.value)

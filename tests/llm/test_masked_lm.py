@@ -65,3 +65,22 @@ def test_rows(spark):
     assert [by[k].n_words for k in (1, 2, 3, 4, None)] == [4, 0, 0, 4, 50]
     assert by[None].log_p < 0 and by[None].mean_log_p == pytest.approx(by[None].log_p / 50)
     assert M.score(docs.filter("doc_id = -1")).count() == 0
+
+
+def test_the_rounds_learn_every_word_once():
+    class Seen:
+        targets = []
+
+        def step(self, near, target, rate):
+            self.targets += target.tolist()
+
+    docs = [np.arange(100, dtype=np.uint16), np.array([], np.uint16), np.arange(100, 107, dtype=np.uint16)]
+    for turn in range(M.ROUNDS):
+        M._learn(Seen(), docs, np.random.default_rng(0), turn, M.STRIDE, M.RATE)
+    assert sorted(Seen.targets) == list(range(107))
+
+
+def test_training_starts_from_frequencies(net):
+    counts = np.arange(M.WORDS) % 7 + 1.0
+    p = np.exp(net.start(counts).log_p(np.tile([[3], [M.PAD], [70], [4000]], M.WORDS), np.arange(M.WORDS)))
+    assert np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
