@@ -1,7 +1,8 @@
 """Documents scored by masked pseudo-likelihood: each word predicted from the words on both sides.
 
-The vocabulary is the TOP most frequent words of all documents and RARE buckets, by crc32, for the
-rest. A word's hidden state is a softsign of the sum of one vector for each of its SIDE neighbours
+The network's vocabulary is the TOP most frequent words of all documents and RARE buckets, by crc32,
+for the rest. A word of a bucket has the bucket's probability times its share of the bucket's
+occurrences, joined from the counts of all words (``score_words``; ``score`` is the network alone). A word's hidden state is a softsign of the sum of one vector for each of its SIDE neighbours
 on either side; the word itself is masked. Its probability is that of its class times that of the
 word in the class; classes are runs of CLASS numbers, frequent words first. A document's score is
 the sum of the logarithms over all its words.
@@ -106,15 +107,23 @@ def number(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
 
 
 def numbered(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """doc_id and the word numbers of every row, two bytes each; stored."""
+    """doc_id, the word numbers of every row, two bytes each, its words without a number of their own, row; stored."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
-            ids = [number(words_of(t.as_py()), sent.value).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            ids, rare = [], []
+            for text in batch.column(1):
+                words = words_of(text.as_py())
+                ids.append(number(words, sent.value).tobytes())
+                rare.append([w for w in words if w not in sent.value])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
+                names=["doc_id", "ids", "rare"],
+            )
 
-    return materialise(slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary"))
+    rows = slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, rare array<binary>")
+    return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 class Network:
@@ -228,10 +237,11 @@ def _near(row, at):
 
 
 def _gathered(batches, most: int = 1 << 19):
-    """(ids of rows, arrays of numbers) of a few rows at a time, bounded by their words."""
+    """(other columns of rows, arrays of numbers) of a few rows at a time, bounded by their words."""
     docs, ids, held = [], [], 0
     for batch in batches:
-        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+        *others, numbers = batch.columns
+        for doc, raw in zip(zip(*(c.to_pylist() for c in others)), numbers):
             docs.append(np.frombuffer(raw.as_py() or b"", np.uint16))
             ids.append(doc)
             held += len(docs[-1])
@@ -291,7 +301,7 @@ def _round(tokens: DataFrame, weights: np.ndarray, turn: int, stride: int, rate:
             )
 
     schema = "piece int, seen bigint, part binary"
-    parts = tokens.mapInArrow(run, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()
+    parts = tokens.select("row", "ids").mapInArrow(run, schema).repartition(PIECES, "piece").mapInArrow(add, schema).collect()
     if not parts:
         return weights
     by = {r.piece: np.frombuffer(r.part, np.float32) for r in parts}
@@ -311,23 +321,47 @@ def score_all(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     return total[starts + lengths] - total[starts]
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
-    """doc_id, n_words, log_p (summed) and mean_log_p of every row."""
+def _scored(docs: DataFrame, rounds: int, stride: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """row, doc_id, n_words and the network's log_p of every row; the rows' words; the rare words."""
     counts = materialise(word_counts(docs))
     top = _top(counts).collect()
     tokens = numbered(docs, {bytes(r.word): i for i, r in enumerate(top)})
-    started = frequencies(top, rare_words(counts, _top(counts)))
-    sent = docs.sparkSession.sparkContext.broadcast(train(tokens, started, rounds, stride))
+    rare = rare_words(counts, _top(counts))
+    sent = docs.sparkSession.sparkContext.broadcast(train(tokens, frequencies(top, rare), rounds, stride))
 
     def run(batches):
         net = Network(sent.value)
         for ids, rows in _gathered(batches):
-            log_p = score_all(net, rows)
+            at, doc_ids = zip(*ids)
             n = np.array([len(r) for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(n), pa.array(np.where(n > 0, log_p, 0.0)),
-                 pa.array(np.where(n > 0, log_p / np.maximum(n, 1), 0.0))],
-                names=["doc_id", "n_words", "log_p", "mean_log_p"],
+                [pa.array(at, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(n),
+                 pa.array(np.where(n > 0, score_all(net, rows), 0.0))],
+                names=["row", "doc_id", "n_words", "log_p"],
             )
 
-    return tokens.mapInArrow(run, "doc_id bigint, n_words bigint, log_p double, mean_log_p double")
+    scores = tokens.select("row", "doc_id", "ids").mapInArrow(run, "row bigint, doc_id bigint, n_words bigint, log_p double")
+    return scores, tokens, rare
+
+
+def _with_mean(scores: DataFrame) -> DataFrame:
+    mean = F.col("log_p") / F.greatest("n_words", F.lit(1))
+    return scores.select("doc_id", "n_words", "log_p", mean.alias("mean_log_p"))
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+    """doc_id, n_words, log_p (summed) and mean_log_p of every row, a rare word scored as its bucket."""
+    return _with_mean(_scored(docs, rounds, stride)[0])
+
+
+def score_words(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+    """``score`` with each rare word's own probability: that of its bucket times its share of it."""
+    scores, tokens, rare = _scored(docs, rounds, stride)
+    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # at most RARE
+    shares = rare.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+    inside = (
+        tokens.select("row", F.explode("rare").alias("word")).join(shares, "word")
+        .groupBy("row").agg(F.sum("share").alias("inside"))
+    )
+    whole = scores.join(inside, "row", "left")
+    return _with_mean(whole.withColumn("log_p", F.col("log_p") + F.coalesce("inside", F.lit(0.0))))

@@ -202,7 +202,7 @@ def op8_langid(spark, sf_dir):
 @register("op10_masked_lm")
 def op10_masked_lm(spark, sf_dir):
     """The masked pseudo-likelihood of every document."""
-    return masked_lm.score(table(spark, sf_dir, "documents"))
+    return masked_lm.score_words(table(spark, sf_dir, "documents"))
 
 
 @register("op3_near_dedup")

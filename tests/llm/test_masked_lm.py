@@ -84,3 +84,31 @@ def test_training_starts_from_frequencies(net):
     counts = np.arange(M.WORDS) % 7 + 1.0
     p = np.exp(net.start(counts).log_p(np.tile([[3], [M.PAD], [70], [4000]], M.WORDS), np.arange(M.WORDS)))
     assert np.allclose(p, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-3)
+
+
+def test_rare_words_have_their_own_probability(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOP", 2)
+    monkeypatch.setattr(M, "RARE", 1)
+    docs = spark.createDataFrame([(1, "a " * 20 + "b " * 10 + "c c c d")], "doc_id bigint, text string")
+    counts = M.materialise(M.word_counts(docs))
+    got = {bytes(r.word): (r.n, r.bucket) for r in M.rare_words(counts, M._top(counts)).collect()}
+    assert got == {b"c": (3, 0), b"d": (1, 0)}
+
+
+def test_the_query_adds_each_words_share_of_its_bucket(spark):
+    from collections import Counter
+    from keelson.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    known, texts = M.vocabulary(docs), {r.doc_id: M.words_of(r.text) for r in docs.collect()}
+    counts = Counter(w for ws in texts.values() for w in ws if w not in known)
+    total = Counter()
+    for w, n in counts.items():
+        total[M.zlib.crc32(w) % M.RARE] += n
+    share = {w: np.log(n / total[M.zlib.crc32(w) % M.RARE]) for w, n in counts.items()}
+    plain = {r.doc_id: r.log_p for r in M.score(docs).collect()}
+    got = {r.doc_id: r.log_p for r in QUERIES["op10_masked_lm"](spark, folder).collect()}
+    assert counts and min(share.values()) < -1
+    for i, words in texts.items():
+        assert got[i] - plain[i] == pytest.approx(sum(share.get(w, 0) for w in words), abs=0.05 + 1e-3 * len(words))
