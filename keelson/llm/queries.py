@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
-from keelson.llm import decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, sharding, suffix_dedup
+from keelson.llm import (
+    decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, ranked_search, sharding,
+    suffix_dedup,
+)
 from keelson.llm.common import fold, table
 
 register = Register()
@@ -220,3 +223,37 @@ def op6_suffix_dedup(spark, sf_dir):
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(
+    "op11_ranked_search",
+    rf"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM documents
+), f AS (
+  SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term
+), c AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id
+), s AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM c
+), w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark
+), p AS (
+  SELECT item_id, doc_id, sum(w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * docs // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN c USING (doc_id), s GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM p WHERE score > 0
+) WHERE rank <= {ranked_search.TOP}
+""",
+)
+def op11_ranked_search(spark, sf_dir):
+    """The highest-scoring documents of every benchmark item."""
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
