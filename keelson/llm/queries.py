@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
 from keelson.llm import (
-    decontaminate, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules, ranked_search, sharding,
-    suffix_dedup,
+    decontaminate, jaccard_join, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules,
+    ranked_search, sharding, suffix_dedup,
 )
 from keelson.llm.common import fold, table
 
@@ -257,3 +257,31 @@ SELECT item_id, rank, doc_id, score FROM (
 def op11_ranked_search(spark, sf_dir):
     """The highest-scoring documents of every benchmark item."""
     return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register(
+    "op12_jaccard_join",
+    rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOWER}, '{_SPACES}+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+""",
+)
+def op12_jaccard_join(spark, sf_dir):
+    """The number of shingles of every document and its component of linked documents."""
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
