@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from keelson.catalog.register import Register
 from keelson.llm import (
-    decontaminate, jaccard_join, langid, masked_lm, near_dedup, packing, pii, quality_model, quality_rules,
-    ranked_search, sharding, suffix_dedup,
+    collocations, decontaminate, jaccard_join, langid, masked_lm, near_dedup, packing, pii, quality_model,
+    quality_rules, ranked_search, sharding, suffix_dedup,
 )
 from keelson.llm.common import fold, table
 
@@ -285,3 +285,46 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 def op12_jaccard_join(spark, sf_dir):
     """The number of shingles of every document and its component of linked documents."""
     return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+_CUTS = " UNION ALL ".join(
+    f"SELECT p.lang, p.ws, p.a, {k} AS cut, x.a AS l, y.a AS r FROM p JOIN p x ON x.lang = p.lang AND x.ws = p.ws[:{k}] "
+    f"JOIN p y ON y.lang = p.lang AND y.ws = p.ws[{k + 1}:] WHERE len(p.ws) > {k}"
+    for k in range(1, collocations.LONGEST)
+)
+_INSIDE = " UNION ALL ".join(
+    f"SELECT lang, ws[{i}:{i + n - 1}] AS ws, a FROM p WHERE len(ws) > {n} AND len(ws) >= {i + n - 1}"
+    for n in range(2, collocations.LONGEST) for i in range(1, collocations.LONGEST - n + 2)
+)
+
+
+@register(
+    "op13_collocations",
+    rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces
+), t AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  {" UNION ALL ".join(f"SELECT lang, ws[i:i + {k - 1}] AS ws FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w WHERE len(ws) >= {k})" for k in range(1, collocations.LONGEST + 1))}
+), p AS (
+  SELECT lang, ws, count(*) AS a FROM g GROUP BY lang, ws HAVING count(*) >= {collocations.LEAST}
+), c AS (
+  SELECT *, (2000000::HUGEINT * a // (l + r))::BIGINT AS score FROM ({_CUTS})
+), s AS (
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, cut) = 1
+), m AS (
+  SELECT lang, ws, max(a) AS most FROM ({_INSIDE}) GROUP BY lang, ws
+), k AS (
+  SELECT s.lang, array_to_string(s.ws, ' ') AS phrase, s.a, l, r, score FROM s LEFT JOIN m ON m.lang = s.lang AND m.ws = s.ws
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM k JOIN t USING (lang) QUALIFY rank <= {collocations.TOP}
+""",
+)
+def op13_collocations(spark, sf_dir):
+    """The phrases of every language whose words occur together most."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
