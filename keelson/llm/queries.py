@@ -269,11 +269,11 @@ WITH RECURSIVE d AS (
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
-), both AS (
+), met AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
   FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
 ), links AS (
-  SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+  SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
 ), reach AS (
   SELECT doc_id AS a, doc_id AS b FROM documents
   UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
