@@ -36,7 +36,7 @@ from keelson.llm.common import materialise, slim
 from keelson.llm.decontaminate import words_of
 
 TOP = 50
-BLOCK_CELLS = 3_000_000
+BLOCK_CELLS = 2_000_000
 ROUND_TERMS = 200_000
 FIRST = 8
 BATCH = 64  # document ranges opened at once
@@ -184,25 +184,25 @@ class Tree:
             codes.append((square << (2 * (height - level))) + numbers(n))
             values.append(value)
             if level == height:
-                masks.append(np.zeros(n, np.int64))
+                masks.append(np.zeros(n, np.uint8))
                 break
             size = (n + 1) // 2
             bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at))[: 4 * n].reshape(n, 4)
             at += size
-            masks.append(bits.astype(np.int64) @ np.array([8, 4, 2, 1]))
+            masks.append(bits @ np.array([8, 4, 2, 1], np.uint8))
             kids, q = np.nonzero(bits[:, ::-1])
             square = square[kids] * 4 + q
             level += 1
         join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        self.mask, code, self.value = join(masks), join(codes), join(values)
+        self.row, self.column = (join([_gathered(c >> s).astype(np.int32) for c in codes]) for s in (1, 0))
+        self.mask, self.value = join(masks).astype(np.uint8), join(values).astype(np.int32)
         n_kids = _BITS[self.mask]
-        self.first = 1 + np.cumsum(n_kids) - n_kids
+        self.first = (1 + np.cumsum(n_kids) - n_kids).astype(np.int32)
         # The greatest value under each node: its children's, as each square's greatest is on top.
-        self.below = np.zeros(len(n_kids), np.int64)
+        self.below = np.zeros(len(n_kids), np.int32)
         inner = np.flatnonzero(n_kids)
         if len(inner):
             self.below[inner] = np.maximum.reduceat(self.value, self.first[inner])
-        self.row, self.column = _gathered(code >> 1), _gathered(code)
 
 
 class Best:
@@ -234,7 +234,7 @@ def search(tree: Tree, rows: np.ndarray, weights: np.ndarray, ids, best: Best) -
     every = np.arange(k)
     met = every[rows == tree.row[0]]
     root = (every if tree.mask[0] else every[:0], np.zeros(k if tree.mask[0] else 0, np.int64),
-            met, np.full(len(met), tree.column[0]), np.full(len(met), tree.value[0]))
+            met, np.full(len(met), tree.column[0], np.int64), np.full(len(met), tree.value[0], np.int64))
     queue, turn, opened = [(0, 0, 0, root)], 0, 0
     while queue:
         batch = []
@@ -247,7 +247,7 @@ def search(tree: Tree, rows: np.ndarray, weights: np.ndarray, ids, best: Best) -
                 batch.append((level, state))
             else:  # nothing below: the cells met are whole scores
                 docs, of = np.unique(state[3], return_inverse=True)
-                for d, s in zip(docs.tolist(), np.bincount(of, weights[state[2]] * state[4]).astype(np.int64).tolist()):
+                for d, s in zip(docs.tolist(), np.bincount(of, weights[state[2]] * state[4].astype(np.int64)).astype(np.int64).tolist()):
                     if s >= best.least:
                         best.add(s, ids[d])
         if not batch:
@@ -262,7 +262,7 @@ def search(tree: Tree, rows: np.ndarray, weights: np.ndarray, ids, best: Best) -
         s_of, s_term, s_node = [], [], []
         for side in (0, 1):
             q = 2 * half + side
-            mask = tree.mask[node]
+            mask = tree.mask[node].astype(np.int64)
             has = np.flatnonzero((mask >> q) & 1)
             s_of.append(2 * of[has] + side)
             s_term.append(term[has])
