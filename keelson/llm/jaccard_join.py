@@ -8,16 +8,17 @@ two sets that differ in H places agree in a whole segment. Each segment's subset
 sum of its shingles' numbers, and equal signatures make candidates. Bands with H = 0 need none: equal
 sets are one node from the start.
 
-Segments are allocated by cost. Where a segment's signatures make many pairs (one subset that many
-sets share), it is left out, and a cheap segment of the band takes its share: there sets that differ
-in one shingle meet too, by the signatures of the subset less each one of its shingles. The thresholds
-of a band (none, equal, one apart) sum to H + 1 as before, so no link can be missed. An exchange is made
-when the pairs saved outweigh the rows of the one-deletion neighbourhood.
-
-No bucket is expanded into pairs of its members. STARS rounds compare members with one leader of their
-bucket, a new one each round, and join what links. Then all pairs of different components in a bucket
-are compared, those excepted that their parities rule out: each shingle flips one of 512 bits, so no
-more bits can differ than shingles. Every pair left is verified on the words of both texts, exactly.
+Segments are allocated by cost. Where many sets of a band share a segment's subset without being alike
+(boilerplate), the segment is left out, and a cheap segment of the band takes its share: there sets that
+differ in one shingle meet too, by the signatures of the subset less each one of its shingles. The
+thresholds of a band (none, equal, one apart) sum to H + 1 as before, so no link can be missed. An exchange
+is made when the comparisons saved outweigh the rows of the one-deletion neighbourhood.
+
+No bucket is expanded into pairs of its members. Rounds compare members with one leader of their
+bucket, a new one each round, and join what links, until a round adds no link or STARS have passed. Then
+all pairs of different components in a bucket are compared, those excepted that their parities rule out:
+each shingle flips one of 512 bits, so no more bits can differ than shingles. Every pair left is verified
+on the words of both texts, exactly.
 
 Words: A-Z lower-cased, split at blanks, tabs, newlines and returns. A text of fewer words than SHINGLE
 is one shingle of all of them; one without words, empty or null, has an empty set and links with
@@ -39,9 +40,9 @@ from keelson.llm.near_dedup import lowered, relabelled
 SHINGLE = 3
 LEAST = (90, 100)
 GROWTH = 1.2  # of the sizes from one band to the next
-STARS = 3
+STARS = 6
 CHUNK = 1 << 20  # bytes of text hashed at once
-PAIR_COST, ROW_COST = 4.0, 1.0  # of comparing a pair of a bucket, and of one more signature
+PAIR_COST, ROW_COST = 8.0, 1.0  # of comparing a member of a bucket, and of one more signature
 
 SETS = (
     "doc_id bigint, th bigint, n bigint, d1 bigint, d2 bigint, parity array<bigint>, "
@@ -240,24 +241,19 @@ def sets(docs: DataFrame, least=LEAST) -> DataFrame:
 # ---- buckets
 
 
-def _leader(*salt):
-    return F.min(F.struct(F.xxhash64("node", *salt).alias("turn"), "node", "th", "n"))
-
-
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, band, segment, size) of signatures that several nodes have."""
-    return materialise(
-        nodes.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.first("band").alias("band"), F.first("segment").alias("segment")
-        ).filter("size > 1")
-    )
+def in_buckets(signed: DataFrame) -> DataFrame:
+    """The rows of ``signed`` whose key several of them have. Both reads share one shuffle."""
+    dealt = signed.repartition("key")
+    shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1").select("key")
+    return materialise(dealt.join(shared, "key"))
 
 
 def allocate(loads: pd.DataFrame, pair_cost: float = PAIR_COST, row_cost: float = ROW_COST) -> pd.DataFrame:
     """The segments of one band that are left out (0) or also meet one apart (2).
 
-    ``loads`` has the pairs of each segment, and the sets and mean size of the band. The dearest segment
-    is exchanged for the cheapest while that saves cost.
+    ``loads`` has the members of each segment's buckets (``pairs``: each is compared with a leader), and
+    the sets and mean size of the band. The dearest segment is exchanged for the cheapest while that saves
+    cost.
     """
     loads = loads.sort_values(["pairs", "segment"]).reset_index(drop=True)
     rows = loads["sets"].iloc[0] * (loads["shingles"].iloc[0] / len(loads) + 1)
@@ -271,12 +267,11 @@ def allocate(loads: pd.DataFrame, pair_cost: float = PAIR_COST, row_cost: float
     return pd.DataFrame(out, columns=["band", "segment", "apart"])
 
 
-def allocation(signed: DataFrame, shared: DataFrame, least, pair_cost: float, row_cost: float) -> DataFrame:
+def allocation(banded: DataFrame, met: DataFrame, least, pair_cost: float, row_cost: float) -> DataFrame:
     """(band, segment, apart) where it is not 1."""
-    pairs = shared.groupBy("band", "segment").agg(F.sum(F.col("size") * (F.col("size") - 1) / 2).alias("pairs"))
-    hot = pairs.groupBy("band").agg(F.max("pairs").alias("most")).filter("most > 1").select("band")
-    sizes = signed.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("shingles"))
-    sizes = sizes.join(hot, "band")
+    pairs = met.groupBy("band", "segment").agg(F.count(F.lit(1)).cast("double").alias("pairs"))
+    sizes = banded.groupBy("band").agg(F.count(F.lit(1)).alias("sets"), F.avg("n").alias("shingles"))
+    sizes = sizes.join(pairs.select("band").distinct(), "band")
 
     def every_segment(batches):
         for frame in batches:
@@ -296,15 +291,15 @@ def allocation(signed: DataFrame, shared: DataFrame, least, pair_cost: float, ro
     return materialise(loads.groupBy("band").applyInPandas(run, "band int, segment int, apart int"))
 
 
-def neighbours(docs: DataFrame, heads: DataFrame, twice: DataFrame, least) -> DataFrame:
-    """(node, th, n, band, segment, key): the whole and one-deletion signatures of the segments in ``twice``."""
-    names = ["node", "th", "n", "band", "segment", "key"]
+def neighbours(texts: DataFrame, twice: DataFrame, least) -> DataFrame:
+    """(node, band, segment, key): the whole and one-deletion signatures of the segments in ``twice``."""
+    names = ["node", "band", "segment", "key"]
 
     def run(batches):
         for batch in batches:
-            for part, texts in _chunks(batch, 2):
+            for part, texts in _chunks(batch, 1):
                 sizes, of, number, text, band, k = _numbered(texts, least)
-                wanted = {t: {(w["band"], w["segment"]) for w in ws.as_py()} for t, ws in enumerate(part.column(3))}
+                wanted = {t: {(w["band"], w["segment"]) for w in ws.as_py()} for t, ws in enumerate(part.column(2))}
                 picked = [i for i in range(len(text)) if any(b == band[i] for b, _ in wanted[text[i]])]
                 text, band = text[picked], band[picked]
                 row, shingle = _expanded(of, sizes, text)
@@ -319,16 +314,13 @@ def neighbours(docs: DataFrame, heads: DataFrame, twice: DataFrame, least) -> Da
                     out += [(int(text[i]), int(band[i]), s, key) for key in keys.tolist()]
                 take = pa.array([o[0] for o in out], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(sizes, pa.int64()).take(take),
-                     *[pa.array([o[j] for o in out], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))]],
+                    [part.column(0).take(take), *[pa.array([o[j] for o in out], t) for j, t in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()))]],
                     names=names,
                 )
 
-    wanted = twice.groupBy("node", "th").agg(F.collect_set(F.struct("band", "segment")).alias("wanted"))
-    rows = _texts(docs).select(F.col("doc_id").alias("node"), "th", "text").join(wanted, ["node", "th"])
-    return rows.select("node", "th", "text", "wanted").mapInArrow(
-        run, "node bigint, th bigint, n bigint, band int, segment int, key bigint"
-    ).distinct()
+    wanted = twice.groupBy("node").agg(F.collect_set(F.struct("band", "segment")).alias("wanted"))
+    rows = texts.join(wanted, "node")
+    return rows.select("node", "text", "wanted").mapInArrow(run, "node bigint, band int, segment int, key bigint")
 
 
 # ---- pairs
@@ -348,46 +340,38 @@ def _near(a, b, x, y, least):
     return _alike(a, b, least) & ((least[1] + least[0]) * _apart(x, y) <= (least[1] - least[0]) * (a + b))
 
 
-_PAIR = ("a", "a_th", "a_label", "b", "b_th", "b_label")
+_PAIR = ("a", "a_label", "b", "b_label")
+
+
+def _of(nodes, side):
+    return nodes.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in nodes.columns])
 
 
-def star_pairs(met: DataFrame, labels: DataFrame, parities: DataFrame, turn: int, least) -> DataFrame:
+def star_pairs(met: DataFrame, sides: DataFrame, turn: int, least) -> DataFrame:
     """Members with the leader of their bucket, where they are in different components."""
-    lead = materialise(met.groupBy("key").agg(_leader(F.lit(turn)).alias("lead")))
-    rows = met.join(lead, "key").filter(
-        (F.col("lead.node") != F.col("node")) & _alike(F.col("n"), F.col("lead.n"), least)
-    )
-    pairs = rows.select(
-        F.col("lead.node").alias("a"), F.col("lead.th").alias("a_th"), F.col("node").alias("b"), F.col("th").alias("b_th")
-    ).distinct()
-    for side in "ab":
-        pairs = pairs.join(_of(parities, side), [side, f"{side}_th"]).join(
-            labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label")), side
-        )
+    leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), F.col("node").alias("lead")))
+    lead = met.groupBy("key").agg(leader.alias("m")).select("key", "m.lead")
+    pairs = met.join(lead, "key").filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(_of(sides, "a"), "a").join(_of(sides, "b"), "b")
     near = _near(*[F.col(c) for c in ("a_n", "b_n", "a_parity", "b_parity")], least)
     return pairs.filter((F.col("a_label") != F.col("b_label")) & near).select(*_PAIR)
 
 
-def _of(nodes, side):
-    own = {"node": side, **{c: f"{side}_{c}" for c in nodes.columns if c != "node"}}
-    return nodes.select(*[F.col(c).alias(n) for c, n in own.items()])
-
-
-def open_rows(met: DataFrame, labels: DataFrame) -> DataFrame:
+def open_rows(met: DataFrame, sides: DataFrame) -> DataFrame:
     """The rows of buckets that hold different components, with their labels."""
-    named = met.drop("label").join(labels, "node")
+    named = met.select("key", "node").join(sides.select("node", "label"), "node").repartition("key")
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return materialise(named.join(mixed.select("key"), "key", "left_semi"))
+    return materialise(named.join(mixed.select("key"), "key"))
 
 
-def other_pairs(met: DataFrame, parities: DataFrame, least) -> DataFrame:
+def other_pairs(met: DataFrame, sides: DataFrame, least) -> DataFrame:
     """All pairs of different components in a bucket that can reach ``least``."""
     # A pair of different components has one set outside the component that is most frequent in the bucket.
     main = (
         met.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("key").agg(F.max(F.struct("rows", "label"))["label"].alias("main"))
     )
-    rows = materialise(met.join(main, "key").join(parities.drop("n"), ["node", "th"]))
+    rows = materialise(met.join(main, "key").join(sides.drop("label"), "node"))
     x, y = rows.filter("label <> main").alias("x"), rows.alias("y")
     pairs = x.join(
         y,
@@ -397,7 +381,7 @@ def other_pairs(met: DataFrame, parities: DataFrame, least) -> DataFrame:
     )
     low = F.col("x.node") < F.col("y.node")  # a pair met in two buckets is one pair
     pick = lambda c, first: F.when(low == F.lit(first), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    columns = [pick(c, first) for first in (True, False) for c in ("node", "th", "label")]
+    columns = [pick(c, first) for first in (True, False) for c in ("node", "label")]
     return pairs.select(*[c.alias(n) for c, n in zip(columns, _PAIR)]).distinct()
 
 
@@ -428,7 +412,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least) -> DataFrame:
             keep = [linked(_lower(x), _lower(y), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(_of(texts, "b"), ["b", "b_th"]).join(_of(texts, "a"), ["a", "a_th"])
+    both = pairs.join(_of(texts, "b"), "b").join(_of(texts, "a"), "a")
     return materialise(both.select("a_label", "b_label", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"))
 
 
@@ -440,34 +424,37 @@ def components(docs: DataFrame, least=LEAST, pair_cost: float = PAIR_COST, row_c
     rows = materialise(sets(docs, least))
     heads = materialise(
         rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "th")).alias("m"))
-        .select("n", "d1", "d2", F.col("m.doc_id").alias("node"), "m.th")
+        .select("n", "d1", "d2", "m.doc_id", "m.th")
     )
-    own = rows.join(heads.select(F.col("node").alias("doc_id"), "th"), ["doc_id", "th"], "left_semi")
-    banded = own.select(F.col("doc_id").alias("node"), "th", "n", F.explode("bands").alias("b")).select("node", "th", "n", "b.*")
-    signed = banded.select("node", "th", "n", "band", F.posexplode("keys").alias("segment", "key"))
-    shared = buckets(signed)
-    apart = allocation(banded, shared, least, pair_cost, row_cost)
-    used = shared.join(apart.filter("apart = 0"), ["band", "segment"], "left_anti").select("key")
-    met = signed.select("key", "node", "th", "n").join(used, "key")
+    head = heads.select("doc_id", "th")
+    own = rows.select("doc_id", "th", "n", "parity", "bands").join(head, ["doc_id", "th"], "left_semi")
+    # Stored with a number of its own for each set; repeated rows of one set count once.
+    own = materialise(own.dropDuplicates(["doc_id", "th"]).withColumn("node", F.monotonically_increasing_id()))
+    text_of = lambda nodes: _texts(docs).join(nodes, ["doc_id", "th"]).select("node", "text").dropDuplicates(["node"])
+    banded = own.select("node", "n", F.explode("bands").alias("b")).select("node", "n", "b.*")
+    met = in_buckets(banded.select("node", "band", F.posexplode("keys").alias("segment", "key")))
+    apart = allocation(banded, met, least, pair_cost, row_cost)
     if not apart.isEmpty():
-        twice = banded.select("node", "th", "band").join(apart.filter("apart = 2"), "band").select("node", "th", "band", "segment")
-        more = materialise(neighbours(docs, heads, twice, least))
-        met = met.unionByName(more.join(buckets(more).select("key"), "key").select("key", "node", "th", "n"))
-    met = materialise(met)
-    nodes = materialise(met.select("node", "th").distinct())
-    is_node = lambda df: df.join(nodes.select(F.col("node").alias("doc_id"), "th"), ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
-    parities = materialise(is_node(rows).select(F.col("doc_id").alias("node"), "th", "n", "parity"))
-    texts = materialise(is_node(_texts(docs)).select(F.col("doc_id").alias("node"), "th", "text"))
-    labels = nodes.select("node", F.col("node").alias("label")).distinct()
+        twice = banded.select("node", "band").join(apart.filter("apart = 2"), "band").select("node", "band", "segment")
+        asked = own.select("doc_id", "th", "node").join(twice.select("node").distinct(), "node")
+        more = in_buckets(materialise(neighbours(text_of(asked), twice, least)))
+        met = met.join(apart.filter("apart = 0"), ["band", "segment"], "left_anti").select("key", "node").union(more.select("key", "node"))
+    met = materialise(met.select("key", "node").distinct())
+    nodes = materialise(met.select("node").distinct())
+    # The label of a set is a document's id from the start, so that rows of one id are one.
+    known = materialise(own.select("node", "doc_id", "th", "n", "parity").join(nodes, "node"))
+    texts = materialise(text_of(known.select("doc_id", "th", "node")))
+    labels = known.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
+    sides = lambda: known.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").drop("doc_id", "th")
     for turn in range(STARS):
-        links = verified(star_pairs(met, labels, parities, turn, least), texts, least)
+        links = verified(star_pairs(met, sides(), turn, least), texts, least)
         labels = relabelled(labels, links)
-        met = open_rows(met, labels)
-        if met.isEmpty():
+        met = open_rows(met, sides())
+        if met.isEmpty() or links.isEmpty():
             break
-    else:
-        labels = relabelled(labels, verified(other_pairs(met, parities, least), texts, least))
-    named = heads.join(labels, "node", "left").select("n", "d1", "d2", F.coalesce("label", "node").alias("component"))
+    labels = relabelled(labels, verified(other_pairs(met, sides(), least), texts, least))
+    named = heads.select("n", "d1", "d2", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    named = named.select("n", "d1", "d2", F.coalesce("label", "doc_id").alias("component"))
     by_row = materialise(
         rows.select("doc_id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
