@@ -9,14 +9,13 @@ Candidates are verified by aligning the labelled k-mers of both texts: matches o
 the similarity allows cannot count, the longest common order of the rest does. The similarity is the
 aligned k-mers over all k-mers of both, at least LEAST.
 
-No bucket is expanded into pairs. The first round pairs each member with one leader of its bucket;
-later rounds deal buckets anew into parts of about PART members and pair those that are not yet in
-one class, until a round adds no link. Buckets of up to PART are thus compared whole at once; in
-larger ones the rounds only join what meets by chance. What is left there in different classes is
-paired exactly: two texts at LEAST must share one of the rarest k-mers of each (a prefix of their
-k-mers by rareness), early enough that the rest of both can still reach LEAST. Every pair of
-different classes that does is compared. Classes are connected components, by labels that are
-lowered and short-cut.
+No bucket is expanded into pairs. Rounds pair each member with one leader of its bucket, another in
+each round, until a round adds no link or STARS have passed. Buckets of up to PART are compared whole
+once. What is left in larger ones in different classes is paired exactly: two texts at LEAST must share
+one of the rarest k-mers of each (a prefix of their k-mers by rareness), early enough that the rest of
+both can still reach LEAST, and their parities (each labelled k-mer flips one of 512 bits) must not
+differ in more bits than LEAST allows k-mers to differ. Every pair of different classes that passes is
+compared. Classes are connected components, by labels that are lowered and short-cut.
 
 Words: A-Z lower-cased runs of digits, letters and non-ASCII characters; a text of fewer than five is
 one k-mer. A text without words, empty or null, is a class of its own. A class is named by its least
@@ -40,6 +39,7 @@ LEAST = 0.8
 TABLES = 24
 KEEP = 3
 PART = 4
+STARS = 6
 MOST_CELLS = 1 << 21  # of the table of hashes of one text; longer texts go in column blocks
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -164,12 +164,7 @@ def buckets(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(
         F.posexplode("keys").alias("t", "key"), F.col("doc_id").alias("node"), "th", "n"
     ).withColumn("key", F.xxhash64("t", "key")).drop("t")
-    shared = materialise(
-        rows.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"),
-            F.min(F.struct(F.xxhash64("node").alias("turn"), "node", "th", "n")).alias("leader"),
-        ).filter("size > 1")
-    )
+    shared = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
     return materialise(rows.join(shared, "key"))
 
 
@@ -184,21 +179,23 @@ def _pairs(rows: DataFrame, *columns) -> DataFrame:
     return rows.select(*[c.alias(n) for c, n in zip(columns, _PAIR)]).distinct()
 
 
-def star_pairs(shared: DataFrame, least: float) -> DataFrame:
-    """Each member with the leader of its bucket."""
-    lead, node = F.col("leader"), F.col("node")
-    rows = shared.filter((lead["node"] != node) & _close(F.col("n"), lead["n"], least))
-    return _pairs(rows, lead["node"], lead["th"], lead["node"], node, F.col("th"), node)
+def star_pairs(shared: DataFrame, labels: DataFrame, turn: int, least: float) -> DataFrame:
+    """Each member with the leader of its bucket, the turn's, where their classes differ."""
+    named = shared.select("key", "node", "th", "n").join(labels, "node")
+    place = F.xxhash64("node", F.lit(turn)).alias("turn")
+    leader = F.min(F.struct(place, "node", "th", "n", "label")).alias("leader")
+    rows = named.join(named.groupBy("key").agg(leader), "key")
+    lead = F.col("leader")
+    rows = rows.filter((lead["label"] != F.col("label")) & _close(F.col("n"), lead["n"], least))
+    return _pairs(rows, lead["node"], lead["th"], lead["label"], F.col("node"), F.col("th"), F.col("label"))
 
 
-def part_pairs(shared: DataFrame, labels: DataFrame, turn: int, least: float) -> DataFrame:
-    """Members of different classes in the same part of a bucket, dealt anew each turn."""
+def whole_pairs(shared: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """All pairs of different classes in buckets of up to PART members."""
     member = F.struct("node", "th", "n", "label").alias("m")
     parts = (
-        shared.drop("leader").join(labels, "node")
-        .withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("size") / PART)))
-        .groupBy("key", "part").agg(F.sort_array(F.collect_list(member)).alias("ms"))  # about PART
-        .filter("size(ms) > 1")
+        shared.filter(F.col("size") <= PART).join(labels, "node")
+        .groupBy("key").agg(F.sort_array(F.collect_list(member)).alias("ms"))
     )
     rows = (
         parts.select(F.posexplode("ms").alias("i", "x"), "ms")
@@ -208,6 +205,13 @@ def part_pairs(shared: DataFrame, labels: DataFrame, turn: int, least: float) ->
     return _pairs(rows, *[F.col(f"{m}.{c}") for m in "xy" for c in ("node", "th", "label")])
 
 
+def open_buckets(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``shared`` whose bucket holds different classes."""
+    named = shared.join(labels, "node")
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+    return materialise(shared.join(mixed.select("key"), "key", "left_semi"))
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """(a, b): labels of the pairs whose texts align."""
 
@@ -244,36 +248,49 @@ def stored_tokens(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return materialise(tokens.groupBy("node", "th").agg(F.first("numbers").alias("numbers")))
 
 
+def parity(labelled: np.ndarray) -> np.ndarray:
+    """512 bits, of which each k-mer flips one: two lists differ in at least as many k-mers as bits."""
+    bits = np.bincount((labelled & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _may(a, b, x, y, least):
+    """Whether the parities of lists of a and b k-mers allow ``least``."""
+    apart = sum(F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(8))
+    return apart <= F.lit((1 - least) / (1 + least)) * (a + b) + 1e-6
+
+
 def prefixes(tokens: DataFrame, least: float) -> DataFrame:
-    """(key, node, th, n, at): the k-mers, rarest first, one of which two texts at ``least`` must share.
+    """(key, node, th, n, parity, at): the k-mers, rarest first, one of which two texts at ``least`` must share.
 
     ``at`` is the k-mer's place in that order. K-mers of one text only come first and pair nothing.
     """
 
     def run(batches):
         for batch in batches:
-            keys = [kmers(np.frombuffer(x.as_py(), "<u4")).view(np.int64) for x in batch.column(2)]
+            keys = [kmers(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(k) for k in keys], pa.int64()),
-                 pa.array(keys, pa.list_(pa.int64()))],
-                names=["node", "th", "n", "keys"],
+                 pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())),
+                 pa.array([parity(k) for k in keys], pa.list_(pa.int64()))],
+                names=["node", "th", "n", "keys", "parity"],
             )
 
-    rows = tokens.select("node", "th", "numbers").mapInArrow(run, "node bigint, th bigint, n bigint, keys array<bigint>")
-    rows = materialise(rows.select("node", "th", "n", F.explode("keys").alias("key")))
+    schema = "node bigint, th bigint, n bigint, keys array<bigint>, parity array<bigint>"
+    texts = materialise(tokens.select("node", "th", "numbers").mapInArrow(run, schema))
+    rows = texts.select("node", "th", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     node = Window.partitionBy("node", "th")
     ranked = rows.join(shared, "key").withColumns(
         {"rank": F.row_number().over(node.orderBy("texts", "key")), "common": F.count(F.lit(1)).over(node)}
     ).withColumn("at", F.col("n") - F.col("common") + F.col("rank") - 1)
-    return ranked.filter(F.col("at") <= F.lit(1 - least) * F.col("n") + 1e-6).select("key", "node", "th", "n", "at")
+    early = ranked.filter(F.col("at") <= F.lit(1 - least) * F.col("n") + 1e-6)
+    return early.select("key", "node", "th", "n", "at").join(texts.select("node", "th", "parity"), ["node", "th"])
 
 
 def prefix_pairs(shared: DataFrame, labels: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
-    """All pairs of different classes within ``shared`` buckets that can reach ``least``."""
-    named = shared.select("key", "node", "th").join(labels, "node")
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-    open_ = materialise(named.join(mixed, "key", "left_semi").select("node", "th", "label").distinct())
+    """All pairs of different classes among the nodes of ``shared`` that can reach ``least``."""
+    open_ = materialise(shared.select("node", "th").distinct().join(labels, "node"))
     keyed = materialise(
         prefixes(tokens.join(open_, ["node", "th"], "left_semi"), least).join(open_, ["node", "th"])
     )
@@ -291,7 +308,8 @@ def prefix_pairs(shared: DataFrame, labels: DataFrame, tokens: DataFrame, least:
         (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
         & ((F.col("y.label") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
         & (F.col("x.n") - F.col("x.at") >= need) & (F.col("y.n") - F.col("y.at") >= need)
-        & _close(F.col("x.n"), F.col("y.n"), least - 1e-6),
+        & _close(F.col("x.n"), F.col("y.n"), least - 1e-6)
+        & _may(F.col("x.n"), F.col("y.n"), F.col("x.parity"), F.col("y.parity"), least),
     )
     low = F.col("x.node") < F.col("y.node")  # a pair met at two keys is one pair
     pick = lambda c, first: F.when(low == first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
@@ -336,14 +354,17 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     own = materialise(shared.select("node").distinct())
     tokens = stored_tokens(docs, shared)
     labels = own.select("node", F.col("node").alias("label"))
-    links = materialise(verified(star_pairs(shared, least), tokens, least))
-    turn, rows_left = 0, shared
-    while turn == 0 or not links.isEmpty():
+    left = shared
+    for turn in range(STARS):
+        links = materialise(verified(star_pairs(left, labels, turn, least), tokens, least))
+        none = links.isEmpty()
         labels = relabelled(labels, links)
-        turn += 1
-        links = materialise(verified(part_pairs(rows_left, labels, turn, least), tokens, least))
-        rows_left = shared.filter(F.col("size") > PART)  # the others have been compared whole
-    labels = relabelled(labels, materialise(verified(prefix_pairs(rows_left, labels, tokens, least), tokens, least)))
+        left = open_buckets(left, labels)
+        if none or left.isEmpty():
+            break
+    labels = relabelled(labels, materialise(verified(whole_pairs(left, labels, least), tokens, least)))
+    left = open_buckets(left.filter(F.col("size") > PART), labels)
+    labels = relabelled(labels, materialise(verified(prefix_pairs(left, labels, tokens, least), tokens, least)))
     named = nodes.select("digest", F.col("doc_id").alias("node")).join(labels, "node", "left")
     named = named.select("digest", F.coalesce("label", "node").alias("class_id"))
     # Rows of one id with different texts join their classes, as their id is one document.
