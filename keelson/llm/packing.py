@@ -17,6 +17,7 @@ import bisect
 import sys
 import types
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from keelson.llm.common import materialise, slim
 
 SIZE = 4096
 END = 2
-KNOWN = 2_000_000  # texts between spaces whose ids a worker remembers
+SHORT = 64  # bytes of a run between spaces whose ids a worker remembers
+KNOWN_BYTES = 64 << 20  # that it remembers in all, with ENTRY bytes of overhead for each
+ENTRY = 180
 MOST_PATTERNS = 1_000_000
 PIECE = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -47,26 +50,29 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) > KNOWN:
-            self.known.clear()
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of all ``chunks``; the short ones are remembered."""
         known, bare = self.known, {}
         for c in chunks:
             # A word and the marks after it are apart for the vocabulary: each is looked up alone.
             word = c.rstrip(_ENDS)
             bare[c] = (word, c[len(word) :]) if word != c and word[-1:].isalnum() and b"<|" not in c else (c,)
-        self._encode(list({x for parts in bare.values() for x in parts if x not in known}))
-        for c, parts in bare.items():
-            if len(parts) > 1:
-                known[c] = known[parts[0]] + known[parts[1]]
-
-    def _encode(self, chunks: list[bytes]) -> None:
+        found = self._encode(list({x for parts in bare.values() for x in parts if x not in known}))
+        get = lambda x: found[x] if x in found else known[x]
+        found.update({c: get(parts[0]) + get(parts[1]) for c, parts in bare.items() if len(parts) > 1})
+        for c, ids in found.items():
+            if len(c) <= SHORT and c not in known:
+                known[c] = ids
+                self.held += len(c) + len(ids) + ENTRY
+        return found
+
+    def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         encoded = self.tokenizer.encode_batch_fast(
             [c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False
         )
-        for c, e in zip(chunks, encoded):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -78,14 +84,15 @@ class Encoder:
             if not any(m in raw for m in _MARKS) and b"<|" not in raw:
                 raw = raw.translate(_LOWER)
             split.append(raw.split())
-        known = self.known
-        new = {c for chunks in split for c in chunks if c not in known}
-        if new:
-            self._learn(list(new))
-            known = self.known
-            if any(c not in known for chunks in split for c in chunks):  # forgotten just now
-                self._learn(list({c for chunks in split for c in chunks if c not in known}))
-        get = known.__getitem__
+        if self.held > KNOWN_BYTES:
+            self.known.clear()
+            self.held = 0
+        new = set().union(*split).difference(self.known)
+        found = self._learn(list(new)) if new else {}
+        if any(len(c) > SHORT for c in new):  # long runs are forgotten with this call
+            get = ChainMap(self.known, found).__getitem__
+        else:
+            get = self.known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 

@@ -128,7 +128,7 @@ FEATURES = (
 _INDEX = {n: i for i, n in enumerate(FEATURES)}
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def features(segment: str, left: str, right: str) -> tuple[int, ...]:
     """Indices of the features that hold of a whole span; ``left``, ``right``: what stands beside it."""
     groups = re.findall("[0-9]+", segment)
