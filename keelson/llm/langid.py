@@ -256,9 +256,19 @@ def learnable(docs: DataFrame) -> DataFrame:
     return slim(docs, "doc_id", "text", "lang").filter(fold(F.col("doc_id"), 5) != 0)
 
 
-def accepted(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``docs`` without texts of no language or of a score below ``least``."""
+def accepted(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """``docs`` without texts of no language or of a score below ``least``.
+
+    By default ``least`` is a fifth above chance among the languages learned, one half at most. Where
+    no row tells its language nothing can be learned, and only texts without a letter go.
+    """
     columns, names = docs.columns, ("_keelson_lang", "_keelson_score")
-    rated = identify(docs, learnable(docs), tuple(columns), names)
+    found = samples(learnable(docs))
+    if not found:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    net = train(found)
+    if least is None:
+        least = min(0.5, 1.2 / len(net.languages))
+    rated = predict(docs, net, columns, names)
     passed = (F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)
     return rated.filter(passed).select(*[F.col(f"`{c}`") for c in columns])
