@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from keelson.config import LogAudit, LogSource
 from keelson.operators import logreport as R
 from keelson.operators.rules import match_events
-from keelson.sources.logs import path_exists
+
+# Executors need not have this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LOG = ["source", "file"]
 
@@ -45,81 +51,164 @@ def merge_groups(groups: DataFrame, by) -> DataFrame:
     return merged.withColumn("last", F.when(F.col("count") > 1, F.col("_last"))).drop("_last")
 
 
+STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+LINE_BLOCK = 1024  # lines of a log that share a part
+
+TOTALS = "line_count bigint, last_reset bigint"
+GROUP = (
+    "description string, risk int, count bigint, first_at array<bigint>, first_line string, "
+    "last_at array<bigint>, last_line string"
+)
+CHANGES = f"source string, file string, part int, key string, {GROUP}"
+_AT = ["line_no", "rule_idx", "selector_idx"]
+
+
+class LogState(StatefulProcessor):
+    """What one part of one log has collected since its last reset.
+
+    ``totals`` counts the lines (in the log's first part) and holds the last reset; ``groups`` maps a
+    key to its count, risk, first and last line. A reset reaches every part and clears what stands
+    before it; later lines numbered before it are not counted.
+    """
+
+    def init(self, handle):
+        self.totals = handle.getValueState("totals", TOTALS)
+        self.groups = handle.getMapState("groups", "key string", GROUP)
+
+    def handleInputRows(self, key, rows, timer_values):
+        # All rows of the batch are needed before the first event counts: a reset may come last.
+        rows = pd.concat(list(rows), ignore_index=True)
+        line_count, reset = self.totals.get() if self.totals.exists() else (0, None)
+        known = -1 if reset is None else reset
+        newest = max(known, -1 if rows["reset"].isna().all() else int(rows["reset"].max()))
+        if newest > known:
+            ended = [k for k, v in self.groups.iterator() if v[5][0] <= newest]
+            for k in ended:
+                self.groups.removeKey(k)
+        self.totals.update((line_count + int(rows["lines"].sum()), newest if newest >= 0 else None))
+        events = rows[rows["key"].notna() & (rows["line_no"] > newest)].sort_values(_AT)
+        changed = []
+        for name, own in events.groupby("key", sort=False):
+            start, end = own.iloc[0], own.iloc[-1]
+            at = [[int(r[c]) for c in _AT] for r in (start, end)]
+            new = (start["description"], int(own["risk"].max()), len(own), at[0], start["line"], at[1], end["line"])
+            if self.groups.containsKey((name,)):
+                new = merged(self.groups.getValue((name,)), new)
+            self.groups.updateValue((name,), new)
+            changed.append((*key, name, *new))
+        yield pd.DataFrame(changed, columns=[f.split()[0] for f in CHANGES.split(", ")])
+
+    def close(self):
+        pass
+
+
+def merged(old, new) -> tuple:
+    """Two groups of one key as one."""
+    first, last = (old if old[3] <= new[3] else new), (old if old[5] >= new[5] else new)
+    return first[0], max(old[1], new[1]), old[2] + new[2], first[3], first[4], last[5], last[6]
+
+
+class _Rocks:
+    """The state store that keyed state needs, set while a query starts or its state is read."""
+
+    def __init__(self, spark: SparkSession):
+        self.conf = spark.conf
+
+    def __enter__(self):
+        self.before = self.conf.get(_PROVIDER, None)
+        self.conf.set(_PROVIDER, STATE)
+
+    def __exit__(self, *error):
+        if self.before is None:
+            self.conf.unset(_PROVIDER)
+        else:
+            self.conf.set(_PROVIDER, self.before)
+
+
 @dataclass(frozen=True)
 class RunningReport:
-    """Grouped report over an endless log, for ``foreachBatch``.
+    """Grouped report over an endless log, held in keyed state.
 
-    Each batch is reduced to its groups by ordinary aggregation, so a hot log never becomes one
-    task, and merged with the groups stored by the batch before. Every batch writes a version of
-    its own: repeating a batch after a failure overwrites that version with the same rows.
-    Lines are (source, file, line_no, line) and reach later batches in order per file.
+    The state of a log is cut into ``parts`` by blocks of its line numbers, so neither a hot log nor
+    a hot key becomes one task. A batch reads and writes the state of its own logs only; a repeated
+    batch starts from the state before it. Lines are (source, file, line_no, line) and reach later
+    batches in order per file. The groups that a batch changed are appended to ``target``/changes.
     """
 
     audit: LogAudit
     source: LogSource
-    state: str
-
-    def _version(self, batch: int) -> str:
-        return f"{self.state}/batch-{batch:012d}"
-
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        spark, source = batch.sparkSession, self.source
-        lines = batch.select(*LOG, "line_no", "line")
-        events = match_events(lines, source, self.audit.rules_of(source))
-        pattern = self.audit.group_pattern(source) or r"[^\s\S]"
-        totals = lines.groupBy(*LOG).agg(
-            F.count(F.lit(1)).alias("line_count"),
-            F.max(F.col("line").contains(source.reset) if source.reset else F.lit(False)).alias(
-                "reset_occurred"
-            ),
+    target: str
+    parts: int = 16
+
+    @property
+    def checkpoint(self) -> str:
+        return f"{self.target}/checkpoint"
+
+    def _events(self, lines: DataFrame) -> DataFrame:
+        pattern = self.audit.group_pattern(self.source) or r"[^\s\S]"
+        events = match_events(lines, self.source, self.audit.rules_of(self.source))
+        part = F.pmod(F.xxhash64(F.floor(F.col("line_no") / LINE_BLOCK)), F.lit(self.parts)).cast("int")
+        return events.select(
+            *LOG, part.alias("part"), F.lit(0).cast("bigint").alias("lines"), F.lit(None).cast("bigint").alias("reset"),
+            R.group_key(pattern).alias("key"), F.col("selector_desc").alias("description"), "risk", "line",
+            *[F.col(c).cast("bigint").alias(c) for c in _AT],
+        )
+
+    def _totals(self, lines: DataFrame) -> DataFrame:
+        """Lines and last reset of each log in each Arrow batch; a reset goes to every part."""
+        marked = F.col("line").contains(self.source.reset) if self.source.reset else F.lit(False)
+
+        def run(frames):
+            for frame in frames:
+                found = frame.groupby(LOG, as_index=False).agg(lines=("line_no", "size"), reset=("reset", "max"))
+                found["reset"] = found["reset"].astype("Int64")
+                yield found
+
+        seen = lines.select(*LOG, "line_no", F.when(marked, F.col("line_no")).alias("reset"))
+        counted = seen.mapInPandas(run, "source string, file string, lines bigint, reset bigint")
+        every = F.when(F.col("reset").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(self.parts - 1)))
+        none = {"key": "string", "description": "string", "risk": "int", "line": "string", **{c: "bigint" for c in _AT}}
+        rows = counted.select("*", F.explode(every).alias("part"))
+        return rows.select(
+            *LOG, "part", F.when(F.col("part") == 0, F.col("lines")).otherwise(0).alias("lines"), "reset",
+            *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
         )
-        if source.reset:
-            events = R.apply_reset(events, R.log_totals(lines, source.reset))
-        groups = R.group_events(events, pattern, LOG)
-        before = self._version(batch_id - 1)
-        if batch_id > 0:
-            if not path_exists(spark, f"{before}/totals"):
-                raise ValueError(f"the report of the batch before is missing: {before}")
-            old_totals = spark.read.schema(totals.schema).parquet(f"{before}/totals")
-            old_groups = spark.read.schema(groups.schema).parquet(f"{before}/groups")
-            # A reset in this batch ends what earlier batches collected for the log.
-            ended = totals.filter("reset_occurred").select(*LOG)
-            groups = merge_groups(
-                old_groups.join(ended, LOG, "left_anti").unionByName(groups), LOG
-            ).select(*groups.columns)
-            totals = (
-                old_totals.unionByName(totals)
-                .groupBy(*LOG)
-                .agg(
-                    F.sum("line_count").alias("line_count"),
-                    F.max("reset_occurred").alias("reset_occurred"),
-                )
-            )
-        here = self._version(batch_id)
-        groups.write.mode("overwrite").parquet(f"{here}/groups")
-        totals.write.mode("overwrite").parquet(f"{here}/totals")
-
-    def start(self, lines: DataFrame, checkpoint: str, every: str | None = None):
+
+    def start(self, lines: DataFrame, every: str | None = None):
         """Run once over what is there, or with a period such as ``1 minute``."""
-        writer = lines.writeStream.foreachBatch(self.process).option(
-            "checkpointLocation", checkpoint
+        lines = lines.select(*LOG, "line_no", "line")
+        rows = self._events(lines).unionByName(self._totals(lines))
+        changes = rows.groupBy(*LOG, "part").transformWithStateInPandas(LogState(), CHANGES, "Append", "None")
+        writer = (
+            changes.writeStream.format("parquet").outputMode("append")
+            .option("path", f"{self.target}/changes").option("checkpointLocation", self.checkpoint)
         )
         trigger = {"processingTime": every} if every else {"availableNow": True}
-        return writer.trigger(**trigger).start()
-
-    def report(self, spark: SparkSession, batch_id: int, by=("source",)):
-        """Report rows and summary as of a batch."""
-        here = self._version(batch_id)
-        groups = merge_groups(spark.read.parquet(f"{here}/groups"), by)
+        with _Rocks(lines.sparkSession):
+            return writer.trigger(**trigger).start()
+
+    def state(self, spark: SparkSession, name: str, batch: int | None = None) -> DataFrame:
+        """A state variable of every part of every log, as of the last or a given batch."""
+        reader = spark.read.format("statestore").option("stateVarName", name)
+        with _Rocks(spark):
+            return (reader if batch is None else reader.option("batchId", batch)).load(self.checkpoint)
+
+    def report(self, spark: SparkSession, by=("source",), batch: int | None = None):
+        """Report rows and summary as of the last or a given batch."""
+        value = F.col("user_map_value")
+        example = lambda end: F.struct(value[f"{end}_at"][0].alias("line_no"), value[f"{end}_line"].alias("line"))
+        groups = self.state(spark, "groups", batch).select(
+            "key.source", "key.file", F.col("user_map_key.key").alias("key"), value["description"].alias("description"),
+            value["risk"].alias("risk"), value["count"].alias("count"), example("first").alias("first"),
+            F.when(value["count"] > 1, example("last")).alias("last"),
+        )
+        groups = merge_groups(groups, by)
+        totals = self.state(spark, "totals", batch).select("key.source", "key.file", "value.*")
         matched = groups.groupBy(*by).agg(F.sum("count").alias("match_count"))
         summary = (
-            spark.read.parquet(f"{here}/totals")
-            .groupBy(*by)
-            .agg(
-                F.sum("line_count").alias("line_count"),
-                F.max("reset_occurred").alias("reset_occurred"),
-            )
-            .join(matched, list(by), "left")
-            .na.fill(0, ["match_count"])
+            totals.groupBy(*by)
+            .agg(F.sum("line_count").alias("line_count"), F.max(F.col("last_reset").isNotNull()).alias("reset_occurred"))
+            .join(matched, list(by), "left").na.fill(0, ["match_count"])
         )
         return R.top_groups(groups, self.source.top, by), summary
