@@ -115,9 +115,10 @@ def test_task_functions_need_no_package_on_executors(tmp_path):
     from pyspark import cloudpickle
 
     from keelson.sources import tree
+    from keelson.streaming import logs
 
     event = {"timestamp_unix_ms": 1, "action": "a", "pid": 2, "fields": None}
-    shipped = cloudpickle.dumps((A._seal, tree._children, tree._roots, tree._hasher(3)))
+    shipped = cloudpickle.dumps((A._seal, tree.TreeSource, tree.plan_folders, logs.LogState))
     code = (
         "import pickle, sys; seal, *rest = pickle.load(sys.stdin.buffer);"
         f"print(seal({event!r}, 'x')[1]); assert 'keelson' not in sys.modules"
