@@ -165,33 +165,24 @@ def move_codec(spark, sf_dir):
 
 # --- stored baselines ---------------------------------------------------------------------
 
-ROW_DIGEST = """sha256(concat_ws(chr(31), '=' || host, '=' || path, '=' || kind,
+ROW_TEXT = """concat_ws(chr(31), '=' || host, '=' || path, '=' || kind,
   '=' || checksum, '=' || size, '=' || mode, '=' || uid, '=' || gid, '=' || mtime_ns,
-  '-', '-', '-', '=' || processed_bytes))"""
+  '-', '-', '-', '=' || processed_bytes)"""
 
 
-def fingerprint_ctes(name, rows):
-    return f"""{name}_rows AS (SELECT {ROW_DIGEST} AS digest, count(*) AS n FROM {rows} GROUP BY 1),
-{name}_1 AS (SELECT substr(digest, 1, 5) AS bucket, sum(n) AS n,
-  sha256(string_agg(digest || ':' || n, ',' ORDER BY digest || ':' || n)) AS digest
-  FROM {name}_rows GROUP BY 1),
-{name}_2 AS (SELECT substr(bucket, 1, 2) AS part, sum(n) AS n,
-  sha256(string_agg(digest, ',' ORDER BY bucket)) AS digest FROM {name}_1 GROUP BY 1),
-{name} AS (SELECT sum(n)::BIGINT AS records,
-  sha256(string_agg(digest, ',' ORDER BY part)) AS content_hash FROM {name}_2)"""
+def fingerprint_ctes(name, rows, by=""):
+    """The count and the hash of the digests' sums, in all or per host."""
+    limbs = ", ".join(
+        f"sum(('0x' || substr(digest, {at}, 5))::BIGINT)::VARCHAR" for at in range(1, 129, 5)
+    )
+    return f"""{name}_rows AS (SELECT {by} sha256('0' || t) || sha256('1' || t) AS digest
+  FROM (SELECT *, {ROW_TEXT} AS t FROM {rows})),
+{name} AS (SELECT {by} count(*) AS records, sha256(concat_ws(':', count(*)::VARCHAR, {limbs})) AS content_hash
+  FROM {name}_rows GROUP BY ALL)"""
 
 
 def host_marks(name, rows):
-    """The same per host."""
-    return f"""{name}_rows AS (
-  SELECT host, {ROW_DIGEST} AS digest, count(*) AS n FROM {rows} GROUP BY ALL),
-{name}_1 AS (SELECT host, substr(digest, 1, 5) AS bucket, sum(n) AS n,
-  sha256(string_agg(digest || ':' || n, ',' ORDER BY digest || ':' || n)) AS digest
-  FROM {name}_rows GROUP BY ALL),
-{name}_2 AS (SELECT host, substr(bucket, 1, 2) AS part, sum(n) AS n,
-  sha256(string_agg(digest, ',' ORDER BY bucket)) AS digest FROM {name}_1 GROUP BY ALL),
-{name} AS (SELECT host, sum(n)::BIGINT AS records,
-  sha256(string_agg(digest, ',' ORDER BY part)) AS content_hash FROM {name}_2 GROUP BY host)"""
+    return fingerprint_ctes(name, rows, "host,")
 
 
 @query("baseline_fingerprint", I.diff_ctes() + ", " + fingerprint_ctes("mark", "baseline")

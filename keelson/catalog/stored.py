@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keelson.catalog import inputs as I, integrity, logs
 from keelson.catalog.review import APPROVALS, replayed
 from keelson.catalog.register import Register
-from keelson.config import LogAudit, LogSource
+from keelson.config import LogAudit, LogSource, Policy
 from keelson.functions import digests as G, labels as L, paths as P
 from keelson.operators import diff as D, health as H, review as V
 from keelson.operators.audit import chain_audit, verify_audit
@@ -22,8 +22,9 @@ from keelson.session import work_dir
 from keelson.sinks import baseline as B, review as W
 from keelson.sources.logs import read_journal, read_log
 from keelson.sources.snapshots import read_audit
+from keelson.sources.tree import list_tree, read_tree
 from keelson.streaming.logs import RunningReport, live_events
-from keelson.streaming.snapshots import LiveDiff
+from keelson.streaming.snapshots import ARRIVING, LiveDiff
 
 query = Register()
 
@@ -100,6 +101,17 @@ def baseline_manifests(spark, sf_dir):
     )
 
 
+@query("baseline_of_hosts", DIFF + """
+SELECT host, path, checksum, size FROM current_rows WHERE host IN ('host1', 'host3')""")
+def baseline_of_hosts(spark, sf_dir):
+    """Two writers one after the other; the newest generation's records of two hosts."""
+    path = fresh(spark, "baseline")
+    B.write_baseline(I.baseline(spark, sf_dir), path)
+    B.write_baseline(I.current(spark, sf_dir), path)
+    hosts = I.current(spark, sf_dir).filter("host IN ('host1', 'host3')").select("host")
+    return B.read_baseline(spark, path, hosts=hosts).select("host", "path", "checksum", "size")
+
+
 @query("review_session", DIFF + """
 SELECT host, path, previous_path, kind, reasons, state FROM (
   SELECT *, 'unreviewed' AS state FROM findings)""")
@@ -161,24 +173,35 @@ SELECT source, key, risk, count, position FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY risk DESC, count DESC, key)
             AS position FROM groups) WHERE position <= 10""")
 def live_grouped_report(spark, sf_dir):
+    """Three batches of lines, in order of their numbers; most resets come in a later one."""
     target = fresh(spark, "running")
-    running = RunningReport(I.AUDIT, I.AUDIT.source("restarts"), f"{target}/state")
-    lines = I.lines_of_events(stream(spark, sf_dir, "events"))
-    running.start(lines, f"{target}/checkpoint").awaitTermination()
-    rows, _ = running.report(spark, 0)
+    running = RunningReport(I.AUDIT, I.AUDIT.source("restarts"), target)
+    lines = I.event_lines(spark, sf_dir)
+    last = F.max("line_no")
+    upto = lines.agg((last / 3).cast("long").alias("a"), (2 * last / 3).cast("long").alias("b")).first()
+    number = F.col("line_no")
+    for batch in (number <= upto.a, (number > upto.a) & (number <= upto.b), number > upto.b):
+        lines.filter(batch).write.mode("append").parquet(f"{target}/in")
+        running.start(spark.readStream.schema(lines.schema).parquet(f"{target}/in")).awaitTermination()
+    rows, _ = running.report(spark)
     return rows.select("source", "key", "risk", "count", "position")
 
 
 @query("live_diff", DIFF + "SELECT host, path, previous_path, kind FROM findings")
 def live_diff(spark, sf_dir):
+    """Three batches, each with a part of every host's scan: only the last completes them."""
     target = fresh(spark, "live")
     B.write_baseline(I.baseline(spark, sf_dir), f"{target}/baseline")
-    differ = LiveDiff(f"{target}/baseline", f"{target}/findings")
-    snapshots = I.current_of(stream(spark, sf_dir, "documents"))
-    differ.start(snapshots, f"{target}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{target}/findings/batch=*").select(
-        "host", "path", "previous_path", "kind"
-    )
+    rows = I.current(spark, sf_dir)
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("scan_rows"))
+    rows = rows.join(sizes, "host").withColumn("scan_id", F.lit("scan-1"))
+    differ = LiveDiff(f"{target}/baseline", f"{target}/found")
+    turn = F.pmod(F.xxhash64("path"), F.lit(3))
+    for batch in range(3):
+        rows.filter(turn == batch).write.mode("append").parquet(f"{target}/in")
+        arriving = spark.readStream.schema(ARRIVING).parquet(f"{target}/in")
+        differ.start(arriving, f"{target}/checkpoint").awaitTermination()
+    return differ.findings(spark).select("host", "path", "previous_path", "kind")
 
 
 @query("log_files", """
@@ -196,6 +219,64 @@ def log_files(spark, sf_dir):
     )
 
 
+WRITTEN = """WITH files AS (
+  SELECT lang || '/' || source || '/' || doc_id || '.txt' AS path, text FROM documents
+), folders AS (
+  SELECT DISTINCT lang AS path FROM documents UNION SELECT DISTINCT lang || '/' || source FROM documents UNION SELECT ''
+)
+"""
+
+
+def written_tree(spark, sf_dir):
+    """The folder of a tree that holds every document as a file, written by the tasks."""
+    base = fresh(spark, "tree").removeprefix("file:")
+    docs = I.table(spark, sf_dir, "documents").select(
+        F.concat_ws("/", F.lit(base), "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"),
+        F.encode("text", "utf-8").alias("content"),
+    )
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns)):
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    docs.mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return base
+
+
+def below(base):
+    return F.expr(f"ltrim('/', substring(path, {len(base) + 1}))")
+
+
+@query("tree_scan", WRITTEN + """
+SELECT path, 'file' AS kind, sha256(text) AS checksum, octet_length(encode(text))::BIGINT AS size,
+       octet_length(encode(text))::BIGINT AS processed_bytes FROM files
+UNION ALL SELECT path, 'directory', NULL, NULL, 0 FROM folders""")
+def tree_scan(spark, sf_dir):
+    """Every document written as a file, the tree read back with digests."""
+    base = written_tree(spark, sf_dir)
+    scan = read_tree(spark, Policy(scan_paths=(base,)))
+    return scan.snapshot.select(
+        below(base).alias("path"), "kind", "checksum", F.when(F.col("kind") == "file", F.col("size")).alias("size"),
+        "processed_bytes",
+    )
+
+
+@query("tree_listing", WRITTEN + """
+SELECT path, 'file' AS kind, octet_length(encode(text))::BIGINT AS size FROM files WHERE NOT starts_with(path, 'de/')
+UNION ALL SELECT path, 'directory', NULL FROM folders WHERE NOT starts_with(path, 'de/') AND path <> 'de'""")
+def tree_listing(spark, sf_dir):
+    """The tree's metadata without an excluded folder; no content is read."""
+    base = written_tree(spark, sf_dir)
+    rows = list_tree(spark, Policy(scan_paths=(base,), exclusions=(f"{base}/de",)))
+    return rows.filter("NOT failed").select(
+        below(base).alias("path"), "kind", F.when(F.col("kind") == "file", F.col("size")).alias("size")
+    )
+
+
 @query("journal_lines", """
 SELECT 'host' || user_id % 4 AS file, row_number() OVER (PARTITION BY user_id % 4
          ORDER BY event_id) AS line_no, event_type || ' ' || event_id AS line

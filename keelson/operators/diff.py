@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from keelson.config import Policy
 from keelson.functions.labels import evidence
 from keelson.functions.paths import component_order
-from keelson.operators.ranking import hot_groups, rank_by_parts, rank_in_groups
+from keelson.operators.ranking import PART_ROWS, rank_in_groups
 from keelson.operators.scope import in_scope, is_metadata_only
 from keelson.schemas import SNAPSHOT_PAYLOAD
 from keelson.session import materialise
@@ -136,39 +136,75 @@ def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int | None =
     the k-th added; the rest stay as they are, and so do rows without a checksum. Ranks instead
     of a self-join keep the plan linear: each pair is one group of at most two rows.
 
-    Only host, content, path and kind of the rows that can move are shuffled by content. The pairs
-    found mark their two rows, which then meet; all other rows pass untouched.
+    Only host, content, path and kind of the rows that can move are shuffled by content. A deleted
+    row that has found its mate takes the mate's path as its key, and one full join of the added and
+    the deleted rows by that key makes the moves and leaves the others alone. All keys have a hash in
+    front, so that sorting compares numbers. Rows that cannot move pass untouched.
 
-    With ``stored`` the changes are a table; contents that occur often, such as empty files, are
-    then looked for and ranked in parts.
+    With ``stored`` the changes are a table; contents with more than ``hot_rows`` rows, such as empty
+    files, are then looked for and ranked in ranges.
     """
     checksum = F.coalesce("after.checksum", "before.checksum")
     candidate = F.col("kind").isin("added", "deleted") & checksum.isNotNull()
-    parts = ["host", "_checksum", "_size", "_type"]
-    content = ["_hash", *parts]
-    keyed = changes.filter(candidate).select(
+    deleted = F.col("kind") == "deleted"
+    pairs = _paired(_contents(changes.filter(candidate), checksum), stored, hot_rows)
+    path_hash = F.xxhash64("host", "path")
+    left = (
+        changes.filter(candidate & deleted).select("host", "path", "before", path_hash.alias("_hash"))
+        .join(pairs.withColumnRenamed("_old", "path").withColumn("_hash", path_hash), ["_hash", "host", "path"], "left")
+    )
+    # A path that was deleted is not among the added ones: without a mate it meets nothing.
+    left = left.select(
+        "host", F.coalesce("_new", "path").alias("_at"), F.col("path").alias("_old"), "before"
+    ).withColumn("_hash", F.xxhash64("host", "_at"))
+    right = changes.filter(candidate & ~deleted).select(
+        "host", F.col("path").alias("_at"), F.col("path").alias("_new"), "after", path_hash.alias("_hash")
+    )
+    met = right.join(left, ["_hash", "host", "_at"], "full_outer")
+    both = F.col("_new").isNotNull() & F.col("_old").isNotNull()
+    kind = F.when(both, "moved").when(F.col("_old").isNull(), "added").otherwise("deleted")
+    met = met.select(
+        "host", F.col("_at").alias("path"), F.when(both, F.col("_old")).alias("previous_path"),
+        kind.alias("kind"), F.array().cast(NO_REASONS).alias("reasons"), "before", "after",
+    )
+    apart = changes.filter(~F.coalesce(candidate, F.lit(False)))
+    apart = apart.withColumn("previous_path", F.lit(None).cast("string"))
+    return apart.select(*met.columns).unionByName(met)
+
+
+_PARTS = ["host", "_checksum", "_size", "_type"]
+_CONTENT = ["_hash", *_PARTS]
+
+
+def _contents(candidates: DataFrame, checksum: Column) -> DataFrame:
+    """What pairing needs of each row: its content, hash first, path and kind."""
+    return candidates.select(
         *IDENTITY,
         "kind",
         checksum.alias("_checksum"),
         F.coalesce("after.size", "before.size").alias("_size"),
         F.coalesce("after.kind", "before.kind").alias("_type"),
         component_order("path").alias("_order"),
-    ).withColumn("_hash", F.xxhash64(*parts))
+    ).withColumn("_hash", F.xxhash64(*_PARTS))
+
+
+def _paired(keyed: DataFrame, stored: bool, hot_rows: int | None) -> DataFrame:
+    """(host, _new, _old): the k-th added and the k-th deleted path of each content."""
     deleted = F.col("kind") == "deleted"
-    sides = [*content, "kind"]
-    hot = hot_groups(keyed, sides, hot_rows) if stored else None
-    if hot is None:
-        so_far = Window.partitionBy(*content).orderBy("_order").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        rank = F.when(deleted, F.count_if(deleted).over(so_far)).otherwise(
-            F.count_if(~deleted).over(so_far)
-        )
+    so_far = Window.partitionBy(*_CONTENT).orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    rank = F.when(deleted, F.count_if(deleted).over(so_far)).otherwise(F.count_if(~deleted).over(so_far))
+    sides = [*_CONTENT, "kind"]
+    hot = keyed.groupBy(*sides).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > (hot_rows or PART_ROWS))
+    if not stored or hot.isEmpty():
         ranked = keyed.withColumn("_rank", rank)
     else:
-        ranked = rank_by_parts(keyed, sides, "_order", "_rank", hot)
-    pairs = (
-        ranked.groupBy(*content, "_rank")
+        contents = hot.select(*_CONTENT).distinct()
+        many = rank_in_groups(keyed.join(contents, _CONTENT, "left_semi"), sides, "_order", "_rank", hot_rows)
+        ranked = keyed.join(contents, _CONTENT, "left_anti").withColumn("_rank", rank).unionByName(many)
+    return (
+        ranked.groupBy(*_CONTENT, "_rank")
         .agg(
             F.max(F.when(~deleted, F.col("path"))).alias("_new"),
             F.max(F.when(deleted, F.col("path"))).alias("_old"),
@@ -176,36 +212,6 @@ def pair_moves(changes: DataFrame, stored: bool = False, hot_rows: int | None =
         .filter(F.col("_new").isNotNull() & F.col("_old").isNotNull())
         .select("host", "_new", "_old")
     )
-    ends = pairs.select(
-        "host",
-        F.explode(
-            F.array(
-                F.struct(F.col("_new").alias("path"), F.lit("added").alias("kind"), "_new"),
-                F.struct(F.col("_old").alias("path"), F.lit("deleted").alias("kind"), "_new"),
-            )
-        ).alias("_end"),
-    ).select("host", "_end.*")
-    if stored:
-        ends = materialise(ends)
-    key = [*IDENTITY, "kind"]
-    shown = ["host", "path", "previous_path", "kind", "reasons", "before", "after"]
-    moved = (
-        changes.filter(candidate)
-        .join(ends, key)
-        .groupBy("host", "_new")
-        .agg(
-            F.max(F.when(deleted, F.col("path"))).alias("previous_path"),
-            F.max("reasons").alias("reasons"),
-            F.max("before").alias("before"),
-            F.max("after").alias("after"),
-        )
-        .withColumns({"path": F.col("_new"), "kind": F.lit("moved")})
-    )
-    # Rows that cannot move need no look at the pairs.
-    apart = changes.filter(~F.coalesce(candidate, F.lit(False)))
-    stay = changes.filter(candidate).join(ends, key, "left_anti")
-    alone = apart.unionByName(stay).withColumn("previous_path", F.lit(None).cast("string"))
-    return alone.select(*shown).unionByName(moved.select(*shown))
 
 
 def as_findings(changes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.config import LogSource
 from keelson.functions.text import first_match
+from keelson.operators.ranking import first_in_groups
 
 # The wording of the two reports.
 NO_FAILURES = "No failures for {description}"
@@ -22,7 +23,6 @@ LOG = ["source", "file"]
 ARRIVAL = ["file", "line_no", "rule_idx", "selector_idx"]
 # Spark limits a ranked window per partition before the shuffle up to this many rows.
 GROUP_LIMIT = 1000
-SALTS = 256
 
 
 def _text(template: str, **columns) -> Column:
@@ -95,19 +95,13 @@ def group_events(events: DataFrame, pattern: str, by=("source",)) -> DataFrame:
 def first_rows(df: DataFrame, by, order, top: int, out="position") -> DataFrame:
     """The first ``top`` rows per group, numbered.
 
-    Up to GROUP_LIMIT rows Spark itself cuts each partition before the shuffle. For more, a hot
-    group is cut in salted parts first.
+    Up to GROUP_LIMIT rows Spark itself cuts each partition to ``top`` rows of a group before the
+    shuffle. For more, the rows are numbered in ranges that follow their count, so that no task
+    gathers what many tasks have kept.
     """
     by = list(by)
     if top > GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(*ARRIVAL if "line_no" in df.columns else df.columns), F.lit(SALTS))
-        parts = Window.partitionBy(*by, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("_local", F.row_number().over(parts))
-            .filter(F.col("_local") <= top)
-            .drop("_salt", "_local")
-        )
+        return first_in_groups(df, by, order, top, out)
     ranked = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return df.withColumn(out, ranked).filter(F.col(out) <= top)
 

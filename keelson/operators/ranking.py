@@ -2,91 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.session import materialise
 
-HOT_ROWS = 1_000_000  # a window task may hold this many rows of one group
-SPLITS = 128  # parts a hot group is cut into
-OVERSAMPLE = 16  # sampled points per part
+PART_ROWS = 1_000_000  # rows that one task numbers
 
 
-def hot_groups(df: DataFrame, keys, hot_rows: int | None = None) -> DataFrame | None:
-    """The groups with more than ``hot_rows`` (HOT_ROWS) rows, or None.
+def rank_in_groups(df: DataFrame, keys, order, out="rank", part_rows: int | None = None) -> DataFrame:
+    """``row_number`` of each row within ``keys`` by ``order``: a column name or sort expressions.
 
-    ``df`` should be a cheap read, such as a stored table.
+    The rows are stored and split into ranges of (keys, order), as many as their count asks for, so
+    a group of any size spreads over as many parts as it fills. Each part numbers its groups on its
+    own. Only the first group of a part can have begun in an earlier one: the rows it has there are
+    counted per part and added as prefix sums. These tables have a row or two per part and are
+    broadcast; no group is looked for by its size. ``order`` should be unique in a group and the keys
+    not null.
     """
     keys = list(keys)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > (hot_rows or HOT_ROWS))
+    order = [F.col(order)] if isinstance(order, str) else list(order)
+    stored = materialise(df)
+    parts = -(-stored.count() // (part_rows or PART_ROWS))  # counted from the files' footers
+    if parts <= 1:
+        own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return stored.withColumn(out, own.cast("long"))
+    dealt = stored.repartitionByRange(parts, *keys, *order).withColumn("_part", F.spark_partition_id())
+    dealt = materialise(dealt)
+    local = F.row_number().over(Window.partitionBy("_part", *keys).orderBy(*order))
+    return (
+        dealt.withColumn(out, local)
+        .join(F.broadcast(_carried(dealt, keys)), ["_part", *keys], "left")
+        .withColumn(out, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("long"))
+        .drop("_part", "_before")
     )
-    return None if hot.isEmpty() else hot
-
-
-def rank_in_groups(df: DataFrame, keys, order, out="rank", hot_rows=None) -> DataFrame:
-    """``row_number`` of each row within ``keys`` by the string column ``order``.
-
-    Rows are stored once and groups counted; a group uses a window. Hot groups are cut into ranges of ``order`` first: a
-    fixed number of sampled points per group gives the cut points, each part is numbered on its
-    own, and the rows of the earlier parts are added. Points are chosen by hash, so a repeated
-    task sees the same cuts. ``order`` should be unique in a group and the keys not null.
-    """
-    keys = list(keys)
-    df = materialise(df)
-    hot = hot_groups(df, keys, hot_rows)
-    if hot is None:
-        return _windowed(df, keys, order, out)
-    return rank_by_parts(df, keys, order, out, hot)
-
 
-def _windowed(df, keys, order, out):
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
+def _carried(dealt: DataFrame, keys: list[str]) -> DataFrame:
+    """(_part, keys, _before): the rows that the first group of a part has in earlier parts."""
+    first = F.min(F.struct(*[F.col(k) for k in keys])).alias("_key") if keys else F.lit(0).alias("_key")
+    heads = dealt.groupBy("_part").agg(first)
+    named = [F.col("_key")[k].alias(k) for k in keys]
+    shared = dealt.select("_part", *keys)
+    if keys:
+        shared = shared.join(F.broadcast(heads.select(*named).distinct()), keys)
+    counted = shared.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select("_part", *keys, F.sum("_rows").over(earlier).alias("_before")).filter("_before IS NOT NULL")
 
-def rank_by_parts(df, keys, order, out, hot) -> DataFrame:
-    """Ranks where the groups in ``hot`` are cut into parts.
 
-    ``hot`` holds one row per HOT_ROWS rows at most and each has SPLITS cut points; Spark
-    broadcasts these tables only while their measured size allows, else it splits hot joins.
-    """
-    slots = SPLITS * OVERSAMPLE
-    points = (
-        df.join(hot.select(*keys), keys, "left_semi")
-        .groupBy(*keys, F.pmod(F.xxhash64(order), F.lit(slots)).alias("_slot"))
-        .agg(F.min_by(order, F.xxhash64(order, F.lit(1))).alias("_point"))
-    )
-    cuts = materialise(
-        points.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_point")).alias("_points"))
-        .select(
-            *keys,
-            F.expr(f"filter(_points, (p, i) -> i % {OVERSAMPLE} = {OVERSAMPLE - 1})").alias(
-                "_cuts"
-            ),
-        )
-    )
-    parted = df.join(cuts, keys, "left").withColumn(
-        "_part",
-        F.when(
-            F.col("_cuts").isNotNull(),
-            F.size(F.filter("_cuts", lambda c: c <= F.col(order))),
-        ),
-    ).drop("_cuts")
-    sizes = (
-        parted.filter(F.col("_part").isNotNull())
-        .groupBy(*keys, "_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = sizes.select(*keys, "_part", F.sum("_rows").over(before).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(order))
-    return (
-        parted.withColumn("_local", local)
-        .join(offsets, [*keys, "_part"], "left")
-        .withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long"))
-        .drop("_local", "_before", "_part")
-    )
+def first_in_groups(df: DataFrame, keys, order: list[Column], top: int, out: str) -> DataFrame:
+    """The first ``top`` rows of each group, numbered, where ``top`` may be large."""
+    return rank_in_groups(df, keys, order, out).filter(F.col(out) <= top)

@@ -1,14 +1,17 @@
-"""Stored baselines: one folder per generation, made visible by its manifest row."""
+"""Stored baselines: one folder per writer, made visible as a generation by its manifest row."""
 
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from keelson.functions.formats import utc_text
 from keelson.operators.diff import one_per_path
-from keelson.operators.fingerprint import fingerprint, generation_guard, verify_baseline
+from keelson.operators.fingerprint import (
+    content_hash, generation_guard, row_digest, sums, verify_baseline,
+)
 from keelson.schemas import BASELINE_MANIFEST, FILE_SNAPSHOT
 from keelson.sources.logs import path_exists
 
@@ -16,11 +19,15 @@ from keelson.sources.logs import path_exists
 CHECKPOINT_FORMAT = "keelson-baseline-checkpoint-v1"
 
 
-GENERATIONS = T.StructType([*FILE_SNAPSHOT.fields, T.StructField("generation", T.LongType())])
+# Folders of the records by a hash of the host: a reader of some hosts lists and reads theirs only.
+HOST_BUCKETS = 1024
+STORED = T.StructType([*FILE_SNAPSHOT.fields, T.StructField("bucket", T.IntegerType())])
+#: A manifest row also names the folder of its records.
+MANIFEST = T.StructType([*BASELINE_MANIFEST.fields, T.StructField("folder", T.StringType(), False)])
 
 
-def _records(path, generation):
-    return f"{path}/records/generation={generation}"
+def host_bucket(host="host"):
+    return F.pmod(F.xxhash64(host), F.lit(HOST_BUCKETS)).cast("int")
 
 
 def next_generation(manifests: DataFrame) -> DataFrame:
@@ -35,9 +42,12 @@ def next_generation(manifests: DataFrame) -> DataFrame:
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """All manifest rows. A row without a required field fails the query."""
-    rows = spark.read.schema(BASELINE_MANIFEST).parquet(f"{path}/manifest")
-    required = [f for f in BASELINE_MANIFEST.fields if not f.nullable]
+    """All manifest rows, each in a folder of its own, as writers may come at once.
+
+    A row without a required field fails the query.
+    """
+    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/*")
+    required = [f for f in MANIFEST.fields if not f.nullable]
     return rows.withColumns(
         {
             f.name: F.coalesce(
@@ -57,9 +67,54 @@ def _current_manifest(spark, path, generation=None) -> DataFrame:
 
 def newest_manifest(spark: SparkSession, path: str):
     """The manifest row of the newest generation."""
-    if not path_exists(spark, f"{path}/manifest"):
+    row = _current_manifest(spark, path).first() if path_exists(spark, f"{path}/manifest") else None
+    if row is None:
         raise FileNotFoundError(f"there is no baseline in {path}")
-    return _current_manifest(spark, path).first()
+    return row
+
+
+def _filesystem(spark, path):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def claim(spark: SparkSession, path: str, generation: int, owner: str) -> bool:
+    """Put the owner's name into the file of a generation, unless there is one; whether it is ours.
+
+    The file system creates it without overwriting, and it is read back, in case the file system
+    lets two writers through.
+    """
+    jvm = spark._jvm
+    fs, target = _filesystem(spark, f"{path}/claims/{generation:019d}")
+    try:
+        out = fs.create(target, False)
+    except Exception as error:  # the JVM's FileAlreadyExistsException, wrapped
+        if fs.exists(target):
+            return False
+        raise error
+    out.write(owner.encode())
+    out.close()
+    stream = fs.open(target)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode() == owner
+    finally:
+        stream.close()
+
+
+def publish(spark: SparkSession, path: str, row: dict) -> int:
+    """Write the manifest row of the next generation that no other writer has claimed."""
+    fs, claims = _filesystem(spark, f"{path}/claims")
+    generation = 1
+    if path_exists(spark, f"{path}/manifest"):
+        generation = next_generation(read_manifests(spark, path)).first()["generation"]
+    if fs.exists(claims):  # claimed, but perhaps not published yet
+        names = [f.getPath().getName() for f in fs.listStatus(claims)]
+        generation = max([generation, *(min(int(n), 2**63 - 2) + 1 for n in names if n.isdigit())])
+    while not claim(spark, path, generation, row["folder"]):
+        generation += 1
+    manifest = spark.createDataFrame([tuple({**row, "generation": generation}[f.name] for f in MANIFEST.fields)], MANIFEST)
+    manifest.coalesce(1).write.parquet(f"{path}/manifest/{generation:019d}")
+    return generation
 
 
 def write_baseline(
@@ -67,34 +122,37 @@ def write_baseline(
 ) -> int:
     """Store a snapshot as the next generation and return its number.
 
-    The records are ranged by (host, path), so a lookup skips row groups by their statistics.
-    Readers follow the manifest, which is written last: a failed run leaves nothing visible and
-    its folder is overwritten by the next one.
+    Each writer has a folder of its own; its manifest row, written last, names it. The generation
+    is claimed by a file that is created only if absent, so of several writers at once each gets
+    its own number and none is lost; a failed run leaves nothing visible. The records are dealt by
+    the host's bucket, large buckets split, and sorted by (host, path), so a lookup reads its host's
+    folder and skips row groups by their statistics. The fingerprint adds up while they are written.
     """
     spark = snapshot.sparkSession
-    generation = 1
-    if path_exists(spark, f"{path}/manifest"):
-        generation = next_generation(read_manifests(spark, path)).first()["generation"]
+    folder = uuid.uuid4().hex
     columns = [F.col(f.name).cast(f.dataType) for f in FILE_SNAPSHOT.fields]
+    rows = one_per_path(snapshot).select(*columns).withColumns(
+        {"bucket": host_bucket(), "_digest": row_digest()}
+    )
+    seen = Observation(f"baseline-{folder}")
+    added = [column.alias(name) for name, column in sums().items()]
     (
-        one_per_path(snapshot)
-        .select(*columns)
-        .repartitionByRange("host", "path")
-        .sortWithinPartitions("host", "path")
-        .write.mode("overwrite")
-        .parquet(_records(path, generation))
+        rows.observe(seen, *added)
+        .drop("_digest")
+        .hint("rebalance", F.col("bucket"))
+        .sortWithinPartitions("bucket", "host", "path")
+        .write.partitionBy("bucket")
+        .parquet(f"{path}/records/{folder}")
     )
-    stored = spark.read.schema(FILE_SNAPSHOT).parquet(_records(path, generation))
-    manifest = fingerprint(stored).select(
-        F.lit(generation).cast("long").alias("generation"),
-        "records",
-        F.lit(scan_byte_limit).cast("long").alias("scan_byte_limit"),
-        F.lit(int(time.time() * 1000)).cast("long").alias("created_unix_ms"),
-        F.lit(config_hash).cast("string").alias("config_hash"),
-        "content_hash",
+    found = seen.get
+    return publish(
+        spark, path,
+        {
+            "records": found["records"], "scan_byte_limit": scan_byte_limit,
+            "created_unix_ms": int(time.time() * 1000), "config_hash": config_hash,
+            "content_hash": content_hash(found), "folder": folder,
+        },
     )
-    manifest.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
-    return generation
 
 
 def read_baseline(
@@ -103,11 +161,13 @@ def read_baseline(
     generation: int | None = None,
     minimum: int | None = None,
     verify: bool = False,
+    hosts: DataFrame | None = None,
 ) -> DataFrame:
-    """The records of a generation, by default the newest.
+    """The records of a generation, by default the newest, of all hosts or of those in ``hosts``.
 
-    Fails for an absent baseline, for a generation below ``minimum`` and, with ``verify``, for
-    records that do not agree with the manifest.
+    Of the named hosts (a column ``host``) only the folders are read. Fails for an absent baseline,
+    for a generation below ``minimum`` and, with ``verify``, for records that do not agree with the
+    manifest.
     """
     if not path_exists(spark, f"{path}/manifest"):
         raise FileNotFoundError(f"there is no baseline in {path}")
@@ -117,15 +177,18 @@ def read_baseline(
     row = manifest.first()
     if row is None:
         raise FileNotFoundError(f"there is no generation {generation} in {path}")
-    records = spark.read.schema(FILE_SNAPSHOT).parquet(_records(path, row["generation"]))
+    stored = spark.read.schema(STORED).parquet(f"{path}/records/{row['folder']}")
     if verify:
-        at = F.col("generation") == row["generation"]
-        stored = spark.read.schema(GENERATIONS).parquet(f"{path}/records").filter(at)
-        one = read_manifests(spark, path).filter(at)
-        wrong = verify_baseline(stored, one, ["generation"]).first()["mismatches"]
+        numbered = stored.drop("bucket").withColumn("generation", F.lit(row["generation"]))
+        one = read_manifests(spark, path).filter(F.col("generation") == row["generation"])
+        wrong = verify_baseline(numbered, one, ["generation"]).first()["mismatches"]
         if wrong:
             raise ValueError(f"baseline {path} does not match its manifest: {', '.join(wrong)}")
-    return records
+    if hosts is not None:
+        hosts = hosts.select("host").distinct()
+        asked = [r[0] for r in hosts.select(host_bucket()).distinct().collect()]  # HOST_BUCKETS at most
+        stored = stored.filter(F.col("bucket").isin(asked)).join(hosts, "host", "left_semi")
+    return stored.select(*[f.name for f in FILE_SNAPSHOT.fields])
 
 
 def manifest_digest():

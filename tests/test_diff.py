@@ -1,13 +1,14 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from keelson.config import ConfigError, Policy
 from keelson.operators import diff as D, ranking
 from keelson.operators.scope import monitored
 from keelson.plans.integrity import integrity_scan
 from keelson.schemas import MOUNTS
+from keelson.session import materialise
 from rows import file_row, folder_row, plan, snapshot
 
 
@@ -99,30 +100,50 @@ def test_moves_pair_in_path_order(spark):
     assert moves(D.integrity_diff(old, new)) == expected
 
 
-def test_moves_of_hot_contents_are_the_same(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SPLITS", 5)
-    monkeypatch.setattr(ranking, "OVERSAMPLE", 3)
+def test_moves_of_hot_contents_are_the_same(spark):
     old, new, expected = move_case(spark)
     assert moves(D.integrity_diff(old, new, hot_rows=10)) == expected
 
 
+def test_pairing_shuffles_its_rows_once_by_path(spark):
+    old, new, _ = move_case(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        steps = plan(D.pair_moves(materialise(D.snapshot_changes(old, new)), True)).split("\n\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in steps if x.startswith("(") and ") Exchange" in x.split("\n")[0]]
+    by_path = [x for x in dealt if "after#" in x or "before#" in x]
+    assert len(by_path) == 3  # added rows once, deleted rows to their pair and to their mate
+
+
 def test_rows_without_checksum_never_move(spark):
     old, new = snapshot(spark, folder_row("/a")), snapshot(spark, folder_row("/b"))
     assert kinds(D.integrity_diff(old, new)) == [("added", None, "/b"), ("deleted", None, "/a")]
 
 
-def test_rank_by_parts_equals_window(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SPLITS", 7)
-    monkeypatch.setattr(ranking, "OVERSAMPLE", 2)
+def test_ranks_in_ranges_equal_a_window(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40))
         .alias("key"),
         F.md5(F.col("id").cast("string")).alias("name"),
     )
-    ranked = ranking.rank_in_groups(df, ["key"], "name", hot_rows=100)
-    plain = ranking._windowed(df, ["key"], "name", "rank")
-    assert ranked.select("key", "name", "rank").exceptAll(plain).isEmpty()
-    assert plain.exceptAll(ranked.select("key", "name", "rank")).isEmpty()
+    for keys in (["key"], []):
+        for order in ("name", [F.col("name").desc()]):
+            columns = [F.col(order)] if isinstance(order, str) else order
+            own = F.row_number().over(Window.partitionBy(*keys).orderBy(*columns)).cast("long")
+            plain = df.withColumn("rank", own)
+            for part_rows in (100, 700, None):
+                ranked = ranking.rank_in_groups(df, keys, order, part_rows=part_rows).select("key", "name", "rank")
+                assert ranked.exceptAll(plain).isEmpty() and ranked.count() == 5000
+
+
+def test_a_hot_group_spreads_over_its_ranges(spark):
+    df = spark.range(4000).select(F.lit("hot").alias("key"), F.md5(F.col("id").cast("string")).alias("name"))
+    ranked = ranking.rank_in_groups(df, ["key"], "name", part_rows=500)
+    steps = plan(ranked)
+    windows = [x for x in steps.split("\n\n") if ") Window" in x.split("\n")[0]]
+    assert any("_part#" in x for x in windows)  # numbered part by part, not as one group
 
 
 def test_duplicate_rows_count_once(spark):

@@ -157,7 +157,10 @@ def test_top_keeps_the_first_events_and_lists_them_by_risk(spark):
     assert result.summary.first().match_count == 4
 
 
-def test_large_top_uses_salted_parts(spark):
+def test_large_top_is_numbered_in_ranges(spark, monkeypatch):
+    from keelson.operators import ranking
+
+    monkeypatch.setattr(ranking, "PART_ROWS", 1000)
     events = spark.range(6000).select(
         F.lit("s").alias("source"), F.lit("f").alias("file"), F.col("id").alias("line_no"),
         F.lit(0).alias("rule_idx"), F.lit(0).alias("selector_idx"),
@@ -276,7 +279,7 @@ def test_journal(spark, tmp_path):
 def test_journal_of_a_large_host(spark, tmp_path, monkeypatch):
     from keelson.operators import ranking
 
-    monkeypatch.setattr(ranking, "HOT_ROWS", 3)
+    monkeypatch.setattr(ranking, "PART_ROWS", 3)
     test_journal(spark, tmp_path)
 
 

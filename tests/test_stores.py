@@ -10,7 +10,7 @@ from keelson.schemas import BASELINE_MANIFEST
 from keelson.plans.review import accept_stored, apply_stored
 from keelson.sinks import baseline as B, review as W
 from keelson.sources.tree import read_tree
-from rows import file_row, snapshot
+from rows import file_row, plan, snapshot
 
 
 def test_generations(spark, tmp_path):
@@ -86,7 +86,7 @@ def test_tampered_records_are_noticed(spark, tmp_path):
     path = str(tmp_path / "base")
     B.write_baseline(snapshot(spark, file_row("/a"), file_row("/b")), path, "cc")
     snapshot(spark, file_row("/a"), file_row("/b", "changed")).write.mode("overwrite").parquet(
-        f"{path}/records/generation=1")
+        f"{path}/records/{B.newest_manifest(spark, path)['folder']}/bucket=7")
     with pytest.raises(ValueError, match="content_hash"):
         B.read_baseline(spark, path, verify=True)
     one = snapshot(spark, file_row("/a")).withColumn("generation", F.lit(1).cast("long"))
@@ -105,6 +105,42 @@ def test_fingerprint_ignores_order_and_counts_repeats(spark):
     assert mark().records == 0
 
 
+def test_fingerprint_shuffles_sums_only(spark):
+    rows = snapshot(spark, *[file_row(f"/{i}") for i in range(40)])
+    steps = plan(P.fingerprint(rows)).split("\n\n")
+    dealt = [x for x in steps if "Exchange" in x.split("\n")[0] and "Input" in x]
+    assert dealt and all("digest" not in x.split("Arguments")[0].lower() for x in dealt)
+    whole = P.fingerprint(rows).first()
+    assert P.fingerprint(rows.repartition(7)).first() == whole
+    added = rows.withColumn("_digest", P.row_digest()).agg(*[c.alias(n) for n, c in P.sums().items()]).first().asDict()
+    assert P.content_hash(added) == whole.content_hash and P.EMPTY == P.fingerprint(rows.limit(0)).first().content_hash
+
+
+def test_two_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "base")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: B.write_baseline(snapshot(spark, file_row(f"/{i}")), path), range(4)))
+    assert sorted(got) == [1, 2, 3, 4]
+    assert {r.path for g in got for r in B.read_baseline(spark, path, g, verify=True).collect()} == {"/0", "/1", "/2", "/3"}
+    assert not B.claim(spark, path, 4, "another") and B.claim(spark, path, 9, "another")
+    assert B.write_baseline(snapshot(spark, file_row("/a")), path) == 10  # 9 was claimed and never published
+    assert B.newest_manifest(spark, path)["generation"] == 10
+
+
+def test_a_lookup_of_hosts_reads_their_folders(spark, tmp_path):
+    path = str(tmp_path / "base")
+    B.write_baseline(snapshot(spark, *[file_row(f"/{i}", host=f"h{i % 40}") for i in range(400)]), path)
+    asked = spark.createDataFrame([("h3",), ("h7",), ("none",)], "host string")
+    found = B.read_baseline(spark, path, hosts=asked)
+    assert {r.host for r in found.collect()} == {"h3", "h7"} and found.count() == 20
+    read = {f for f in found.inputFiles()}
+    assert 0 < len({f.split("bucket=")[1].split("/")[0] for f in read}) <= 40
+    scan = plan(found)
+    assert "PartitionFilters: [" in scan and "bucket" in scan.split("PartitionFilters: [")[1].split("\n")[0]
+
+
 def test_empty_baseline_agrees_with_its_manifest(spark, tmp_path):
     path = str(tmp_path / "base")
     B.write_baseline(snapshot(spark), path)
@@ -123,7 +159,7 @@ def test_lookup_reads_few_row_groups(spark, tmp_path):
 def test_manifest_without_a_field_fails(spark, tmp_path):
     path = str(tmp_path / "base")
     broken = spark.sql("select 1L generation, 2L records").write
-    broken.parquet(f"{path}/manifest")
+    broken.parquet(f"{path}/manifest/1")
     with pytest.raises(Exception, match="manifest without"):
         B.read_manifests(spark, path).collect()
 
@@ -233,3 +269,59 @@ def test_bucketed_store_needs_no_shuffle_of_the_baseline(spark):
         assert plan.count("Exchange hashpartitioning") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tree_of_any_shape_is_read_once(spark, tmp_path, monkeypatch):
+    import hashlib
+    import random
+
+    from keelson.sources import tree
+
+    rng, folders = random.Random(1), [tmp_path / "top"]
+    folders[0].mkdir()
+    for i in range(60):
+        folders.append(rng.choice(folders[-4:]) / f"d{i}")
+        folders[-1].mkdir()
+    for i in range(150):  # one large folder, the others small
+        (folders[7] if i % 3 else rng.choice(folders)).joinpath(f"f{i}").write_text(f"text {i}" * (i % 5))
+    (folders[3] / "link").symlink_to("f1")
+    expected = {str(p) for p in (tmp_path / "top").rglob("*")} | {str(tmp_path / "top")}
+    policy = Policy(scan_paths=(str(tmp_path / "top"),))
+    for options in ({}, {"entries": 10, "spread": 4}, {"entries": 1, "spread": 1}):
+        scan = tree.read_tree(spark, policy, "h", **options)
+        rows = scan.snapshot.collect()
+        assert len(rows) == len(expected) and {r.path for r in rows} == expected
+        for r in rows:
+            if r.kind == "file":
+                with open(r.path, "rb") as content:
+                    assert r.checksum == hashlib.sha256(content.read()).hexdigest()
+        assert scan.failures.count() == 0
+        listed = tree.list_tree(spark, policy, **options)
+        assert "checksum" not in listed.columns and {r.path for r in listed.collect()} == expected
+
+
+def test_partitions_follow_entry_counts(tmp_path):
+    from keelson.sources import tree
+
+    for name, n in (("big", 95), ("a", 3), ("b", 4), ("c", 5)):
+        (tmp_path / name).mkdir()
+        for i in range(n):
+            (tmp_path / name / str(i)).write_text("")
+    rules = tree.Rules(*[frozenset()] * 4)
+    parts = tree.plan_folders([str(tmp_path)], False, rules, 10, 100)
+    shares = [p for p in parts if p.tasks[0][1].endswith("big")]
+    assert len(shares) == 10 and all(p.tasks[0][3] == 10 for p in shares)
+    assert sum(len(p.tasks) for p in parts) == 1 + 10 + 4 and len(parts) < 15
+    deep = tree.plan_folders([str(tmp_path)], True, rules, 10, 2)
+    assert {t[0] for p in deep for t in p.tasks} == {"flat", "deep"}
+
+
+def test_listing_reads_no_content(spark, tmp_path, monkeypatch):
+    from keelson.sources import tree
+
+    monkeypatch.setattr(tree, "_file_digest", None)
+    (tmp_path / "x").write_text("a")
+    policy = Policy(scan_paths=(str(tmp_path),))
+    assert tree.list_tree(spark, policy).filter("failed").count() == 0
+    with pytest.raises(Exception, match="NoneType"):
+        tree.read_tree(spark, policy).snapshot.collect()

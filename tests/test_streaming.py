@@ -1,13 +1,12 @@
 import pytest
 
 from keelson.config import LogAudit, LogRule, LogSource, Selector
-from keelson.operators.diff import integrity_diff
 from keelson.plans.logs import scan_lines
-from keelson.schemas import AUDIT_LINES, FILE_SNAPSHOT, LOG_LINES
+from keelson.schemas import AUDIT_LINES, LOG_LINES
 from keelson.sinks.baseline import write_baseline
 from keelson.streaming.audit import forward_audit, parquet_sink
-from keelson.streaming.logs import RunningReport, live_events, stream_text
-from keelson.streaming.snapshots import LiveDiff
+from keelson.streaming.logs import RunningReport, live_events, merged, stream_text
+from keelson.streaming.snapshots import ARRIVING, LiveDiff
 from rows import file_row, snapshot
 
 RULE = LogRule("slow", (
@@ -40,50 +39,90 @@ def test_live_events(spark, tmp_path):
     assert sorted(r.line for r in spark.table("live").collect()) == ["Slow x", "Very Slow y", "Very Slow y"]
 
 
+def same(left, right):
+    columns = sorted(left.columns)
+    return sorted(map(str, left.select(*columns).collect())) == sorted(map(str, right.select(*columns).collect()))
+
+
 def test_running_report_equals_a_batch_scan(spark, tmp_path):
     source = str(tmp_path / "in")
     (tmp_path / "in").mkdir()
-    running = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"))
+    running = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"), parts=3)
     stream = spark.readStream.schema(LOG_LINES).parquet(source)
-    everything = None
+    everything, files = None, ["f", "g"]
     for batch, (n, start) in enumerate([(6, 0), (10, 6), (20, 16), (5, 36)]):
-        part = spark.createDataFrame(lines(n, start) + lines(n, start, "g"), LOG_LINES)
+        rows = [r for f in files for r in lines(n, start, f)]
+        part = spark.createDataFrame(rows, LOG_LINES)
         part.coalesce(1).write.mode("append").parquet(source)
         everything = part if everything is None else everything.unionByName(part)
-        running.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
-        rows, summary = running.report(spark, batch)
+        running.start(stream).awaitTermination()
+        found, summary = running.report(spark)
         whole = scan_lines(everything, AUDIT, SOURCE)
-        assert rows.select(*sorted(rows.columns)).exceptAll(
-            whole.rows.select(*sorted(rows.columns))).isEmpty()
-        assert rows.count() == whole.rows.count()
-        got, expected = summary.first(), whole.summary.first()
-        for name in ("line_count", "match_count", "reset_occurred"):
-            assert got[name] == expected[name]
+        assert same(found, whole.rows)
+        names = ["line_count", "match_count", "reset_occurred"]
+        assert same(summary.select(*names), whole.summary.select(*names))
+        if batch == 0:
+            early = [r.asDict() for r in found.collect()]
+        files = ["f", "g"] if batch < 2 else ["g"]  # the last batch holds one log only
+    assert [r.asDict() for r in running.report(spark, batch=0)[0].collect()] == early
+    changes = spark.read.parquet(str(tmp_path / "state" / "changes"))
+    assert changes.filter("file = 'f'").agg({"last_at": "max"}).first()[0][0] <= 36  # nothing of it was written again
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
-    running = RunningReport(AUDIT, SOURCE, str(tmp_path))
-    first, second = (spark.createDataFrame(lines(n, s), LOG_LINES) for n, s in ((5, 0), (3, 5)))
-    running.process(first, 0)
-    running.process(second, 1)
-    once = [r.asDict() for r in running.report(spark, 1)[0].orderBy("position").collect()]
-    running.process(second, 1)
-    assert [r.asDict() for r in running.report(spark, 1)[0].orderBy("position").collect()] == once
+    source = str(tmp_path / "in")
+    running = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"), parts=2)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(LOG_LINES).parquet(source)
+    for n, start in ((5, 0), (3, 5)):
+        spark.createDataFrame(lines(n, start), LOG_LINES).coalesce(1).write.mode("append").parquet(source)
+        running.start(stream).awaitTermination()
+    once = [r.asDict() for r in running.report(spark)[0].orderBy("position").collect()]
+    changes = spark.read.parquet(str(tmp_path / "state" / "changes")).count()
+    for name in ("1", ".1.crc"):  # as if the last batch had not been committed
+        (tmp_path / "state" / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    running.start(stream).awaitTermination()
+    assert [r.asDict() for r in running.report(spark)[0].orderBy("position").collect()] == once
+    assert spark.read.parquet(str(tmp_path / "state" / "changes")).count() == changes
+
+
+def test_groups_merge_in_any_order():
+    old = ("a", 1, 2, [3, 0, 1], "x", [9, 0, 0], "y")
+    new = ("b", 4, 1, [3, 0, 0], "z", [3, 0, 0], "z")
+    assert merged(old, new) == merged(new, old) == ("b", 4, 3, [3, 0, 0], "z", [9, 0, 0], "y")
 
 
-def test_live_diff(spark, tmp_path):
+def arriving(spark, *scans):
+    """Rows of (host, scan, size of the scan, files)."""
+    rows = [(*file_row(path, digest, host), scan, n) for host, scan, n, files in scans for path, digest in files]
+    return spark.createDataFrame(rows, ARRIVING)
+
+
+def test_live_diff_waits_for_whole_scans(spark, tmp_path):
     base = str(tmp_path / "base")
-    old = snapshot(spark, file_row("/a", "1"), file_row("/b", "2"), file_row("/a", "1", "other"))
+    old = snapshot(spark, file_row("/a", "1"), file_row("/b", "2"), *[file_row(f"/{p}", p, "other") for p in "xyz"])
     write_baseline(old, base)
-    new = snapshot(spark, file_row("/a", "9"), file_row("/c", "2"))
-    new.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(FILE_SNAPSHOT).parquet(str(tmp_path / "in"))
     live = LiveDiff(base, str(tmp_path / "out"))
-    live.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out") + "/batch=*")
-    expected = integrity_diff(old.filter("host = 'h'"), new)
-    assert {(r.kind, r.path) for r in found.collect()} == {(r.kind, r.path) for r in expected.collect()}
-    assert {r.kind for r in found.collect()} == {"modified", "moved"}
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(ARRIVING).parquet(str(tmp_path / "in"))
+    batches = [
+        arriving(spark, ("h", "s1", 2, [("/a", "9"), ("/c", "2")]), ("other", "s1", 3, [("/x", "x")])),
+        arriving(spark, ("other", "s1", 3, [("/y", "new")])),
+        arriving(spark, ("other", "s1", 3, [("/z", "z")]), ("h", "s2", 1, [("/a", "1")])),
+    ]
+    found = []
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
+        found.append({(r.batch_id, r.host, r.kind, r.path) for r in live.findings(spark).collect()})
+    first = {(0, "h", "modified", "/a"), (0, "h", "moved", "/c")}
+    assert found[0] == found[1] == first
+    assert found[2] == first | {(2, "other", "modified", "/y"), (2, "h", "deleted", "/b")}
+    live.process(batches[2], 2)  # repeated after a failure
+    assert {(r.batch_id, r.host, r.kind, r.path) for r in live.findings(spark).collect()} == found[2]
+    with pytest.raises(ValueError, match="missing"):
+        live.process(batches[2], 9)
 
 
 def broken(batch, batch_id):
@@ -99,12 +138,3 @@ def test_audit_forwarding(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out") + "/batch=*").count() == 2
     with pytest.raises(Exception, match="audit forwarding failed"):
         forward_audit(stream, [broken], str(tmp_path / "c2"), required=True).awaitTermination()
-
-
-def test_a_missing_earlier_state_is_an_error(spark, tmp_path):
-    report = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"))
-    part = spark.createDataFrame(lines(3, 0), LOG_LINES)
-    report.process(part, 0)
-    report.process(part, 1)
-    with pytest.raises(ValueError, match="missing"):
-        report.process(part, 3)
