@@ -3,9 +3,15 @@
 Base rules count words, symbols, repeated lines and repeated five-word windows. The verdict on top
 compares four ratios with fences learned from the data: each group of lang and source has a
 mergeable quantile sketch per ratio, a table of counts in buckets of at most 1/32 relative width,
-so sketches add up in any order and to the same result. Groups with few documents use the sketch of
-their language, then that of all. A fence is a high quantile plus a multiple of its distance from
-the median: an even group loses nothing, however large.
+so sketches add up in any order and to the same result.
+
+A fence is the median plus REACH times the spread, the distance of the quartiles, which less than a
+quarter of junk does not move. Groups are settled from the widest to the narrowest: all documents, a
+language, a source of a language. Median and spread of a group are means of its own, weighted by its
+documents, and its wider group's, which counts as BLEND documents. A spread is at least the ratio's
+SPREADS, so equal documents leave room for noise, and at most twice the wider group's; a median is at
+most the wider group's fence. So a source that is mostly junk cannot make its junk the rule. No fence is
+above what a ratio can reach. An even group loses nothing, however large.
 
 Null text has no words and fails the base rule. Null lang or source is a group of its own. Each
 repeated row is judged alike. Other columns of the input are ignored.
@@ -27,10 +33,12 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of the words
 
 FINE = 5  # leading bits of a value that tell its bucket
-LEAST_ROWS = 200  # of a group with thresholds of its own
-HIGH, REACH = 0.95, 4.0  # fence: q(HIGH) + REACH * (q(HIGH) - median)
-#: No fence lies below these, so noise in a group of equal documents rejects nothing.
-FLOORS = {"symbols": 300, "dup_lines": 300, "repeats": 150, "word_length": 25_000}
+REACH = 4  # spreads above the median
+BLEND = 200  # documents as which the wider group counts
+#: Least spread of each ratio, and the highest fence that can reject anything. In a short text one
+#: line in three, or one window of five words, may come again.
+SPREADS = {"symbols": 20, "dup_lines": 90, "repeats": 35, "word_length": 500}
+MOST = {"symbols": 999, "dup_lines": 999, "repeats": 999, "word_length": 1 << 40}
 
 
 def _bound(value: Column, use) -> Column:
@@ -151,70 +159,72 @@ def sketches(counted: DataFrame, groups: list[str]) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per group: its documents and the fence of each ratio."""
+def quartiles(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, ratio, rows, mid, wide): documents, median and distance of the quartiles."""
     keys = [*groups, "ratio"]
     merged = sketch.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*keys).orderBy("bucket")
     ranked = merged.withColumns(
         {"upto": F.sum("n").over(upto), "rows": F.sum("n").over(Window.partitionBy(*keys))}
     )
+    at = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("rows"), F.col("bucket")))
+    return ranked.groupBy(*keys).agg(
+        F.first("rows").alias("rows"), at(2).alias("mid"), (at(3) - at(1)).alias("wide")
+    )
 
-    def quantile(q):
-        return F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("bucket")))
 
-    each = ranked.groupBy(*keys).agg(
-        F.first("rows").alias("rows"), quantile(0.5).alias("mid"), quantile(HIGH).alias("high")
-    )
-    fence = F.col("high") + REACH * (F.col("high") - F.col("mid"))
-    return each.groupBy(*groups).agg(
-        F.max("rows").alias("rows"),
-        *[
-            F.max(F.when(F.col("ratio") == k, F.greatest(fence, F.lit(float(v))))).alias(f"max_{k}")
-            for k, v in FLOORS.items()
-        ],
+def _of_ratio(values: dict[str, int]) -> Column:
+    """The value of the row's ratio."""
+    pairs = [x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("long"))]
+    return F.element_at(F.create_map(*pairs), F.col("ratio"))
+
+
+def _fenced(df: DataFrame) -> DataFrame:
+    return df.withColumn("fence", F.least(F.col("mid") + REACH * F.col("wide"), _of_ratio(MOST)))
+
+
+def settle(own: DataFrame, wider: DataFrame | None = None, on: tuple[str, ...] = ()) -> DataFrame:
+    """The groups' median, spread and fence, blended with and bounded by their wider groups'."""
+    least = _of_ratio(SPREADS)
+    if wider is None:
+        return _fenced(own.withColumn("wide", F.greatest("wide", least)))
+    names = {c: f"w_{c}" for c in (*on, "ratio", "mid", "wide", "fence")}
+    wider = wider.select(*names).withColumnsRenamed(names)
+    same = F.col("ratio") == F.col("w_ratio")
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+    mean = lambda c: F.expr(f"(rows * {c} + {BLEND} * w_{c}) div (rows + {BLEND})")
+    met = own.join(wider, same, "left").withColumns(
+        {
+            "mid": F.least(mean("mid"), F.col("w_fence")),
+            "wide": F.least(F.greatest(mean("wide"), least), 2 * F.col("w_wide")),
+        }
     )
+    return _fenced(met.drop(*names.values()))
 
 
-def judge(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed and kept."""
     counted = materialise(
         base_counts(slim(docs, "doc_id", "text", "lang", "source")).drop("text")
     )
     sketch = materialise(sketches(counted.filter(~F.col("base_failed")), ["lang", "source"]))
-    fine, by_lang, of_all = (fences(sketch, g) for g in (["lang", "source"], ["lang"], []))
-    maxima = [f"max_{k}" for k in FLOORS]
-
-    def struct(name):
-        return F.struct(*maxima).alias(name)
-
-    rules = (
-        fine.select("lang", "source", "rows", struct("own"))
-        .withColumn("own", F.when(F.col("rows") >= least_rows, F.col("own")))
-        .alias("f")
-        .join(
-            by_lang.filter(F.col("rows") >= least_rows).select(
-                F.col("lang").alias("l_lang"), struct("wider")
-            ),
-            F.col("lang").eqNullSafe(F.col("l_lang")),
-            "left",
-        )
-        .withColumn("_all", F.lit(1))
-        .join(of_all.select(struct("widest"), F.lit(1).alias("_all")), "_all", "left")  # one row
-        .select("lang", "source", F.coalesce("own", "wider", "widest").alias("rule"))
+    of_all = settle(quartiles(sketch, []))
+    by_lang = settle(quartiles(sketch, ["lang"]), of_all)
+    fine = settle(quartiles(sketch, ["lang", "source"]), by_lang, ("lang",))
+    rules = fine.groupBy(F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
+        *[F.max(F.when(F.col("ratio") == k, F.col("fence"))).alias(f"_max_{k}") for k in SPREADS]
     )
     joined = counted.join(
-        rules.withColumnsRenamed({"lang": "_lang", "source": "_source"}),
-        F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")),
-        "left",
+        rules, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left"
     )
     within = F.lit(True)
     for name, value in ratios().items():
-        within = within & (value <= F.coalesce(F.col(f"rule.max_{name}"), value))
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("_lang", "_source", "rule")
+        within = within & (value <= F.coalesce(F.col(f"_max_{name}"), value))
+    return joined.withColumn("kept", ~F.col("base_failed") & within).select(*counted.columns, "kept")
 
 
-def keep(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass."""
-    verdict = judge(docs, least_rows).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    verdict = judge(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(verdict, docs["doc_id"].eqNullSafe(verdict["_id"]), "left_semi")

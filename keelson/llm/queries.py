@@ -55,22 +55,35 @@ _RATIOS = {
 }
 
 
-def _fences_sql(groups):
+def _per_ratio(values):
+    return "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+def _quartiles_sql(groups):
     keys = "".join(f"{g}, " for g in groups)
-    maxima = ", ".join(
-        f"max(CASE WHEN ratio = '{k}' THEN greatest(fence, {v}) END) AS max_{k}"
-        for k, v in quality_rules.FLOORS.items()
-    )
-    by = f"GROUP BY {', '.join(groups)}" if groups else ""
     return f"""(
-  SELECT {keys}max(n) AS n, {maxima} FROM (
-    SELECT {keys}ratio, n, min(bucket) FILTER (upto >= {quality_rules.HIGH} * n) AS high,
-           min(bucket) FILTER (upto >= 0.5 * n) AS mid, high + {quality_rules.REACH} * (high - mid) AS fence
-    FROM (
-      SELECT {keys}ratio, bucket, count(*) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS upto,
-             count(*) OVER (PARTITION BY {keys}ratio) AS n FROM b
-    ) GROUP BY {keys}ratio, n
-  ) {by})"""
+  SELECT {keys}ratio, n, min(bucket) FILTER (4 * upto >= 2 * n) AS mid,
+         min(bucket) FILTER (4 * upto >= 3 * n) - min(bucket) FILTER (4 * upto >= n) AS wide
+  FROM (
+    SELECT {keys}ratio, bucket, count(*) OVER (PARTITION BY {keys}ratio ORDER BY bucket) AS upto,
+           count(*) OVER (PARTITION BY {keys}ratio) AS n FROM b
+  ) GROUP BY {keys}ratio, n)"""
+
+
+def _settled_sql(name, wider, groups, on):
+    """The group's fences after its wider group's."""
+    keys = "".join(f"q.{g}, " for g in groups)
+    same = "".join(f" AND q.{g} IS NOT DISTINCT FROM w.{g}" for g in on)
+    mean = lambda c: f"(q.n * q.{c} + {quality_rules.BLEND} * w.{c}) // (q.n + {quality_rules.BLEND})"
+    return f"""{name}_0 AS (
+  SELECT {keys}q.ratio, least({mean("mid")}, w.fence) AS mid,
+         {mean("wide")} AS own, w.wide AS w_wide
+  FROM {_quartiles_sql(groups)} q JOIN {wider} w ON q.ratio = w.ratio{same}
+), {name}_1 AS (
+  SELECT *, least(greatest(own, {_per_ratio(quality_rules.SPREADS)}), 2 * w_wide) AS wide FROM {name}_0
+), {name} AS (
+  SELECT *, least(mid + {quality_rules.REACH} * wide, {_per_ratio(quality_rules.MOST)}) AS fence FROM {name}_1
+)"""
 
 
 @register(
@@ -106,15 +119,19 @@ WITH t AS (
 ), b AS (
   SELECT lang, source, ratio, greatest(length(ltrim(bin(v), '0')) - {quality_rules.FINE + 1}, 0)::INT AS s,
          ((v >> s) << s) AS bucket FROM v
+), a_0 AS (
+  SELECT ratio, mid, greatest(wide, {_per_ratio(quality_rules.SPREADS)}) AS wide FROM {_quartiles_sql([])}
+), a AS (
+  SELECT *, least(mid + {quality_rules.REACH} * wide, {_per_ratio(quality_rules.MOST)}) AS fence FROM a_0
+), {_settled_sql("l", "a", ["lang"], [])}, {_settled_sql("o", "l", ["lang", "source"], ["lang"])}, rules AS (
+  SELECT lang, source, {", ".join(f"max(CASE WHEN ratio = '{k}' THEN fence END) AS max_{k}" for k in _RATIOS)}
+  FROM o GROUP BY lang, source
 )
 SELECT f.doc_id, f.lang, f.source, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines,
        f.n_lines, f.n_repeat_words, f.base_failed,
-       NOT f.base_failed {" ".join(f'''AND r_{k} <= coalesce(CASE WHEN o.n >= {quality_rules.LEAST_ROWS} THEN o.max_{k}
-         WHEN l.n >= {quality_rules.LEAST_ROWS} THEN l.max_{k} ELSE a.max_{k} END, r_{k})''' for k in _RATIOS)} AS kept
-FROM f LEFT JOIN {_fences_sql(["lang", "source"])} o
+       NOT f.base_failed {" ".join(f"AND r_{k} <= coalesce(max_{k}, r_{k})" for k in _RATIOS)} AS kept
+FROM f LEFT JOIN rules o
   ON f.lang IS NOT DISTINCT FROM o.lang AND f.source IS NOT DISTINCT FROM o.source
-LEFT JOIN {_fences_sql(["lang"])} l ON f.lang IS NOT DISTINCT FROM l.lang
-LEFT JOIN {_fences_sql([])} a ON TRUE
 """,
 )
 def op5_quality_rules(spark, sf_dir):

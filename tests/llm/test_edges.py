@@ -31,6 +31,25 @@ def test_quality_rules_take_odd_rows(spark):
     assert quality_rules.keep(docs).columns == docs.columns
 
 
+def test_junk_in_a_group_is_rejected_and_even_groups_lose_nothing(spark):
+    import random
+
+    rng = random.Random(2)
+    plain = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(3, 7))) for _ in range(n))
+    junk = lambda: " ".join(rng.choice(["##", "%%$", "abc", "<|>"]) for _ in range(30)) + f" {rng.random()}"
+    rows = [(i, plain(40), "en", "even") for i in range(400)]
+    rows += [(1000 + i, junk() if i % 10 == 0 else plain(40), "en", "mixed") for i in range(400)]
+    rows += [(2000 + i, junk() if i % 10 < 6 else plain(40), "en", "mostly junk") for i in range(100)]
+    rows += [(3000 + i, plain(40) + " #" * (i % 3), "en", "few") for i in range(6)]
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    kept = {r.doc_id: r.kept for r in got.collect() if not r.base_failed}
+    assert all(kept[i] for i in range(400)) and all(v for k, v in kept.items() if k >= 3000)
+    for i in range(400):
+        assert kept.get(1000 + i, False) == (i % 10 != 0)
+    for i in range(100):
+        assert kept.get(2000 + i, False) == (i % 10 >= 6)
+
+
 def test_decontamination_takes_odd_rows_and_finds_words_nearby(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
     bench = spark.createDataFrame([(1, item), (2, None), (None, "short one"), (3, ""), (4, "omega")], "item_id bigint, text string")
