@@ -130,10 +130,15 @@ both_kinds AS (
 SELECT host, count(*) FILTER (kind = 'directory') AS directories,
        count(*) FILTER (kind <> 'directory') AS files,
        sum(size) FILTER (kind <> 'directory')::BIGINT AS bytes,
-       sum(processed_bytes)::BIGINT AS processed_bytes, 0::BIGINT AS failed
-FROM both_kinds GROUP BY host""")
+       sum(processed_bytes)::BIGINT AS processed_bytes,
+       (SELECT count(*) FROM baseline b WHERE b.host = k.host AND NOT EXISTS (
+          SELECT 1 FROM current_rows c WHERE c.host = b.host AND c.path = b.path)) AS failed
+FROM both_kinds k GROUP BY host""")
 def scan_stats(spark, sf_dir):
-    return D.scan_stats(I.with_folders(I.current(spark, sf_dir)))
+    """Paths of the baseline that the scan no longer met count as failures."""
+    current = I.current(spark, sf_dir)
+    lost = D.deleted_sweep(I.baseline(spark, sf_dir), current).select("host", "path")
+    return D.scan_stats(I.with_folders(current), lost)
 
 
 @query("content_policy", DIFF + """
@@ -342,13 +347,11 @@ def finding_messages(spark, sf_dir):
 
 @query("capped_details", DIFF + """,
 placed AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY path, kind) AS n
-           FROM findings WHERE kind <> 'moved')
+           FROM findings)
 SELECT host, string_agg(path, '|' ORDER BY n) FILTER (n <= 7) AS shown,
        greatest(count(*) - 7, 0) AS omitted FROM placed GROUP BY host""")
 def details_cap(spark, sf_dir):
-    rows = findings(spark, sf_dir).filter("kind <> 'moved'").select(
-        "host", "path", F.col("path").alias("message")
-    )
+    rows = findings(spark, sf_dir).select("host", "path", F.col("path").alias("message"))
     return capped_details(rows, 7).select(
         "host", F.array_join("details", "|").alias("shown"), "omitted"
     )

@@ -153,14 +153,14 @@ def reason_codec(spark, sf_dir):
 
 
 @query("move_codec", I.diff_ctes() + """
-SELECT host, path, previous_path FROM findings WHERE kind IN ('moved', 'added')""")
+SELECT host, path, previous_path, kind FROM findings""")
 def move_codec(spark, sf_dir):
     found = D.integrity_diff(I.baseline(spark, sf_dir), I.current(spark, sf_dir))
-    encoded = found.filter(F.col("kind").isin("moved", "added")).select(
-        "host",
+    encoded = found.select(
+        "host", "kind",
         F.coalesce(P.encode_move("path", "previous_path"), F.col("path")).alias("encoded"),
     )
-    return encoded.select("host", P.decode_move("encoded").alias("d")).select("host", "d.*")
+    return encoded.select("host", "kind", P.decode_move("encoded").alias("d")).select("host", "kind", "d.*")
 
 
 # --- stored baselines ---------------------------------------------------------------------
@@ -460,90 +460,6 @@ def mountinfo(spark, sf_dir):
     return parse_mountinfo(lines)
 
 
-HEALTH_SQL = I.diff_ctes() + f""",
-mounts AS ({I.MOUNTS_SQL}),
-hosts AS (SELECT DISTINCT host FROM current_rows),
-made AS (SELECT host, count(*) AS records FROM baseline WHERE host <> 'host3' GROUP BY host),
-gaps AS (SELECT host, count(*) AS n FROM current_rows WHERE starts_with(path, '/srv/moved/')
-         GROUP BY host),
-risky AS (SELECT host, count(*) AS n FROM mounts WHERE fs_type = 'squashfs' GROUP BY host)
-SELECT host, 'baseline' AS "check", CASE WHEN records IS NULL OR host = 'host2' THEN 'fail'
-       ELSE 'ok' END AS status, CASE WHEN records IS NULL THEN 'missing'
-       WHEN host = 'host2' THEN 'content_hash' ELSE 'ok' END AS detail
-FROM hosts LEFT JOIN made USING (host)
-UNION ALL SELECT host, 'records', 'ok', coalesce(records, 0)::VARCHAR
-FROM hosts LEFT JOIN made USING (host)
-UNION ALL SELECT host, 'generation', 'ok', CASE WHEN records IS NULL THEN '0' ELSE '3' END
-FROM hosts LEFT JOIN made USING (host)
-UNION ALL SELECT host, 'created', 'ok', CASE WHEN records IS NULL THEN ''
-  ELSE strftime(make_timestamp(({CREATED} + records) * 1000), '%Y-%m-%d %H:%M:%S') || ' UTC' END
-FROM hosts LEFT JOIN made USING (host)
-UNION ALL SELECT host, 'scan_byte_limit', 'ok', CASE WHEN host = 'host0' THEN '1.50MB'
-  ELSE 'whole file' END FROM hosts
-UNION ALL SELECT host, 'config_drift', CASE WHEN host = 'host1' THEN 'fail' ELSE 'ok' END,
-  CASE WHEN host = 'host1' THEN 'drift' ELSE 'ok' END FROM made
-UNION ALL SELECT host, 'audit_chain', CASE WHEN host = 'host0' THEN 'fail' ELSE 'ok' END,
-  CASE WHEN host = 'host0' THEN 'line 4: hash mismatch' ELSE records || ' events' END
-FROM hosts JOIN (SELECT host, count(*) AS records FROM baseline GROUP BY host) USING (host)
-UNION ALL SELECT host, 'risky_mounts', CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END,
-  coalesce(n, 0)::VARCHAR FROM hosts LEFT JOIN risky USING (host)
-UNION ALL SELECT host, 'policy', CASE WHEN host = 'host2' THEN 'fail' ELSE 'ok' END,
-  CASE WHEN host = 'host2' THEN '1' ELSE '0' END FROM hosts
-UNION ALL SELECT host, 'coverage', CASE WHEN n > 0 THEN 'fail' ELSE 'ok' END,
-  coalesce(n, 0)::VARCHAR FROM hosts LEFT JOIN gaps USING (host)"""
-
-
-@query("health_report", HEALTH_SQL)
-def health_report(spark, sf_dir):
-    return health_rows(spark, sf_dir)
-
-
-def health_rows(spark, sf_dir):
-    from keelson.operators.scope import coverage_gaps
-
-    old, new = I.baseline(spark, sf_dir), I.current(spark, sf_dir)
-    host = F.col("host")
-    hosts = new.select("host").distinct()
-    counted = old.groupBy("host").agg(F.count(F.lit(1)).alias("records"))
-    no_texts = F.array().cast("array<string>")
-    manifests = counted.filter(host != "host3").select(
-        "host", F.lit(3).cast("long").alias("generation"), "records",
-        F.when(host == "host0", 1_500_000).otherwise(0).cast("long").alias("scan_byte_limit"),
-        (F.lit(CREATED) + F.col("records")).alias("created_unix_ms"),
-        text_digest("host").alias("config_hash"),
-        F.when(host == "host2", F.array(F.lit("content_hash"))).otherwise(no_texts).alias(
-            "mismatches"),
-    )
-    present = hosts.select("host", text_digest(
-        F.when(host == "host1", "edited").otherwise(host)).alias("current_config_hash"))
-    bad = host == "host0"
-    audits = counted.select(
-        host.alias("log_id"), F.col("records").alias("events"), F.lit("").alias("last_hash"),
-        F.when(bad, 4).cast("long").alias("bad_line"),
-        F.when(bad, "hash mismatch").alias("cause"),
-    )
-    policies = hosts.select(
-        "host", F.array(F.lit("/srv")).alias("scan_paths"), F.lit("/var/db").alias("db_path"),
-        F.when(host == "host2", F.array(F.lit("/"))).otherwise(no_texts).alias("exclusions"),
-        F.array(F.lit("proc")).alias("excluded_filesystems"), no_texts.alias("metadata_rules"),
-        F.lit(0).cast("long").alias("scan_byte_limit"),
-    )
-    policy = Policy(scan_paths=("/srv",), exclusions=("/srv/moved",),
-                    excluded_filesystems=("proc",))
-    gaps = coverage_gaps(new.select("host", "path"), policy)
-    return H.health_report(
-        hosts, manifests, config_drift(manifests, present), audits, I.mounts(spark, sf_dir),
-        policies, gaps, policy,
-    )
-
-
-@query("health_verdict", f"""
-SELECT host, count(*) FILTER (status = 'fail') AS failures,
-       count(*) FILTER (status = 'fail') = 0 AS healthy FROM ({HEALTH_SQL}) GROUP BY host""")
-def health_verdict(spark, sf_dir):
-    return H.health_verdict(health_rows(spark, sf_dir))
-
-
 # --- numbers, texts and small codecs ------------------------------------------------------
 
 
@@ -579,6 +495,18 @@ def rates(spark, sf_dir):
     return scan_rate(I.samples(spark, sf_dir))
 
 
+@query("scan_rate_long", f"""WITH s AS ({I.SAMPLES_SQL}),
+starts AS (SELECT run_id, min(ts_ms) AS ts0, arg_min(files, ts_ms) AS files0 FROM s GROUP BY run_id)
+SELECT s.run_id, s.ts_ms, s.files - coalesce(p.files, files0) AS recent_files,
+       s.ts_ms - coalesce(p.ts_ms, ts0) AS recent_elapsed_ms
+FROM s JOIN starts USING (run_id)
+ASOF LEFT JOIN s p ON p.run_id = s.run_id AND s.ts_ms - 150000 >= p.ts_ms""")
+def long_rates(spark, sf_dir):
+    """The same over two and a half minutes, more than a bucket."""
+    found = scan_rate(I.samples(spark, sf_dir), 150_000)
+    return found.select("run_id", "ts_ms", "recent_files", "recent_elapsed_ms")
+
+
 @query("format_bytes", f"""WITH v AS (SELECT o_orderkey AS id,
   CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey * 1005
        WHEN 2 THEN o_orderkey * 1000005 ELSE o_orderkey * 98765432101 END AS value FROM orders)

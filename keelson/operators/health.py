@@ -206,12 +206,13 @@ def health_report(
     gaps: DataFrame,
     policy: Policy = Policy(),
     trust: DataFrame | None = None,
+    pins: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (host, check, status, detail) of everything that should be in order.
 
     ``manifests``: verified manifest rows per host (with ``mismatches``); ``drift``: from
-    ``config_drift``; ``audits``: from ``verify_audit`` with the host as log; ``gaps``: from
-    ``coverage_gaps``.
+    ``config_drift``; ``audits``: from ``verify_audit`` with the host as log, or ``audits_of_hosts``;
+    ``gaps``: from ``coverage_gaps``; ``trust``: from ``trust_issues``; ``pins``: from ``config_pin``.
     """
     known = hosts.select("host").distinct()
     stored = known.join(manifests, "host", "left")
@@ -256,9 +257,31 @@ def health_report(
     ]
     if trust is not None:
         parts.append(_count_check(known, trust, "trust"))
+    if pins is not None:
+        parts.append(_check(pins, "config_pin", F.col("status") != "ok", F.col("status")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def audits_of_hosts(audits: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Verification results of all logs of a host as one: ``hosts`` names each log's host.
+
+    The events of its logs are added up; of broken ones the first log, by name, is shown.
+    """
+    broken = F.struct("log_id", "bad_line", "cause", "last_hash")
+    return (
+        audits.join(hosts.select("log_id", "host"), "log_id")
+        .groupBy("host")
+        .agg(
+            F.sum("events").alias("events"),
+            F.min(F.when(F.col("bad_line").isNotNull(), broken)).alias("_broken"),
+        )
+        .select(
+            F.col("host").alias("log_id"), "events", F.col("_broken.last_hash").alias("last_hash"),
+            F.col("_broken.bad_line").alias("bad_line"), F.col("_broken.cause").alias("cause"),
+        )
+    )
+
+
 def health_verdict(report: DataFrame) -> DataFrame:
     """Number of failed checks per host."""
     failures = F.count_if(F.col("status") == "fail")

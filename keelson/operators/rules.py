@@ -75,6 +75,11 @@ def register_selector(
     _KINDS[name] = SelectorKind(test, sanitise, needs_match=False)
 
 
+def selector_kinds() -> list[str]:
+    """The selector kinds that exist."""
+    return list(_KINDS)
+
+
 def _kind(selector: Selector) -> SelectorKind:
     if selector.kind not in _KINDS:
         raise ConfigError(f"invalid selector type {selector.kind}")
