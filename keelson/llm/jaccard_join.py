@@ -14,11 +14,10 @@ differ in one shingle meet too, by the signatures of the subset less each one of
 thresholds of a band (none, equal, one apart) sum to H + 1 as before, so no link can be missed. An exchange
 is made when the comparisons saved outweigh the rows of the one-deletion neighbourhood.
 
-No bucket is expanded into pairs of its members. Rounds compare members with one leader of their
-bucket, a new one each round, and join what links, until a round adds no link or STARS have passed. Then
-all pairs of different components in a bucket are compared, those excepted that their parities rule out:
-each shingle flips one of 512 bits, so no more bits can differ than shingles. Every pair left is verified
-on the words of both texts, exactly.
+No bucket is expanded into pairs of its members. STARS rounds compare members with one or more leaders
+of their bucket, others in each round, and join what links. Then all pairs of different components in a
+bucket are compared, those excepted that their parities rule out: each shingle flips one of 512 bits, so
+no more bits can differ than shingles. Every pair left is verified on the words of both texts, exactly.
 
 Words: A-Z lower-cased, split at blanks, tabs, newlines and returns. A text of fewer words than SHINGLE
 is one shingle of all of them; one without words, empty or null, has an empty set and links with
@@ -40,7 +39,7 @@ from keelson.llm.near_dedup import lowered, relabelled
 SHINGLE = 3
 LEAST = (90, 100)
 GROWTH = 1.2  # of the sizes from one band to the next
-STARS = 6
+STARS = (1, 3, 3)  # leaders of a bucket in each round
 CHUNK = 1 << 20  # bytes of text hashed at once
 PAIR_COST, ROW_COST = 8.0, 1.0  # of comparing a member of a bucket, and of one more signature
 
@@ -347,12 +346,12 @@ def _of(nodes, side):
     return nodes.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in nodes.columns])
 
 
-def star_pairs(met: DataFrame, sides: DataFrame, turn: int, least) -> DataFrame:
-    """Members with the leader of their bucket, where they are in different components."""
-    leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("turn"), F.col("node").alias("lead")))
-    lead = met.groupBy("key").agg(leader.alias("m")).select("key", "m.lead")
-    pairs = met.join(lead, "key").filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = pairs.join(_of(sides, "a"), "a").join(_of(sides, "b"), "b")
+def star_pairs(met: DataFrame, sides: DataFrame, turns, least) -> DataFrame:
+    """Members with the leaders of their bucket, one for each turn, where they are in different components."""
+    first = [F.min(F.struct(F.xxhash64("node", F.lit(t)).alias("turn"), F.col("node").alias("lead")))["lead"] for t in turns]
+    leads = met.groupBy("key").agg(F.array(*first).alias("leads"))
+    rows = met.join(leads, "key").select(F.explode(F.array_distinct("leads")).alias("a"), F.col("node").alias("b"))
+    pairs = rows.filter("a <> b").distinct().join(_of(sides, "a"), "a").join(_of(sides, "b"), "b")
     near = _near(*[F.col(c) for c in ("a_n", "b_n", "a_parity", "b_parity")], least)
     return pairs.filter((F.col("a_label") != F.col("b_label")) & near).select(*_PAIR)
 
@@ -446,10 +445,12 @@ def components(docs: DataFrame, least=LEAST, pair_cost: float = PAIR_COST, row_c
     texts = materialise(text_of(known.select("doc_id", "th", "node")))
     labels = known.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("label")).distinct()
     sides = lambda: known.join(labels.withColumnRenamed("node", "doc_id"), "doc_id").drop("doc_id", "th")
-    for turn in range(STARS):
-        links = verified(star_pairs(met, sides(), turn, least), texts, least)
+    turn = 0
+    for leaders in STARS:
+        links = verified(star_pairs(met, sides(), range(turn, turn + leaders), least), texts, least)
         labels = relabelled(labels, links)
         met = open_rows(met, sides())
+        turn += leaders
         if met.isEmpty() or links.isEmpty():
             break
     labels = relabelled(labels, verified(other_pairs(met, sides(), least), texts, least))

@@ -39,7 +39,7 @@ LEAST = 0.8
 TABLES = 24
 KEEP = 3
 PART = 4
-STARS = 6
+STARS = 3
 MOST_CELLS = 1 << 21  # of the table of hashes of one text; longer texts go in column blocks
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
