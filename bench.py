@@ -1,7 +1,9 @@
-"""Times the headline queries, three comparison shapes and a store; prints one JSON line.
+"""Times the headline queries, four comparison shapes, a store and a file tree; prints one JSON line.
 
 BENCH_SF_DIR names the tables, BENCH_CPUS the local cores, BENCH_ROWS the size of the generated
-snapshots (identical, moved and mixed), which are compared in full.
+snapshots, which are compared in full: identical, moved, mixed, and hot (a third of the files moved
+with one and the same content). The tree holds every document as a file; it is listed, and read with
+digests. Making snapshots and the tree is not timed.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from keelson.catalog import QUERIES
+from keelson.catalog.stored import written_tree
+from keelson.config import Policy
 from keelson.operators.diff import integrity_diff
 from keelson.schemas import FILE_SNAPSHOT
 from keelson.session import build_session, materialise, work_dir
 from keelson.sinks.baseline import write_baseline
+from keelson.sources.tree import list_tree, read_tree
 
 HEADLINE = [
     "integrity_findings",
@@ -40,15 +45,16 @@ HEADLINE = [
 ]
 
 
-def generated(spark, rows, root="/synthetic/tree", edited=0):
-    """``rows`` files spread over folders; every ``edited``-th has other content."""
+def generated(spark, rows, root="/synthetic/tree", edited=0, alike=0):
+    """``rows`` files spread over folders; every ``edited``-th has other content, every ``alike``-th the same."""
     i = F.col("id")
     changed = (i % edited == 0) if edited else F.lit(False)
+    own = F.when(i % alike == 0, 0).otherwise(i) if alike else i
     given = {
         "host": F.lit("bench"),
         "path": F.format_string(f"{root}/%03d/%03d/%09d.dat", i % 1000, (i / 1000).cast("int") % 1000, i),
         "kind": F.lit("file"),
-        "checksum": F.sha2(F.concat(i.cast("string"), F.when(changed, "x").otherwise("")), 256),
+        "checksum": F.sha2(F.concat(own.cast("string"), F.when(changed, "x").otherwise("")), 256),
         "size": F.lit(128), "mode": F.lit(0o100600), "uid": F.lit(1000), "gid": F.lit(1000),
         "mtime_ns": i, "processed_bytes": F.lit(128),
     }
@@ -87,21 +93,30 @@ def main():
         print(f"{name}: {timings[name]}", file=sys.stderr)
 
     base = stored(generated(spark, rows))
+    hot = stored(generated(spark, rows, alike=3))
     shapes = {
-        "identical": stored(generated(spark, rows)),
-        "moved": stored(generated(spark, rows, "/synthetic/new")),
-        "mixed": stored(generated(spark, rows, edited=10)),
+        "identical": (base, stored(generated(spark, rows))),
+        "moved": (base, stored(generated(spark, rows, "/synthetic/new"))),
+        "mixed": (base, stored(generated(spark, rows, edited=10))),
+        "hot": (hot, stored(generated(spark, rows, "/synthetic/new", alike=3))),
     }
-    for shape, current in shapes.items():
+    for shape, (before, current) in shapes.items():
         name = f"compare_{shape}_{rows}"
         started = time.perf_counter()
-        run(integrity_diff(base, current, distinct=True))
+        run(integrity_diff(before, current, distinct=True))
         timings[name] = round(time.perf_counter() - started, 3)
         print(f"{name}: {timings[name]}", file=sys.stderr)
     started = time.perf_counter()
     write_baseline(base, os.path.join(work_dir(spark), f"baseline-{uuid.uuid4().hex}"))
     timings[f"write_baseline_{rows}"] = round(time.perf_counter() - started, 3)
 
+    policy = Policy(scan_paths=(written_tree(spark, sf_dir),))
+    for name, scan in (("list_tree", lambda: list_tree(spark, policy)), ("read_tree", lambda: read_tree(spark, policy).snapshot)):
+        started = time.perf_counter()
+        entries = scan().count()
+        timings[name] = round(time.perf_counter() - started, 3)
+        print(f"{name}: {timings[name]} ({entries} entries)", file=sys.stderr)
+
     compared = timings[f"compare_identical_{rows}"]
     print(
         json.dumps(
@@ -112,6 +127,7 @@ def main():
                 "queries": timings,
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "files_per_second": round(rows / compared),
+                "tree_files_per_second": round(entries / timings["read_tree"]),
             }
         )
     )
