@@ -135,3 +135,13 @@ def has_card_number(line) -> Column:
 def mask_cards(line) -> Column:
     """Mask every run of 16 or more digits as written, card or not."""
     return F.regexp_replace(_col(line), CARD_RUN, CARD_MASK)
+
+
+def filled(template: str, **columns) -> Column:
+    """Fill a template such as ``{count} events`` with columns."""
+    parts, rest = [], template
+    while "{" in rest:
+        before, _, tail = rest.partition("{")
+        name, _, rest = tail.partition("}")
+        parts += [F.lit(before), columns[name].cast("string")]
+    return F.concat(*parts, F.lit(rest))

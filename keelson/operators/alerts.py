@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from keelson.config import AlertPolicy
+from keelson.functions.text import filled
 
 DETAIL_LIMIT = 1000  # fixed value: finding lines in one message
 
@@ -15,6 +16,11 @@ LOG_OK = "Log scan succeeded: "
 LOG_ALERT = "ALERT: Log scan detected problems: "
 NO_RECIPIENT = "Unable to send email: no recipient address is configured"
 NO_SENDER = "Unable to send email: email_from_address is not configured"
+SCAN_TEXT = "The file Integrity monitor {action} scanned {directories} directories and {files} files.\n"
+SCAN_FOUND = "\nDetected {found} problems with the following files.\n\n"
+SCAN_OMITTED = "{omitted} additional findings omitted from email details"
+LOG_TEXT = "The log scan '{source}' checked {lines} log lines and matched {matches} problems.\n\nSource: {label}\n"
+LOG_NONE = "\nNo problems found.\n"
 
 
 def _blank_as_null(text: str) -> Column:
@@ -67,21 +73,13 @@ def scan_alerts(
     success = found == 0
     omitted = F.when(
         F.col("omitted") > 0,
-        F.array(
-            F.concat(F.col("omitted").cast("string"),
-                     F.lit(" additional findings omitted from email details"))
-        ),
+        F.array(filled(SCAN_OMITTED, omitted=F.col("omitted"))),
     ).otherwise(F.array().cast("array<string>"))
     lines = F.concat(F.coalesce("details", F.array().cast("array<string>")), omitted)
-    text = F.concat(
-        F.lit(f"The file Integrity monitor {action} scanned "),
-        F.col("directories").cast("string"), F.lit(" directories and "),
-        F.col("files").cast("string"), F.lit(" files.\n"),
-    )
+    text = filled(SCAN_TEXT, action=F.lit(action), directories=F.col("directories"), files=F.col("files"))
     body = F.when(success, text).otherwise(
         F.concat(
-            text, F.lit("\nDetected "), found.cast("string"),
-            F.lit(" problems with the following files.\n\n"),
+            text, filled(SCAN_FOUND, found=found),
             F.array_join(F.transform(lines, lambda d: F.concat(d, F.lit("\n"))), ""),
         )
     )
@@ -103,13 +101,8 @@ def log_alerts(
     success = F.col("match_count") == 0
     recipient = F.coalesce(_blank_as_null(report_to or ""), _recipient(success, policy))
     subject = F.concat(F.when(success, LOG_OK).otherwise(LOG_ALERT), F.col("source"))
-    body = F.concat(
-        F.lit("The log scan '"), F.col("source"), F.lit("' checked "),
-        F.col("line_count").cast("string"), F.lit(" log lines and matched "),
-        F.col("match_count").cast("string"), F.lit(" problems.\n\nSource: "), label,
-        F.lit("\n"),
-        F.when(success, F.lit("\nNo problems found.\n")).otherwise(
-            F.concat(F.lit("\n"), F.col("report"))
-        ),
+    text = filled(
+        LOG_TEXT, source=F.col("source"), lines=F.col("line_count"), matches=F.col("match_count"), label=label
     )
+    body = F.concat(text, F.when(success, F.lit(LOG_NONE)).otherwise(F.concat(F.lit("\n"), F.col("report"))))
     return _routed(reports, "source", success, recipient, subject, body, policy)

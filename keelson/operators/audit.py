@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions.digests import _col, text_digest
 from keelson.schemas import AUDIT_LINES
+from keelson.session import materialise
 
 # Executors need not have this package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -57,16 +58,19 @@ def payload(line) -> Column:
 def verify_lines(lines: DataFrame) -> DataFrame:
     """Add ``hash`` and ``cause`` (null when good) to audit lines (log_id, seq, line).
 
-    A line needs only the hash of the line before it. Neighbours are found inside blocks of
+    A line needs only the hash of the line before it. Each line is read once: what the checks need of
+    it is stored, hashes and whether its own one is right. Neighbours are found inside blocks of
     BLOCK_LINES numbers; the first line of a block gets the last hash of the earlier blocks, so
     a log of any length is verified by many tasks.
     """
     block = F.floor(F.col("seq") / BLOCK_LINES)
-    own = lines.filter(F.trim("line") != "").select(
-        "log_id", "seq", block.alias("_block"),
-        json_text("line", "hash").alias("hash"),
-        json_text("line", "previous_hash").alias("previous_hash"),
-        text_digest(payload("line")).alias("_expected"),
+    own_hash, expected = json_text("line", "hash"), text_digest(payload("line"))
+    own = materialise(
+        lines.filter(F.trim("line") != "").select(
+            "log_id", "seq", block.alias("_block"), own_hash.alias("hash"),
+            json_text("line", "previous_hash").alias("previous_hash"),
+            expected.isNull().alias("_odd"), (own_hash != expected).alias("_wrong"),
+        )
     )
     # A missing hash is kept apart from "no line before".
     link = F.coalesce("hash", F.lit(""))
@@ -82,8 +86,8 @@ def verify_lines(lines: DataFrame) -> DataFrame:
         F.col("previous_hash").isNull(),
         F.col("previous_hash") != expected_link,
         F.col("hash").isNull(),
-        F.col("_expected").isNull(),
-        F.col("hash") != F.col("_expected"),
+        F.col("_odd"),
+        F.col("_wrong"),
     ]
     cause = F.coalesce(*[F.when(t, F.lit(c)) for t, c in zip(tests, CAUSES)])
     return linked.select("log_id", "seq", "_block", "hash", cause.alias("cause"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.config import LogSource
-from keelson.functions.text import first_match
+from keelson.functions.text import filled, first_match
 from keelson.operators.ranking import first_in_groups
 
 # The wording of the two reports.
@@ -25,16 +25,6 @@ ARRIVAL = ["file", "line_no", "rule_idx", "selector_idx"]
 GROUP_LIMIT = 1000
 
 
-def _text(template: str, **columns) -> Column:
-    """Fill a template with columns."""
-    parts, rest = [], template
-    while "{" in rest:
-        before, _, tail = rest.partition("{")
-        name, _, rest = tail.partition("}")
-        parts += [F.lit(before), columns[name].cast("string")]
-    return F.concat(*parts, F.lit(rest))
-
-
 def log_totals(lines: DataFrame, marker: str | None = None, by=("source",)) -> DataFrame:
     """Per log, its number of lines and of the last line holding the reset marker, if any.
 
@@ -153,11 +143,11 @@ def _joined(rows: DataFrame, by, text: Column) -> DataFrame:
 def render_grouped(groups: DataFrame, summary: DataFrame, by=("source",)) -> DataFrame:
     """Text of the grouped report; ``groups`` are already limited by ``top_groups``."""
     text = F.concat(
-        _text(GROUP_LINE, description=F.col("description"), key=F.col("key"),
+        filled(GROUP_LINE, description=F.col("description"), key=F.col("key"),
               count=F.col("count")),
-        _text(FIRST_LINE, line_no=F.col("first.line_no"), line=F.col("first.line")),
+        filled(FIRST_LINE, line_no=F.col("first.line_no"), line=F.col("first.line")),
         F.coalesce(
-            _text(LAST_LINE, line_no=F.col("last.line_no"), line=F.col("last.line")), F.lit("")
+            filled(LAST_LINE, line_no=F.col("last.line_no"), line=F.col("last.line")), F.lit("")
         ),
     )
     note = F.when(F.col("reset_occurred"), F.lit(RESET_NOTE)).otherwise("")
@@ -175,16 +165,16 @@ def render_simple(
     """Text of the simple report; ``listed`` comes from ``top_events``."""
     before = F.lag("rule_name").over(Window.partitionBy(*by).orderBy("position"))
     headed = listed.withColumn("_heads", ~before.eqNullSafe(F.col("rule_name")))
-    header = _text(RULE_HEADER, name=F.col("rule_name"), description=F.col("rule_description"))
+    header = filled(RULE_HEADER, name=F.col("rule_name"), description=F.col("rule_description"))
     text = F.concat(F.when(F.col("_heads"), header).otherwise(""), F.col("line"), F.lit("\n"))
     name = F.lit(source.description)
     body = _joined(headed, by, text)
     return summary.join(body, list(by), "left").select(
         *summary.columns,
-        F.when(F.col("match_count") == 0, _text(NO_FAILURES, description=name))
+        F.when(F.col("match_count") == 0, filled(NO_FAILURES, description=name))
         .otherwise(
             F.concat(
-                _text(SIMPLE_HEADER, count=F.col("match_count"), description=name),
+                filled(SIMPLE_HEADER, count=F.col("match_count"), description=name),
                 F.coalesce("body", F.lit("")),
             )
         )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from keelson.functions.paths import ancestors, parent, path_under
 from keelson.operators.diff import IDENTITY, one_per_path
+from keelson.session import materialise
 
 UNDO_LIMIT = 100  # fixed value: actions a session remembers
 
@@ -64,9 +65,11 @@ def directory_impact(findings: DataFrame, by=("host",)) -> DataFrame:
 def exclusion_targets(findings: DataFrame, by=("host",)) -> DataFrame:
     """Paths that could be excluded for a finding: itself, then every directory above it.
 
-    The targets of a directory are put together once and then joined to its findings.
+    The targets of a directory are put together once and then joined to its findings, whose paths and
+    states are stored, as three steps read them.
     """
     by = list(by)
+    findings = materialise(findings.select(*by, "path", "state"))
     impact = directory_impact(findings, by)
     directories = findings.select(*by, parent("path").alias("_dir")).distinct().filter(
         F.col("_dir").isNotNull() & (F.col("_dir") != "/")

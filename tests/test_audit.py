@@ -132,3 +132,6 @@ def test_blocks_of_one_log_are_verified_by_many_tasks(spark):
     lines = spark.createDataFrame([], AUDIT_LINES)
     plan = A.verify_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert "_block" in plan.split("Window")[1]
+    # Lines were read once, into a table of hashes, and that table is dealt out once as a whole.
+    assert "regexp" not in plan and "sha2" not in plan
+    assert sum("previous_hash" in x for x in plan.split("Exchange hashpartitioning")[1:]) <= 2
