@@ -65,6 +65,12 @@ def test_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_without_labels_only_texts_without_a_letter_go(spark):
+    rows = [(1, "the thing", None), (2, "12 $", None), (3, None, None), (4, "中文", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in langid.accepted(docs).collect()) == [1, 4]
+
+
 def test_held_out_accuracy(spark):
     from pyspark.sql import functions as F
 

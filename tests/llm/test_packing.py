@@ -64,3 +64,19 @@ def test_placing_uses_every_length_and_little_room():
 
 def test_an_empty_table_has_no_pieces(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
+
+
+def test_long_runs_are_never_remembered_and_short_ones_within_bytes(monkeypatch):
+    rng = np.random.default_rng(3)
+    chinese = ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 3000)) for _ in range(5)]
+    words = ["w" + "".join(map(chr, rng.integers(97, 123, 7))) for _ in range(400)]
+    texts = [f"{c} {' '.join(words)} {'x' * 500}" for c in chinese]
+    enc = packing.Encoder(PATH)
+    assert [list(np.frombuffer(x, "<u4")) + [2] for x in enc.encode(texts)] == [whole(t) for t in texts]
+    assert all(len(c) <= packing.SHORT for c in enc.known)
+    held = sum(len(c) + len(ids) + packing.ENTRY for c, ids in enc.known.items())
+    assert enc.held == held > 0
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 1000)
+    for t in texts:
+        assert list(np.frombuffer(enc.encode([t])[0], "<u4")) + [2] == whole(t)
+        assert enc.held <= held  # emptied before each call that finds it above the bound
