@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from keelson.config import LogAudit, LogSource
@@ -54,6 +54,7 @@ def merge_groups(groups: DataFrame, by) -> DataFrame:
 STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 LINE_BLOCK = 1024  # lines of a log that share a part
+LOGS_HELD = 200_000  # counts of logs that a task adds up before it passes them on
 
 TOTALS = "line_count bigint, last_reset bigint"
 GROUP = (
@@ -62,6 +63,7 @@ GROUP = (
 )
 CHANGES = f"source string, file string, part int, key string, {GROUP}"
 _AT = ["line_no", "rule_idx", "selector_idx"]
+_Change = Row(*[f.split()[0] for f in CHANGES.split(", ")])
 
 
 class LogState(StatefulProcessor):
@@ -69,7 +71,8 @@ class LogState(StatefulProcessor):
 
     ``totals`` counts the lines (in the log's first part) and holds the last reset; ``groups`` maps a
     key to its count, risk, first and last line. A reset reaches every part and clears what stands
-    before it; later lines numbered before it are not counted.
+    before it; later lines numbered before it are not counted. A batch has few rows for each of very
+    many parts: rows are read one by one, without a table of each part's.
     """
 
     def init(self, handle):
@@ -78,31 +81,49 @@ class LogState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timer_values):
         # All rows of the batch are needed before the first event counts: a reset may come last.
-        rows = pd.concat(list(rows), ignore_index=True)
-        line_count, reset = self.totals.get() if self.totals.exists() else (0, None)
-        known = -1 if reset is None else reset
-        newest = max(known, -1 if rows["reset"].isna().all() else int(rows["reset"].max()))
-        if newest > known:
+        state = self.totals.get()
+        line_count, reset = state if state else (0, None)
+        known = newest = -1 if reset is None else reset
+        events = []
+        for row in rows:
+            line_count += row["lines"]
+            if row["reset"] is not None and row["reset"] > newest:
+                newest = row["reset"]
+            if row["key"] is not None and row["line_no"] > newest:
+                events.append(row)
+        if state and newest > known:
             ended = [k for k, v in self.groups.iterator() if v[5][0] <= newest]
             for k in ended:
                 self.groups.removeKey(k)
-        self.totals.update((line_count + int(rows["lines"].sum()), newest if newest >= 0 else None))
-        events = rows[rows["key"].notna() & (rows["line_no"] > newest)].sort_values(_AT)
-        changed = []
-        for name, own in events.groupby("key", sort=False):
-            start, end = own.iloc[0], own.iloc[-1]
-            at = [[int(r[c]) for c in _AT] for r in (start, end)]
-            new = (start["description"], int(own["risk"].max()), len(own), at[0], start["line"], at[1], end["line"])
-            if self.groups.containsKey((name,)):
-                new = merged(self.groups.getValue((name,)), new)
+        # A part that neither has new lines nor a new reset keeps its totals as they are.
+        totals = (line_count, newest if newest >= 0 else None)
+        if not state or totals != tuple(state):
+            self.totals.update(totals)
+        changed = {}
+        for row in events:
+            if row["line_no"] > newest:
+                at = [row[c] for c in _AT]
+                new = (row["description"], row["risk"], 1, at, row["line"], at, row["line"])
+                name = row["key"]
+                changed[name] = merged(changed[name], new) if name in changed else new
+        for name, new in changed.items():
+            old = self.groups.getValue((name,))
+            if old is not None:
+                new = merged(old, new)
             self.groups.updateValue((name,), new)
-            changed.append((*key, name, *new))
-        yield pd.DataFrame(changed, columns=[f.split()[0] for f in CHANGES.split(", ")])
+            yield _Change(*key, name, *new)
 
     def close(self):
         pass
 
 
+def _added(counts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Counts of logs, each log's as one."""
+    added = pd.concat(counts).groupby(LOG, as_index=False).agg({"lines": "sum", "reset": "max"})
+    added["reset"] = added["reset"].astype("Int64")
+    return added
+
+
 def merged(old, new) -> tuple:
     """Two groups of one key as one."""
     first, last = (old if old[3] <= new[3] else new), (old if old[5] >= new[5] else new)
@@ -156,14 +177,20 @@ class RunningReport:
         )
 
     def _totals(self, lines: DataFrame) -> DataFrame:
-        """Lines and last reset of each log in each Arrow batch; a reset goes to every part."""
+        """Lines and last reset of each log in each task, whatever its Arrow batches; a reset goes to every
+        part."""
         marked = F.col("line").contains(self.source.reset) if self.source.reset else F.lit(False)
 
         def run(frames):
+            held = []
             for frame in frames:
-                found = frame.groupby(LOG, as_index=False).agg(lines=("line_no", "size"), reset=("reset", "max"))
-                found["reset"] = found["reset"].astype("Int64")
-                yield found
+                held.append(frame.groupby(LOG, as_index=False).agg(lines=("line_no", "size"), reset=("reset", "max")))
+                if sum(map(len, held)) > LOGS_HELD:
+                    held = [_added(held)]
+                    if len(held[0]) > LOGS_HELD // 2:
+                        yield held.pop()
+            if held:
+                yield _added(held)
 
         seen = lines.select(*LOG, "line_no", F.when(marked, F.col("line_no")).alias("reset"))
         counted = seen.mapInPandas(run, "source string, file string, lines bigint, reset bigint")
@@ -179,7 +206,7 @@ class RunningReport:
         """Run once over what is there, or with a period such as ``1 minute``."""
         lines = lines.select(*LOG, "line_no", "line")
         rows = self._events(lines).unionByName(self._totals(lines))
-        changes = rows.groupBy(*LOG, "part").transformWithStateInPandas(LogState(), CHANGES, "Append", "None")
+        changes = rows.groupBy(*LOG, "part").transformWithState(LogState(), CHANGES, "Append", "None")
         writer = (
             changes.writeStream.format("parquet").outputMode("append")
             .option("path", f"{self.target}/changes").option("checkpointLocation", self.checkpoint)

@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import Row
 
 from keelson.config import LogAudit, LogRule, LogSource, Selector
 from keelson.plans.logs import scan_lines
 from keelson.schemas import AUDIT_LINES, LOG_LINES
 from keelson.sinks.baseline import write_baseline
 from keelson.streaming.audit import forward_audit, parquet_sink
-from keelson.streaming.logs import RunningReport, live_events, merged, stream_text
+from keelson.streaming.logs import LogState, RunningReport, live_events, merged, stream_text
 from keelson.streaming.snapshots import ARRIVING, LiveDiff
 from rows import file_row, snapshot
 
@@ -93,6 +94,63 @@ def test_groups_merge_in_any_order():
     assert merged(old, new) == merged(new, old) == ("b", 4, 3, [3, 0, 0], "z", [9, 0, 0], "y")
 
 
+class _Held:
+    """A state variable of one part, kept in memory."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def iterator(self):
+        return iter(self.map.items())
+
+    def getValue(self, key):
+        return self.map.get(key)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def test_a_part_takes_its_rows_one_by_one():
+    state = LogState()
+    state.totals, state.groups = _Held(), _Held()
+    names = ["lines", "reset", "key", "description", "risk", "line", "line_no", "rule_idx", "selector_idx"]
+    row = Row(*names)
+    event = lambda n, key, risk=1: row(0, None, key, "d", risk, f"line {n}", n, 0, 0)
+    nothing = [None] * 7
+
+    def run(*rows):
+        return [r.asDict() for r in state.handleInputRows(("app", "f", 0), iter(rows), None)]
+
+    got = run(event(9, "b"), event(4, "a", 3), row(12, 3, *nothing), event(2, "a"), event(7, "a"))
+    assert {(r["key"], r["count"], r["risk"], r["first_line"], r["last_line"]) for r in got} == {
+        ("a", 2, 3, "line 4", "line 7"), ("b", 1, 1, "line 9", "line 9")}
+    assert state.totals.value == (12, 3)
+    assert run(row(2, 8, *nothing)) == [] and set(state.groups.map) == {("b",)}
+    assert run(event(8, "b"), event(11, "b"))[0]["count"] == 2 and state.totals.value == (14, 8)
+
+
+def test_a_task_counts_each_log_once(spark):
+    running = RunningReport(AUDIT, SOURCE, "unused", parts=3)
+    rows = spark.createDataFrame([r for k in range(5) for f in "fg" for r in lines(10, 10 * k, f)], LOG_LINES).coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        found = running._totals(rows).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(found) == 2 * 3 and {(r.part, r.lines, r.reset) for r in found} == {(0, 50, 34), (1, 0, 34), (2, 0, 34)}
+
+
 def arriving(spark, *scans):
     """Rows of (host, scan, size of the scan, files)."""
     rows = [(*file_row(path, digest, host), scan, n) for host, scan, n, files in scans for path, digest in files]
