@@ -14,6 +14,8 @@ null doc_id stays null. An empty table gives no pieces. Extra columns are ignore
 from __future__ import annotations
 
 import bisect
+import json
+import struct
 import sys
 import types
 import zlib
@@ -30,13 +32,20 @@ from keelson.llm.common import materialise, slim
 SIZE = 4096
 END = 2
 SHORT = 64  # bytes of a run between spaces whose ids a worker remembers
-KNOWN_BYTES = 64 << 20  # that it remembers in all, with ENTRY bytes of overhead for each
+KNOWN_BYTES = 64 << 20  # that it remembers in all, in two halves, with ENTRY bytes of overhead for each
 ENTRY = 180
 MOST_PATTERNS = 1_000_000
 PIECE = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "block bigint, place bigint, ids binary"
 )
+# What the vocabularies of this kind do to a text before their model sees a word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ENDS = b".,;:!?*&%$#"
 _MARKS = (b"\xcc", b"\xcd")  # lead bytes of marks that could join with an ASCII letter
@@ -49,30 +58,64 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        letters = any(t["content"].isalpha() for t in spec["added_tokens"])
+        usual = (spec["normalizer"], spec["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER) and not letters
+        #: A word of a-z alone passes the vocabulary's steps unchanged and whole: its model gives the ids.
+        self.model = self.tokenizer.model if usual else None
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0
 
+    def _keep(self, found: dict[bytes, bytes]) -> None:
+        """Remember ids of chunks that are not known."""
+        self.known.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+
+    def _renew(self, chunks: set[bytes]) -> None:
+        """Take what is still in use over from the older half."""
+        older = self.older
+        self._keep({c: older[c] for c in older.keys() & chunks})
+
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of all ``chunks``; the short ones are remembered."""
-        known, bare = self.known, {}
+        known, ended, wanted = self.known, [], set()
         for c in chunks:
             # A word and the marks after it are apart for the vocabulary: each is looked up alone.
+            if c.isalnum():
+                wanted.add(c)
+                continue
             word = c.rstrip(_ENDS)
-            bare[c] = (word, c[len(word) :]) if word != c and word[-1:].isalnum() and b"<|" not in c else (c,)
-        found = self._encode(list({x for parts in bare.values() for x in parts if x not in known}))
+            if word != c and word[-1:].isalnum() and b"<|" not in c:
+                marks = c[len(word) :]
+                ended.append((c, word, marks))
+                wanted.add(word)
+                wanted.add(marks)
+            else:
+                wanted.add(c)
+        if self.older:
+            self._renew(wanted.difference(known))
+        found = self._encode(list(wanted.difference(known)))
         get = lambda x: found[x] if x in found else known[x]
-        found.update({c: get(parts[0]) + get(parts[1]) for c, parts in bare.items() if len(parts) > 1})
-        for c, ids in found.items():
-            if len(c) <= SHORT and c not in known:
-                known[c] = ids
-                self.held += len(c) + len(ids) + ENTRY
+        found.update([(c, get(word) + get(marks)) for c, word, marks in ended])
+        short = {c: ids for c, ids in found.items() if len(c) <= SHORT}
+        self._keep(short)
         return found
 
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        out = {}
+        if self.model is not None:
+            tokenize = self.model.tokenize
+            for c in chunks:
+                if c.isalpha() and c.islower():  # of ASCII
+                    ids = [t.id for t in tokenize(c.decode())]
+                    out[c] = struct.pack(f"<{len(ids)}I", *ids)
+            chunks = [c for c in chunks if c not in out]
         encoded = self.tokenizer.encode_batch_fast(
             [c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False
         )
-        return {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}
+        out.update((c, struct.pack(f"<{len(ids)}I", *ids)) for c, ids in zip(chunks, (e.ids for e in encoded)))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -84,10 +127,12 @@ class Encoder:
             if not any(m in raw for m in _MARKS) and b"<|" not in raw:
                 raw = raw.translate(_LOWER)
             split.append(raw.split())
-        if self.held > KNOWN_BYTES:
-            self.known.clear()
-            self.held = 0
+        if self.held > KNOWN_BYTES // 2:
+            self.older, self.known, self.held = self.known, {}, 0
         new = set().union(*split).difference(self.known)
+        if self.older:
+            self._renew(new)
+            new.difference_update(self.known)
         found = self._learn(list(new)) if new else {}
         if any(len(c) > SHORT for c in new):  # long runs are forgotten with this call
             get = ChainMap(self.known, found).__getitem__

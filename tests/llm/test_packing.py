@@ -80,3 +80,28 @@ def test_long_runs_are_never_remembered_and_short_ones_within_bytes(monkeypatch)
     for t in texts:
         assert list(np.frombuffer(enc.encode([t])[0], "<u4")) + [2] == whole(t)
         assert enc.held <= held  # emptied before each call that finds it above the bound
+
+
+def test_words_in_use_stay_known_and_plain_words_need_no_pipeline(monkeypatch):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(map(chr, rng.integers(97, 123, 9)))
+    often = [word() for _ in range(20)]
+    texts = [" ".join([*often, "é1", "it's", *(word() for _ in range(30))]) for _ in range(40)]
+    enc = packing.Encoder(PATH)
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 40_000)
+    asked = []
+    encode = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda chunks: asked.extend(chunks) or encode(chunks))
+    for t in texts:
+        assert list(np.frombuffer(enc.encode([t])[0], "<u4")) + [2] == whole(t)
+    assert enc.older and enc.held < 40_000 and all(asked.count(w.encode()) == 1 for w in [*often, "é1"])
+
+    class Bare:
+        def encode_batch_fast(self, texts, **_):
+            assert not any(t.isalpha() and t.isascii() for t in texts)
+            return []
+
+    assert enc.model is not None
+    enc.tokenizer = Bare()
+    got = encode([w.encode() for w in often])
+    assert [list(np.frombuffer(got[w.encode()], "<u4")) + [2] for w in often] == [whole(w) for w in often]
