@@ -51,9 +51,17 @@ def pin_splits(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
 
 
+def share_listing(spark: SparkSession) -> None:
+    """List very many folders in a few tasks a core, each with its share, not in up to 10,000 tasks."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(8 * spark.sparkContext.defaultParallelism))
+
+
 def read_log(spark: SparkSession, path, source: str) -> DataFrame:
     """Lines of text files: split at ``\\n``, one trailing ``\\r`` dropped, numbered from 1."""
     pin_splits(spark)
+    share_listing(spark)
     text = spark.read.option("lineSep", "\n").text(path)
     raw = text.select(
         F.lit(source).alias("source"),

@@ -287,3 +287,22 @@ def test_matching_does_not_shuffle(spark):
     source = LogSource("app", ("errors", "creditcard"), "table")
     events = match_events(log(spark, "x"), source, [ERRORS, CARDS])
     assert "Exchange" not in events._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    from keelson.sources.logs import read_log
+
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    for k in range(40):
+        (tmp_path / f"source={k}").mkdir()
+        (tmp_path / f"source={k}" / "a.txt").write_text(f"first {k}\nsecond\n")
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        assert read_log(spark, str(tmp_path), "s").count() == 80
+        assert int(spark.conf.get(name)) == 8 * spark.sparkContext.defaultParallelism
+        spark.conf.set(name, "5")  # a user's own value stays
+        read_log(spark, str(tmp_path), "s")
+        assert spark.conf.get(name) == "5"
+    finally:
+        spark.conf.set(name, before)
