@@ -12,15 +12,31 @@ from keelson import session
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back; its shuffle files are removed."""
+#: For rows of many megabytes: a task reads and sends them one by one.
+ONE_BY_ONE = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1",
+    "spark.sql.parquet.columnarReaderBatchSize": "1",
+}
+
+
+def materialise(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back; its shuffle files are removed.
+
+    ``settings`` of the session hold while it is written.
+    """
     conf = df.sparkSession.conf
-    before = conf.get(_TIDY, "false")
-    conf.set(_TIDY, "true")
+    settings = {_TIDY: "true", **(settings or {})}
+    before = {k: conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        conf.set(k, v)
     try:
         return session.materialise(df)
     finally:
-        conf.set(_TIDY, before)
+        for k, v in before.items():
+            if v is None:
+                conf.unset(k)
+            else:
+                conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

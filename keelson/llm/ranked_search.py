@@ -32,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keelson.llm.common import materialise, slim
+from keelson.llm.common import ONE_BY_ONE, materialise, slim
 from keelson.llm.decontaminate import words_of
 
 TOP = 50
 BLOCK_CELLS = 2_000_000
+STEP = 1 << 16  # cells whose impacts are computed together
 ROUND_TERMS = 200_000
 FIRST = 8
 BATCH = 64  # document ranges opened at once
@@ -56,24 +57,43 @@ def _grid_row(ids, lengths, parts, known) -> list[pa.Array]:
     order = np.argsort(lengths, kind="stable")
     column = np.empty(len(order), np.int64)
     column[order] = np.arange(len(order))
-    of = np.repeat(column, lengths)
-    cells, tf = np.unique(of * len(known) + np.concatenate(parts), return_counts=True)
-    column, term = np.divmod(cells, max(1, len(known)))
+    cells = np.repeat(column * len(known), lengths)
+    at = 0
+    for i, numbers in enumerate(parts):
+        cells[at : at + len(numbers)] += numbers
+        at += len(numbers)
+        parts[i] = None  # a block's arrays are its task's memory: each goes when it was used
+    cells.sort()
+    starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    tf = np.diff(np.append(starts, len(cells))).astype("<i4")
+    cells = cells[starts]
+    del starts
+    column = (cells // len(known)).astype("<i4")
+    cells -= column * np.int64(len(known))
+    term = cells.astype("<i4")
+    del cells
     df = np.bincount(term, minlength=len(known))
     by_df = np.argsort(-df, kind="stable")
     row = np.empty(len(known), np.int64)
     row[by_df] = np.arange(len(known))
     terms = list(known)
-    stacked = np.stack([row[term], column, tf]).astype("<i4")
+    stacked = np.stack([row.astype("<i4")[term], column, tf])
+    del term, column, tf
     return [
         pa.array([[ids[i] for i in order]], pa.list_(pa.int64())),
         pa.array([np.asarray(lengths)[order]], pa.list_(pa.int64())),
         pa.array([[terms[i] for i in by_df]], pa.list_(pa.binary())),
         pa.array([df[by_df]], pa.list_(pa.int32())),
-        pa.array([stacked.tobytes()], pa.binary()),
+        _one(stacked),
     ]
 
 
+def _one(data) -> pa.Array:
+    """An array of one binary value, which is not copied."""
+    held = pa.py_buffer(data)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, held.size], "<i4")), held])
+
+
 def grids(docs: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
     """The term-document grids of ``docs`` (doc_id, text), a row per block."""
     names = [f.split()[0] for f in GRID.split(", ")]
@@ -86,7 +106,7 @@ def grids(docs: DataFrame, block_cells: int = BLOCK_CELLS) -> DataFrame:
                 words = words_of(text.as_py())
                 if not words:
                     continue
-                numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                numbers = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 ids.append(doc)
                 lengths.append(len(words))
                 parts.append(numbers)
@@ -133,9 +153,12 @@ def _packed(x: np.ndarray) -> bytes:
 
 def tree_of(row: np.ndarray, column: np.ndarray, value: np.ndarray, height: int) -> bytes:
     """The K2-treap of cells in a square of side 2^height; values are below 2^31."""
-    code = (_spread(row) << 1) | _spread(column)
+    code = _spread(row.astype(np.int64))
+    code <<= 1
+    code |= _spread(column.astype(np.int64))
     order = np.argsort(code)
     code, value = code[order], value[order]
+    del order
     out, square, above = [], None, None
     for level in range(height + 1):
         own = code >> (2 * (height - level))
@@ -146,8 +169,9 @@ def tree_of(row: np.ndarray, column: np.ndarray, value: np.ndarray, height: int)
             out.append(np.packbits(np.unpackbits(mask[:, None], axis=1)[:, 4:]).tobytes())
         if not len(starts):
             break
-        at = np.arange(len(value))
-        best = np.maximum.reduceat((value << 32) | (0xFFFFFFFF - at), starts)
+        best = value.astype(np.int64) << 32
+        best |= np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(value), -1)
+        best = np.maximum.reduceat(best, starts)
         best = 0xFFFFFFFF - (best & 0xFFFFFFFF)
         top = value[best]
         out.append(len(top).to_bytes(8, "little"))
@@ -163,8 +187,8 @@ def tree_of(row: np.ndarray, column: np.ndarray, value: np.ndarray, height: int)
 class Tree:
     """A stored K2-treap, its levels one after the other: children, first child, row, column and value."""
 
-    def __init__(self, data: bytes, height: int):
-        self.height = height
+    def __init__(self, data, height: int):
+        data, self.height = memoryview(data), height
         at, square, value, kids = 0, np.zeros(1, np.int64), None, None
         masks, codes, values = [], [], []
 
@@ -301,14 +325,17 @@ def build_index(grid: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for ids, lengths, terms, _, cells in zip(*batch.columns):
-                row, column, tf = np.frombuffer(cells.as_py(), "<i4").reshape(3, -1).astype(np.int64)
+                row, column, tf = np.frombuffer(cells.as_buffer(), "<i4").reshape(3, -1)
                 own = lengths.values.to_numpy(zero_copy_only=False)
-                value = impacts(tf, own[column], n_docs, n_terms)
+                value = np.empty(len(tf), np.int32)
+                for at in range(0, len(tf), STEP):
+                    part = slice(at, at + STEP)
+                    value[part] = impacts(tf[part].astype(np.int64), own[column[part]], n_docs, n_terms)
                 height = max(1, (max(len(own), len(terms.values)) - 1).bit_length())
                 turn = int(ids[0].as_py() or 0) % FIRST
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([turn], pa.int32()), pa.array([ids.values], pa.list_(pa.int64())), pa.array([terms.values], pa.list_(pa.binary())),
-                     pa.array([height], pa.int32()), pa.array([tree_of(row, column, value, height)], pa.binary())],
+                     pa.array([height], pa.int32()), _one(tree_of(row, column, value, height))],
                     names=["turn", "ids", "terms", "height", "tree"],
                 )
 
@@ -344,7 +371,7 @@ def _answers(index: DataFrame, questions: list, top: int) -> DataFrame:
             for ids, terms, height, data in zip(*batch.columns):
                 place = pa.compute.index_in(wanted, value_set=terms.values)
                 row = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                tree, docs = Tree(data.as_py(), height.as_py()), ids.as_py()
+                tree, docs = Tree(data.as_buffer(), height.as_py()), ids.as_py()
                 for (numbers, weights), best in zip(own, found):
                     at = row[numbers]
                     search(tree, at[at >= 0], weights[at >= 0], docs, best)
@@ -356,7 +383,7 @@ def _answers(index: DataFrame, questions: list, top: int) -> DataFrame:
 
     place = F.expr("row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id ASC NULLS LAST)")
     best = index.drop("turn").mapInArrow(run, FOUND)
-    return materialise(best.withColumn("rank", place).filter(F.col("rank") <= top))
+    return materialise(best.withColumn("rank", place).filter(F.col("rank") <= top), ONE_BY_ONE)
 
 
 def _round(index: DataFrame, asked: list, weight: dict, top: int) -> DataFrame:
@@ -384,7 +411,7 @@ def rank(docs: DataFrame, items: DataFrame, top: int = TOP, block_cells: int = B
     result = spark.createDataFrame([], f"item_id {kind}, rank int, doc_id bigint, score bigint")
     if not n_docs:
         return result
-    index = materialise(build_index(grid, n_docs, n_terms))
+    index = materialise(build_index(grid, n_docs, n_terms), ONE_BY_ONE)
     counted = grid.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).select("t.terms", "t.df")
     for asked in _rounds(items, round_terms):
         words = spark.createDataFrame([(w,) for w in sorted({w for _, ws in asked for w in ws})], "terms binary")

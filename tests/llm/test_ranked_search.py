@@ -1,10 +1,12 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from keelson.llm import ranked_search
+from keelson.llm import common, ranked_search
 from keelson.llm.decontaminate import words_of
 
 
@@ -62,3 +64,28 @@ def test_ranks_equal_brute_force_over_blocks_rounds_and_odd_rows(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(expected(docs, items, 7), key=key)
     assert ranked_search.rank(frame.filter("doc_id = -1"), asked).count() == 0
     assert ranked_search.rank(frame, asked.filter("item_id = -1")).count() == 0
+
+
+def test_a_block_is_made_in_little_memory_and_read_alone(spark):
+    rng = np.random.default_rng(2)
+    known = {b"%d" % i: i for i in range(5000)}
+    parts = [rng.integers(0, 5000, 1000).astype(np.int32) for _ in range(400)]
+    whole = np.stack([np.bincount(p, minlength=5000) for p in parts])
+    tracemalloc.start()
+    ids, _, terms, df, cells = ranked_search._grid_row(list(range(400)), [1000] * 400, parts, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 400_000  # bytes a word; twice that before
+    row, column, tf = np.frombuffer(cells[0].as_buffer(), "<i4").reshape(3, -1)
+    number = np.array([known[t.as_py()] for t in terms[0].values])
+    assert (whole[column, number[row]] == tf).all() and len(tf) == (whole > 0).sum()
+    assert (df[0].values.to_numpy() == (whole > 0).sum(0)[number]).all()
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    names = list(common.ONE_BY_ONE)
+    before = [spark.conf.get(n, None) for n in names]
+    sizes = common.materialise(spark.range(0, 9, 1, 2).mapInArrow(rows, "n bigint"), common.ONE_BY_ONE)
+    assert [r.n for r in sizes.collect()] == [1] * 9 and [spark.conf.get(n, None) for n in names] == before
