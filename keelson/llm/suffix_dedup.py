@@ -273,9 +273,19 @@ def contexts(docs: DataFrame, flagged: DataFrame, length: int) -> DataFrame:
 
 
 class Suffixes:
-    """Strings, one per row, compared by binary search over their prefix polynomial hashes."""
-
-    def __init__(self, strings: list[bytes]):
+    """Strings, one per row, compared by binary search over their prefix polynomial hashes.
+
+    ``group``, ascending, comes before the strings in the order: rows of different groups are never
+    compared, and adjacent ones have nothing in common.
+    """
+
+    def __init__(self, strings: list[bytes], group: np.ndarray | None = None):
+        n = len(strings)
+        group = np.zeros(n, np.int64) if group is None else np.asarray(group)
+        new = np.append(True, group[1:] != group[:-1])[:n]
+        self.group = np.cumsum(new) - 1
+        cut = np.append(np.flatnonzero(new), n)
+        self.start, self.end = cut[self.group], cut[self.group + 1]  # places of each row's group
         self.lengths = np.array([len(s) for s in strings], np.int64)
         width = int(self.lengths.max(initial=0)) + 1  # the end of a string sorts before any byte
         flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
@@ -305,12 +315,15 @@ class Suffixes:
         """Rows in order: a stable mergesort that merges all pairs of runs of a width at once."""
         n = len(self.lengths)
         rows, width = np.arange(n), 1
+        place = np.arange(n)
         while width < n:
-            place = np.arange(n)
             pair = place // (2 * width) * (2 * width)
             left = place < pair + width
-            low = np.where(left, np.minimum(pair + width, n), pair)  # the other run
-            start, high = low.copy(), np.where(left, np.minimum(pair + 2 * width, n), np.minimum(pair + width, n))
+            start = np.where(left, np.minimum(pair + width, n), pair)  # the other run
+            high = np.where(left, np.minimum(pair + 2 * width, n), np.minimum(pair + width, n))
+            # A group keeps its places in every run: only its part of the other run is searched.
+            low = np.clip(self.start, start, high)
+            high = np.maximum(low, np.minimum(high, self.end))
             while (open_ := low < high).any():
                 at = np.flatnonzero(open_)
                 middle = (low[at] + high[at]) >> 1
@@ -330,37 +343,42 @@ class Suffixes:
         return rows
 
     def plain_order(self) -> np.ndarray:
-        return np.lexsort(self.cells.T[::-1])
+        return np.lexsort([*self.cells.T[::-1], self.group])
 
     def classes(self) -> tuple[np.ndarray, np.ndarray]:
         """(place of each row in order, common extension of each place with the one before)."""
         rows = self.order()
         reach = np.zeros(len(rows), np.int64)
-        reach[1:] = self.common(rows[:-1], rows[1:])
-        a, b = self.cells[rows[:-1]], self.cells[rows[1:]]
+        next_ = 1 + np.flatnonzero(self.group[1:] == self.group[:-1])  # places with one of their group before
+        reach[next_] = self.common(rows[next_ - 1], rows[next_])
+        a, b = self.cells[rows[next_ - 1]], self.cells[rows[next_]]
         differ = a != b
-        true = np.where(differ.any(1), differ.argmax(1), self.lengths[rows[1:]])
+        true = np.where(differ.any(1), differ.argmax(1), self.lengths[rows[next_]])
         ahead = np.arange(len(a))
         at = np.minimum(true, a.shape[1] - 1)
-        if (true != reach[1:]).any() or (a[ahead, at] > b[ahead, at]).any():  # a collision of hashes
+        if (true != reach[next_]).any() or (a[ahead, at] > b[ahead, at]).any():  # a collision of hashes
             rows = self.plain_order()
-            differ = self.cells[rows[1:]] != self.cells[rows[:-1]]
-            reach[1:] = np.where(differ.any(1), differ.argmax(1), self.lengths[rows[1:]])
+            differ = self.cells[rows[next_]] != self.cells[rows[next_ - 1]]
+            reach[next_] = np.where(differ.any(1), differ.argmax(1), self.lengths[rows[next_]])
         place = np.empty(len(rows), np.int64)
         place[rows] = np.arange(len(rows))
         return place, reach
 
 
-def repeats(doc, start, place, windows, context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each context: its first and its last window that occurred before, or -1."""
+def repeats(deal, doc, start, place, windows, context: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, ascending by ``deal``: its first and its last window that occurred before, or -1.
+
+    Equal windows have equal deals, so the suffixes of different deals are not compared.
+    """
     n = len(context)
     rank = np.empty(n, np.int64)  # by place of the anchor
-    rank[np.lexsort((start + place, doc))] = np.arange(n)
+    by_rank = np.lexsort((start + place, doc))
+    rank[by_rank] = np.arange(n)
     first, last = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
     if n < 2:
         return first, last
-    ahead, ahead_reach = Suffixes([c[p:] for c, p in zip(context, place)]).classes()
-    back, back_reach = Suffixes([c[:p][::-1] for c, p in zip(context, place)]).classes()
+    ahead, ahead_reach = Suffixes([c[p:] for c, p in zip(context, place)], deal).classes()
+    back, back_reach = Suffixes([c[:p][::-1] for c, p in zip(context, place)], deal).classes()
     for left in range(int(place.max()) + 1):  # bytes of the window before the anchor
         w = place - left
         has = np.flatnonzero((w >= 0) & (w < windows))
@@ -369,10 +387,13 @@ def repeats(doc, start, place, windows, context: list[bytes], length: int) -> tu
         right = np.cumsum(ahead_reach < length - left)[ahead[has]]
         own = np.cumsum(back_reach < left)[back[has]] if left else np.zeros(len(has), np.int64)
         key = right * (n + 1) + own
-        order = np.lexsort((rank[has], key))
-        new = np.append(True, key[order][1:] != key[order][:-1])
-        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        mine, lead = has[order], has[head]
+        order = np.argsort(key)
+        sorted_ = key[order]
+        new = np.append(True, sorted_[1:] != sorted_[:-1])
+        if new.all():
+            continue
+        mine = has[order]
+        lead = by_rank[np.minimum.reduceat(rank[mine], np.flatnonzero(new))][np.cumsum(new) - 1]
         again = (doc[mine] != doc[lead]) | (start[mine] + w[mine] != start[lead] + w[lead])
         hit = mine[again]
         first[hit] = np.where(first[hit] < 0, w[hit], np.minimum(first[hit], w[hit]))
@@ -387,8 +408,10 @@ def intervals(found: DataFrame, length: int) -> DataFrame:
         held = []
 
         def settle(table):
-            doc, start, place, windows = (table.column(k).to_numpy() for k in ("doc_id", "start", "place", "windows"))
-            first, last = repeats(doc, start, place.astype(np.int64), windows.astype(np.int64), table.column("context").to_pylist(), length)
+            deal, doc, start, place, windows = (
+                table.column(k).to_numpy() for k in ("deal", "doc_id", "start", "place", "windows")
+            )
+            first, last = repeats(deal, doc, start, place.astype(np.int64), windows.astype(np.int64), table.column("context").to_pylist(), length)
             hit = np.flatnonzero(first >= 0)
             return pa.RecordBatch.from_arrays(
                 [pa.array(doc[hit]), pa.array(table.column("th").to_numpy()[hit]),

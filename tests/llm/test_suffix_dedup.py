@@ -101,3 +101,22 @@ def test_colliding_hashes_are_noticed(monkeypatch):
     bad.hashes &= np.uint64(3)  # nearly all collide
     (p, r), (q, t) = good.classes(), bad.classes()
     assert (r == t).all() and [strings[i] for i in np.argsort(p)] == [strings[i] for i in np.argsort(q)]
+
+
+def test_only_strings_of_a_group_are_compared(monkeypatch):
+    rng = np.random.default_rng(8)
+    strings = [bytes(rng.integers(97, 99, rng.integers(0, 30)).astype(np.uint8)) for _ in range(900)]
+    group = np.sort(rng.integers(-300, 300, 900))
+    met = []
+    common = S.Suffixes.common
+    monkeypatch.setattr(S.Suffixes, "common", lambda x, a, b: met.append((a, b)) or common(x, a, b))
+    x = S.Suffixes(strings, group)
+    place, reach = x.classes()
+    rows = np.argsort(place)
+    assert list(rows) == sorted(range(900), key=lambda i: (group[i], strings[i]))
+    a, b = (np.concatenate(side) for side in zip(*met))
+    assert (group[a] == group[b]).all()
+    assert (reach[np.flatnonzero(np.append(True, np.diff(group) > 0))] == 0).all()
+    met.clear()
+    S.Suffixes(strings, np.arange(900)).classes()
+    assert sum(len(a) for a, _ in met) == 0
