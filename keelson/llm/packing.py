@@ -19,11 +19,11 @@ import struct
 import sys
 import types
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -47,7 +47,8 @@ _PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
      "behavior": "Removed", "invert": True},
     {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_ENDS = b".,;:!?*&%$#"
+_ENDED = r"([0-9A-Za-z])([.,;:!?*&%$#]+)([\t-\r ]|\z)"  # marks at the end of a word
+PART_BYTES = 1 << 19  # of texts encoded together
 _MARKS = (b"\xcc", b"\xcd")  # lead bytes of marks that could join with an ASCII letter
 
 
@@ -79,27 +80,8 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Ids of all ``chunks``; the short ones are remembered."""
-        known, ended, wanted = self.known, [], set()
-        for c in chunks:
-            # A word and the marks after it are apart for the vocabulary: each is looked up alone.
-            if c.isalnum():
-                wanted.add(c)
-                continue
-            word = c.rstrip(_ENDS)
-            if word != c and word[-1:].isalnum() and b"<|" not in c:
-                marks = c[len(word) :]
-                ended.append((c, word, marks))
-                wanted.add(word)
-                wanted.add(marks)
-            else:
-                wanted.add(c)
-        if self.older:
-            self._renew(wanted.difference(known))
-        found = self._encode(list(wanted.difference(known)))
-        get = lambda x: found[x] if x in found else known[x]
-        found.update([(c, get(word) + get(marks)) for c, word, marks in ended])
-        short = {c: ids for c, ids in found.items() if len(c) <= SHORT}
-        self._keep(short)
+        found = self._encode(chunks)
+        self._keep({c: ids for c, ids in found.items() if len(c) <= SHORT})
         return found
 
     def _encode(self, chunks: list[bytes]) -> dict[bytes, bytes]:
@@ -119,26 +101,37 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = []
+        raws, spelt = [], []
         for text in texts:
             raw = (text or "").encode("utf-8", "replace")
             # ASCII case is dropped by the vocabulary too, unless a mark changes what a letter is
             # or a special token is spelt out.
-            if not any(m in raw for m in _MARKS) and b"<|" not in raw:
+            spelt.append(b"<|" in raw)
+            if not spelt[-1] and not any(m in raw for m in _MARKS):
                 raw = raw.translate(_LOWER)
-            split.append(raw.split())
+            raws.append(raw)
+        raws = pa.array(raws, pa.binary())
+        # A word and the marks after it are apart for the vocabulary: each is looked up alone.
+        apart = pc.replace_substring_regex(raws, pattern=_ENDED, replacement=r"\1 \2\3")
+        if any(spelt):
+            apart = pc.if_else(pa.array(spelt), raws, apart)
+        split = pc.ascii_split_whitespace(apart.view(pa.string()))
+        coded = split.values.dictionary_encode()
+        found = self._ids(coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist())
+        at, cuts = coded.indices.to_numpy().tolist(), split.offsets.to_numpy().tolist()
+        return [b"".join(map(found.__getitem__, at[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+    def _ids(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each of these different chunks."""
         if self.held > KNOWN_BYTES // 2:
             self.older, self.known, self.held = self.known, {}, 0
-        new = set().union(*split).difference(self.known)
+        new = [c for c in chunks if c not in self.known]
         if self.older:
-            self._renew(new)
-            new.difference_update(self.known)
-        found = self._learn(list(new)) if new else {}
-        if any(len(c) > SHORT for c in new):  # long runs are forgotten with this call
-            get = ChainMap(self.known, found).__getitem__
-        else:
-            get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            self._renew(set(new))
+            new = [c for c in new if c not in self.known]
+        found = self._learn(new) if new else {}
+        known = self.known
+        return [known[c] if c in known else found[c] for c in chunks]  # long runs are forgotten with this call
 
 
 def encoder(path: str) -> Encoder:
@@ -149,6 +142,17 @@ def encoder(path: str) -> Encoder:
     return held.__dict__[path]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about PART_BYTES of text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def cut(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:
     """The pieces of every document, numbered within (block, length); ``block`` is the task."""
 
@@ -157,8 +161,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_
         seen = np.zeros(size + 1, np.int64)
         tail = np.asarray([end], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in _parts(batch):
                 out = {n: [] for n in ("doc", "start", "length", "crc", "tokens", "place", "ids")}
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                     ids += tail

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from keelson.llm import packing
@@ -105,3 +106,14 @@ def test_words_in_use_stay_known_and_plain_words_need_no_pipeline(monkeypatch):
     enc.tokenizer = Bare()
     got = encode([w.encode() for w in often])
     assert [list(np.frombuffer(got[w.encode()], "<u4")) + [2] for w in often] == [whole(w) for w in often]
+
+
+def test_marks_at_a_word_s_end_are_looked_up_alone_and_parts_hold_bytes(monkeypatch):
+    texts = ["Word, word. word?! 'word,' x.y, \x0bword;\tword", "<|a|>, é, É. 9,\n", None, "", " "]
+    enc = packing.Encoder(PATH)
+    assert [list(np.frombuffer(x, "<u4")) + [2] for x in enc.encode(texts)] == [whole(t or "") for t in texts]
+    assert {b"word", b",", b"?!"} <= set(enc.known) and not {b"word.", b"word?!", b"word;"} & set(enc.known)
+    monkeypatch.setattr(packing, "PART_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(6), "text": ["aaaa", None, "é" * 3, "b" * 50, "", "c"]})
+    parts = [p.column(0).to_pylist() for p in packing._parts(batch)]
+    assert parts == [[0, 1, 2], [3], [4, 5]]
