@@ -385,7 +385,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
         found.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
         .withColumnRenamed("doc_id", "_head")
     )
-    once = heads.filter("_rows = 1").select("_head")
+    # Texts are dealt by id at every size: what a small table saves by a broadcast, a large one cannot.
+    once = heads.filter("_rows = 1").select("_head").hint("merge")
     kept = docs.join(once, F.col("doc_id") == F.col("_head"), "left_semi")
     twice = heads.filter("_rows > 1").select("_head")
     if not twice.isEmpty():  # the same id again: one of its rows

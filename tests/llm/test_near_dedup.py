@@ -146,3 +146,13 @@ def test_pairs_in_large_buckets_are_all_found(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     got = {r.doc_id: r.class_id for r in N.classes(docs).collect()}
     assert [got[i] for i in range(len(texts))] == label
+
+
+def test_rows_to_keep_are_found_by_the_same_join_at_every_size(spark):
+    rng = np.random.default_rng(31)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(500)], 30)) for _ in range(20)]
+    docs = spark.createDataFrame([*enumerate(texts + texts[:5]), (None, "x")], "doc_id bigint, text string")
+    kept = N.one_of_each(docs)
+    assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == list(range(20)) and kept.count() == 21
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
