@@ -99,11 +99,17 @@ def frequencies(top: list, rare: DataFrame) -> np.ndarray:
 
 
 def number(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return _numbers(words, known)[0]
+
+
+def _numbers(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
+    """The words' numbers, and those words that have no number of their own."""
     get, crc = known.get, zlib.crc32
-    out = [get(w, -1) for w in words]
-    return np.fromiter(
-        (k if k >= 0 else TOP + crc(w) % RARE for k, w in zip(out, words)), np.uint16, len(words)
-    )
+    out = np.array([get(w, -1) for w in words], np.int64)
+    at = np.flatnonzero(out < 0)
+    rare = [words[i] for i in at.tolist()]
+    out[at] = [TOP + crc(w) % RARE for w in rare]
+    return out.astype(np.uint16), rare
 
 
 def numbered(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
@@ -114,9 +120,9 @@ def numbered(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
         for batch in batches:
             ids, rare = [], []
             for text in batch.column(1):
-                words = words_of(text.as_py())
-                ids.append(number(words, sent.value).tobytes())
-                rare.append([w for w in words if w not in sent.value])
+                numbers, own = _numbers(words_of(text.as_py()), sent.value)
+                ids.append(numbers.tobytes())
+                rare.append(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
                 names=["doc_id", "ids", "rare"],
@@ -163,11 +169,17 @@ class Network:
         _, state = self.hidden(near)
         klass = target // CLASS
         out = _log_pick(state @ self.classes.T, klass)
-        order = np.argsort(klass, kind="stable")
-        for k, mine in _runs(klass, order):
+        order, runs = self._runs(klass)
+        for k, run in runs:
+            mine = order[run]
             out[mine] += _log_pick(state[mine] @ self.words[k].T, target[mine] - k * CLASS)
         return out
 
+    def _runs(self, klass: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order in which all positions of a class follow each other, and each class's slice of it."""
+        cuts = np.append(0, np.cumsum(np.bincount(klass, minlength=len(self.classes))))
+        return _order(klass), [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+
     def step(self, near: np.ndarray, target: np.ndarray, rate: float) -> float:
         """One step down the mean loss of these positions, each output and vector by its own rows."""
         pre, state = self.hidden(near)
@@ -177,13 +189,17 @@ class Network:
         # Word outputs and vectors see few positions of a batch each; their steps are by the sum.
         n = len(target)
         self.classes -= rate * np.sqrt(n) * (dclass.T @ state) / n
-        order = np.argsort(klass, kind="stable")
-        for k, mine in _runs(klass, order):
-            own = state[mine]
-            dword, part = _residual(own @ self.words[k].T, target[mine] - k * CLASS)
-            loss += part
-            dstate[mine] += dword @ self.words[k]
-            self.words[k] -= rate * (dword.T @ own) / np.sqrt(len(mine))
+        order, runs = self._runs(klass)
+        own, more = state[order], np.empty_like(state)
+        logits = np.empty((n, CLASS), np.float32)
+        for k, run in runs:
+            np.matmul(own[run], self.words[k].T, out=logits[run])
+        dword, part = _residual(logits, target[order] % CLASS)
+        loss += part
+        for k, run in runs:
+            np.matmul(dword[run], self.words[k], out=more[run])
+            self.words[k] -= rate * (dword[run].T @ own[run]) / np.sqrt(run.stop - run.start)
+        dstate[order] += more
         dpre = dstate[:, :HIDDEN] / np.square(1 + np.abs(pre))
         self.bias -= rate * dpre.mean(0)
         for table, ids in zip(self.side, near):
@@ -208,16 +224,14 @@ def _residual(logits, at):
     return logits, loss
 
 
-def _runs(klass, order):
-    sorted_ = klass[order]
-    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else []
-    for a, b in zip(cuts, [*cuts[1:], len(order)]):
-        yield int(sorted_[a]), order[a:b]
+def _order(numbers):
+    """The stable order of word or class numbers; numpy sorts 16 bits by radix."""
+    return np.argsort(numbers.astype(np.uint16), kind="stable")
 
 
 def _descend(table, ids, gradient, rate):
     """Each word's vector moves by its summed gradient over the root of its occurrences."""
-    order = np.argsort(ids, kind="stable")
+    order = _order(ids)
     sorted_ = ids[order]
     cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
     sums = np.add.reduceat(gradient[order], cuts, axis=0)

@@ -112,3 +112,30 @@ def test_the_query_adds_each_words_share_of_its_bucket(spark):
     assert counts and min(share.values()) < -1
     for i, words in texts.items():
         assert got[i] - plain[i] == pytest.approx(sum(share.get(w, 0) for w in words), abs=0.05 + 1e-3 * len(words))
+
+
+def test_a_step_is_that_of_each_class_alone():
+    rng = np.random.default_rng(9)
+    near, target = rng.integers(0, M.WORDS + 1, (len(M._NEAR), 700)), rng.integers(0, M.WORDS // 9, 700)
+    net, plain = M.Network(), M.Network()
+    residuals, residual = [], M._residual
+    try:
+        M._residual = lambda logits, at: residuals.append(len(at)) or residual(logits, at)
+        loss = net.step(near, target, 0.1)
+    finally:
+        M._residual = residual
+    assert residuals == [700, 700]  # once for the classes, once for the words of all of them
+    assert loss == pytest.approx(-plain.log_p(near, target).mean(), abs=1e-4)
+    pre, state = plain.hidden(near)
+    klass = target // M.CLASS
+    for k in np.unique(klass):
+        mine = np.flatnonzero(klass == k)
+        d, _ = residual(state[mine] @ plain.words[k].T, target[mine] - k * M.CLASS)
+        want = plain.words[k] - 0.1 * (d.T @ state[mine]) / np.sqrt(len(mine))
+        assert np.allclose(net.words[k], want, atol=1e-6)
+    untouched = np.setdiff1d(np.arange(M.WORDS // M.CLASS), klass)
+    assert (net.words[untouched] == plain.words[untouched]).all()
+    known = {b"a": 0, b"b": 1}
+    numbers, rare = M._numbers([b"a", b"x", b"b", b"x"], known)
+    assert rare == [b"x", b"x"] and list(numbers[[0, 2]]) == [0, 1] and numbers[1] == numbers[3] >= M.TOP
+    assert len(M._numbers([], known)[0]) == 0
