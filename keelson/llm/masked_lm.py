@@ -2,7 +2,8 @@
 
 The network's vocabulary is the TOP most frequent words of all documents and RARE buckets, by crc32,
 for the rest. A word of a bucket has the bucket's probability times its share of the bucket's
-occurrences, joined from the counts of all words (``score_words``; ``score`` is the network alone). A word's hidden state is a softsign of the sum of one vector for each of its SIDE neighbours
+occurrences, from the counts of all words (``score_words``; ``score`` is the network alone). The counts
+of at most SENT words are sent to all tasks, words that occur once need none, the others' are joined. A word's hidden state is a softsign of the sum of one vector for each of its SIDE neighbours
 on either side; the word itself is masked. Its probability is that of its class times that of the
 word in the class; classes are runs of CLASS numbers, frequent words first. A document's score is
 the sum of the logarithms over all its words.
@@ -25,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -42,9 +44,12 @@ ROUNDS = STRIDE  # together they take every word
 BATCH = 8192  # positions of a step
 RATE = 0.15
 PIECES = 64  # of the network, for averaging
-HELD = 400_000  # different words a task counts before it passes them on
+SLICE = 8 << 20  # bytes of text told apart at once
+HELD = 4_000_000  # words a task counts before it passes the counts on
+SENT = 1 << 18  # words without a number whose counts are sent to all tasks
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+FITS = 40  # logits whose exponentials, and the sums of them, are far from a float's bounds
 _NEAR = [k for k in range(-SIDE, SIDE + 1) if k]
 
 
@@ -52,23 +57,45 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
+def _slices(texts: pa.Array):
+    """``texts`` in runs of about SLICE bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")) + 1
+        yield texts.slice(at, to - at)
+        at = min(to, len(texts))
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` each text, all in one array, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    words = lists.flatten().cast(pa.binary())
+    full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if not full.all():  # beside spaces at either end
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        words = words.filter(pa.array(full))
+    return words, n.astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all documents."""
 
     def run(batches):
         def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-            )
+            counts = pa.chunked_array(parts, pa.binary()).value_counts()
+            return pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["word", "n"])
 
-        counts = Counter()
+        parts, held = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > HELD:
+            for texts in _slices(batch.column(0)):
+                parts.append(_split(texts)[0])
+                held += len(parts[-1])
+                if held >= HELD:
                     yield out()
-                    counts = Counter()
-        if counts:
+                    parts, held = [], 0
+        if held:
             yield out()
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -89,15 +116,39 @@ def rare_words(counts: DataFrame, top: DataFrame) -> DataFrame:
     return rest.withColumn("bucket", F.crc32("word") % RARE)
 
 
-def frequencies(top: list, rare: DataFrame) -> np.ndarray:
+def _level():
+    """Of a count, four for each doubling."""
+    return F.floor(4 * F.log2("n")).cast("int")
+
+
+def _levels(rare: DataFrame) -> list:
+    """bucket, level, total n and number of words: what is known of the rare words on the driver."""
+    return rare.groupBy("bucket", _level().alias("level")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+
+
+def frequencies(top: list, levels: list) -> np.ndarray:
     """How often each number occurs in all documents."""
     out = np.zeros(WORDS)
     out[: len(top)] = [r.n for r in top]
-    for r in rare.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[TOP + r.bucket] = r.n
+    for r in levels:
+        out[TOP + r.bucket] += r.n
     return out
 
 
+def _least(levels: list) -> int:
+    """The least level from which on there are at most SENT words."""
+    words = Counter()
+    for r in levels:
+        words[r.level] += r.words
+    least, total = max(words, default=0) + 1, 0
+    for level in sorted(words, reverse=True):
+        total += words[level]
+        if total > SENT:
+            break
+        least = level
+    return least
+
+
 def number(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return _numbers(words, known)[0]
 
@@ -112,23 +163,50 @@ def _numbers(words: list[bytes], known: dict[bytes, int]) -> tuple[np.ndarray, l
     return out.astype(np.uint16), rare
 
 
-def numbered(docs: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """doc_id, the word numbers of every row, two bytes each, its words without a number of their own, row; stored."""
-    sent = docs.sparkSession.sparkContext.broadcast(known)
+def _lists(values: pa.Array, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), values)
+
+
+def numbered(docs: DataFrame, known: dict[bytes, int], totals: np.ndarray, frequent: pa.Table) -> DataFrame:
+    """doc_id, the word numbers of every row, two bytes each, inside, the row's rest, row; stored.
+
+    ``totals``: occurrences of each bucket; ``frequent``: the counts of some words without a number.
+    ``inside`` sums the logarithms of the shares of a row's words in their buckets, as if every word
+    that is not in ``frequent`` occurred once; ``rest`` has those words.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(
+        (known, np.log(np.maximum(totals, 1)), frequent["word"].combine_chunks(), np.log(frequent["n"].to_numpy()))
+    )
 
     def run(batches):
+        known, log_totals, often, log_often = sent.value
         for batch in batches:
-            ids, rare = [], []
-            for text in batch.column(1):
-                numbers, own = _numbers(words_of(text.as_py()), sent.value)
-                ids.append(numbers.tobytes())
-                rare.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.binary()))],
-                names=["doc_id", "ids", "rare"],
-            )
-
-    rows = slim(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary, rare array<binary>")
+            at = 0
+            for texts in _slices(batch.column(1)):
+                words, n = _split(texts)
+                told = words.dictionary_encode()
+                numbers, codes = number(told.dictionary.to_pylist(), known), told.indices.to_numpy()
+                place = np.full(len(numbers), -1)
+                share = np.zeros(len(numbers))
+                rare = np.flatnonzero(numbers >= TOP)
+                place[rare] = pc.fill_null(pc.index_in(told.dictionary.take(pa.array(rare)), often), -1).to_numpy()
+                share[rare] = -log_totals[numbers[rare] - TOP]
+                share[place >= 0] += log_often[place[place >= 0]]
+                of = np.repeat(np.arange(len(n)), n)
+                left = np.flatnonzero(((numbers >= TOP) & (place < 0))[codes])
+                data = pa.py_buffer(np.ascontiguousarray(numbers[codes]))
+                ends = pa.array(np.append(0, np.cumsum(2 * n)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(n)),
+                     pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], data]),
+                     pa.array(np.bincount(of, share[codes], len(n)).astype(np.float64)),  # whole numbers without words
+                     _lists(words.take(pa.array(left)), np.bincount(of[left], minlength=len(n)))],
+                    names=["doc_id", "ids", "inside", "rest"],
+                )
+                at += len(n)
+
+    schema = "doc_id bigint, ids binary, inside double, rest array<binary>"
+    rows = slim(docs, "doc_id", "text").mapInArrow(run, schema)
     return materialise(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -166,13 +244,16 @@ class Network:
 
     def log_p(self, near: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | neighbours) at each position."""
-        _, state = self.hidden(near)
-        klass = target // CLASS
-        out = _log_pick(state @ self.classes.T, klass)
-        order, runs = self._runs(klass)
+        order, runs = self._runs(target // CLASS)
+        own = target[order]
+        _, state = self.hidden(near[:, order])
+        logits = state @ self.classes.T
+        found = _log_pick(logits, own // CLASS)
         for k, run in runs:
-            mine = order[run]
-            out[mine] += _log_pick(state[mine] @ self.words[k].T, target[mine] - k * CLASS)
+            np.matmul(state[run], self.words[k].T, out=logits[run])
+        found += _log_pick(logits, own % CLASS)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def _runs(self, klass: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -182,24 +263,22 @@ class Network:
 
     def step(self, near: np.ndarray, target: np.ndarray, rate: float) -> float:
         """One step down the mean loss of these positions, each output and vector by its own rows."""
+        order, runs = self._runs(target // CLASS)  # a step is a sum: any order will do
+        near, target = near[:, order], target[order]
         pre, state = self.hidden(near)
-        klass = target // CLASS
-        dclass, loss = _residual(state @ self.classes.T, klass)
+        n = len(target)
+        dclass, loss = _residual(state @ self.classes.T, target // CLASS)
         dstate = dclass @ self.classes
         # Word outputs and vectors see few positions of a batch each; their steps are by the sum.
-        n = len(target)
         self.classes -= rate * np.sqrt(n) * (dclass.T @ state) / n
-        order, runs = self._runs(klass)
-        own, more = state[order], np.empty_like(state)
         logits = np.empty((n, CLASS), np.float32)
         for k, run in runs:
-            np.matmul(own[run], self.words[k].T, out=logits[run])
-        dword, part = _residual(logits, target[order] % CLASS)
+            np.matmul(state[run], self.words[k].T, out=logits[run])
+        dword, part = _residual(logits, target % CLASS)
         loss += part
         for k, run in runs:
-            np.matmul(dword[run], self.words[k], out=more[run])
-            self.words[k] -= rate * (dword[run].T @ own[run]) / np.sqrt(run.stop - run.start)
-        dstate[order] += more
+            dstate[run] += dword[run] @ self.words[k]
+            self.words[k] -= rate * (dword[run].T @ state[run]) / np.sqrt(run.stop - run.start)
         dpre = dstate[:, :HIDDEN] / np.square(1 + np.abs(pre))
         self.bias -= rate * dpre.mean(0)
         for table, ids in zip(self.side, near):
@@ -207,21 +286,30 @@ class Network:
         return loss / n
 
 
+def _fitted(logits):
+    """Each row less its greatest logit, unless all exponentials and their sums fit well as they are."""
+    if not -FITS < logits.min() <= logits.max() < FITS:
+        logits -= logits.max(1, keepdims=True)
+    return logits
+
+
+def _total(p):
+    return p @ np.ones(p.shape[1], p.dtype)
+
+
 def _log_pick(logits, at):
-    logits -= logits.max(1, keepdims=True)
-    own = logits[np.arange(len(at)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(1))
+    own = _fitted(logits)[np.arange(len(at)), at]
+    return own - np.log(_total(np.exp(logits, out=logits)))
 
 
 def _residual(logits, at):
     """Probabilities less one at the truth, and the summed loss."""
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    p = np.exp(_fitted(logits), out=logits)
+    p *= (1 / _total(p))[:, None]
     rows = np.arange(len(at))
-    loss = -float(np.log(logits[rows, at] + 1e-30).sum())
-    logits[rows, at] -= 1
-    return logits, loss
+    loss = -float(np.log(p[rows, at] + 1e-30).sum())
+    p[rows, at] -= 1
+    return p, loss
 
 
 def _order(numbers):
@@ -231,12 +319,10 @@ def _order(numbers):
 
 def _descend(table, ids, gradient, rate):
     """Each word's vector moves by its summed gradient over the root of its occurrences."""
-    order = _order(ids)
-    sorted_ = ids[order]
-    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-    sums = np.add.reduceat(gradient[order], cuts, axis=0)
-    counts = np.diff(np.append(cuts, len(order)))
-    table[sorted_[cuts]] -= rate * sums / np.sqrt(counts)[:, None]
+    size, width = table.shape
+    cells = (ids.astype(np.int64) * width)[:, None] + np.arange(width)
+    sums = np.bincount(cells.ravel(), gradient.ravel(), size * width).reshape(size, width)
+    table -= rate * sums / np.sqrt(np.maximum(np.bincount(ids, minlength=size), 1))[:, None]
 
 
 def _laid(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -336,26 +422,31 @@ def score_all(net: Network, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def _scored(docs: DataFrame, rounds: int, stride: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """row, doc_id, n_words and the network's log_p of every row; the rows' words; the rare words."""
+    """row, doc_id, n_words, inside and the network's log_p of every row; the rows' rest; (word, n) of words in it."""
+    spark = docs.sparkSession
     counts = materialise(word_counts(docs))
     top = _top(counts).collect()
-    tokens = numbered(docs, {bytes(r.word): i for i, r in enumerate(top)})
-    rare = rare_words(counts, _top(counts))
-    sent = docs.sparkSession.sparkContext.broadcast(train(tokens, frequencies(top, rare), rounds, stride))
+    rare = rare_words(counts, spark.createDataFrame([(r.word,) for r in top], "word binary"))
+    levels = _levels(rare)
+    number_of, least = frequencies(top, levels), _least(levels)
+    frequent = rare.filter(_level() >= least).select("word", "n").toArrow()  # at most SENT
+    tokens = numbered(docs, {bytes(r.word): i for i, r in enumerate(top)}, number_of[TOP:], frequent)
+    sent = spark.sparkContext.broadcast(train(tokens, number_of, rounds, stride))
 
     def run(batches):
         net = Network(sent.value)
         for ids, rows in _gathered(batches):
-            at, doc_ids = zip(*ids)
+            at, doc_ids, inside = zip(*ids)
             n = np.array([len(r) for r in rows], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(n),
+                [pa.array(at, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(n), pa.array(inside, pa.float64()),
                  pa.array(np.where(n > 0, score_all(net, rows), 0.0))],
-                names=["row", "doc_id", "n_words", "log_p"],
+                names=["row", "doc_id", "n_words", "inside", "log_p"],
             )
 
-    scores = tokens.select("row", "doc_id", "ids").mapInArrow(run, "row bigint, doc_id bigint, n_words bigint, log_p double")
-    return scores, tokens, rare
+    schema = "row bigint, doc_id bigint, n_words bigint, inside double, log_p double"
+    scores = tokens.select("row", "doc_id", "inside", "ids").mapInArrow(run, schema)
+    return scores, tokens, rare.filter((_level() < least) & (F.col("n") > 1)).select("word", "n")
 
 
 def _with_mean(scores: DataFrame) -> DataFrame:
@@ -369,13 +460,15 @@ def score(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFr
 
 
 def score_words(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
-    """``score`` with each rare word's own probability: that of its bucket times its share of it."""
-    scores, tokens, rare = _scored(docs, rounds, stride)
-    totals = rare.groupBy("bucket").agg(F.sum("n").alias("total"))  # at most RARE
-    shares = rare.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
-    inside = (
-        tokens.select("row", F.explode("rare").alias("word")).join(shares, "word")
-        .groupBy("row").agg(F.sum("share").alias("inside"))
+    """``score`` with each rare word's own probability: that of its bucket times its share of it.
+
+    The shares of frequent words and those of words that occur once are summed where words are
+    numbered; the counts of the others are joined.
+    """
+    scores, tokens, others = _scored(docs, rounds, stride)
+    more = (
+        tokens.select("row", F.explode("rest").alias("word")).join(others, "word")
+        .groupBy("row").agg(F.sum(F.log("n")).alias("more"))
     )
-    whole = scores.join(inside, "row", "left")
-    return _with_mean(whole.withColumn("log_p", F.col("log_p") + F.coalesce("inside", F.lit(0.0))))
+    inside = F.col("inside") + F.coalesce("more", F.lit(0.0))
+    return _with_mean(scores.join(more, "row", "left").withColumn("log_p", F.col("log_p") + inside))

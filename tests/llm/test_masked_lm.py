@@ -139,3 +139,43 @@ def test_a_step_is_that_of_each_class_alone():
     numbers, rare = M._numbers([b"a", b"x", b"b", b"x"], known)
     assert rare == [b"x", b"x"] and list(numbers[[0, 2]]) == [0, 1] and numbers[1] == numbers[3] >= M.TOP
     assert len(M._numbers([], known)[0]) == 0
+
+
+def test_words_told_apart_by_arrow_are_those_of_the_text(monkeypatch):
+    every = "".join(f"A{chr(c)}b" for c in range(256))
+    texts = [every, None, "", "  ", " Ab  cD\t", "x\u2003y \u00c4\u0130 z", "\n", "last one"] * 3
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(M, "SLICE", size)
+        words, n = [], []
+        for part in M._slices(M.pa.array(texts, M.pa.string())):
+            own, lengths = M._split(part)
+            words += own.to_pylist()
+            n += lengths.tolist()
+        assert n == [len(M.words_of(t)) for t in texts]
+        assert words == [w for t in texts for w in M.words_of(t)]
+    assert list(M._slices(M.pa.array([], M.pa.string()))) == []
+
+
+def test_only_words_neither_sent_nor_single_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOP", 2)
+    text = "a " * 90 + "b " * 80 + "c " * 40 + "d d d e e " + " ".join(f"once{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "D d f"), (None, "c once0")], "doc_id bigint, text string")
+    got = []
+    for sent, rest, joined in ((0, {b"c", b"d", b"e", b"f", b"once0", b"once1"}, {b"c": 41, b"d": 5, b"e": 2, b"once0": 2}), (1, {b"d", b"e", b"f", b"once0", b"once1"}, {b"d": 5, b"e": 2, b"once0": 2}), (99, {b"no"}, {})):
+        monkeypatch.setattr(M, "SENT", sent)
+        _, tokens, others = M._scored(docs, 1, M.STRIDE)
+        left = {bytes(w) for r in tokens.collect() for w in r.rest}
+        assert (rest <= left if sent < 99 else not left) and (sent != 1 or b"c" not in left)
+        assert {bytes(r.word): r.n for r in others.collect()} == joined
+        got.append({r.doc_id: r.log_p for r in M.score_words(docs, 1).collect()})
+    for k in (1, 2, 3, None):
+        assert got[0][k] == pytest.approx(got[1][k], abs=1e-6) == pytest.approx(got[2][k], abs=1e-6)
+
+
+def test_great_logits_have_finite_probabilities():
+    logits = np.array([[500.0, 499.0, -500.0], [-700.0, -701.0, -702.0], [1.0, 2.0, 3.0]], np.float32)
+    at = np.array([1, 0, 2])
+    want = logits[np.arange(3), at] - np.logaddexp.reduce(logits.astype(float), axis=1)
+    assert np.allclose(M._log_pick(logits.copy(), at), want, atol=1e-4)
+    p, loss = M._residual(logits.copy(), at)
+    assert np.allclose(p.sum(1), 0, atol=1e-5) and loss == pytest.approx(-want.sum(), abs=1e-3)
