@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from keelson import session
@@ -19,6 +21,23 @@ ONE_BY_ONE = {
 }
 
 
+def lean(run):
+    """``run`` for mapInArrow, after which the worker hands back memory that it no longer uses.
+
+    Workers are kept for later tasks and stages, which else add theirs to the most of each one before.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        del batches
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return task
+
+
 def materialise(df: DataFrame, settings: dict[str, str] | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back; its shuffle files are removed.
 

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keelson.llm.common import fold, slim
+from keelson.llm.common import fold, lean, slim
 
 UNKNOWN = "und"
 WINDOW = 128
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, net: Network | None, columns: list[str], names=("la
     kept = slim(docs, *columns)
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_keelson_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return rows.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
+    return rows.mapInArrow(lean(run), f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, columns=("doc_id",), names=("lang_pred", "score")) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keelson.llm.common import materialise, slim
+from keelson.llm.common import lean, materialise, slim
 from keelson.llm.decontaminate import words_of
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             )
 
     return _texts(docs).mapInArrow(
-        run, "doc_id bigint, th bigint, digest binary, n bigint, keys array<bigint>"
+        lean(run), "doc_id bigint, th bigint, digest binary, n bigint, keys array<bigint>"
     )
 
 
@@ -229,7 +229,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
         F.col("node").alias(side), F.col("th").alias(f"{side}_th"), F.col("numbers").alias(f"{side}_numbers")
     )
     both = pairs.join(of("b"), ["b", "b_th"]).join(of("a"), ["a", "a_th"])
-    return both.select("a_label", "b_label", "a_numbers", "b_numbers").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a_label", "b_label", "a_numbers", "b_numbers").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def stored_tokens(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def stored_tokens(docs: DataFrame, shared: DataFrame) -> DataFrame:
 
     wanted = shared.select("node", "th").distinct()
     rows = _texts(docs).select(F.col("doc_id").alias("node"), "th", "text").join(wanted, ["node", "th"], "left_semi")
-    tokens = rows.select("node", "th", "text").mapInArrow(run, "node bigint, th bigint, numbers binary")
+    tokens = rows.select("node", "th", "text").mapInArrow(lean(run), "node bigint, th bigint, numbers binary")
     return materialise(tokens.groupBy("node", "th").agg(F.first("numbers").alias("numbers")))
 
 
@@ -277,7 +277,7 @@ def prefixes(tokens: DataFrame, least: float) -> DataFrame:
             )
 
     schema = "node bigint, th bigint, n bigint, keys array<bigint>, parity array<bigint>"
-    texts = materialise(tokens.select("node", "th", "numbers").mapInArrow(run, schema))
+    texts = materialise(tokens.select("node", "th", "numbers").mapInArrow(lean(run), schema))
     rows = texts.select("node", "th", "n", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
     node = Window.partitionBy("node", "th")

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keelson.llm.common import materialise, slim
+from keelson.llm.common import lean, materialise, slim
 
 SIZE = 4096
 END = 2
@@ -182,7 +182,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "block", "place", "ids"],
                 )
 
-    return materialise(slim(docs, "doc_id", "text").mapInArrow(run, PIECE))
+    return materialise(slim(docs, "doc_id", "text").mapInArrow(lean(run), PIECE))
 
 
 def place(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
@@ -277,7 +277,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in columns)
-    return ranked.select(*columns, "_rank").mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.select(*columns, "_rank").mapInArrow(lean(run), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END, with_ids: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from keelson.llm.common import materialise, slim
+from keelson.llm.common import lean, materialise, slim
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -361,7 +361,7 @@ def scan(docs: DataFrame) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return docs.mapInArrow(run, SCAN)
+    return docs.mapInArrow(lean(run), SCAN)
 
 
 def sampled(scanned: DataFrame, most: int = SAMPLE) -> list[str]:
@@ -406,7 +406,7 @@ def find(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     schema = SCAN.replace("islands array<struct<start:bigint,text:string>>", "") + (
         "spans array<struct<kind:string,start:bigint,end:bigint>>"
     )
-    return scanned.mapInArrow(run, schema)
+    return scanned.mapInArrow(lean(run), schema)
 
 
 def of_kind(spans, kind: str) -> Column:
@@ -453,7 +453,7 @@ def mask(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
                 new.append(text)
             yield batch.set_column(at, "text", pa.array(new, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars")))
     return out.select(*columns)

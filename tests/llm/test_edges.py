@@ -62,3 +62,22 @@ def test_decontamination_takes_odd_rows_and_finds_words_nearby(spark):
     near = decontaminate.proximity(docs, ["gamma alpha", "omega short"], 2).collect()
     assert {(r.doc_id, r.phrase) for r in near} == {(3, "gamma alpha"), (None, "gamma alpha"), (4, "omega short")}
     assert decontaminate.find_passages(docs.filter("doc_id = -1"), bench).count() == 0
+
+
+def test_blocks_of_an_index_are_read_one_at_a_time_as_arrays():
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [np.array([2, -1, 0, 2], np.int32), np.array([], np.int32)]
+    blocks = [decontaminate._block_row([7, None], [4, 0], parts), decontaminate._block_row([], [], [])]
+    kinds = {"ids": pa.int64()}
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b[n] for b in blocks], pa.list_(kinds.get(n, pa.int32()))) for n in decontaminate.INDEX_NAMES],
+        names=list(decontaminate.INDEX_NAMES),
+    ).slice(0, 2)
+    got = list(decontaminate._index_rows(batch))
+    for row, block in zip(got, blocks, strict=True):
+        assert row["ids"] == list(block["ids"]) and row["n_words"] == list(block["n_words"])
+        for n in ("terms", "ends", "positions"):
+            assert isinstance(row[n], np.ndarray) and row[n].dtype == np.int32 and (row[n] == block[n]).all()
+    assert got[0]["positions"].base is not None  # no copy of the batch's memory
