@@ -5,7 +5,6 @@ from __future__ import annotations
 import sys
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -13,6 +12,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from keelson.config import LogAudit, LogSource
 from keelson.operators import logreport as R
 from keelson.operators.rules import match_events
+from keelson.session import materialise
+from keelson.sources.logs import path_exists
 
 # Executors need not have this package: its functions travel with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -53,8 +54,8 @@ def merge_groups(groups: DataFrame, by) -> DataFrame:
 
 STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-LINE_BLOCK = 1024  # lines of a log that share a part
-LOGS_HELD = 200_000  # counts of logs that a task adds up before it passes them on
+LINE_BLOCK = 1024  # lines of a wide log that share a part
+WIDE_LINES = 65_536  # lines of a batch from which on a log is wide
 
 TOTALS = "line_count bigint, last_reset bigint"
 GROUP = (
@@ -70,9 +71,10 @@ class LogState(StatefulProcessor):
     """What one part of one log has collected since its last reset.
 
     ``totals`` counts the lines (in the log's first part) and holds the last reset; ``groups`` maps a
-    key to its count, risk, first and last line. A reset reaches every part and clears what stands
-    before it; later lines numbered before it are not counted. A batch has few rows for each of very
-    many parts: rows are read one by one, without a table of each part's.
+    key to its count, risk, first and last line. A reset clears what stands before it; later lines
+    numbered before it are not counted. A batch has few rows for each of very many parts: rows are
+    read one by one, without a table of each part's, and each question to the state store takes as long
+    as many rows, so a group is asked for only if it can be there.
     """
 
     def init(self, handle):
@@ -91,14 +93,6 @@ class LogState(StatefulProcessor):
                 newest = row["reset"]
             if row["key"] is not None and row["line_no"] > newest:
                 events.append(row)
-        if state and newest > known:
-            ended = [k for k, v in self.groups.iterator() if v[5][0] <= newest]
-            for k in ended:
-                self.groups.removeKey(k)
-        # A part that neither has new lines nor a new reset keeps its totals as they are.
-        totals = (line_count, newest if newest >= 0 else None)
-        if not state or totals != tuple(state):
-            self.totals.update(totals)
         changed = {}
         for row in events:
             if row["line_no"] > newest:
@@ -106,10 +100,27 @@ class LogState(StatefulProcessor):
                 new = (row["description"], row["risk"], 1, at, row["line"], at, row["line"])
                 name = row["key"]
                 changed[name] = merged(changed[name], new) if name in changed else new
+        if not state:
+            held = {}
+        elif newest > known:
+            held, ended = {}, []
+            for k, v in self.groups.iterator():
+                if v[5][0] > newest:
+                    if k[0] in changed:
+                        held[k[0]] = v
+                elif k[0] not in changed:
+                    ended.append(k)
+            for k in ended:
+                self.groups.removeKey(k)
+        else:
+            held = {name: self.groups.getValue((name,)) for name in changed}
+        # A part that neither has new lines nor a new reset keeps its totals as they are.
+        totals = (line_count, newest if newest >= 0 else None)
+        if not state or totals != tuple(state):
+            self.totals.update(totals)
         for name, new in changed.items():
-            old = self.groups.getValue((name,))
-            if old is not None:
-                new = merged(old, new)
+            if held.get(name) is not None:
+                new = merged(held[name], new)
             self.groups.updateValue((name,), new)
             yield _Change(*key, name, *new)
 
@@ -117,19 +128,28 @@ class LogState(StatefulProcessor):
         pass
 
 
-def _added(counts: list[pd.DataFrame]) -> pd.DataFrame:
-    """Counts of logs, each log's as one."""
-    added = pd.concat(counts).groupby(LOG, as_index=False).agg({"lines": "sum", "reset": "max"})
-    added["reset"] = added["reset"].astype("Int64")
-    return added
-
-
 def merged(old, new) -> tuple:
     """Two groups of one key as one."""
     first, last = (old if old[3] <= new[3] else new), (old if old[5] >= new[5] else new)
     return first[0], max(old[1], new[1]), old[2] + new[2], first[3], first[4], last[5], last[6]
 
 
+def _marked(rows: DataFrame, wide: DataFrame) -> DataFrame:
+    """Add ``_wide``, true for rows of wide logs and null for others."""
+    named = wide.select(*[F.col(c).alias(f"_{c}") for c in LOG], F.lit(True).alias("_wide"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LOG]
+    return rows.join(F.broadcast(named), same, "left").drop(*[f"_{c}" for c in LOG])
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a folder its name, in one step where the file system has one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(new).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(new).getParent())
+    if not files.rename(path(old), path(new)):
+        raise OSError(f"cannot rename {old} to {new}")
+
+
 class _Rocks:
     """The state store that keyed state needs, set while a query starts or its state is read."""
 
@@ -151,10 +171,13 @@ class _Rocks:
 class RunningReport:
     """Grouped report over an endless log, held in keyed state.
 
-    The state of a log is cut into ``parts`` by blocks of its line numbers, so neither a hot log nor
-    a hot key becomes one task. A batch reads and writes the state of its own logs only; a repeated
-    batch starts from the state before it. Lines are (source, file, line_no, line) and reach later
-    batches in order per file. The groups that a batch changed are appended to ``target``/changes.
+    A log's state is one part, until a batch brings WIDE_LINES lines of it: from then on it is cut into
+    ``parts`` by blocks of line numbers, so neither a hot log nor a hot key becomes one task, and a
+    reset reaches all of them. Very many small logs cost one part each. A batch counts its logs, stores
+    its rows with their parts, and a second stream takes these into the state; it reads and writes the
+    state of its own logs only. A repeated batch finds its rows stored and adds nothing. Lines are
+    (source, file, line_no, line) and reach later batches in order per file. The groups that a batch
+    changed are appended to ``target``/changes.
     """
 
     audit: LogAudit
@@ -164,56 +187,71 @@ class RunningReport:
 
     @property
     def checkpoint(self) -> str:
-        return f"{self.target}/checkpoint"
+        """Of the state; the stream of lines has its own."""
+        return f"{self.target}/groups"
 
-    def _events(self, lines: DataFrame) -> DataFrame:
+    def _events(self, lines: DataFrame, wide: DataFrame) -> DataFrame:
         pattern = self.audit.group_pattern(self.source) or r"[^\s\S]"
         events = match_events(lines, self.source, self.audit.rules_of(self.source))
-        part = F.pmod(F.xxhash64(F.floor(F.col("line_no") / LINE_BLOCK)), F.lit(self.parts)).cast("int")
-        return events.select(
-            *LOG, part.alias("part"), F.lit(0).cast("bigint").alias("lines"), F.lit(None).cast("bigint").alias("reset"),
-            R.group_key(pattern).alias("key"), F.col("selector_desc").alias("description"), "risk", "line",
+        block = F.pmod(F.xxhash64(F.floor(F.col("line_no") / LINE_BLOCK)), F.lit(self.parts)).cast("int")
+        return _marked(events, wide).select(
+            *LOG, F.when(F.col("_wide"), block).otherwise(0).alias("part"), F.lit(0).cast("bigint").alias("lines"),
+            F.lit(None).cast("bigint").alias("reset"), R.group_key(pattern).alias("key"),
+            F.col("selector_desc").alias("description"), "risk", "line",
             *[F.col(c).cast("bigint").alias(c) for c in _AT],
         )
 
     def _totals(self, lines: DataFrame) -> DataFrame:
-        """Lines and last reset of each log in each task, whatever its Arrow batches; a reset goes to every
-        part."""
-        marked = F.col("line").contains(self.source.reset) if self.source.reset else F.lit(False)
-
-        def run(frames):
-            held = []
-            for frame in frames:
-                held.append(frame.groupby(LOG, as_index=False).agg(lines=("line_no", "size"), reset=("reset", "max")))
-                if sum(map(len, held)) > LOGS_HELD:
-                    held = [_added(held)]
-                    if len(held[0]) > LOGS_HELD // 2:
-                        yield held.pop()
-            if held:
-                yield _added(held)
-
-        seen = lines.select(*LOG, "line_no", F.when(marked, F.col("line_no")).alias("reset"))
-        counted = seen.mapInPandas(run, "source string, file string, lines bigint, reset bigint")
-        every = F.when(F.col("reset").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(self.parts - 1)))
+        """Lines of each log, in its first part, and its last reset, in every part."""
+        counted = R.log_totals(lines, self.source.reset or None)
+        every = F.when(F.col("last_reset").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(self.parts - 1)))
         none = {"key": "string", "description": "string", "risk": "int", "line": "string", **{c: "bigint" for c in _AT}}
         rows = counted.select("*", F.explode(every).alias("part"))
         return rows.select(
-            *LOG, "part", F.when(F.col("part") == 0, F.col("lines")).otherwise(0).alias("lines"), "reset",
-            *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+            *LOG, "part", F.when(F.col("part") == 0, F.col("line_count")).otherwise(0).alias("lines"),
+            F.col("last_reset").alias("reset"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
         )
 
-    def start(self, lines: DataFrame, every: str | None = None):
-        """Run once over what is there, or with a period such as ``1 minute``."""
-        lines = lines.select(*LOG, "line_no", "line")
-        rows = self._events(lines).unionByName(self._totals(lines))
-        changes = rows.groupBy(*LOG, "part").transformWithState(LogState(), CHANGES, "Append", "None")
+    def _wide(self, totals: DataFrame, batch_id: int) -> DataFrame:
+        """The logs that are wide as of a batch; there are few, as each has very many lines."""
+        spark = totals.sparkSession
+        now = totals.filter(F.col("lines") >= WIDE_LINES).select(*LOG)
+        if not now.isEmpty():
+            now.write.mode("overwrite").parquet(f"{self.target}/wide/{batch_id:012d}")
+        if not path_exists(spark, f"{self.target}/wide/*"):
+            return now.limit(0)
+        return spark.read.schema(now.schema).parquet(f"{self.target}/wide/*").distinct()
+
+    def _take(self, lines: DataFrame, batch_id: int) -> None:
+        """A batch's rows are stored once, under a name that only a whole set of rows has; the state takes them."""
+        spark = lines.sparkSession
+        rows = f"{self.target}/rows/{batch_id:012d}"
+        if not path_exists(spark, rows):
+            totals = materialise(self._totals(lines))
+            wide = self._wide(totals, batch_id)
+            used = _marked(totals, wide).filter("part = 0 OR _wide").drop("_wide")
+            unnamed = f"{self.target}/unnamed"
+            self._events(lines, wide).unionByName(used).write.mode("overwrite").parquet(unnamed)
+            _rename(spark, unnamed, rows)
+        schema = spark.read.parquet(rows).schema
+        dealt = spark.readStream.schema(schema).parquet(f"{self.target}/rows/*")
+        changes = dealt.groupBy(*LOG, "part").transformWithState(LogState(), CHANGES, "Append", "None")
         writer = (
             changes.writeStream.format("parquet").outputMode("append")
             .option("path", f"{self.target}/changes").option("checkpointLocation", self.checkpoint)
         )
+        with _Rocks(spark):
+            taken = writer.trigger(availableNow=True).start()
+        taken.awaitTermination()
+
+    def start(self, lines: DataFrame, every: str | None = None):
+        """Run once over what is there, or with a period such as ``1 minute``."""
+        lines = lines.select(*LOG, "line_no", "line")
         trigger = {"processingTime": every} if every else {"availableNow": True}
-        with _Rocks(lines.sparkSession):
-            return writer.trigger(**trigger).start()
+        return (
+            lines.writeStream.foreachBatch(self._take).option("checkpointLocation", f"{self.target}/checkpoint")
+            .trigger(**trigger).start()
+        )
 
     def state(self, spark: SparkSession, name: str, batch: int | None = None) -> DataFrame:
         """A state variable of every part of every log, as of the last or a given batch."""

@@ -5,6 +5,7 @@ from keelson.config import LogAudit, LogRule, LogSource, Selector
 from keelson.plans.logs import scan_lines
 from keelson.schemas import AUDIT_LINES, LOG_LINES
 from keelson.sinks.baseline import write_baseline
+from keelson.streaming import logs as live_logs
 from keelson.streaming.audit import forward_audit, parquet_sink
 from keelson.streaming.logs import LogState, RunningReport, live_events, merged, stream_text
 from keelson.streaming.snapshots import ARRIVING, LiveDiff
@@ -88,6 +89,30 @@ def test_repeated_batch_changes_nothing(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "state" / "changes")).count() == changes
 
 
+def test_only_wide_logs_are_cut_into_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(live_logs, "WIDE_LINES", 9, raising=False)
+    monkeypatch.setattr(live_logs, "LINE_BLOCK", 2)
+    source = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    running = RunningReport(AUDIT, SOURCE, str(tmp_path / "state"), parts=3)
+    stream = spark.readStream.schema(LOG_LINES).parquet(source)
+    everything = spark.createDataFrame([], LOG_LINES)
+    # f is wide from its second batch on, g never; the resets in lines 10 and 34 come in the second and fourth batch.
+    for n, start, parts in ((7, 0, 1), (12, 7, 3), (8, 19, 3), (8, 27, 3)):
+        rows = lines(n, start, "f") + lines(4, start, "g")
+        part = spark.createDataFrame(rows, LOG_LINES)
+        part.coalesce(1).write.mode("append").parquet(source)
+        everything = everything.unionByName(part)
+        running.start(stream).awaitTermination()
+        found, summary = running.report(spark)
+        whole = scan_lines(everything, AUDIT, SOURCE)
+        assert same(found, whole.rows)
+        names = ["line_count", "match_count", "reset_occurred"]
+        assert same(summary.select(*names), whole.summary.select(*names))
+        used = running.state(spark, "totals").groupBy("key.file").count().collect()
+        assert dict(map(tuple, used)) == {"f": parts, "g": 1}
+
+
 def test_groups_merge_in_any_order():
     old = ("a", 1, 2, [3, 0, 1], "x", [9, 0, 0], "y")
     new = ("b", 4, 1, [3, 0, 0], "z", [3, 0, 0], "z")
